@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, line_dedup, secret_scan
+from . import chat_format, jaccard_join, license_scan, line_dedup, secret_scan
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op10_license_scan": license_scan.op10_license_scan,

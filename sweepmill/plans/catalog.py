@@ -1,4 +1,7 @@
-"""The driver-facing queries and their SQL."""
+"""The driver-facing queries and their SQL, by module."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import clouds, timelines
+
+_MODULES = (clouds, timelines)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
