@@ -4,7 +4,8 @@ Each document gets a fractional number of copies, its source's target over its s
 as it stands; the fractions are rounded dependently. A pivot step takes two documents with fractions and moves
 words - not probabilities - between them, in a random direction chosen so that neither expectation changes, until one
 of the two is whole. The words of a source are thereby kept exactly, step by step, and only the very last fraction of
-a source is rounded for itself, to the nearer side, so a source misses its target by at most half a document.
+a source is rounded for itself, to the nearer side, so a source misses its target by at most half a document. The
+last bucket makes even that up: it flips a few settled documents, largest first, while each brings the total nearer.
 
 Steps run as a reduction tree. At each level the open documents of a source are dealt by hash into buckets of about
 `bucket` rows; one task folds a bucket, largest first, and leaves at most one open document for the next level.
@@ -93,10 +94,19 @@ def fold(keys, sizes, parts, seed: int, last: bool):
         x[h], x[i] = _snap(x[h]), _snap(x[i])
         held = h if 0.0 < x[h] < 1.0 else i if 0.0 < x[i] < 1.0 else None
     if last and held is not None:
-        x[held] = float(x[held] >= 0.5)
+        whole = float(x[held] >= 0.5)
+        _settle(x, sizes, (whole - x[held]) * float(sizes[held]), held)
+        x[held] = whole
     return x
 
 
+def _settle(x: list, sizes, excess: float, held: int) -> None:
+    """Flip documents, largest first, as long as that brings the excess of words nearer to 0."""
+    for i, size in enumerate(sizes):
+        if i != held and 0 < size < 2 * abs(excess) and x[i] == (1.0 if excess > 0 else 0.0):
+            x[i], excess = (0.0, excess - float(size)) if excess > 0 else (1.0, excess + float(size))
+
+
 def _snap(v: float) -> float:
     return 0.0 if v < 1e-9 else 1.0 if v > 1 - 1e-9 else v
 
