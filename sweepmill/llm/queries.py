@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import chat_format, jaccard_join, license_scan, line_dedup, secret_scan
+from . import chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, secret_scan, source_mix, vector_dedup
 
 QUERIES = {
+    "op1_source_mix": source_mix.op1_source_mix,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_quality": quality.op6_quality,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLE_SQL = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_secret_scan": secret_scan.OP5_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
 }
