@@ -1,8 +1,68 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, mixing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, mixing to target weights.
 
+Every stage takes all documents that its predecessor kept and returns the columns of `documents`; the last one adds
+those of the mix. A stage's result is written as Parquet to the shared folder and read again by the next one, so a
+lost executor costs at most part of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sweepmill.llm import common, decontaminate, jaccard_join, language_id, line_dedup, source_mix
+
+#: Least cosine with the best prototype; prose of a known language lies far above, junk below.
+LEAST_SCORE = 0.3
+# Random draws and folds have no SQL form; tests hold run() against a brute-force version instead.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the prototypes know; those without a letter or unlike every language go."""
+    found = language_id.identify(docs, language_id.fit(docs))
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return found.where(known).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that five or more of them hold; n_chars follows the text."""
+    kept = line_dedup.drop_repeated_lines(docs)
+    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies; rows that repeat an id stay or go together."""
+    groups = jaccard_join.jaccard_groups(docs.select("doc_id", "text"))
+    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item. Texts stand for themselves, whatever their ids."""
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontaminate.find_contained(keyed.select("_text_key", "text"), items, id_col="_text_key")
+    return keyed.join(hits.select("_text_key").distinct(), "_text_key", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how many copies of each."""
+    return source_mix.mix_sources(docs).where("copies > 0")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", keep_one_of_group),
+    ("decontaminate", drop_contaminated),
+    ("source_mix", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.stash(stage(spark, docs, sf_dir), name)
+    return docs
