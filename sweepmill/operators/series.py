@@ -29,7 +29,7 @@ def trimmed_mean(df: DataFrame, by: list[str], value: str, few: int = 20, share:
     return ranked.where((F.col("_r") > trim) & (F.col("_r") <= F.col("n") - trim)).groupBy(*by).agg(F.avg("_v").alias("mean"), F.first("n").alias("n"))
 
 
-def static_window(df: DataFrame, by: list[str], at: str, value: str, span: int) -> DataFrame:
+def static_window(df: DataFrame, by: list[str], at: str, span: int) -> DataFrame:
     """The rows of the first `span` time units of each key."""
     first = F.min(at).over(Window.partitionBy(*by))
     return df.withColumn("_first", first).where(F.col(at) <= F.col("_first") + span).drop("_first")

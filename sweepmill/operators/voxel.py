@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import geometry as g
 
@@ -51,7 +52,10 @@ def moments(points: DataFrame, size: float, least: int = 8) -> DataFrame:
     return with_cells(points, size).groupBy(*KEY).agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in AXES], *cov).where(F.col("n") >= least)
 
 
-@F.pandas_udf("values array<double>, normal array<double>")
+_EIGEN = StructType().add("values", ArrayType(DoubleType())).add("normal", ArrayType(DoubleType()))
+
+
+@F.pandas_udf(_EIGEN)
 def _eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).astype(float).reshape(-1, 3, 3)
     values, vectors = np.linalg.eigh(m) if len(m) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
