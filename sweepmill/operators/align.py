@@ -47,3 +47,23 @@ def interpolated(left: DataFrame, right: DataFrame, by: list[str], at: str, valu
     lerp = (1.0 - share) * p[value] + share * n[value]
     inside = F.when(p["at"] == n["at"], p[value]).otherwise(lerp)
     return seen.withColumn(f"{value}_at", F.when(p.isNull(), n[value]).when(n.isNull(), p[value]).otherwise(inside)).drop("prev", "next")
+
+
+def bracketed(points: DataFrame, knots: DataFrame, by: list[str], at: str, value: str, bucket: int) -> DataFrame:
+    """points with the knots' `value` interpolated linearly at their time, held beyond the ends: for very many points
+    and few knots. Every pair of consecutive knots is listed in each bucket of time that it touches, so a point meets
+    the few pairs of its bucket in one equi-join and is never sorted. Knots have distinct times within a key; a gap
+    between knots lists its pair once a bucket, so buckets should be no shorter than gaps allow."""
+    w = Window.partitionBy(*by).orderBy("_t0")
+    ends = knots.select(*by, F.col(at).alias("_t0"), F.col(value).alias("_v0"))
+    pairs = ends.select("*", F.lead("_t0").over(w).alias("_t1"), F.lead("_v0").over(w).alias("_v1")).where("_t1 IS NOT NULL")
+    spread = pairs.select("*", F.explode(F.sequence(F.floor(F.col("_t0") / bucket), F.floor(F.col("_t1") / bucket))).alias("_b"))
+    listed = spread.groupBy(*by, "_b").agg(F.collect_list(F.struct("_t0", "_v0", "_t1", "_v1")).alias("_pairs"))
+    bounds = ends.groupBy(*by).agg(F.min("_t0").alias("_lo"), F.min_by("_v0", "_t0").alias("_first"), F.max("_t0").alias("_hi"), F.max_by("_v0", "_t0").alias("_last"))
+    met = points.withColumn("_b", F.floor(F.col(at) / bucket)).join(listed, [*by, "_b"], "left").join(bounds, by, "left")
+    t = F.col(at)
+    hit = F.try_element_at(F.filter("_pairs", lambda p: (p["_t0"] <= t) & (t < p["_t1"])), F.lit(1))
+    share = (t - hit["_t0"]) / (hit["_t1"] - hit["_t0"]).cast("double")
+    inside = (1.0 - share) * hit["_v0"] + share * hit["_v1"]
+    out = F.when(t <= F.col("_lo"), F.col("_first")).when(t >= F.col("_hi"), F.col("_last")).otherwise(inside)
+    return met.select(*points.columns, out.alias(f"{value}_at"))

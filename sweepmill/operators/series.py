@@ -93,3 +93,13 @@ def linspace_rows(df: DataFrame, by: list[str], order: list[str], most: int) ->
     j = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
     drawn = (F.col("_n") <= most) | ((j < most) & (F.floor(j * (F.col("_n") - 1) / (most - 1)) == F.col("_i")))
     return ranked.where(drawn).drop("_i", "_n")
+
+
+def stratum_middles(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """The middle row of each of at most `most` equal strata of each key's rows; all rows where there are fewer."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    ranked = df.select("*", (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / most)).cast("long")
+    begin = F.floor(F.col("_i") / stride) * stride
+    middle = begin + F.floor((F.least(F.col("_n"), begin + stride) - begin - 1) / 2)
+    return ranked.where(F.col("_i") == middle).drop("_i", "_n")

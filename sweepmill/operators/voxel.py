@@ -56,7 +56,7 @@ _EIGEN = StructType().add("values", ArrayType(DoubleType())).add("normal", Array
 
 
 @F.pandas_udf(_EIGEN)
-def _eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).astype(float).reshape(-1, 3, 3)
     values, vectors = np.linalg.eigh(m) if len(m) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
     return pd.DataFrame({"values": list(values), "normal": list(vectors[:, :, 0])})
@@ -68,7 +68,7 @@ def planes(points: DataFrame, size: float, threshold: float = 0.0025, flatness:
     m = moments(points, size, least)
     scale = F.col("n") / (F.col("n") - 1) if sample else F.lit(1.0)
     cov = [F.col(c) * scale for c in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    fit = m.withColumn("_e", _eigen(*cov))
+    fit = m.withColumn("_e", eigen(*cov))
     e = [F.element_at("_e.values", i + 1) for i in range(3)]
     largest = F.greatest(e[2], F.lit(1e-9))
     return fit.select(

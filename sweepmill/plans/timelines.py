@@ -80,6 +80,15 @@ SELECT event_id, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN
 """
 
 
+def interp_bucketed(spark, sf_dir):
+    """The same for many points and few knots, by buckets of a day instead of a sort."""
+    e = events(spark, sf_dir)
+    points = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
+    knots = e.where("event_type = 'view'").groupBy("user_id", "t").agg(F.avg("value").alias("value"))
+    out = align.bracketed(points, knots, ["user_id"], "t", "value", 86400 * SECOND)
+    return out.select("event_id", F.round("value_at", 6).alias("value_at"))
+
+
 def interval_upper_median(spark, sf_dir):
     gaps = series.positive_gaps(events(spark, sf_dir), ["user_id"], "t")
     out = series.upper_median(gaps, ["user_id"], "gap")
@@ -220,10 +229,10 @@ def scan_index(spark, sf_dir):
 SQL_INDEX = f"SELECT event_id, (row_number() OVER (ORDER BY t, event_id) - 1)::BIGINT AS scan_index FROM ({SQL_EVENTS})"
 
 QUERIES = {f.__name__: f for f in (
-    asof_nearest, asof_tolerance, interp_join, interval_upper_median, trimmed_mean, static_calibration, sustained_run, reject_streak,
+    asof_nearest, asof_tolerance, interp_join, interp_bucketed, interval_upper_median, trimmed_mean, static_calibration, sustained_run, reject_streak,
     sliding_count_frame, keyframe_stride, path_length_bbox, trajectory_thin, linspace_sample, scan_index)}
 ORACLE_SQL = {
-    "asof_nearest": _sql_nearest("ASC"), "asof_tolerance": SQL_TOLERANCE, "interp_join": SQL_INTERP, "interval_upper_median": SQL_MEDIAN,
+    "asof_nearest": _sql_nearest("ASC"), "asof_tolerance": SQL_TOLERANCE, "interp_join": SQL_INTERP, "interp_bucketed": SQL_INTERP, "interval_upper_median": SQL_MEDIAN,
     "trimmed_mean": SQL_TRIMMED, "static_calibration": SQL_STATIC, "sustained_run": SQL_RUN, "reject_streak": SQL_STREAK,
     "sliding_count_frame": SQL_FRAME, "keyframe_stride": SQL_STRIDE, "path_length_bbox": SQL_PATH, "trajectory_thin": SQL_THIN,
     "linspace_sample": SQL_LINSPACE, "scan_index": SQL_INDEX,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,21 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "sweepmill")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the Parquet tables of a data directory (any store Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session names none
+    (single-machine tests) does this make one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="sweepmill-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors, and is
+    computed once however often it is used."""
+    path = f"{scratch_root(df.sparkSession)}/sweepmill-{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
