@@ -76,10 +76,9 @@ def scan_unseen(paths: DataFrame, ledger: DataFrame, rules=RULES, id_col: str =
     """The ledger rows that an increment adds: the blobs of paths (see address) under the rules, without the
     (blob, kind, version) triples that the ledger holds. One path stands for all paths of a blob, so the text moves
     once and spreads by its own id, however often a blob recurs."""
-    spark = paths.sparkSession
-    wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     first = paths.groupBy("blob").agg(F.min(id_col).alias("_first"))
-    triples = first.crossJoin(F.broadcast(wanted))  # a handful of rules
+    triples = first.select("blob", "_first", F.explode(wanted).alias("_r")).select("blob", "_first", "_r.kind", "_r.version")
     unseen = triples.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
     todo = unseen.groupBy("blob", "_first").agg(F.collect_set("kind").alias("_kinds"))
     texts = paths.select(F.col(id_col).alias("_first"), "blob", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -105,7 +104,10 @@ def _is_kind(kind: str):
 
 def report(paths: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """Findings joined back to every path: n_<base kind>, base_sha256, spans; paths keep their other columns."""
-    current = ledger.join(F.broadcast(paths.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")), ["kind", "version"])
+    asked = F.lit(False)
+    for r in rules:
+        asked = asked | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    current = ledger.where(asked)
     kinds = [r.kind for r in rules]
     base = [r.kind for r in BASE_RULES]
     flat = F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(F.col("kind").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))))
