@@ -27,13 +27,10 @@ def matrices(rows: np.ndarray) -> np.ndarray:
 
 
 def poses7(mats: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(mats), 7))
-    for i, m in enumerate(mats):
-        v = log_so3(m[:3, :3])
-        angle = np.linalg.norm(v)
-        axis = v / angle if angle > 0 else v
-        out[i] = [*m[:3, 3], *(axis * np.sin(angle / 2)), np.cos(angle / 2)]
-    return out
+    v = _logs(mats[:, :3, :3])
+    angle = np.linalg.norm(v, axis=1, keepdims=True)
+    axis = v / np.where(angle > 0, angle, 1)
+    return np.concatenate([mats[:, :3, 3], axis * np.sin(angle / 2), np.cos(angle / 2)], axis=1)
 
 
 def _inverse(m: np.ndarray) -> np.ndarray:
@@ -44,19 +41,57 @@ def _inverse(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _residuals(poses: np.ndarray, a, b, z_inverse) -> np.ndarray:
-    e = z_inverse @ _inverse(poses[b]) @ poses[a]
-    return np.concatenate([np.stack([log_so3(m[:3, :3]) for m in e]), e[:, :3, 3]], axis=1)
+def _logs(m: np.ndarray) -> np.ndarray:
+    """log_so3 of many rotations."""
+    cos = np.clip((np.trace(m, axis1=1, axis2=2) - 1) / 2, -1, 1)
+    angle = np.arccos(cos)
+    axis = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], axis=1)
+    small = angle < 1e-7
+    out = axis * np.where(small, 0.5, angle / np.where(small, 1.0, 2 * np.sin(angle)))[:, None]
+    for i in np.flatnonzero(np.pi - angle < 1e-4):
+        out[i] = log_so3(m[i])
+    return out
+
+
+def _exps(v: np.ndarray) -> np.ndarray:
+    """exp_so3 of many vectors."""
+    angle = np.linalg.norm(v, axis=1)
+    safe = np.where(angle < 1e-9, 1.0, angle)
+    k = np.zeros((len(v), 3, 3))
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 2] = -v[:, 2], v[:, 1], -v[:, 0]
+    k -= np.swapaxes(k, 1, 2)
+    first, second = np.where(angle < 1e-9, 1.0, np.sin(angle) / safe), np.where(angle < 1e-9, 0.5, (1 - np.cos(angle)) / safe**2)
+    return np.eye(3) + first[:, None, None] * k + second[:, None, None] * (k @ k)
+
+
+def _twist(e: np.ndarray) -> np.ndarray:
+    return np.concatenate([_logs(e[:, :3, :3]), e[:, :3, 3]], axis=1)
 
 
 def _moved(poses: np.ndarray, step: np.ndarray) -> np.ndarray:
     """exp(step) times each pose."""
     left = np.tile(np.eye(4), (len(poses), 1, 1))
-    left[:, :3, :3] = np.stack([exp_so3(s) for s in step[:, :3]])
+    left[:, :3, :3] = _exps(step[:, :3])
     left[:, :3, 3] = step[:, 3:]
     return left @ poses
 
 
+def _residuals(poses: np.ndarray, a, b, z_inverse) -> np.ndarray:
+    return _twist(z_inverse @ _inverse(poses[b]) @ poses[a])
+
+
+def _jacobians(poses: np.ndarray, a, b, z_inverse, r: np.ndarray, tiny: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Of the residuals by small motions of the first and of the second pose, by differences."""
+    before, nudges = z_inverse @ _inverse(poses[b]), np.eye(6) * tiny
+    there = _moved(np.tile(np.eye(4), (6, 1, 1)), nudges)
+    back = _inverse(there)
+    ja, jb = np.zeros((len(r), 6, 6)), np.zeros((len(r), 6, 6))
+    for c in range(6):
+        ja[:, :, c] = (_twist(before @ there[c] @ poses[a]) - r) / tiny
+        jb[:, :, c] = (_twist(before @ back[c] @ poses[a]) - r) / tiny
+    return ja, jb
+
+
 def solve(poses: np.ndarray, a, b, z, loop, rounds: int = 15, huber: float = 0.30, loop_weight: float = 2.0, damping: float = 1e-4, most: float = 0.25) -> tuple[np.ndarray, float, float]:
     """Gauss-Newton over all poses but the first: (poses, cost before, cost after). The normal equations are never
     formed; conjugate gradients apply the edges' 6 x 6 blocks one after another, with the diagonal blocks as
@@ -77,19 +112,8 @@ def solve(poses: np.ndarray, a, b, z, loop, rounds: int = 15, huber: float = 0.3
         r = _residuals(poses, a, b, z_inverse)
         cost = cost_of(r)
         start = cost if start is None else start
-        w, blocks = weights(r), []
-        for which in (a, b):
-            j = np.zeros((len(r), 6, 6))
-            for c in range(6):
-                d = np.zeros((n, 6))
-                d[:, c] = 1e-5
-                shifted = poses.copy()
-                shifted[:] = _moved(poses, d)
-                other = poses[b] if which is a else poses[a]
-                e = z_inverse @ (_inverse(other) @ shifted[a] if which is a else _inverse(shifted[b]) @ other)
-                j[:, :, c] = (np.concatenate([np.stack([log_so3(m[:3, :3]) for m in e]), e[:, :3, 3]], axis=1) - r) / 1e-5
-            blocks.append(j)
-        ja, jb = blocks
+        w = weights(r)
+        ja, jb = _jacobians(poses, a, b, z_inverse, r)
 
         def gathered(v):
             out = np.zeros((n, 6))
@@ -109,8 +133,9 @@ def solve(poses: np.ndarray, a, b, z, loop, rounds: int = 15, huber: float = 0.3
         step = np.zeros((n, 6))
         better = np.einsum("nij,nj->ni", condition, left)
         direction, power = better, float((left * better).sum())
+        enough = max(1e-20, 1e-10 * power)
         for _inner in range(6 * n + 50):
-            if power < 1e-20:
+            if power < enough:
                 break
             image = applied(direction)
             length = power / float((direction * image).sum())

@@ -34,15 +34,15 @@ def _distance2(a: str, b: str) -> Column:
     return sum(((F.col(f"{a}{x}") - F.col(f"{b}{x}")) * (F.col(f"{a}{x}") - F.col(f"{b}{x}")) for x in AXES[1:]), (F.col(f"{a}x") - F.col(f"{b}x")) * (F.col(f"{a}x") - F.col(f"{b}x")))
 
 
-def _met(queries: DataFrame, points: DataFrame, edge: float, reach: int = 1) -> DataFrame:
-    """qid, qx, qy, qz, id, x, y, z, d2 of all pairs in cells that touch."""
-    asked = _spread(_cells(queries.select("id", *AXES), edge), reach).select(F.col("id").alias("qid"), *[F.col(a).alias(f"q{a}") for a in AXES], *CELL)
-    return asked.join(_cells(points.select("id", *AXES), edge), list(CELL)).drop(*CELL).withColumn("d2", _distance2("q", ""))
+def _met(queries: DataFrame, points: DataFrame, edge: float, reach: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by,) qid, qx, qy, qz, id, x, y, z, d2 of all pairs (of equal `by`) in cells that touch."""
+    asked = _spread(_cells(queries.select(*by, "id", *AXES), edge), reach).select(*by, F.col("id").alias("qid"), *[F.col(a).alias(f"q{a}") for a in AXES], *CELL)
+    return asked.join(_cells(points.select(*by, "id", *AXES), edge), [*by, *CELL]).drop(*CELL).withColumn("d2", _distance2("q", ""))
 
 
-def within(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """All pairs not farther apart than radius, a point with itself among them."""
-    return _met(queries, points, radius).where(F.col("d2") <= radius * radius)
+def within(queries: DataFrame, points: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs not farther apart than radius, a point with itself among them; inside clouds of equal `by`."""
+    return _met(queries, points, radius, by=by).where(F.col("d2") <= radius * radius)
 
 
 def radius_inliers(points: DataFrame, radius: float, least: int) -> DataFrame:

@@ -6,10 +6,12 @@ points. Many captures or scans are solved at once by grouping by their keys."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..session import stash
 from . import neighbours
 
 AXES = ("x", "y", "z")
@@ -86,6 +88,67 @@ def register_to_planes(points: DataFrame, planes: DataFrame, size: float, start:
     return pose, *score, bool(last is not None and max(0.0, values[0]) / max(values[2], 1e-12) < 1e-3)
 
 
+def _solved_pairs(batches):
+    """mapInPandas: a pair's pose and the moments of its matches -> the pose one step on."""
+    for pdf in batches:
+        out = []
+        for r in pdf.to_dict("records"):
+            pose = np.array(r["pose"]).reshape(4, 4)
+            if r["inliers"] >= 3:
+                u, _, vt = np.linalg.svd(np.array([r[f"q{a}{b}"] for a in AXES for b in AXES]).reshape(3, 3))
+                turn = vt.T @ np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+                step = np.eye(4)
+                step[:3, :3] = turn
+                step[:3, 3] = [r[a] for a in AXES] - turn @ [r[f"q{a}"] for a in AXES]
+                pose = step @ pose
+            out.append((r["pair"], pose.ravel().tolist(), r["n"], r["inliers"], r["d2"]))
+        yield pd.DataFrame(out, columns=["pair", "pose", "n", "inliers", "d2"])
+
+
+def register_pairs(source: DataFrame, target: DataFrame, gate: float, rounds: int = 12, start: DataFrame | None = None) -> DataFrame:
+    """pair, pose (16 numbers by rows), fitness, rmse: ICP of many pairs of clouds (pair, id, x, y, z) at once. Every
+    round is one grid join and one aggregate over all pairs; only a pair's 16 moments reach Python. start: pair, pose;
+    without it, source starts with its centroid on the target's."""
+    centre = lambda df, p: df.groupBy("pair").agg(*[F.avg(a).alias(f"{p}{a}") for a in AXES])
+    if start is None:
+        both = centre(source, "s").join(centre(target, "t"), "pair")
+        rows = [[F.lit(1.0 if i == j else 0.0) for j in range(3)] + [F.col(f"t{a}") - F.col(f"s{a}")] for i, a in enumerate(AXES)]
+        start = both.select("pair", F.array(*[c for r in rows for c in r], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]).alias("pose"))
+    poses = start.select("pair", "pose", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("inliers"), F.lit(None).cast("double").alias("d2"))
+    moments = [F.covar_pop(f"q{a}", b).alias(f"q{a}{b}") for a in AXES for b in AXES]
+    sizes = source.groupBy("pair").agg(F.count("*").alias("n"))
+    for _ in range(rounds):
+        at = lambda i: F.element_at("pose", i + 1)
+        world = g.transform(*[F.col(a) for a in AXES], [[at(4 * i + j) for j in range(4)] for i in range(3)])
+        moved = source.join(poses.select("pair", "pose"), "pair").select("pair", "id", *[c.alias(a) for c, a in zip(world, AXES, strict=True)])
+        near = neighbours.within(moved, target, gate, by=("pair",))
+        best = near.groupBy("pair", "qid").agg(F.min_by(F.struct("qx", "qy", "qz", *AXES, "d2"), F.struct("d2", "id")).alias("m")).select("pair", "m.*")
+        sums = best.groupBy("pair").agg(F.count("*").alias("inliers"), F.avg("d2").alias("d2"), *[F.avg(c).alias(c) for c in ("qx", "qy", "qz", *AXES)], *moments)
+        joined = poses.select("pair", "pose").join(sizes, "pair").join(sums, "pair", "left").fillna(0, ["inliers"])
+        poses = stash(joined.mapInPandas(_solved_pairs, "pair " + source.schema["pair"].dataType.simpleString() + ", pose array<double>, n long, inliers long, d2 double"), "poses")
+    return poses.select("pair", "pose", (F.col("inliers") / F.greatest(F.lit(1), F.col("n"))).alias("fitness"), F.sqrt("d2").alias("rmse"))
+
+
+def symmetric_loops(forward: DataFrame, reverse: DataFrame, least_fitness: float = 0.60, most_rmse: float = 0.08, shift: float = 2.5, turn: float = 35.0, cycle: float = 0.20, cycle_turn: float = 8.0) -> DataFrame:
+    """forward with `reason`: "accepted" if both directions (register_pairs of a pair and of its reverse) are good, the
+    correction is small, and going there and back ends where it began."""
+    b = reverse.select("pair", F.col("pose").alias("_back"), F.col("fitness").alias("_f"), F.col("rmse").alias("_r"))
+    row = lambda c, i, j: F.element_at(c, 4 * i + j + 1)
+    length = lambda parts: F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    loop = [[sum((row("_back", i, k) * row("pose", k, j) for k in range(1, 4)), row("_back", i, 0) * row("pose", 0, j)) for j in range(4)] for i in range(3)]
+    bad = lambda f, r: (f < least_fitness) | F.coalesce(r > most_rmse, F.lit(True))
+    moved, turned = length([row("pose", i, 3) for i in range(3)]), g.rotation_degrees(row("pose", 0, 0) + row("pose", 1, 1) + row("pose", 2, 2))
+    ends, twist = length([loop[i][3] for i in range(3)]), g.rotation_degrees(loop[0][0] + loop[1][1] + loop[2][2])
+    reason = (
+        F.when(bad(F.col("fitness"), F.col("rmse")), "forward registration")
+        .when((moved > shift) | (turned > turn), "correction too large")
+        .when(F.col("_f").isNull() | bad(F.col("_f"), F.col("_r")), "reverse registration")
+        .when((ends > F.greatest(F.lit(cycle), 2.5 * F.col("rmse"))) | (twist > cycle_turn), "cycle does not close")
+        .otherwise("accepted")
+    )
+    return forward.join(b, "pair", "left").select(*forward.columns, reason.alias("reason"))
+
+
 def gate_reason(fitness: Column, rmse: Column, moved: Column, turned: Column, seconds: Column, least_fitness: float = 0.70, most_rmse: float = 0.18, margin: float = 0.35, speed: float = 4.0, turn_margin: float = 12.0, turn_speed: float = 120.0, measured_turn: Column | None = None, turn_correction: float = 8.0) -> Column:
     """Why a registration is rejected, or "accepted". moved in m, turned in degrees since the last pose; uncertain
     results have a tighter motion envelope; measured_turn: the gyro's angle, which replaces the speed limit."""
@@ -102,3 +165,25 @@ def gate_reason(fitness: Column, rmse: Column, moved: Column, turned: Column, se
         .when(turned > arc, F.format_string("rotation %.3f deg above %.3f deg", turned, arc))
         .otherwise("accepted")
     )
+
+
+def good_refinement(fitness: Column, rmse: Column, moved: Column, turned: Column, least_fitness: float = 0.70, most_rmse: float = 0.18) -> Column:
+    """Whether a second registration against the finished map may replace a pose."""
+    return (fitness >= least_fitness) & (rmse <= min(0.06, most_rmse)) & (moved <= 0.10) & (turned <= 2.5)
+
+
+def within_budget(failed: Column, total: Column, floor: int = 20, share: int = 4) -> Column:
+    """Whether few enough scans failed to publish the result."""
+    return failed <= F.greatest(F.lit(floor), F.floor(total / share))
+
+
+def pairing_holds(gaps: DataFrame, by: list[str], gap: str, median_ns: int = 150_000_000, far_ns: int = 300_000_000) -> DataFrame:
+    """by, median, outliers, passes: whether images and scans of a capture belong together, by the upper median of their
+    gaps in time and by how many are far off."""
+    from . import series
+
+    sizes = gaps.select(*by, F.abs(gap).alias("_gap"))
+    median = series.upper_median(sizes, by, "_gap")
+    far = sizes.groupBy(*by).agg(F.count_if(F.col("_gap") > far_ns).alias("outliers"))
+    fine = (F.col("median") <= median_ns) & (F.col("outliers") <= F.greatest(F.lit(20), F.floor(F.col("n") / 20)))
+    return median.join(far, by).withColumn("passes", fine)

@@ -135,6 +135,30 @@ def test_gate_reasons(spark):
     assert [r["got"] for r in got] == [r["want"] for r in got]
 
 
+def test_pairs_are_registered_together(spark):
+    rows_s, rows_t = [], []
+    for pair in range(3):
+        xyz = RNG.uniform(-2, 2, size=(150, 3)) if pair < 2 else RNG.uniform(-2, 2, size=(150, 3)) * 20
+        c, s = math.cos(0.05 * pair), math.sin(0.05 * pair)
+        turned = xyz @ np.array([[c, s, 0], [-s, c, 0], [0, 0, 1]]) + [0.05, -0.1 * pair, 0.02]
+        other = turned if pair < 2 else RNG.uniform(-2, 2, size=(150, 3))
+        rows_s += [(pair, i, *map(float, p)) for i, p in enumerate(xyz)]
+        rows_t += [(pair, i, *map(float, p)) for i, p in enumerate(other)]
+    source, target = (spark.createDataFrame(r, "pair long, id long, x double, y double, z double") for r in (rows_s, rows_t))
+    there, back = registration.register_pairs(source, target, 0.6, rounds=8), registration.register_pairs(target, source, 0.6, rounds=8)
+    got = {r["pair"]: r for r in registration.symmetric_loops(there, back).collect()}
+    assert got[0]["reason"] == got[1]["reason"] == "accepted" and got[2]["reason"] == "forward registration"
+    assert math.isclose(got[0]["pose"][3], 0.05, abs_tol=1e-6) and got[1]["fitness"] == 1.0
+
+
+def test_small_gates(spark):
+    df = spark.createDataFrame([("a", i * 1_000_000) for i in range(100)] + [("b", 400_000_000)] * 30, "capture string, gap long")
+    got = {r["capture"]: (r["median"], r["outliers"], r["passes"]) for r in registration.pairing_holds(df, ["capture"], "gap").collect()}
+    assert got == {"a": (50_000_000, 0, True), "b": (400_000_000, 30, False)}
+    row = spark.range(1).select(registration.within_budget(F.lit(21), F.lit(100)).alias("a"), registration.within_budget(F.lit(21), F.lit(40)).alias("b"), registration.good_refinement(F.lit(0.9), F.lit(0.05), F.lit(0.05), F.lit(3.0)).alias("c")).first()
+    assert (row["a"], row["b"], row["c"]) == (True, False, False)
+
+
 def test_empty_tables(spark):
     empty = frame(spark, np.zeros((1, 3))).limit(0)
     for out in (neighbours.radius_inliers(empty, 0.1, 2), neighbours.statistical_inliers(empty), neighbours.normals(empty, 0.1), voxel.centroids(empty, 0.1), neighbours.with_halo(empty, 1.0, 0.1)):
