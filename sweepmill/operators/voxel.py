@@ -15,7 +15,8 @@ AXES = ("x", "y", "z")
 
 
 def with_cells(points: DataFrame, size: float, single: bool = False) -> DataFrame:
-    return points.select("*", *[g.cell(F.col(a), size, single).alias(k) for a, k in zip(AXES, KEY, strict=True)])
+    rest = [c for c in points.columns if c not in KEY]
+    return points.select(*rest, *[g.cell(F.col(a), size, single).alias(k) for a, k in zip(AXES, KEY, strict=True)])
 
 
 def centroids(points: DataFrame, size: float, limit: float = 1e7) -> DataFrame:

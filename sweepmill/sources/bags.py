@@ -100,7 +100,7 @@ def sweep_points(data: bytes) -> np.ndarray:
 def imu_sample(data: bytes) -> tuple | None:
     """Stamp (0 where the header has none), quaternion, rates and accelerations; None unless all are finite."""
     stamp, at = _payload(data)
-    values = np.frombuffer(data, dtype="<f8", count=37, offset=at)
+    values = np.frombuffer(data, dtype="<f8", count=28, offset=at)
     picked = np.concatenate([values[:4], values[13:16], values[25:28]])
     return (max(0, stamp), *map(float, picked)) if np.isfinite(picked).all() else None
 

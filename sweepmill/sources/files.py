@@ -149,7 +149,7 @@ def small_ply(points: DataFrame, most: int = 50_000) -> bytes:
 
 
 def read_trajectory(spark: SparkSession, path: str, accepted: bool = True) -> DataFrame:
-    rows = spark.read.csv(path, header=True, schema=TRAJECTORY)
+    rows = spark.read.csv(path, header=True, schema=TRAJECTORY, escape='"')
     return rows.where("accepted = 1") if accepted else rows
 
 

@@ -4,8 +4,10 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+# Spark's Python workers must find the package too, wherever the tests are started.
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, os.environ.get("PYTHONPATH")) if p)
 
 
 @pytest.fixture(scope="session")

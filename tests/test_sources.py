@@ -28,7 +28,7 @@ def sweep(timebase, points, short=False, listed=None):
 
 
 def imu(stamp, gyro, accel, bad=False):
-    values = [0, 0, 0, 1, *[0] * 9, *gyro, *[0] * 9, *accel]
+    values = [0, 0, 0, 1, *[0] * 9, *gyro, *[0] * 9, *accel, *[0] * 9]
     if bad:
         values[14] = math.nan
     return header(stamp, 0) + struct.pack("<37d", *map(float, values))
