@@ -94,7 +94,9 @@ class Trees:
         at = np.zeros((len(x), len(self.leaf)), dtype=np.int64)
         for _ in range(depth):
             at = 2 * at + 1 + (x[rows, self.feature[trees, at]] > self.threshold[trees, at])
-        total = self.base + (self.leaf[trees, at - (2**depth - 1)].sum(axis=1) if len(self.leaf) else 0)
+        total = np.full(len(x), self.base)
+        if len(self.leaf):
+            total += self.leaf[trees, at - (2**depth - 1)].sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
