@@ -15,7 +15,7 @@ follows the set's size, which keeps the pairs in proportion to it; sets near a s
 
 Candidates. Sets that share signatures are first paired with one hub for each signature, in proportion to the rows.
 Verified hubs are contracted; only signatures that still hold several components give further candidates, each
-member outside the largest one with the others. Nothing in one component is paired again, so large groups of near
+member outside the largest one with the others, as far as the counts of their rare tokens allow a link at all. Nothing in one component is paired again, so large groups of near
 copies cost their hub pairs, and no link between components is missed. Candidates are verified on whole sets.
 
 Equal sets are one node from the start. Defined results: a null, empty or blank text has no shingles and links with
@@ -109,7 +109,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _signature_rows(measure: Measure):
-    """mapInPandas: node, n, scope (tokens looked at), ranks, tokens, frequent -> node, n, full, sigs."""
+    """mapInPandas: node, n, scope (tokens looked at), ranks, tokens, frequent -> node, n, full, rare, singles, pairs."""
 
     def singles(tokens):
         return common.mix64(tokens ^ _U(0x51D3_0000_0000_0001))
@@ -142,13 +142,13 @@ def _signature_rows(measure: Measure):
                 ranks, tokens, often = np.asarray(ranks), np.asarray(tokens, dtype=np.int64).view(np.uint64), np.asarray(frequent, dtype=bool)
                 need, rare = measure.need(n), scope - int(often.sum())
                 own = ~often & (ranks - (np.cumsum(often) - often) < need)
-                sigs = [singles(tokens[own])]
+                combined = [np.empty(0, np.uint64)]
                 wanted = measure.lacks(n) + 1 - rare
                 if wanted > 0 and often.any():
                     for j in measure.steps(n):
-                        sigs.append(pairs(tokens[often][: covered(tokens[often], j, wanted)], j))
-                out.append((node, n, rare >= need, np.unique(np.concatenate(sigs)).view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "n", "full", "sigs"])
+                        combined.append(pairs(tokens[often][: covered(tokens[often], j, wanted)], j))
+                out.append((node, n, rare >= need, rare, singles(tokens[own]).view(np.int64), np.unique(np.concatenate(combined)).view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "n", "full", "rare", "singles", "pairs"])
 
     return run
 
@@ -158,28 +158,30 @@ def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rar
     post = nodes.select("node", "n", F.posexplode("region").alias("rank", "token"))
     counts = post.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     shared = common.stash(post.join(counts, "token").select("token", "node", "n", "rank", (F.col("sets") > rare_max).alias("often")), "shared")
-    often = shared.where("often").select("token").distinct().withColumn("often", F.lit(True))
-    # Nodes whose region has too few rare tokens: look further into their sets.
-    lacking = common.stash(
-        shared.groupBy("node", "n").agg(F.count_if("often").alias("f")).mapInPandas(_lacking(measure, 0), "node long, depth int"), "lacking"
-    )
+    often = common.stash(shared.where("often").select("token").distinct(), "often")
+    # Nodes whose region has too few rare tokens look further into their sets. There they meet tokens that no region has
+    # counted, so these are counted among the deeper rows; what is frequent anywhere is frequent for all.
+    kept = common.stash(_short(shared, measure, 0), "lacking")
     deeper = None
     for depth in (1, 2):
-        tokens = _only(docs, _ids(nodes, lacking)).mapInArrow(
-            _token_rows(k, _region_of(measure, depth), [pa.int64(), pa.int64(), _LONGS]), "node long, n long, region array<long>"
-        ).dropDuplicates(["node"])
-        rows = tokens.select("node", "n", F.posexplode("region").alias("rank", "token")).join(often, "token", "left")
-        rows = common.stash(rows.select("token", "node", "n", "rank", F.coalesce("often", F.lit(False)).alias("often"), F.lit(depth).alias("depth")), f"deep{depth}")
-        short = rows.groupBy("node", "n").agg(F.count_if("often").alias("f")).mapInPandas(_lacking(measure, depth), "node long, depth int")
-        lacking = common.stash(short, "lacking")
-        rows = rows.join(lacking, "node", "left_anti")
-        deeper = rows if deeper is None else deeper.unionByName(rows)
-        if not lacking.take(1):
+        rows = common.stash(_deeper(docs, nodes, kept, measure, k, depth), f"deep{depth}")
+        new = rows.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > rare_max).select("token")
+        often = common.stash(often.unionByName(new).distinct(), "often")
+        marked = _marked(rows, often)
+        kept = common.stash(_short(marked, measure, depth), "lacking")
+        deeper = rows if deeper is None else deeper.join(rows.select("node").distinct(), "node", "left_anti").unionByName(rows)
+        if not kept.take(1):
             break
-    plain = shared.join(deeper.select("node").distinct(), "node", "left_anti").select("token", "node", "n", "rank", "often", F.lit(0).alias("depth"))
+    # Tokens that turned out frequent can leave further nodes without enough rare ones; these take their whole sets.
+    again = _marked(shared.drop("often").join(deeper.select("node").distinct(), "node", "left_anti").withColumn("depth", F.lit(0)), often)
+    first = _marked(deeper.where("depth < 2"), often)
+    late = common.stash(_short(again, measure, 0).unionByName(_short(first, measure, 1)).distinct(), "late")
+    rows = common.stash(_deeper(docs, nodes, late, measure, k, 2), "deep")
+    deeper = _marked(common.stash(deeper.join(late, "node", "left_anti").unionByName(rows), "deeper"), often)
+    plain = again.join(late, "node", "left_anti")
     # Tokens that only one region has may still meet the further tokens of a deeper set.
     met = post.join(deeper.select("token").distinct(), "token", "left_semi").join(deeper.select("node").distinct(), "node", "left_anti")
-    met = met.join(counts, "token", "left_anti").select("token", "node", "n", "rank", F.lit(False).alias("often"), F.lit(0).alias("depth"))
+    met = _marked(met.join(counts, "token", "left_anti").select("token", "node", "n", "rank", F.lit(0).alias("depth")), often)
     every = plain.unionByName(met).unionByName(deeper)
     grouped = every.groupBy("node", "n", "depth").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "often"))).alias("t"))
     scope = _scope(measure)
@@ -187,8 +189,33 @@ def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rar
         "node", "n", scope("n", "depth").alias("scope"), F.transform("t", lambda x: x["rank"]).alias("ranks"),
         F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform("t", lambda x: x["often"]).alias("frequent"),
     )
-    rows = ready.mapInPandas(_signature_rows(measure), "node long, n long, full boolean, sigs array<long>")
-    return common.stash(rows.select(F.explode("sigs").alias("sig"), "node", "n", "full"), "signatures")
+    rows = ready.mapInPandas(_signature_rows(measure), "node long, n long, full boolean, rare long, singles array<long>, pairs array<long>")
+
+    def tagged(name: str, single: bool):
+        return F.transform(name, lambda x: F.struct(x.alias("sig"), F.lit(single).alias("single")))
+
+    each = rows.select("node", "n", "full", "rare", F.explode(F.concat(tagged("singles", True), tagged("pairs", False))).alias("s"))
+    return common.stash(each.select("s.sig", "s.single", "node", "n", "full", "rare"), "signatures")
+
+
+def _deeper(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, measure: Measure, k: int, depth: int) -> DataFrame:
+    """token, node, n, rank, depth: the regions of the wanted nodes at a depth, from their texts."""
+    rows = _only(docs, _ids(nodes, wanted)).mapInArrow(
+        _token_rows(k, _region_of(measure, depth), [pa.int64(), pa.int64(), _LONGS]), "node long, n long, region array<long>"
+    ).dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
+    return rows.select("node", "n", F.posexplode("region").alias("rank", "token")).select("token", "node", "n", "rank", F.lit(depth).alias("depth"))
+
+
+def _marked(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """token, node, n, rank, often, depth."""
+    found = rows.join(often.withColumn("often", F.lit(True)), "token", "left")
+    return found.select("token", "node", "n", "rank", F.coalesce("often", F.lit(False)).alias("often"), "depth")
+
+
+def _short(marked: DataFrame, measure: Measure, depth: int) -> DataFrame:
+    """node: those of this depth whose region has too few rare tokens and is not the whole set."""
+    mine = marked if "depth" not in marked.columns else marked.where(F.col("depth") == depth)
+    return mine.groupBy("node", "n").agg(F.count_if("often").alias("f")).mapInPandas(_lacking(measure, depth), "node long")
 
 
 def _scope(measure: Measure):
@@ -203,7 +230,7 @@ def _lacking(measure: Measure, depth: int):
     def run(batches):
         for pdf in batches:
             bad = [measure.region(n, depth) < n and measure.region(n, depth) - f < measure.need(n) for n, f in zip(pdf["n"], pdf["f"], strict=True)]
-            yield pd.DataFrame({"node": pdf["node"][bad], "depth": depth})
+            yield pd.DataFrame({"node": pdf["node"][bad]})
 
     return run
 
@@ -222,56 +249,64 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, measure: Meas
     pairs = common.stash(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _only(docs, _ids(nodes, wanted)).mapInArrow(
-        _token_rows(k, lambda key, t: (_node(t), t.tobytes()), [pa.int64(), pa.binary()]), "node long, tokens binary"
+        _token_rows(k, lambda key, t: (_node(t), t.view(np.int64)), [pa.int64(), _LONGS]), "node long, tokens array<long>"
     ).dropDuplicates(["node"])
     sets = common.stash(sets, "sets")
-    num, den = measure.num, measure.den
-
-    def run(batches):
-        for pdf in batches:
-            keep, hit = [], []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-                hit.append(both)
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "common": hit})[keep]
-
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return common.stash(pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long, common long"), "links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return common.stash(both.where(measure.den * F.col("common") >= measure.num * (F.col("total") - F.col("common"))).select("a", "b", "common"), "links")
 
 
-def _enough(cnt, n1, n2, full1, full2, measure: Measure):
-    """Whether two nodes share enough signatures, and can link by size."""
-    small, large = F.least(n1, n2), F.greatest(n1, n2)
+def _enough(c, singles, p, q, measure: Measure):
+    """Whether nodes p and q, structs of n, full and rare, that share c signatures, singles of them tokens, can link.
+
+    A set that is not full has indexed all its rare tokens, so two of these lack in one another what they do not share."""
+    small, large = F.least(p["n"], q["n"]), F.greatest(p["n"], q["n"])
     least = F.least(F.lit(measure.extra), F.ceil(F.lit(measure.num) * small / measure.den))
-    return (measure.den * small >= measure.num * large) & (F.when(full1 | full2, cnt >= least).otherwise(cnt >= 1))
+    most = F.least(p["n"] - p["rare"] + singles, q["n"] - q["rare"] + singles)  # of the intersection
+    reach = measure.den * most >= measure.num * (p["n"] + q["n"] - most)
+    return (measure.den * small >= measure.num * large) & F.when(p["full"] | q["full"], singles >= least).otherwise((c >= 1) & reach)
+
+
+def _side(name: str = ""):
+    return F.struct(*[F.col(name + c) for c in ("node", "n", "full", "rare")])
 
 
 def _hub_pairs(sigs: DataFrame, measure: Measure) -> DataFrame:
+    """Each node with the hub of each of its signatures: the set with the smallest share of rare tokens, which of a
+    group of copies is the one nearest to all others."""
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(measure.den / measure.num + 1e-9))).alias("step")
-    rows = sigs.select("*", step)
-    hubs = rows.groupBy("sig", "step").agg(F.min(F.struct("node", "n", "full")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
-    met = rows.join(hubs, ["sig", "step"]).where("node <> hub.node")
-    met = met.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("full").alias("full"), F.first("hub").alias("hub"))
-    return met.where(_enough(F.col("c"), F.col("n"), F.col("hub.n"), F.col("full"), F.col("hub.full"), measure)).select(F.col("node").alias("a"), "b")
+    rows = sigs.select("*", step, (F.col("rare") / F.col("n")).alias("share"))
+    hubs = rows.groupBy("sig", "single", "step").agg(F.min(F.struct("share", "node", "n", "full", "rare")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
+    met = rows.join(hubs, ["sig", "single", "step"]).where("node <> hub.node")
+    met = met.groupBy(_side().alias("p"), _side("hub.").alias("q")).agg(F.count("*").alias("c"), F.count_if("single").alias("singles"))
+    return met.where(_enough(F.col("c"), F.col("singles"), F.col("p"), F.col("q"), measure)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
 def _cross_pairs(sigs: DataFrame, comps: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs between components that signatures still hold together.
+
+    Two sets that are not full and share no rare token can link only if the rare tokens of both are few. Those with
+    more than half of what a pair may have ("heavy") therefore need not meet one another by frequent tokens."""
     rows = sigs.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = rows.groupBy("sig", "component").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("sig").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = common.stash(rows.join(mixed, "sig").select("sig", "node", "n", "full", "component", F.col("main.component").alias("main")), "mixed")
+    parts = rows.groupBy("sig", "single", "component").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("sig", "single").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    heavy = ~F.col("single") & (2 * measure.num * F.col("rare") > (measure.den - measure.num) * F.col("n"))
+    mixed = rows.join(mixed, ["sig", "single"]).select("sig", "single", "node", "n", "full", "rare", "component", F.col("main.component").alias("main"), heavy.alias("heavy"))
+    mixed = common.stash(mixed, "mixed")
     s, o = mixed.where("component <> main").alias("s"), mixed.alias("o")
     fits = (measure.den * F.least("s.n", "o.n")) >= (measure.num * F.greatest("s.n", "o.n"))
+    few = F.col("s.single") | (measure.num * (F.col("s.rare") + F.col("o.rare")) <= (measure.den - measure.num) * F.least("s.n", "o.n"))
     once = (F.col("o.component") == F.col("o.main")) | (F.col("s.node") < F.col("o.node"))
-    met = s.join(o, F.col("s.sig") == F.col("o.sig")).where((F.col("s.component") != F.col("o.component")) & once & fits)
-    first = F.when(F.col("s.node") < F.col("o.node"), F.struct("s.node", "s.n", "s.full")).otherwise(F.struct("o.node", "o.n", "o.full"))
-    second = F.when(F.col("s.node") < F.col("o.node"), F.struct("o.node", "o.n", "o.full")).otherwise(F.struct("s.node", "s.n", "s.full"))
-    met = met.select(first.alias("p"), second.alias("q")).groupBy("p", "q").agg(F.count("*").alias("c"))
-    return met.where(_enough(F.col("c"), F.col("p.n"), F.col("q.n"), F.col("p.full"), F.col("q.full"), measure)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    same = (F.col("s.sig") == F.col("o.sig")) & (F.col("s.single") == F.col("o.single"))
+    good = same & (F.col("s.component") != F.col("o.component")) & once & fits & few
+    first = F.when(F.col("s.node") < F.col("o.node"), _side("s.")).otherwise(_side("o."))
+    second = F.when(F.col("s.node") < F.col("o.node"), _side("o.")).otherwise(_side("s."))
+    light = s.join(o.where("NOT heavy"), good).select("s.single", first.alias("p"), second.alias("q"))
+    other = s.where("NOT heavy").join(o.where("heavy"), good).select("s.single", first.alias("p"), second.alias("q"))
+    met = light.unionByName(other).groupBy("p", "q").agg(F.count("*").alias("c"), F.count_if("single").alias("singles"))
+    return met.where(_enough(F.col("c"), F.col("singles"), F.col("p"), F.col("q"), measure)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare_max: int = 8, extra: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
