@@ -146,10 +146,11 @@ def solve(poses: np.ndarray, a, b, z, loop, rounds: int = 15, huber: float = 0.3
         step[0] = 0
         biggest = np.abs(step).max() if n else 0.0
         tried = _moved(poses, step * min(1.0, most / max(biggest, 1e-12)))
-        if cost_of(_residuals(tried, a, b, z_inverse)) > cost:
+        reached = cost_of(_residuals(tried, a, b, z_inverse))
+        if reached > cost:
             break
         poses = tried
-        if biggest < 1e-7:
+        if biggest < 1e-7 or cost - reached <= 1e-8 * cost:
             break
     return poses, start or 0.0, cost_of(_residuals(poses, a, b, z_inverse)) if len(a) else 0.0
 
