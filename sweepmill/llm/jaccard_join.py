@@ -57,7 +57,7 @@ class Measure:
         return min(n, (max(32, need + need // 5 + 16), 4 * need + 64, n)[depth])
 
     def classes(self, n: int) -> int:
-        return 1 << max(0, ((self.lacks(n) + 1) // 4).bit_length() - 1)
+        return 1 << max(0, (self.lacks(n) + 1).bit_length() - 1)
 
     def steps(self, n: int) -> list[int]:
         """J of this size and of all larger sizes that can link with it."""
@@ -175,7 +175,9 @@ def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rar
     # Tokens that turned out frequent can leave further nodes without enough rare ones; these take their whole sets.
     again = _marked(shared.drop("often").join(deeper.select("node").distinct(), "node", "left_anti").withColumn("depth", F.lit(0)), often)
     first = _marked(deeper.where("depth < 2"), often)
-    late = common.stash(_short(again, measure, 0).unionByName(_short(first, measure, 1)).distinct(), "late")
+    # Whatever of a region is frequent by now counts, also tokens that no other region has. Without any, none is short.
+    hits = post.join(often, "token", "left_semi").join(deeper.select("node").distinct(), "node", "left_anti").withColumn("often", F.lit(True))
+    late = common.stash(_short(hits, measure, 0).unionByName(_short(first, measure, 1)).distinct(), "late")
     rows = common.stash(_deeper(docs, nodes, late, measure, k, 2), "deep")
     deeper = _marked(common.stash(deeper.join(late, "node", "left_anti").unionByName(rows), "deeper"), often)
     plain = again.join(late, "node", "left_anti")
@@ -297,7 +299,8 @@ def _cross_pairs(sigs: DataFrame, comps: DataFrame, measure: Measure) -> DataFra
     mixed = common.stash(mixed, "mixed")
     s, o = mixed.where("component <> main").alias("s"), mixed.alias("o")
     fits = (measure.den * F.least("s.n", "o.n")) >= (measure.num * F.greatest("s.n", "o.n"))
-    few = F.col("s.single") | (measure.num * (F.col("s.rare") + F.col("o.rare")) <= (measure.den - measure.num) * F.least("s.n", "o.n"))
+    most = F.least(F.col("s.n") - F.col("s.rare"), F.col("o.n") - F.col("o.rare"))  # of the intersection, without a rare token
+    few = F.col("s.single") | ((measure.den + measure.num) * most >= measure.num * (F.col("s.n") + F.col("o.n")))
     once = (F.col("o.component") == F.col("o.main")) | (F.col("s.node") < F.col("o.node"))
     same = (F.col("s.sig") == F.col("o.sig")) & (F.col("s.single") == F.col("o.single"))
     good = same & (F.col("s.component") != F.col("o.component")) & once & fits & few
