@@ -155,20 +155,26 @@ def _signature_rows(measure: Measure):
 
 def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rare_max: int) -> DataFrame:
     """sig, node, n, full of all nodes that share a token with another in their regions."""
+    made = []
+
+    def held(df: DataFrame, label: str) -> DataFrame:
+        made.append(common.stash(df, label))
+        return made[-1]
+
     post = nodes.select("node", "n", F.posexplode("region").alias("rank", "token"))
     counts = post.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
-    shared = common.stash(post.join(counts, "token").select("token", "node", "n", "rank", (F.col("sets") > rare_max).alias("often")), "shared")
-    often = common.stash(shared.where("often").select("token").distinct(), "often")
+    shared = held(post.join(counts, "token").select("token", "node", "n", "rank", (F.col("sets") > rare_max).alias("often")), "shared")
+    often = held(shared.where("often").select("token").distinct(), "often")
     # Nodes whose region has too few rare tokens look further into their sets. There they meet tokens that no region has
     # counted, so these are counted among the deeper rows; what is frequent anywhere is frequent for all.
-    kept = common.stash(_short(shared, measure, 0), "lacking")
+    kept = held(_short(shared, measure, 0), "lacking")
     deeper = None
     for depth in (1, 2):
-        rows = common.stash(_deeper(docs, nodes, kept, measure, k, depth), f"deep{depth}")
+        rows = held(_deeper(docs, nodes, kept, measure, k, depth), f"deep{depth}")
         new = rows.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > rare_max).select("token")
-        often = common.stash(often.unionByName(new).distinct(), "often")
+        often = held(often.unionByName(new).distinct(), "often")
         marked = _marked(rows, often)
-        kept = common.stash(_short(marked, measure, depth), "lacking")
+        kept = held(_short(marked, measure, depth), "lacking")
         deeper = rows if deeper is None else deeper.join(rows.select("node").distinct(), "node", "left_anti").unionByName(rows)
         if not kept.take(1):
             break
@@ -177,9 +183,9 @@ def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rar
     first = _marked(deeper.where("depth < 2"), often)
     # Whatever of a region is frequent by now counts, also tokens that no other region has. Without any, none is short.
     hits = post.join(often, "token", "left_semi").join(deeper.select("node").distinct(), "node", "left_anti").withColumn("often", F.lit(True))
-    late = common.stash(_short(hits, measure, 0).unionByName(_short(first, measure, 1)).distinct(), "late")
-    rows = common.stash(_deeper(docs, nodes, late, measure, k, 2), "deep")
-    deeper = _marked(common.stash(deeper.join(late, "node", "left_anti").unionByName(rows), "deeper"), often)
+    late = held(_short(hits, measure, 0).unionByName(_short(first, measure, 1)).distinct(), "late")
+    rows = held(_deeper(docs, nodes, late, measure, k, 2), "deep")
+    deeper = _marked(held(deeper.join(late, "node", "left_anti").unionByName(rows), "deeper"), often)
     plain = again.join(late, "node", "left_anti")
     # Tokens that only one region has may still meet the further tokens of a deeper set.
     met = post.join(deeper.select("token").distinct(), "token", "left_semi").join(deeper.select("node").distinct(), "node", "left_anti")
@@ -197,7 +203,10 @@ def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rar
         return F.transform(name, lambda x: F.struct(x.alias("sig"), F.lit(single).alias("single")))
 
     each = rows.select("node", "n", "full", "rare", F.explode(F.concat(tagged("singles", True), tagged("pairs", False))).alias("s"))
-    return common.stash(each.select("s.sig", "s.single", "node", "n", "full", "rare"), "signatures")
+    out = common.stash(each.select("s.sig", "s.single", "node", "n", "full", "rare"), "signatures")
+    for table in made:
+        common.unstash(table)
+    return out
 
 
 def _deeper(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, measure: Measure, k: int, depth: int) -> DataFrame:
@@ -257,7 +266,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, measure: Meas
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return common.stash(both.where(measure.den * F.col("common") >= measure.num * (F.col("total") - F.col("common"))).select("a", "b", "common"), "links")
+    links = common.stash(both.where(measure.den * F.col("common") >= measure.num * (F.col("total") - F.col("common"))).select("a", "b", "common"), "links")
+    common.unstash(pairs)
+    common.unstash(sets)
+    return links
 
 
 def _enough(c, singles, p, q, measure: Measure):
