@@ -9,9 +9,12 @@ Edges of at least the threshold, measured in double precision, join nodes to com
 edges is saturated; it is enlarged to its node's whole component, held not as ids but as blocks of vectors with a
 centre and a radius. Two blocks so close that the angles prove every pair, or so far that they rule out every pair,
 are counted as a whole; other pairs of blocks are compared vector by vector. So n_links is exact within a component,
-while rows stay in proportion to vectors and blocks, and what NN-descent may miss is a component's last link to
-another. Recall is audited: for a fixed number of vectors all links are counted by brute force against all vectors; if
-the share found is below `recall`, lists are doubled and refined further.
+while rows stay in proportion to vectors and blocks. A saturated list may also hide links to other components, so the
+saturated nodes of each component are packed to blocks, whose centres look for blocks of other components by
+NN-descent in turn; close blocks are compared vector by vector, joined components are searched again, and a block whose
+list does not prove that it ends beyond reach is held against all blocks. Recall is audited: for a fixed number of
+vectors all links are counted by brute force against all vectors; if the share found is below `recall`, lists are
+doubled and refined further, three times at most; if it still is, all vectors are compared with all (quadratic, exact).
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component have no links and are their
 own component, kept; equal vectors are one node of several rows and link (cosine 1); vectors of different length do
@@ -80,11 +83,12 @@ def _matrix(column, dtype) -> np.ndarray:
 
 
 def _best_in_groups(most: int):
-    """For each row of a group the `most` nearest others of the group: node, nbr, sim."""
+    """For each row of a group the `most` nearest others of the group, none of its own team: node, nbr, sim."""
 
     def work(cols, at):
         nodes, vectors = cols["node"].to_numpy(), cols["vec"].to_pylist()
         fresh = cols["fresh"].to_numpy(zero_copy_only=False) if "fresh" in cols else None
+        team = cols["team"].to_numpy() if "team" in cols else None
         a, b, s = [], [], []
         for begin, end in zip(at[:-1], at[1:], strict=True):
             if end - begin < 2:
@@ -93,6 +97,8 @@ def _best_in_groups(most: int):
             own = nodes[begin:end]
             sims = x @ x.T
             sims[own[:, None] == own[None, :]] = -2
+            if team is not None:
+                sims[team[begin:end, None] == team[None, begin:end]] = -2
             if fresh is not None:
                 new = fresh[begin:end]
                 sims[~(new[:, None] | new[None, :])] = -2
@@ -119,6 +125,10 @@ def _top(edges: DataFrame, k: int, by: str = "node") -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _held(vectors: DataFrame) -> list[str]:
+    return [c for c in ("node", "vec", "team") if c in vectors.columns]
+
+
 def _first_lists(vectors: DataFrame, count: int, k: int, tables: int, block: int, first: int) -> DataFrame:
     """Lists from buckets of random hyperplanes; a bucket of more than `block` nodes is dealt into several by hash."""
     bits = max(0, math.ceil(math.log2(max(1, count) / (block / 2))))
@@ -149,7 +159,8 @@ def _first_lists(vectors: DataFrame, count: int, k: int, tables: int, block: int
     rows = common.stash(coded_rows.select("node", F.posexplode("codes").alias("t", "code")), "codes")
     sizes = rows.groupBy("t", "code").agg(F.count("*").alias("m"))
     dealt = rows.join(sizes, ["t", "code"]).select("node", F.xxhash64("t", "code", F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("m") / block).cast("long"))).alias("bucket"))
-    grouped = dealt.join(vectors.select("node", "vec"), "node").repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", "node", "vec")
+    held = _held(vectors)
+    grouped = dealt.join(vectors.select(held), "node").repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", *held)
     edges = grouped.mapInArrow(_segments("bucket", _best_in_groups(k), ["node", "nbr", "sim"], _EDGE_TYPES), _EDGE)
     return _top(edges.dropDuplicates(["node", "nbr"]), k)
 
@@ -161,8 +172,9 @@ def _round(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     around = forward.unionByName(backward).groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
     # A node whose neighbourhood brought nothing new has been joined before.
     live = around.where("fresh").select("centre").distinct()
-    grouped = around.join(live, "centre", "left_semi").join(vectors.select("node", "vec"), "node")
-    grouped = grouped.repartition("centre").sortWithinPartitions("centre", "node").select("centre", "node", "vec", "fresh")
+    held = _held(vectors)
+    grouped = around.join(live, "centre", "left_semi").join(vectors.select(held), "node")
+    grouped = grouped.repartition("centre").sortWithinPartitions("centre", "node").select("centre", *held, "fresh")
     met = grouped.mapInArrow(_segments("centre", _best_in_groups(max(2, k // 2)), ["node", "nbr", "sim"], _EDGE_TYPES), _EDGE)
     both = lists.select("node", "nbr", "sim", F.lit(False).alias("fresh")).unionByName(met.withColumn("fresh", F.lit(True)))
     return _top(both.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")), k)
@@ -245,6 +257,115 @@ def _component_links(comps: DataFrame, vectors: DataFrame, threshold: float, blo
     return inside.unionByName(whole).unionByName(across).groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
+def _merged(comps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """comps after components a and b of each pair are one; a node that is in no component is its own."""
+    roots = graph.components(pairs)
+    known = comps.join(roots.select(F.col("node").alias("component"), F.col("component").alias("_new")), "component", "left")
+    known = known.select("node", F.coalesce("_new", "component").alias("component"))
+    return common.stash(known.unionByName(roots.join(comps, "node", "left_anti").select("node", "component")), "merged")
+
+
+def _join_saturated(comps: DataFrame, lists: DataFrame, vectors: DataFrame, threshold: float, k: int, tables: int, rounds: int, block: int) -> DataFrame:
+    """comps, joined where nodes whose lists hold nothing but edges have links to other components."""
+    full = lists.groupBy("node").agg(F.count("*").alias("m"), F.min("sim").alias("sim")).where((F.col("m") >= k) & (F.col("sim") >= threshold - _SLACK))
+    member = common.stash(full.select("node").join(comps, "node"), "saturated")
+    if member.select("component").distinct().limit(2).count() < 2:
+        return comps
+    sizes = member.groupBy("component").agg(F.count("*").alias("m"))
+    member = member.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / 256).cast("long")))
+    member = member.join(vectors.select("node", "unit"), "node").withColumn("place", F.xxhash64("component", "part"))
+
+    def pack(cols, at):
+        comp, part, units, out = cols["component"].to_numpy(), cols["part"].to_numpy(), cols["unit"].to_pylist(), []
+        for begin, end in zip(at[:-1], at[1:], strict=True):
+            x = np.frombuffer(b"".join(units[begin:end])).reshape(end - begin, -1)
+            centre = x.mean(axis=0)
+            centre = centre / max(np.linalg.norm(centre), 1e-300)
+            out.append((comp[begin], part[begin], centre.tobytes(), centre.astype(np.float32).tobytes(), float(_angle(x @ centre).max()), x.tobytes()))
+        return list(zip(*out, strict=True)) if out else [[]] * 6
+
+    names, types = ["origin", "part", "centre", "vec", "radius", "units"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary()]
+    rows = member.repartition("place").sortWithinPartitions("place", "node").select("place", "component", "part", "unit")
+    blocks = rows.mapInArrow(_segments("place", pack, names, types), "origin long, part long, centre binary, vec binary, radius double, units binary")
+    blocks = common.stash(blocks.withColumn("node", F.xxhash64("origin", "part")), "blocks")
+    limit = math.acos(threshold)
+
+    @F.pandas_udf("boolean")
+    def near(c1: pd.Series, c2: pd.Series, r1: pd.Series, r2: pd.Series) -> pd.Series:
+        angle = np.array([_angle(float(np.frombuffer(a) @ np.frombuffer(b))) if len(a) == len(b) else np.inf for a, b in zip(c1, c2, strict=True)])
+        return pd.Series(angle - r1.to_numpy() - r2.to_numpy() <= limit + 1e-7)
+
+    def linked(batches):
+        for pdf in batches:
+            ok = []
+            for x, y, c in zip(pdf["x"], pdf["y"], pdf["size"], strict=True):
+                ok.append(bool((np.frombuffer(x).reshape(-1, c) @ np.frombuffer(y).reshape(-1, c).T >= threshold).any()))
+            yield pdf.loc[ok, ["a", "b"]]
+
+    def joined(asked: DataFrame, teams: DataFrame) -> DataFrame:
+        """Components that a link joins, of pairs of blocks (node, nbr)."""
+        brief = teams.select("node", "team", "centre", "radius")
+        other = brief.select(F.col("node").alias("nbr"), F.col("team").alias("team2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"))
+        close = asked.join(brief, "node").join(other, "nbr").where("team <> team2").where(near("centre", "centre2", "radius", "radius2"))
+        close = close.select(F.least("node", "nbr").alias("node"), F.greatest("node", "nbr").alias("nbr")).distinct()
+        left = teams.select("node", F.col("team").alias("a"), F.col("units").alias("x"), (F.length("centre") / 8).cast("int").alias("size"))
+        right = teams.select(F.col("node").alias("nbr"), F.col("team").alias("b"), F.col("units").alias("y"))
+        return common.stash(close.join(left, "node").join(right, "nbr").mapInPandas(linked, "a long, b long").distinct(), "joined")
+
+    while True:
+        now = comps.select(F.col("node").alias("origin"), F.col("component").alias("team"))
+        teams = common.stash(blocks.join(now, "origin"), "teams")
+        n, widest = teams.agg(F.count("*"), F.max("radius")).first()
+        found = common.stash(_first_lists(teams, n, k, tables, block, 0).withColumn("fresh", F.lit(True)), "lists")
+        for _ in range(rounds):
+            if not found.where("fresh").take(1):
+                break
+            found = common.stash(_round(found, teams, k), "lists")
+        pairs = joined(found.select("node", "nbr"), teams)
+        if pairs.take(1):
+            comps = _merged(comps, pairs)
+            continue
+        # What a list that ends within reach (or too early) leaves out is looked for among all blocks.
+        ends = found.groupBy("node").agg(F.count("*").alias("m"), F.min("sim").alias("sim"))
+        same = teams.groupBy("team").agg(F.count("*").alias("own"))
+        reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sim") + _SLACK))) - F.col("radius") - widest > limit
+        proven = F.when(F.col("m") >= k, reach).otherwise(F.coalesce("m", F.lit(0)) >= n - F.col("own"))
+        rest = teams.join(same, "team").join(ends, "node", "left").where(~proven).select("node")
+        pairs = joined(rest.crossJoin(teams.select(F.col("node").alias("nbr"))), teams)
+        return _merged(comps, pairs) if pairs.take(1) else comps
+
+
+def _compare_all(comps: DataFrame, vectors: DataFrame, threshold: float, count: int, chunk: int = 2048) -> DataFrame:
+    """comps after every vector was compared with every other."""
+    parts = max(1, math.ceil(count / chunk))
+    rows = vectors.select("node", "unit").join(comps, "node", "left").select("unit", F.coalesce("component", "node").alias("component"), F.length("unit").alias("size"), F.pmod(F.xxhash64("node", F.lit("all")), F.lit(parts)).alias("part"))
+
+    def pack(cols, at):
+        comp, size, part, units, out = cols["component"].to_numpy(), cols["size"].to_numpy(), cols["part"].to_numpy(), cols["unit"].to_pylist(), []
+        for begin, end in zip(at[:-1], at[1:], strict=True):
+            out.append((size[begin], part[begin], comp[begin:end].astype(np.int64), b"".join(units[begin:end])))
+        return list(zip(*out, strict=True)) if out else [[]] * 4
+
+    names, types = ["size", "part", "comps", "units"], [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    placed = rows.withColumn("place", F.xxhash64("size", "part")).repartition("place").sortWithinPartitions("place").select("place", "size", "part", "component", "unit")
+    chunks = common.stash(placed.mapInArrow(_segments("place", pack, names, types), "size int, part long, comps array<long>, units binary"), "chunks")
+    other = chunks.select("size", F.col("part").alias("part2"), F.col("comps").alias("comps2"), F.col("units").alias("units2"))
+    asked = chunks.select("size", "part").join(chunks.select("size", F.col("part").alias("part2")), "size").where("part <= part2")
+    asked = asked.join(chunks, ["size", "part"]).join(other, ["size", "part2"])
+
+    def compare(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x, y = np.frombuffer(row.units).reshape(len(row.comps), -1), np.frombuffer(row.units2).reshape(len(row.comps2), -1)
+                a, b = np.asarray(row.comps), np.asarray(row.comps2)
+                i, j = np.nonzero((x @ y.T >= threshold) & (a[:, None] != b[None, :]))
+                pairs = np.unique(np.stack([a[i], b[j]], axis=1), axis=0)
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    pairs = common.stash(asked.select("comps", "comps2", "units", "units2").mapInPandas(compare, "a long, b long").distinct(), "pairs")
+    return _merged(comps, pairs) if pairs.take(1) else comps
+
+
 def _audit(vectors: DataFrame, linked: DataFrame, threshold: float, audited: int) -> float:
     """The share of the links of a fixed number of nodes that was found."""
     chosen = vectors.select("node", "unit", "rows").orderBy(F.xxhash64("node", F.lit("audit"))).limit(audited)
@@ -300,9 +421,15 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, k: int = 8, tables:
             if not lists.where("fresh").take(1):
                 break
         comps = graph.components(_exact_edges(lists, vectors, threshold))
+        comps = _join_saturated(comps, lists, vectors, threshold, k, tables, rounds, block)
         linked = common.stash(_component_links(comps, vectors, threshold, 256), "linked")
         share = _audit(vectors, linked, threshold, audited)
-        if share >= recall or attempt == 3:
+        if share >= recall:
+            break
+        if attempt == 3:
+            comps = _compare_all(comps, vectors, threshold, count)
+            linked = common.stash(_component_links(comps, vectors, threshold, 256), "linked")
+            share = _audit(vectors, linked, threshold, audited)
             break
         attempt, k = attempt + 1, 2 * k
     named = vectors.select("node", "root", "rows").join(comps, "node", "left").join(linked, "node", "left")

@@ -143,3 +143,23 @@ def test_vectors_of_the_table(spark, sf):
     want = brute.vector_links(rows, 0.95)
     assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
     assert np.mean([got[i] == want[i] for i in want]) > 0.98
+
+
+def test_saturated_clusters_are_joined(spark):
+    rng = np.random.default_rng(8)
+    far = [1.0, (1 / 0.966**2 - 1) ** 0.5] + [0.0] * 22
+    rows = [(i, (np.array(([1.0] + [0.0] * 23, far)[i % 2]) + rng.normal(size=24) * 0.001).tolist()) for i in range(200)]
+    rows += [(200 + i, rng.normal(size=24).tolist()) for i in range(20)]
+    got = {r["vec_id"]: r for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0).collect()}
+    want = brute.vector_links(rows, 0.95)
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
+    assert sum(r["kept"] for r in got.values()) == 21 and got[0]["n_links"] == 199
+
+
+def test_vectors_are_compared_exactly_at_last(spark, monkeypatch):
+    # Lists find nothing, so that only the exact comparison is left.
+    monkeypatch.setattr(vector_dedup, "_exact_edges", lambda lists, vectors, threshold: lists.limit(0).selectExpr("node AS a", "nbr AS b"))
+    rows = [r[:2] for r in vectors(groups=12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["audit_recall"]) for r in vector_dedup.near_vectors(df, k=2, tables=1, rounds=0).collect()}
+    assert got == {i: (*x, 1.0) for i, x in brute.vector_links(rows, 0.95).items()}
