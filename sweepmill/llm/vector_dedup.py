@@ -13,8 +13,8 @@ while rows stay in proportion to vectors and blocks. A saturated list may also h
 saturated nodes of each component are packed to blocks, whose centres look for blocks of other components by
 NN-descent in turn; close blocks are compared vector by vector, joined components are searched again, and a block whose
 list does not prove that it ends beyond reach is held against all blocks. Recall is audited: for a fixed number of
-vectors all links are counted by brute force against all vectors; if the share found is below `recall`, lists are
-doubled and refined further, three times at most; if it still is, all vectors are compared with all (quadratic, exact).
+vectors all links are counted by brute force against all vectors, its own rows left out; if the mean share found of a vector that has links
+(or of those in groups of like size) is below `recall`, lists are doubled and refined further, three times at most; if it still is, all vectors are compared with all (quadratic, exact).
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component have no links and are their
 own component, kept; equal vectors are one node of several rows and link (cosine 1); vectors of different length do
@@ -366,10 +366,29 @@ def _compare_all(comps: DataFrame, vectors: DataFrame, threshold: float, count:
     return _merged(comps, pairs) if pairs.take(1) else comps
 
 
-def _audit(vectors: DataFrame, linked: DataFrame, threshold: float, audited: int) -> float:
-    """The share of the links of a fixed number of nodes that was found."""
+def _recall(counts: list[tuple[int, int]], least: int = 64) -> float:
+    """Of (found, true) links of audited vectors: the mean share found, each vector that has links counting once, or
+    that of a class of groups by size (1, 2 to 7, 8 to 31, ... links) with at least `least` such vectors, if lower."""
+    classes: dict[int, list[float]] = {}
+    for found, true in counts:
+        if true > 0:
+            classes.setdefault(true.bit_length() // 2, []).append(min(found, true) / true)
+    shares = [x for c in classes.values() for x in c]
+    return min((float(np.mean(c)) for c in [shares, *classes.values()] if c and (c is shares or len(c) >= least)), default=1.0)
+
+
+def _audit(vectors: DataFrame, linked: DataFrame, threshold: float, audited: int, enough: int = 256) -> float:
+    """The recall of links, without a vector's own rows, of a fixed number of nodes; of eight times as many if fewer than
+    `enough` of them have links."""
+    share, counts = _audited(vectors, linked, threshold, audited)
+    if sum(true > 0 for _, true in counts) < enough and len(counts) == audited:
+        share, counts = _audited(vectors, linked, threshold, 8 * audited)
+    return share
+
+
+def _audited(vectors: DataFrame, linked: DataFrame, threshold: float, audited: int) -> tuple[float, list[tuple[int, int]]]:
     chosen = vectors.select("node", "unit", "rows").orderBy(F.xxhash64("node", F.lit("audit"))).limit(audited)
-    rows = chosen.join(linked, "node", "left").select("node", "unit", F.coalesce("linked", "rows").alias("found")).collect()
+    rows = chosen.join(linked, "node", "left").select("node", "unit", "rows", F.coalesce("linked", "rows").alias("found")).collect()
     held = vectors.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["unit"])) for r in rows])
 
     def count(batches):
@@ -382,16 +401,18 @@ def _audit(vectors: DataFrame, linked: DataFrame, threshold: float, audited: int
             size = np.array([len(u) for u in units])
             for length, asked in groups.items():
                 mine = np.flatnonzero(size == length)
-                if len(mine):
-                    x = np.frombuffer(b"".join(units[i] for i in mine)).reshape(len(mine), -1)
-                    hits = (np.stack([v for _, v in asked]) @ x.T >= threshold) @ weight[mine]
-                    for (node, _), n in zip(asked, hits, strict=True):
-                        total[node] = total.get(node, 0) + int(n)
+                for at in range(0, len(mine), 1024):
+                    some = mine[at : at + 1024]
+                    x = np.frombuffer(b"".join(units[i] for i in some)).reshape(len(some), -1)
+                    hits = (np.stack([v for _, v in asked]) @ x.T >= threshold) @ weight[some]
+                    for (node, _), n in zip(asked, hits.tolist(), strict=True):
+                        total[node] = total.get(node, 0) + n
         yield pd.DataFrame({"node": list(total), "n": list(total.values())}, dtype="int64")
 
     true = {r["node"]: r["n"] for r in vectors.select("unit", "rows").mapInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
-    want = sum(max(1, true.get(r["node"], 0)) for r in rows)
-    return sum(min(r["found"], max(1, true.get(r["node"], 0))) for r in rows) / want if want else 1.0
+    # Rounding may put a vector's cosine with itself below a threshold of 1.
+    counts = [(r["found"] - r["rows"], max(0, true.get(r["node"], 0) - r["rows"])) for r in rows]
+    return _recall(counts), counts
 
 
 def near_vectors(table: DataFrame, threshold: float = 0.95, k: int = 8, tables: int = 8, rounds: int = 3, block: int = 64, recall: float = 0.98, audited: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

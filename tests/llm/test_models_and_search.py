@@ -163,3 +163,22 @@ def test_vectors_are_compared_exactly_at_last(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["audit_recall"]) for r in vector_dedup.near_vectors(df, k=2, tables=1, rounds=0).collect()}
     assert got == {i: (*x, 1.0) for i, x in brute.vector_links(rows, 0.95).items()}
+
+
+def test_audit_sees_lost_links_of_small_groups(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=24)
+    units = [base + rng.normal(size=24) * 0.01 for _ in range(300)]
+    for _ in range(100):
+        x = rng.normal(size=24)
+        units += [x, x + rng.normal(size=24) * 0.01]
+    units += [rng.normal(size=24) for _ in range(400)]
+    rows = [(i, (x / np.linalg.norm(x)).tobytes(), 3) for i, x in enumerate(units)]
+    nodes = spark.createDataFrame(rows, "node long, unit binary, rows long")
+    large = [(i, 900) for i in range(300)]
+    whole = spark.createDataFrame(large + [(i, 6) for i in range(300, 500)], "node long, linked long")
+    assert vector_dedup._audit(nodes, whole, 0.95, 100) == 1.0
+    # All pairs are lost, and then a third of them.
+    assert vector_dedup._audit(nodes, spark.createDataFrame(large, "node long, linked long"), 0.95, 100) == 0.0
+    some = spark.createDataFrame(large + [(i, 6) for i in range(300, 432)], "node long, linked long")
+    assert 0.5 < vector_dedup._audit(nodes, some, 0.95, 100) < 0.8
