@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import series
 from ..sources import files
 
 STATE = "n long, length double, x double, y double, t long"
 RESULT = "capture long, n long, length double, x double, y double, t long"
 SLOTS = 3
+TRAJECTORY_ROWS = 6000  # of a preview, at even strides over the whole trajectory, and its last row
 
 
 def fold_paths(samples: DataFrame, late_ns: int | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ def publish_preview(spark: SparkSession, folder: str, batch: int, cloud: DataFra
     slot = batch % SLOTS
     names = {"cloud_file": f"preview_{slot}.ply", "trajectory_file": f"trajectory_{slot}.csv"}
     files.write_text(spark, f"{folder}/{names['cloud_file']}", files.small_ply(cloud))
-    rows = trajectory.orderBy("scan_index").limit(10_000).collect()
+    rows = series.thinned(trajectory, [], ["scan_index"], TRAJECTORY_ROWS).orderBy("scan_index").collect()
     lines = ["scan_index,stamp_ns,x,y,z,fitness,rmse,accepted"] + [",".join(str(r[c]) for c in ("scan_index", "stamp_ns", "x", "y", "z", "fitness", "rmse", "accepted")) for r in rows]
     files.write_text(spark, f"{folder}/{names['trajectory_file']}", "\n".join(lines) + "\n")
     state = {"snapshot": batch, **names, "phase": phase, "processed": processed, "total": total, "progress_percent": round(100.0 * processed / max(1, total), 3), "points": cloud.count()}

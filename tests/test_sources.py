@@ -111,6 +111,14 @@ def test_clouds(spark, tmp_path):
     assert tiles == sorted(tiles)
 
 
+def test_preview_spans_the_whole_trajectory(spark, tmp_path):
+    cloud = spark.range(3).selectExpr("double(id) AS x", "0D AS y", "0D AS z", "7 AS red", "7 AS green", "7 AS blue")
+    steps = spark.range(36_000).selectExpr("id AS scan_index", "id * 100 AS stamp_ns", "double(id) AS x", "0D AS y", "0D AS z", "0.9D AS fitness", "0.1D AS rmse", "1 AS accepted")
+    live.publish_preview(spark, f"{tmp_path}/view", 0, cloud, steps, "registration", 0, 1)
+    lines = files.read_text(spark, f"{tmp_path}/view/trajectory_0.csv").split()[1:]
+    assert [int(x.split(",")[0]) for x in lines] == [*range(0, 36_000, 6), 35_999]
+
+
 def test_trajectory_and_reports(spark, tmp_path):
     rows = [(i, i * 100, i * 0.5, 1.0, 0.0, 0.9, 0.05, 10, 9, int(i % 3 > 0), "a, \"b\"" if i == 0 else "accepted") for i in range(30)]
     df = spark.createDataFrame(rows, files.TRAJECTORY)
