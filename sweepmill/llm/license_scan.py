@@ -42,6 +42,38 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+# Digests of the canonical forms of entire public texts, with and without their usual headings, by SPDX identifier.
+# OP10_SQL knows the forms in KNOWN alone.
+FULL_TEXTS = (
+    ("Apache-2.0", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
+    ("LGPL-2.0", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.1", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.3", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
+    ("BSD-2-Clause", "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2"),
+    ("BSD-2-Clause", "2c570d136b858b0a4d090e301862eacb53fb1ae2743462bf3b89e602191665f7"),
+    ("BSD-2-Clause", "33903615089fdb3ab02696d1bd92eb9580c2c7a0e0c8714aa95b0dfc1dcdb89c"),
+    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("BSD-3-Clause", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15"),
+    ("BSD-3-Clause", "e651765ec94c99c2ea03cf19aceb85785d656ba08685eb0772747c296340cb54"),
+    ("BSD-3-Clause", "e612af111b0f62aac3e107973cd804ade8a118ba3c7034d6824ebdce9852ba2e"),
+    ("BSD-2-Clause", "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74"),
+    ("BSD-2-Clause", "23d7258e25bd67982ccec4b5bfc05631a20f8ee5bd5fe7eb70694c100aae88d2"),
+    ("BSD-3-Clause", "53075742228962c7ea381b8242c64602fa32e7b8f52facb6d13ee4f9c596ddfa"),
+    ("BSD-3-Clause", "f94931e221f919e6cec5ca99e0ea7da1912b2c7d805cdaee8baf508c248bc1af"),
+    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"),
+    ("Unlicense", "6077a8a20d606206e486caec85a30b2545701071b1e08d12c37fb9a0e490d1bf"),
+    ("MIT", "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127"),
+    ("MIT", "7c3366b22b9f0d6a198b2c29bd1c4b663b2d55eacbd066146e5476c4b8ff1ce4"),
+)
 
 
 def canonical(text):
@@ -52,10 +84,10 @@ def canonical(text):
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-def digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license of known licences."""
+def digests(spark: SparkSession, known=KNOWN, full=FULL_TEXTS) -> DataFrame:
+    """digest, license of known licences: of the texts in known, and those in full as they are."""
     rows = spark.createDataFrame([(b, a) for a, b in known], "text string, license string")
-    return rows.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license").distinct()
+    return rows.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license").unionByName(spark.createDataFrame([(b, a) for a, b in full], "digest string, license string")).distinct()
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, notices: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,18 +96,15 @@ def scan_licenses(docs: DataFrame, known: DataFrame, notices: bool = True, id_co
     digest, the first by name. Without the text, rows stay short through the shuffle."""
     known = known.groupBy("digest").agg(F.min("license").alias("license"))
     row = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    # Only lines that can be a known notice are brought to canonical form: a licence names itself as one.
-    hint = "(?i)licen[sc]e|\\bCC[ -]?(?:BY|0)|permission"
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(hint)) if notices else F.array().cast("array<string>")
+    lines = F.split("_text", "\n", -1) if notices else F.array().cast("array<string>")
     units = F.concat(
         F.array(F.struct(F.lit(True).alias("whole"), F.col("_text").alias("unit"))),
         F.when(F.instr("_text", "\n") > 0, F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))).otherwise(
             F.array().cast("array<struct<whole:boolean,unit:string>>")
         ),
     )
-    has = F.when(F.col("_text").rlike(hint), units).otherwise(F.slice(units, 1, 0))
-    each = row.select(id_col, "_row", F.explode_outer(has).alias("u")).select(id_col, "_row", "u.whole", F.sha2(canonical(F.col("u.unit")).cast("binary"), 256).alias("digest"))
-    hits = each.join(known, "digest", "left")
+    each = row.select(id_col, "_row", F.explode(units).alias("u")).select(id_col, "_row", "u.whole", F.sha2(canonical(F.col("u.unit")).cast("binary"), 256).alias("digest"))
+    hits = each.join(F.broadcast(known), "digest", "left")
     out = hits.groupBy("_row", id_col).agg(
         F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notice_licenses"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 
@@ -112,6 +113,17 @@ def test_licences(spark):
     assert license_scan.scan_licenses(df.limit(0), license_scan.digests(spark)).collect() == []
 
 
+def test_licences_beyond_hints(spark):
+    two = "Redistribution and use are permitted.\nThis software is provided as is."
+    rows = [(1, two.upper()), (2, "Prose.\nReleased under _CC0 1.0_."), (3, "Prose.\nDo as you please!"), (4, "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n\n" + license_scan._MIT)]
+    rows += [(n, Path(f"/usr/share/common-licenses/{f}").read_text()) for n, f in ((5, "Apache-2.0"), (6, "GPL-3"), (7, "MPL-2.0")) if Path(f"/usr/share/common-licenses/{f}").exists()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = license_scan.digests(spark, (*license_scan.KNOWN, ("two", two), ("please", "Do as you please.")))
+    got = {r["doc_id"]: (r["text_license"], r["notice_licenses"], r["n_notices"]) for r in license_scan.scan_licenses(df, known).collect()}
+    assert got[1] == ("two", "", 0) and got[2] == (None, "CC0-1.0", 1) and got[3] == (None, "please", 1) and got[4] == ("MIT", "", 0)
+    assert all(got[n] == (name, "", 0) for n, name in ((5, "Apache-2.0"), (6, "GPL-3.0"), (7, "MPL-2.0")) if n in got)
+
+
 # ---------------------------------------------------------------- chat
 
 
