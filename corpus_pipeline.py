@@ -12,17 +12,26 @@ from pyspark.sql import functions as F
 
 from sweepmill.llm import common, decontaminate, jaccard_join, language_id, line_dedup, source_mix
 
-#: Least cosine with the best prototype; prose of a known language lies far above, junk below.
+#: Least cosine with the best prototype for long texts; see least_score for short ones.
 LEAST_SCORE = 0.3
 # Random draws and folds have no SQL form; tests hold run() against a brute-force version instead.
 ORACLE_SQL = None
 
 
+def least_score(extent):
+    """The least cosine for a text of so many trigrams that count. Prose of n trigrams has a cosine of about
+    sqrt(n / (n + 140)) with its prototype (medians of short texts at sf0.1); twice the deviation of cosines of unlike
+    vectors is allowed for. So a few words, which say too little to differ from a language, stay."""
+    return LEAST_SCORE * F.sqrt(extent / (extent + 140)) - 2 / language_id.DIMENSION**0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the prototypes know; those without a letter or unlike every language go."""
+    """Documents in a language that the prototypes know; those without a letter, or less like any language
+    than prose of their length is, go."""
     found = language_id.identify(docs, language_id.fit(docs))
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return found.where(known).select(*docs.columns)
+    low = found.withColumn("_extent", language_id.extent(F.when(F.col("score") < LEAST_SCORE, F.col("text"))))
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | (F.col("score") >= least_score(F.col("_extent"))))
+    return low.where(known).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,20 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     return docs.withColumn("_found", found(F.col(text_col))).select(*docs.columns, "_found.lang_pred", "_found.score")
 
 
+def extent(text):
+    """How many trigrams of a text column count: (sum of counts)^2 / sum of squared counts, which repetition does not raise."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        texts, out = texts.tolist(), []
+        for part in _chunks(texts):
+            owner, _, count = trigram_counts(texts[part])
+            total, squares = (np.bincount(owner, count.astype(np.float64) ** p, part.stop - part.start) for p in (1, 2))
+            out.append(total**2 / np.maximum(squares, 1))
+        return pd.Series(np.concatenate(out))
+
+    return F.pandas_udf(run, "double")(text)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), fit(docs))

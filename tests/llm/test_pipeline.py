@@ -72,3 +72,17 @@ def test_stages_take_empty_and_odd_rows(spark):
         for _, stage in pipeline.STAGES:
             out = stage(spark, spark.createDataFrame(rows, schema), SF)
             assert out.count() <= len(rows)
+
+
+def test_language_keeps_short_prose(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    kept = {r["doc_id"] for r in pipeline.identify_language(spark, docs, f"{DATA}/sf0.1").select("doc_id").collect()}
+    gone = [r["text"] for r in docs.select("doc_id", "text").collect() if r["doc_id"] not in kept]
+    assert [t for t in gone if any(c.isalpha() for c in t or "")] == []
+    # Labelled texts teach the prototypes; long junk of single letters is unlike them all, and signs are no language.
+    junk = "".join(chr(97 + (i * i * 7 + i * 11 + i // 5) % 26) for i in range(600))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(-1, junk, None, "a", 600), (-2, "12 %", None, "a", 4), (-3, "Avec.", None, "a", 5)], schema)
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd)
+    left = {r["doc_id"] for r in pipeline.identify_language(spark, both, "").where("doc_id < 0").select("doc_id").collect()}
+    assert left == {-3}
