@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +30,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session names none
-    (single-machine tests) does this make one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may name none;
+    it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="sweepmill-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold inside the block alone."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+#: While a table is stashed, Spark drops the shuffle files of the job as it ends, and hands Python small batches.
+_STASHING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+}
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors, and is
     computed once however often it is used."""
-    path = f"{scratch_root(df.sparkSession)}/sweepmill-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/sweepmill-{uuid.uuid4().hex}/{label}"
+    with settings(spark, _STASHING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
