@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_root, settings, stash, unstash  # noqa: F401  for the operators
+
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session names none
-    (single-machine tests) does this make one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="sweepmill-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors, and is
-    computed once however often it is used. Afterwards the JVM is asked to collect, which lets Spark's cleaner
-    drop the shuffle files of the finished job."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/sweepmill-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def unstash(df: DataFrame) -> None:
-    """Delete a stashed table that nothing will read again."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without its columns of these names (in any case), which an operator's result replaces."""
     low = {n.lower() for n in names}
@@ -88,10 +58,9 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, _SEGMENT + 4096)
+    if "up" not in _powers:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, dtype=np.uint64)
+            steps = np.full(_SEGMENT + 1, base, dtype=np.uint64)
             steps[0] = 1
             _powers[name] = np.multiply.accumulate(steps)
     return _powers["up"][:n], _powers["down"][:n]
@@ -106,39 +75,56 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _segment_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a byte array that cuts no word."""
-    word = ~_SPACE[raw]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.empty(0, np.uint64), starts
-    up, down = _power_tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
-
-
-def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space separated words of all texts, A-Z lower-cased, and the offsets of each
-    text's words: those of text i are words[offsets[i]:offsets[i + 1]]. Null and empty texts have none.
-    Works through segments cut at white space, so memory beyond the hashes stays bounded."""
-    blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    lengths = np.array([len(b) + 1 for b in blobs], dtype=np.int64)
-    begin = np.concatenate(([0], np.cumsum(lengths)))
-    raw = np.frombuffer(b"\n".join(blobs) + b"\n", dtype=np.uint8)
-    hashes, starts, at = [], [], 0
-    while at < len(raw):
-        end = min(len(raw), at + _SEGMENT)
-        while end < len(raw) and not _SPACE[raw[end - 1]]:
-            gap = np.flatnonzero(_SPACE[raw[end : end + _SEGMENT]])
-            end = end + int(gap[0]) + 1 if len(gap) else min(len(raw), end + _SEGMENT)
-        h, s = _segment_words(raw[at:end])
-        hashes.append(h)
-        starts.append(s + at)
-        at = end
-    words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    where = np.concatenate(starts) if starts else np.empty(0, np.int64)
+def _words(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of UTF-8 bytes; texts begin at the offsets `begin`, the last of which is the end.
+
+    Works through segments of fixed size. The last word of a segment waits, as (start, length, sum), for the piece that
+    may follow in the next one, so memory beyond the hashes is bounded even for a text that is one word."""
+    hashes, starts, waits = [], [], None
+    for at in range(int(begin[0]), int(begin[-1]), _SEGMENT):
+        seg = raw[at : min(at + _SEGMENT, int(begin[-1]))]
+        n, word = len(seg), ~_SPACE[seg]
+        first = np.zeros(n + 1, dtype=bool)  # where a text begins
+        first[begin[np.searchsorted(begin, at) : np.searchsorted(begin, at + n, "right")] - at] = True
+        s = np.flatnonzero(word & ~(np.concatenate(([False], word[:-1])) & ~first[:n]))
+        e = np.flatnonzero(word & ~(np.concatenate((word[1:], [False])) & ~first[1:])) + 1
+        up, down = _power_tables(n + 1)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[_LOWER[seg]] * up[:-1], out=total[1:])
+        sums, sizes, s = (total[e] - total[s]) * down[s], e - s, s + at
+        if waits is not None:
+            start, size, held = (np.array([x]) for x in waits)
+            if len(s) and s[0] == at and not first[0]:
+                sums[:1] = held + sums[:1] * np.uint64(pow(_BASE, waits[1], 2**64))
+                sizes[0], s[0] = sizes[0] + waits[1], waits[0]
+            else:
+                sums, sizes, s = np.concatenate((held, sums)), np.concatenate((size, sizes)), np.concatenate((start, s))
+        waits = (int(s[-1]), int(sizes[-1]), sums[-1]) if len(s) and word[-1] else None
+        keep = len(s) - (waits is not None)
+        hashes.append(mix64(sums[:keep] + sizes[:keep].astype(np.uint64)))
+        starts.append(s[:keep])
+    if waits is not None:
+        hashes.append(mix64(np.array([waits[2]]) + np.array([waits[1]], dtype=np.uint64)))
+        starts.append(np.array([waits[0]]))
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space separated words of all texts (a list or an Arrow string array), A-Z
+    lower-cased, and the offsets of each text's words: those of text i are words[offsets[i]:offsets[i + 1]]. Null and
+    empty texts have none. Nothing is copied but the hashes and a segment's work."""
+    if not isinstance(texts, pa.Array):
+        blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        begin = np.concatenate(([0], np.cumsum([len(b) for b in blobs]))).astype(np.int64)
+        raw = np.frombuffer(b"".join(blobs), dtype=np.uint8)
+    else:
+        wide = pa.types.is_large_string(texts.type)
+        _, offsets, data = texts.buffers()
+        begin = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    words, where = _words(raw, begin)
     return words, np.searchsorted(where, begin)
 
 
@@ -155,13 +141,19 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def text_chunks(texts, most: int = 1 << 20):
-    """Slices of a list of texts of about `most` characters each; a longer text stands alone."""
+    """Slices of a list of texts of about `most` characters each (of an Arrow string array: bytes); a longer text stands
+    alone."""
+    if isinstance(texts, pa.Array):
+        width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        begin = np.frombuffer(texts.buffers()[1], dtype=width)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1)
+        sizes = np.diff(begin).tolist()
+    else:
+        sizes = [len(t) if t else 0 for t in texts]
     begin, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes):
         if i > begin and total + n > most:
             yield slice(begin, i)
             begin, total = i, 0
         total += n
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))

@@ -41,4 +41,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return common.stash(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    out = common.stash(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    common.unstash(now)
+    return out
