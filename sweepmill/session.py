@@ -58,7 +58,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 #: While a table is stashed, Spark drops the shuffle files of the job as it ends, and hands Python small batches.
-_STASHING = {
+STASHING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
@@ -70,16 +70,20 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     computed once however often it is used."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/sweepmill-{uuid.uuid4().hex}/{label}"
-    with settings(spark, _STASHING):
+    with settings(spark, STASHING):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark can write to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unstash(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stash_path)
