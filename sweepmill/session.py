@@ -77,6 +77,11 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any store that Spark can write to."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
