@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +33,12 @@ UNKNOWN = "und"
 
 @lru_cache(1)
 def _symbol_table() -> np.ndarray:
-    """Code point -> 0 for a gap, 1 to 26 for a-z, further numbers for other letters."""
+    """Code point -> 0 for a gap, 1 to 26 for a-z, further numbers for other letters; capitals count as small letters."""
     table = np.zeros(0x110000, dtype=np.uint8)
     for cp in range(0x110000):
         if chr(cp).isalpha():
-            table[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp % (SYMBOLS - 27)
+            low = ord(chr(cp).lower()[0])
+            table[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
     return table
 
 
@@ -46,40 +48,64 @@ def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
 
 
-def trigram_counts(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, trigram code, count) of all texts; a trigram's middle is a letter."""
-    low = [(t or "").lower() for t in texts]
-    lengths = np.array([len(t) + 2 for t in low], dtype=np.int64)
-    points = np.frombuffer("".join(f" {t} " for t in low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    symbols = _symbol_table()[points].astype(np.int64)
-    owner = np.repeat(np.arange(len(low), dtype=np.int64), lengths)
-    solid = (symbols > 0) | np.concatenate(([True], symbols[:-1] > 0))
-    symbols, owner = symbols[solid], owner[solid]
+def _symbols(text: str) -> np.ndarray:
+    return _symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+
+def _codes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and trigram codes of symbols without runs of gaps: those whose middle is a letter."""
     middle = np.flatnonzero(symbols[1:-1] > 0) + 1
-    code = (owner[middle] << 18) | (symbols[middle - 1] << 12) | (symbols[middle] << 6) | symbols[middle + 1]
-    code, count = np.unique(code, return_counts=True)
+    wide = symbols.astype(np.int64)
+    return middle, (wide[middle - 1] << 12) | (wide[middle] << 6) | wide[middle + 1]
+
+
+def _joined_gaps(symbols: np.ndarray) -> np.ndarray:
+    return (symbols > 0) | np.concatenate(([True], symbols[:-1] > 0))
+
+
+def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, trigram code, count) of all texts. A lone text goes by pieces, however long it is."""
+    if len(texts) == 1:
+        counts, tail = np.zeros(1 << 18, dtype=np.int64), np.zeros(1, dtype=np.uint8)
+        for piece in (*common.pieces(texts), " "):
+            tail = np.concatenate((tail, _symbols(piece)))
+            tail = tail[_joined_gaps(tail)]
+            counts += np.bincount(_codes(tail)[1], minlength=1 << 18)
+            tail = tail[-2:]
+        code = np.flatnonzero(counts)
+        return np.zeros(len(code), dtype=np.int64), code, counts[code]
+    texts = [t or "" for t in texts.to_pylist()]
+    symbols = _symbols("".join(f" {t} " for t in texts))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 2 for t in texts])
+    solid = _joined_gaps(symbols)
+    symbols, owner = symbols[solid], owner[solid]
+    middle, code = _codes(symbols)
+    code, count = np.unique((owner[middle] << 18) | code, return_counts=True)
     return code >> 18, code & 0x3FFFF, count
 
 
-def bundle(texts: list) -> np.ndarray:
-    """One vector for each text, of unit length; zero without letters."""
+def bundle(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """One vector for each text, of unit length; zero without letters. And how many trigrams of it count: (sum of
+    counts)^2 / sum of squared counts, which repetition does not raise."""
     owner, code, count = trigram_counts(texts)
+    total, squares = (np.bincount(owner, count.astype(np.float64) ** p, len(texts)) for p in (1, 2))
     known, at = np.unique(code, return_inverse=True)
     first, second, third = _letters()
     out = np.zeros((len(texts), DIMENSION), dtype=np.float32)
-    for begin in range(0, len(known), 8192):
-        some = known[begin : begin + 8192]
-        bound = first[some >> 12] * second[(some >> 6) & 63] * third[some & 63]
+    for begin in range(0, len(known), 2048):
+        some = known[begin : begin + 2048]
+        bound = first[some >> 12] * second[(some >> 6) & 63]
+        bound *= third[some & 63]
         mine = (at >= begin) & (at < begin + len(some))
         dense = np.zeros((len(texts), len(some)), dtype=np.float32)
         dense[owner[mine], at[mine] - begin] = count[mine]
         out += dense @ bound
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+    return out / np.where(norm > 0, norm, 1), total**2 / np.maximum(squares, 1)
 
 
-def _chunks(texts: list):
-    """Slices of bounded size in characters and in texts."""
+def _chunks(texts: pa.Array):
+    """Slices of bounded size in bytes and in texts."""
     for part in common.text_chunks(texts, 1 << 19):
         for begin in range(part.start, part.stop, 256):
             yield slice(begin, min(part.stop, begin + 256))
@@ -89,60 +115,50 @@ def fit(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_
     """Prototypes by language, from texts outside the held-out fold."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (common.fold_of(F.col(id_col)) != 0))
     ids = common.bounded_sample(known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang")), "lang", "_id", per_language)
-    texts = known.join(F.broadcast(ids.select("_id").distinct()), known[id_col] == F.col("_id")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = known.select(F.col(id_col).alias("_known"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    texts = known.join(F.broadcast(ids.select("_id").distinct()), F.col("_known") == F.col("_id")).select("lang", "text")
 
     def partial(batches):
         total: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            names, texts = pdf["lang"].to_numpy(), pdf["text"].tolist()
+        for batch in batches:
+            names, texts = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1)
             for part in _chunks(texts):
-                vectors = bundle(texts[part]).astype(np.float64)
+                vectors = bundle(texts.slice(part.start, part.stop - part.start))[0].astype(np.float64)
                 for lang in set(names[part]):
                     total[lang] = total.get(lang, 0) + vectors[names[part] == lang].sum(axis=0)
-        if total:
-            yield pd.DataFrame({"lang": list(total), "vector": list(total.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "vector"])
 
     def add(pdf):
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "vector": [np.sum(np.stack(pdf["vector"].tolist()), axis=0)]})
 
-    sums = texts.mapInPandas(partial, "lang string, vector array<double>")
+    sums = texts.mapInArrow(partial, "lang string, vector array<double>")
     rows = sums.groupBy("lang").applyInPandas(add, "lang string, vector array<double>").collect()
     out = {r["lang"]: np.array(r["vector"]) for r in rows}
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(out.items()) if np.linalg.norm(v) > 0}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred (string) and score (double)."""
-    docs = common.without(docs, "lang_pred", "score")
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", extent: str | None = None) -> DataFrame:
+    """docs with lang_pred (string) and score (double); with the number of trigrams that count (double, see bundle) in
+    a column of the name `extent` if one is given."""
+    docs = common.without(docs, "lang_pred", "score", *([extent] if extent else []))
     names = np.array([*prototypes, UNKNOWN], dtype=object)
     held = docs.sparkSession.sparkContext.broadcast(np.stack(list(prototypes.values())).astype(np.float32) if prototypes else np.zeros((0, DIMENSION), np.float32))
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        texts, best, score = texts.tolist(), [], []
+    def run(texts: pa.Array) -> pa.Array:
+        best, score, extents = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]
         for part in _chunks(texts):
-            vectors = bundle(texts[part])
+            vectors, size = bundle(texts.slice(part.start, part.stop - part.start))
             some = vectors.any(axis=1) & bool(len(held.value))
             cosines = vectors @ held.value.T if len(held.value) else np.zeros((len(vectors), 1))
             best.append(np.where(some, cosines.argmax(axis=1), len(names) - 1))
             score.append(np.where(some, np.clip(cosines.max(axis=1), 0, 1), 0.0))
-        return pd.DataFrame({"lang_pred": names[np.concatenate(best)], "score": np.concatenate(score).astype(np.float64)})
-
-    found = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("_found", found(F.col(text_col))).select(*docs.columns, "_found.lang_pred", "_found.score")
-
-
-def extent(text):
-    """How many trigrams of a text column count: (sum of counts)^2 / sum of squared counts, which repetition does not raise."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        texts, out = texts.tolist(), []
-        for part in _chunks(texts):
-            owner, _, count = trigram_counts(texts[part])
-            total, squares = (np.bincount(owner, count.astype(np.float64) ** p, part.stop - part.start) for p in (1, 2))
-            out.append(total**2 / np.maximum(squares, 1))
-        return pd.Series(np.concatenate(out))
+            extents.append(size)
+        columns = [pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score).astype(np.float64)), pa.array(np.concatenate(extents))]
+        return pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "extent"])
 
-    return F.pandas_udf(run, "double")(text)
+    found = common.unused(docs, "_found")
+    out = docs.withColumn(found, F.arrow_udf(run, "struct<lang_pred:string,score:double,extent:double>")(F.col(text_col)))
+    return out.select(*docs.columns, f"{found}.lang_pred", f"{found}.score", *([F.col(f"{found}.extent").alias(extent)] if extent else []))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
