@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,15 +46,26 @@ def _class_table() -> np.ndarray:
 _CLASSES = _class_table()
 
 
-def statistics(texts: list) -> np.ndarray:
-    """One row of FEATURES for each text."""
+def _kinds(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(points < len(_CLASSES), _CLASSES[np.minimum(points, len(_CLASSES) - 1)], 1)
+
+
+def _character_counts(texts: pa.Array) -> np.ndarray:
+    """Characters of each class for each text. A lone text goes by pieces, however long it is."""
     n, kinds = len(texts), 5 + len(_MARKS)
-    texts = [t or "" for t in texts]
-    chars = np.array([len(t) for t in texts], dtype=np.float64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(n), chars.astype(np.int64))
-    kind = np.where(points < len(_CLASSES), _CLASSES[np.minimum(points, len(_CLASSES) - 1)], 1)
-    counts = np.bincount(owner * kinds + kind, minlength=n * kinds).reshape(n, kinds).astype(np.float64)
+    if n == 1:
+        return sum((np.bincount(_kinds(p), minlength=kinds) for p in common.pieces(texts)), np.zeros(kinds, int))[None, :].astype(np.float64)
+    texts = [t or "" for t in texts.to_pylist()]
+    owner = np.repeat(np.arange(n), [len(t) for t in texts])
+    return np.bincount(owner * kinds + _kinds("".join(texts)), minlength=n * kinds).reshape(n, kinds).astype(np.float64)
+
+
+def statistics(texts: pa.Array) -> np.ndarray:
+    """One row of FEATURES for each text. Words are what stands between ASCII white space, A-Z lower-cased."""
+    n = len(texts)
+    counts = _character_counts(texts)
+    chars = counts.sum(axis=1)
     size, letters = np.maximum(chars, 1), np.maximum(counts[:, 1] + counts[:, 2], 1)
     out = np.zeros((n, len(FEATURES)))
     out[:, 0] = np.log1p(chars)
@@ -62,20 +73,24 @@ def statistics(texts: list) -> np.ndarray:
     out[:, 2] = counts[:, 2] / letters
     out[:, 3], out[:, 4], out[:, 5] = counts[:, 3] / size, counts[:, 4] / size, counts[:, 0] / size
     out[:, 6 : 6 + len(_MARKS)] = counts[:, 5:] / size[:, None]
-    words, at = common.word_hashes(texts)
+    words, lengths, at = common.word_table(texts)
+    lines, extents, begin = common.line_table(texts)
+    newlines = common.newlines(texts)
     w = 6 + len(_MARKS)
-    for i, text in enumerate(texts):
-        own = words[at[i] : at[i + 1]]
+    for i in range(n):
+        own, each = words[at[i] : at[i + 1]], lengths[at[i] : at[i + 1]]
         m = len(own)
         if m:
-            lengths = np.fromiter(map(len, text.split()[:]), dtype=np.int64) if m else np.zeros(1)
             _, often = np.unique(own, return_counts=True)
-            out[i, w : w + 5] = np.log1p(m), lengths.mean(), (lengths <= 3).mean(), (lengths >= 12).mean(), len(often) / m
+            out[i, w : w + 5] = np.log1p(m), each.mean(), (each <= 3).mean(), (each >= 12).mean(), len(often) / m
             out[i, w + 5] = len(np.unique(common.shingles(own, 2))) / max(1, m - 1)
             out[i, w + 6] = often.max() / m
-        lines = text.split("\n")
-        each = [len(x) for x in lines]
-        out[i, w + 7 : w + 11] = np.log1p(len(lines)), np.log1p(sum(each) / len(lines)), len(set(lines)) / len(lines), np.log1p(max(each))
+        long, total = lines[begin[i] : begin[i + 1]], extents[begin[i] : begin[i + 1]]
+        size = newlines[i] + 1
+        out[i, w + 7 : w + 11] = (
+            np.log1p(size), np.log1p((chars[i] - newlines[i]) / size),
+            (len(np.unique(long)) + (len(long) < size)) / size, np.log1p(total.max(initial=0)),
+        )
     return out
 
 
@@ -140,9 +155,9 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
     return Trees(base, feature, threshold, leaf)
 
 
-def _measured(texts: list):
+def _measured(texts: pa.Array):
     for part in common.text_chunks(texts, 1 << 19):
-        yield part, statistics(texts[part])
+        yield part, statistics(texts.slice(part.start, part.stop - part.start))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Trees:
@@ -153,15 +168,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label_col: str
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
 
     def measure(batches):
-        for pdf in batches:
-            for part, x in _measured(pdf["text"].tolist()):
-                yield pd.DataFrame({"y": pdf["y"].to_numpy()[part], "x": list(x), "i": pdf["i"].to_numpy()[part]})
-
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col("_y").alias("y"), F.xxhash64("_id").alias("i"), F.col(text_col).alias("text"))
-    rows = texts.mapInPandas(measure, "y double, x array<double>, i long").toPandas().sort_values(["i", "y"])
+        for batch in batches:
+            for part, x in _measured(batch.column("text")):
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([rows.column("y"), rows.column("i"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "i", "x"])
+
+    held = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    texts = held.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_y").alias("y"), F.xxhash64("_id").alias("i"), "text")
+    rows = texts.mapInArrow(measure, "y double, i long, x array<double>").toPandas()
     if not len(rows):
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
-    return grow(np.stack(rows["x"].tolist()), rows["y"].to_numpy())
+    x, y = np.stack(rows["x"].tolist()), rows["y"].to_numpy()
+    order = np.lexsort((*x.T, y, rows["i"]))  # whatever order the rows came in
+    return grow(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
@@ -169,11 +188,10 @@ def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     docs = common.without(docs, "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: pd.Series) -> pd.Series:
-        out = [held.value.score(x) for _, x in _measured(texts.tolist())]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(held.value.score(x) for _, x in _measured(texts))]))
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col(text_col)))
+    return docs.withColumn("score", F.arrow_udf(run, "double")(F.col(text_col)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
