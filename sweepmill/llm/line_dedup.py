@@ -1,17 +1,23 @@
 """Line deduplication over levelled sorted runs (DataFrame functions only).
 
-A run holds, for each line key that a batch brought, how many documents hold it and the largest of their ids,
-sorted by the key's 128-bit hash. Runs stand in levels: a batch adds a run at level 0, and when a level has
-`fanout` runs they are compacted into one run of the next level, so a key is rewritten only a logarithmic number
-of times and any number of batches leaves few runs to merge. Reading the ledger adds the runs' rows up by key.
+A run holds line keys with how many documents of its batch hold them and the largest of their ids. It is a Parquet
+table bucketed by the key's 128-bit hash and sorted inside each bucket, so a batch merges with it bucket by bucket while
+the run stays where it is. A new batch is anti-joined with the runs by merging: keys that no run holds make the batch's own run, at
+level 0; keys that one holds add a row to the list of repeats. When a level has `fanout` runs they are compacted into
+one run of the next level, so a key is rewritten only a logarithmic number of times and any number of batches leaves few
+runs to merge. No key stands in two runs, so a key's count is that of its run and its repeats.
+
+The runs live in one folder with a small table that lists them, from which LineRuns.open goes on later.
 
 Defined results: a null or empty text is one empty line; a null id never counts as a holder and never loses lines;
-rows that repeat an id count as one document and are rewritten alike; extra columns pass through untouched, but
-for columns named like a result column, which the result replaces.
+rows that repeat an id count as one document; extra columns pass through untouched whatever their names, but for those
+named like a result column, which the result replaces.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,89 +31,159 @@ def line_key(line):
     return common.ascii_lower(F.btrim(line, F.lit(common.ASCII_SPACE)))
 
 
-def _key_hash(line):
-    key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
-
-
 def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """_line_doc, _line_text (a hash of the row's text), _line_pos (from 0) and hashes of each line with a key of min_chars
+    or more. The text itself is not carried on."""
+    placed = F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    long = F.filter(placed, lambda x: F.length(x["line"]) >= min_chars)
+    long = F.filter(long, lambda x: F.length(F.btrim(x["line"], F.lit(common.ASCII_SPACE))) >= min_chars)
+    keys = F.transform(F.transform(long, lambda x: F.struct(x["pos"], line_key(x["line"]).alias("key"))), lambda x: F.struct(
+        x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit("second"), x["key"]).alias("h2")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_line_doc"), F.xxhash64(text_col).alias("_line_text"), F.explode(keys).alias("_k"))
+    return rows.select("_line_doc", "_line_text", F.col("_k.pos").alias("_line_pos"), F.col("_k.h1").alias(_H1), F.col("_k.h2").alias(_H2))
+
+
 class LineRuns:
-    """The ledger. min_chars: shorter keys are never entered. fanout: runs of a level that are compacted."""
+    """The ledger, in a folder of its own under `path`. min_chars: shorter keys are never entered. fanout: runs of a level
+    that are compacted. buckets: of each run; for a large corpus about one for each 256 MB of the largest run."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = 40, fanout: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 40, fanout: int = 4, buckets: int | None = None):
         self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-
-    def occurrences(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """One row for each distinct long key of each row of docs: id, hashes. The text itself is not carried on."""
-        long_lines = F.filter(_lines(F.col(text_col)), lambda x: F.length(x) >= self.min_chars)
-        keys = F.array_distinct(F.transform(F.filter(long_lines, lambda x: F.length(F.btrim(x, F.lit(common.ASCII_SPACE))) >= self.min_chars), _key_hash))
-        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_line_doc"), F.explode(keys).alias("_k"))
-        return rows.select("_line_doc", F.col("_k.h1").alias(_H1), F.col("_k.h2").alias(_H2))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = path or f"{common.scratch_root(spark)}/sweepmill-{uuid.uuid4().hex}/lines"
+        self.levels: list[list[str]] = [[]]
+        self.repeats: list[str] = []
+        self.kind = None
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fanout: int = 4) -> LineRuns:
+        """The ledger that `save` left at path."""
+        listed = spark.read.parquet(f"{path}/listed").orderBy("version", ascending=False).first()
+        runs = cls(spark, path, listed["min_chars"], fanout, listed["buckets"])
+        runs.kind, runs.repeats, runs.levels = listed["kind"], list(listed["repeats"]), [list(level) for level in listed["levels"]]
+        return runs
+
+    def save(self) -> None:
+        """List the runs, for `open`. The lists of earlier calls stay; the last one holds."""
+        kinds = "version timestamp, min_chars int, buckets int, kind string, repeats array<string>, levels array<array<string>>"
+        row = self.spark.createDataFrame([(None, self.min_chars, self.buckets, self.kind, self.repeats, self.levels)], kinds)
+        row.withColumn("version", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.path}/listed")
+
+    def _table(self, name: str) -> DataFrame:
+        """A run, which Spark knows to be bucketed and sorted once the session's catalog has it."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} ({_H1} BIGINT, {_H2} BIGINT, n_docs BIGINT, last_doc {self.kind}) USING parquet "
+                f"CLUSTERED BY ({_H1}, {_H2}) SORTED BY ({_H1}, {_H2}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+            )
+        return self.spark.table(name)
+
+    def _written(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        dealt = rows.select(_H1, _H2, "n_docs", "last_doc").repartition(self.buckets, _H1, _H2)
+        with common.settings(self.spark, common.STASHING):
+            dealt.write.bucketBy(self.buckets, _H1, _H2).sortBy(_H1, _H2).option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            common.delete(self.spark, f"{self.path}/{name}")
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The rows of keys that no run holds: a merge-anti-join with each run in turn."""
+        for name in self.runs():
+            keys = keys.join(self._table(name).select(_H1, _H2).hint("merge"), [_H1, _H2], "left_anti")
+        return keys
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add a batch's run, then compact whatever level is full. Batches must not share ids."""
-        self.add_occurrences(self.occurrences(docs, id_col, text_col))
+        self.add_occurrences(occurrences(docs, self.min_chars, id_col, text_col))
 
-    def add_occurrences(self, occurrences: DataFrame) -> None:
+    def add_occurrences(self, found: DataFrame) -> None:
         """The same for a batch whose occurrences are at hand."""
-        each = occurrences.groupBy(_H1, _H2, "_line_doc").agg(F.lit(1).alias("_one"))
-        run = each.groupBy(_H1, _H2).agg(F.count("_one").alias("n_docs"), F.max("_line_doc").alias("last_doc"))
-        self.levels[0].append(common.stash(run.sortWithinPartitions(_H1, _H2), "run"))
+        self.kind = self.kind or found.schema["_line_doc"].dataType.simpleString()
+        held = found.select(_H1, _H2, "_line_doc").distinct()
+        keys = common.stash(held.groupBy(_H1, _H2).agg(F.count("*").alias("n_docs"), F.max("_line_doc").alias("last_doc")), "batch")
+        if not self.runs():
+            self.levels[0].append(self._written(keys))
+        else:
+            fresh = self._written(self.unseen(keys))
+            known = keys.join(self._table(fresh).select(_H1, _H2).hint("merge"), [_H1, _H2], "left_anti")
+            self.repeats.append(self._written(known))
+            self.levels[0].append(fresh)
+        common.unstash(keys)
         self._compact()
 
     def _compact(self) -> None:
-        for depth, runs in enumerate(self.levels):
-            if len(runs) >= self.fanout:
-                merged = common.stash(self._merge(runs).sortWithinPartitions(_H1, _H2), f"level{depth + 1}")
-                for run in runs:
-                    common.unstash(run)
+        for depth, names in enumerate(self.levels):
+            if len(names) >= self.fanout:
+                merged = self._written(self._union(names))
+                self.drop(*names)
                 self.levels[depth] = []
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[depth + 1].append(merged)
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy(_H1, _H2).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def _union(self, names: list[str]) -> DataFrame:
+        schema = f"{_H1} long, {_H2} long, n_docs long, last_doc {self.kind}"
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for name in names])
 
-    def ledger(self) -> DataFrame:
-        """All runs as one: h1, h2, n_docs, last_doc."""
-        return self._merge([run for level in self.levels for run in level])
+    def ledger(self, min_docs: int = 1) -> DataFrame:
+        """Hashes, n_docs and last_doc of the keys that at least min_docs documents hold."""
+        rows = self._union(self.runs())
+        if self.repeats:
+            again = self._union(self.repeats)
+            # Only keys that repeat, or are frequent in one run, can be frequent.
+            if min_docs > 1:
+                asked = again.select(_H1, _H2).distinct()
+                rows = rows.where(F.col("n_docs") >= min_docs).unionByName(rows.where(F.col("n_docs") < min_docs).join(asked, [_H1, _H2], "left_semi"))
+            rows = rows.unionByName(again)
+        return rows.groupBy(_H1, _H2).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).where(F.col("n_docs") >= min_docs)
 
-    def unseen(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The occurrences of a batch whose keys no run holds: the batch merge-anti-joined with the runs."""
-        return self.occurrences(docs, id_col, text_col).join(self.ledger(), [_H1, _H2], "left_anti")
+    def clear(self) -> None:
+        self.drop(*self.runs(), *self.repeats)
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines removed that at least min_docs documents hold, except in the largest id holding them;
     adds n_lines, n_dropped (long). The documents enter the ledger in `batches` batches of whole documents."""
     docs = common.without(docs, "n_lines", "n_dropped")
-    runs = LineRuns(docs.sparkSession, min_chars, fanout)
-    occurrences = common.stash(runs.occurrences(docs, id_col, text_col), "occurrences")
+    runs = LineRuns(docs.sparkSession, min_chars=min_chars, fanout=fanout)
+    found = common.stash(occurrences(docs, min_chars, id_col, text_col), "occurrences")
     part = F.pmod(F.xxhash64("_line_doc", F.lit("batch")), F.lit(batches))
     for b in range(batches):
-        runs.add_occurrences(occurrences.where(part == b))
-    frequent = common.stash(runs.ledger().where(F.col("n_docs") >= min_docs).select(_H1, _H2, "last_doc"), "frequent")
-    # A document's lines lose those that the runs hold for a larger id.
+        runs.add_occurrences(found.where(part == b))
+    frequent = common.stash(runs.ledger(min_docs).select(_H1, _H2, "last_doc"), "frequent")
+    runs.clear()
+    # The places of lines that the runs hold for a larger id, by row.
     lost = (
-        occurrences.join(frequent, [_H1, _H2]).where(F.col("_line_doc") < F.col("last_doc"))
-        .groupBy("_line_doc").agg(F.collect_set(F.struct(F.col(_H1).alias("h1"), F.col(_H2).alias("h2"))).alias("_lost"))
+        found.join(frequent, [_H1, _H2]).where(F.col("_line_doc") < F.col("last_doc"))
+        .groupBy("_line_doc", "_line_text").agg(F.array_sort(F.collect_set("_line_pos")).alias("_line_lost"))
     )
-    joined = docs.join(lost, docs[id_col] == lost["_line_doc"], "left")
-    lines = _lines(F.col(text_col))
-    stays = F.filter(lines, lambda x: (F.length(x) < min_chars) | ~F.array_contains(F.col("_lost"), _key_hash(x)))
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(stays)
-    out = joined.select(*[docs[c] for c in docs.columns if c != text_col], F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept"))
-    return out.select(
-        *[F.col(c) if c != text_col else F.array_join("_kept", "\n").alias(text_col) for c in docs.columns],
-        "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"),
+    lost = common.stash(lost, "lost")
+    common.unstash(found, frequent)
+    names = {c: f"_column{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    text = F.col(names[text_col])
+    joined = plain.join(lost, (F.col(names[id_col]) == F.col("_line_doc")) & (F.xxhash64(text) == F.col("_line_text")), "left")
+    # Each run of lines between two lost ones is sliced out whole, so the work follows the lines.
+    lines = joined.withColumn("_lines", _lines(text))
+    begins = F.concat(F.array(F.lit(0)), F.transform("_line_lost", lambda x: x + 1))
+    ends = F.concat(F.col("_line_lost"), F.array(F.size("_lines")))
+    spans = F.arrays_zip(begins.alias("b"), ends.alias("e"))
+    kept = F.flatten(F.transform(spans, lambda s: F.slice(F.col("_lines"), s["b"] + 1, s["e"] - s["b"])))
+    kept = F.when(F.col("_line_lost").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return lines.select(
+        *[(kept if c == text_col else F.col(n)).alias(c) for c, n in names.items()],
+        F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_line_lost"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
