@@ -4,21 +4,22 @@ Each document gets a fractional number of copies, its source's target over its s
 as it stands; the fractions are rounded dependently. A pivot step takes two documents with fractions and moves
 words - not probabilities - between them, in a random direction chosen so that neither expectation changes, until one
 of the two is whole. The words of a source are thereby kept exactly, step by step, and only the very last fraction of
-a source is rounded for itself, to the nearer side, so a source misses its target by at most half a document. The
-last bucket makes even that up: it flips a few settled documents, largest first, while each brings the total nearer.
+a source is drawn for itself, so a source misses its target by less than that one document and every document keeps
+its expected number of copies.
 
 Steps run as a reduction tree. At each level the open documents of a source are dealt by hash into buckets of about
-`bucket` rows; one task folds a bucket, largest first, and leaves at most one open document for the next level.
-Large documents are settled while many small ones can still balance them, so what remains is small. A source with a
-third of all rows is many buckets. All draws come from hashes of ids and the seed: reruns agree.
+`bucket` rows; one task folds a bucket, largest first, and leaves at most one open document for the next level. Where all
+fractions of a bucket are equal, as they are at first, a document is paired with all smaller ones at once, which
+give or take words alike: large documents are settled while the many small ones together can balance them, so what
+remains is small. A source with a third of all rows is many buckets. All draws come from hashes of ids and the seed: reruns agree.
 
 Targets. Sources in code-point order, null last, weigh `weights`, repeating. They share `share` of all sizes by
 weight; a target stops at `most` times its source's size and the excess is shared again by weight until none is above.
-This is min(most * size, level * weight) for one common level, found by adding up which sources are capped, one pass
-over the table of sources for each change of that set.
+This is min(most * size, level * weight) for one common level, found in one pass over the sources in the order in which a
+rising level caps them.
 
 Defined results: a null or empty text has size 0, is never open and takes 0 words; rows with equal id, source and
-size are one document of their joint size, so they are taken together; a null id is an id like others; if all sizes
+text are one document of their joint size, so they are taken together; a null id is an id like others; if all sizes
 are 0, so are all targets. Columns named like a result column are replaced.
 """
 
@@ -37,8 +38,7 @@ _RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text):
-    """Number of white-space separated words of a text column; null has none. The text with each white-space
-    character made a blank is counted by where words begin, without listing them."""
+    """Number of white-space separated words of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
@@ -49,19 +49,15 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.0, most
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    table = common.stash(totals.withColumn("weight", weight), "sources")
+    table = common.stash(totals.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size")), "sources")
     wanted = (table.agg(F.sum("source_size")).first()[0] or 0) * share
-    level, capped = 0.0, -1
-    for _ in range(1000):
-        over = F.lit(most) * F.col("source_size") <= F.lit(level) * F.col("weight")
-        row = table.agg(
-            F.count_if(over).alias("n"), F.sum(F.when(over, F.lit(most) * F.col("source_size"))).alias("full"),
-            F.sum(F.when(~over, F.col("weight"))).alias("open"),
-        ).first()
-        if row["n"] == capped or not row["open"]:
-            break
-        capped, level = row["n"], (wanted - (row["full"] or 0.0)) / row["open"]
-    return table.select("source", "source_size", F.least(F.lit(most) * F.col("source_size"), F.lit(level) * F.col("weight")).alias("target"), "n_docs")
+    capped = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    before = F.coalesce(F.sum("cap").over(capped.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    level = (F.lit(float(wanted)) - before) / F.sum("weight").over(capped.rowsBetween(0, Window.unboundedFollowing))
+    # The first source that its level does not cap; without one, all are capped.
+    row = table.select(level.alias("level"), (F.col("cap") / F.col("weight")).alias("reach")).where("level < reach").agg(F.min_by("level", "reach")).first()
+    top = F.col("cap") if row[0] is None else F.least("cap", F.lit(row[0]) * F.col("weight"))
+    return table.select("source", "source_size", top.alias("target"), "n_docs")
 
 
 def _draw(a: np.ndarray, seed: int) -> float:
@@ -72,12 +68,12 @@ def _draw(a: np.ndarray, seed: int) -> float:
 
 
 def fold(keys, sizes, parts, seed: int, last: bool):
-    """Pivot steps over documents in the given order; the fractions afterwards: 0 or 1 for all but at most one, or
-    for all if `last`."""
+    """Pivot steps over documents in the given order; the fractions afterwards: 0 or 1 for all but at most one, or, the
+    last one drawn, for all if `last`."""
     x, keys = list(map(float, parts)), np.asarray(keys, dtype=np.uint64)
-    held = None
+    held = _fold_equal(x, keys, sizes, seed) if len(set(x)) == 1 else None
     for i in range(len(x)):
-        if not 0.0 < x[i] < 1.0:
+        if not 0.0 < x[i] < 1.0 or i == held:
             continue
         if held is None:
             held = i
@@ -94,17 +90,27 @@ def fold(keys, sizes, parts, seed: int, last: bool):
         x[h], x[i] = _snap(x[h]), _snap(x[i])
         held = h if 0.0 < x[h] < 1.0 else i if 0.0 < x[i] < 1.0 else None
     if last and held is not None:
-        whole = float(x[held] >= 0.5)
-        _settle(x, sizes, (whole - x[held]) * float(sizes[held]), held)
-        x[held] = whole
+        x[held] = float(_draw(keys[[held, held]], seed) < x[held])
     return x
 
 
-def _settle(x: list, sizes, excess: float, held: int) -> None:
-    """Flip documents, largest first, as long as that brings the excess of words nearer to 0."""
-    for i, size in enumerate(sizes):
-        if i != held and 0 < size < 2 * abs(excess) and x[i] == (1.0 if excess > 0 else 0.0):
-            x[i], excess = (0.0, excess - float(size)) if excess > 0 else (1.0, excess + float(size))
+def _fold_equal(x: list, keys: np.ndarray, sizes, seed: int) -> int | None:
+    """Pivot steps between each document and all that follow it, which share one fraction; the one left open, if any."""
+    part, rest = x[0], np.concatenate((np.cumsum(np.asarray(sizes, dtype=float)[::-1])[::-1], [0.0])).tolist()
+    for i in range(len(x) if 0.0 < part < 1.0 else 0):
+        size, words = float(sizes[i]), rest[i + 1]
+        if not words:
+            x[i] = part
+            return i
+        up, down = min((1.0 - part) * size, part * words), min(part * size, (1.0 - part) * words)
+        if _draw(keys[[i, i + 1]], seed) * (up + down) < down:
+            x[i], part = (1.0 if up == (1.0 - part) * size else _snap(part + up / size)), (0.0 if up == part * words else _snap(part - up / words))
+        else:
+            x[i], part = (0.0 if down == part * size else _snap(part - down / size)), (1.0 if down == (1.0 - part) * words else _snap(part + down / words))
+        if part in (0.0, 1.0):
+            x[i + 1 :] = [part] * (len(x) - i - 1)
+            return i if 0.0 < x[i] < 1.0 else None
+    return None
 
 
 def _snap(v: float) -> float:
@@ -125,14 +131,17 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: fl
     """docs with size, source_size (long), target (double, of the source), copies (int) and taken (long: size times
     copies). No document is taken more than ceil(most) times."""
     docs = common.without(docs, *_RESULTS)
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    items = common.stash(narrow.groupBy("_id", "source", "size").agg(F.count("*").alias("rows")), "items")
+    names = {c: f"_column{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    text_key = F.xxhash64(names[text_col])
+    narrow = docs.select(F.col(names[id_col]).alias("_id"), F.col(names[source_col]).alias("source"), text_key.alias("_text"), word_count(F.col(names[text_col])).alias("size"))
+    items = common.stash(narrow.groupBy("_id", "source", "_text").agg(F.first("size").alias("size"), F.count("*").alias("rows")), "items")
     targets = common.stash(source_targets(items.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, most), "targets")
     mine = targets.withColumnRenamed("source", "_s").where("source_size > 0")
     ratio = F.col("target") / F.col("source_size")
     named = items.join(mine, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "_id", "source", "size", "source_size", "target", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("part"),
-        (F.col("size") * F.col("rows")).alias("mass"), F.xxhash64("_id", "source", "size").alias("key"), F.xxhash64("source").alias("src"),
+        "_id", "source", "_text", "size", "source_size", "target", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("part"),
+        (F.col("size") * F.col("rows")).alias("mass"), F.xxhash64("_id", "source", "_text").alias("key"), F.xxhash64("source").alias("src"),
     )
     named = common.stash(named, "named")
     live = named.where("mass > 0 AND part > 0 AND part < 1").select("key", "src", "mass", "part")
@@ -146,17 +155,19 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: fl
         live, count, level = done.where("part > 0 AND part < 1"), parts if parts > 1 else 0, level + 1
     if settled is None:
         settled = named.select("key", "src").limit(0)
-    copies = named.join(settled.distinct().withColumn("_one", F.lit(1)), ["key", "src"], "left").select(
-        F.col("_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), "source_size", "target",
+    copies = named.join(settled.distinct().withColumn("_one", F.lit(1)), ["key", "src"], "left")
+    copies = copies.select(
+        F.col("_id").alias("_i"), F.col("source").alias("_s"), F.col("_text").alias("_t"), "size", "source_size", "target",
         (F.col("whole") + F.coalesce("_one", F.lit(0))).cast("int").alias("copies"),
     )
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
-    out = sized.join(copies, sized[id_col].eqNullSafe(copies["_i"]) & sized[source_col].eqNullSafe(copies["_s"]) & (sized["size"] == copies["_n"]), "left")
+    keyed = docs.withColumn("_text", text_key)
+    same = keyed[names[id_col]].eqNullSafe(copies["_i"]) & keyed[names[source_col]].eqNullSafe(copies["_s"]) & (keyed["_text"] == copies["_t"])
     zero = F.lit(0)
-    return out.select(
-        *[sized[c] for c in docs.columns], sized["size"], F.coalesce("source_size", zero).cast("long").alias("source_size"),
+    # Documents of a source without words are in no bucket and not among the copies.
+    return keyed.join(copies, same, "left").select(
+        *[F.col(n).alias(c) for c, n in names.items()], F.coalesce("size", zero).cast("long").alias("size"), F.coalesce("source_size", zero).cast("long").alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("copies", zero).cast("int").alias("copies"),
-        (sized["size"] * F.coalesce("copies", zero)).cast("long").alias("taken"),
+        F.coalesce(F.col("size") * F.col("copies"), zero).cast("long").alias("taken"),
     )
 
 
