@@ -133,16 +133,6 @@ def _first_lists(vectors: DataFrame, count: int, k: int, tables: int, block: int
     """Lists from buckets of random hyperplanes; a bucket of more than `block` nodes is dealt into several by hash."""
     bits = max(0, math.ceil(math.log2(max(1, count) / (block / 2))))
 
-    @F.pandas_udf("array<long>")
-    def codes(unit: pd.Series) -> pd.Series:
-        out = []
-        for u in unit:
-            x = np.frombuffer(u, dtype=np.float32)
-            planes = np.random.default_rng([5, len(x), first]).standard_normal((tables * max(bits, 1), len(x)), dtype=np.float32)
-            sign = (planes @ x > 0).reshape(tables, -1)
-            out.append((sign[:, :bits].astype(np.int64) << np.arange(bits)).sum(axis=1) * 4096 + len(x) % 4096)
-        return pd.Series(out)
-
     def coded(batches):
         planes = {}
         for pdf in batches:
@@ -152,13 +142,13 @@ def _first_lists(vectors: DataFrame, count: int, k: int, tables: int, block: int
                 if len(x) not in planes:
                     planes[len(x)] = np.random.default_rng([5, len(x), first]).standard_normal((tables * max(bits, 1), len(x)), dtype=np.float32)
                 sign = (planes[len(x)] @ x > 0).reshape(tables, -1)[:, :bits].astype(np.int64)
-                rows.append((sign << np.arange(bits)).sum(axis=1) * 4096 + len(x) % 4096)
-            yield pd.DataFrame({"node": pdf["node"], "codes": rows})
+                rows.append((sign << np.arange(bits)).sum(axis=1))
+            yield pd.DataFrame({"node": pdf["node"], "length": pdf["vec"].map(len), "codes": rows})
 
-    coded_rows = vectors.select("node", "vec").mapInPandas(coded, "node long, codes array<long>")
-    rows = common.stash(coded_rows.select("node", F.posexplode("codes").alias("t", "code")), "codes")
-    sizes = rows.groupBy("t", "code").agg(F.count("*").alias("m"))
-    dealt = rows.join(sizes, ["t", "code"]).select("node", F.xxhash64("t", "code", F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("m") / block).cast("long"))).alias("bucket"))
+    coded_rows = vectors.select("node", "vec").mapInPandas(coded, "node long, length long, codes array<long>")
+    rows = common.stash(coded_rows.select("node", "length", F.posexplode("codes").alias("t", "code")), "codes")
+    sizes = rows.groupBy("t", "code", "length").agg(F.count("*").alias("m"))
+    dealt = rows.join(sizes, ["t", "code", "length"]).select("node", F.xxhash64("t", "code", "length", F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("m") / block).cast("long"))).alias("bucket"))
     held = _held(vectors)
     grouped = dealt.join(vectors.select(held), "node").repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", *held)
     edges = grouped.mapInArrow(_segments("bucket", _best_in_groups(k), ["node", "nbr", "sim"], _EDGE_TYPES), _EDGE)
@@ -387,7 +377,7 @@ def _audit(vectors: DataFrame, linked: DataFrame, threshold: float, audited: int
 
 
 def _audited(vectors: DataFrame, linked: DataFrame, threshold: float, audited: int) -> tuple[float, list[tuple[int, int]]]:
-    chosen = vectors.select("node", "unit", "rows").orderBy(F.xxhash64("node", F.lit("audit"))).limit(audited)
+    chosen = vectors.select("node", "unit", "rows").orderBy(F.xxhash64("unit", F.lit("audit")), "node").limit(audited)
     rows = chosen.join(linked, "node", "left").select("node", "unit", "rows", F.coalesce("linked", "rows").alias("found")).collect()
     held = vectors.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["unit"])) for r in rows])
 
@@ -419,15 +409,16 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, k: int = 8, tables:
     """id, n_links, component_id, kept, and audit_recall (double, of the last audit) for every row."""
     ids = table.schema[id_col].dataType.simpleString()
     units = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(_unit_rows, f"id {ids}, unit binary")
-    units = common.stash(units.withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("unit"))), "units")
+    units = common.stash(units, "units")
 
     def single(batches):
         for pdf in batches:
             yield pdf.assign(vec=[np.frombuffer(u).astype(np.float32).tobytes() for u in pdf["unit"]])
 
-    nodes = units.where("node IS NOT NULL").groupBy("node").agg(F.first("unit").alias("unit"), F.count("*").alias("rows"), F.min("id").alias("root"))
-    kinds = f"node long, unit binary, rows long, root {ids}, vec binary"
-    vectors = common.stash(nodes.mapInPandas(single, kinds), "vectors")
+    # Equal vectors are one node, told apart by all their bytes; it has a number of its own.
+    nodes = units.where("unit IS NOT NULL").groupBy("unit").agg(F.count("*").alias("rows"), F.min("id").alias("root"))
+    kinds = f"unit binary, rows long, root {ids}, vec binary"
+    vectors = common.stash(nodes.mapInPandas(single, kinds).withColumn("node", F.monotonically_increasing_id()), "vectors")
     count, share, attempt = vectors.count(), 1.0, 0
     lists = None
     while True:
@@ -456,8 +447,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, k: int = 8, tables:
     named = vectors.select("node", "root", "rows").join(comps, "node", "left").join(linked, "node", "left")
     named = named.select("node", "root", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", "rows") - 1).alias("n_links"))
     least = named.groupBy("component").agg(F.min("root").alias("component_id"))
-    per_node = named.join(least, "component").select("node", "n_links", "component_id")
-    out = units.select("id", "node").join(per_node, "node", "left")
+    per_node = named.join(least, "component").join(vectors.select("node", "unit"), "node").select("unit", "n_links", "component_id")
+    out = units.join(per_node, "unit", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(share))
 
