@@ -75,11 +75,13 @@ def vector_links(rows, threshold):
 def contained(docs, items, k, num, den):
     out = {}
     for d, text in docs:
-        grams = set(zip(*[words(text)[j:] for j in range(k)], strict=False))
+        own = words(text)
         for i, t in items:
-            own = set(zip(*[words(t)[j:] for j in range(k)], strict=False))
-            if own and den * len(own & grams) >= num * len(own):
-                out[d, i] = (len(own & grams), len(own))
+            w = min(k, len(words(t)))
+            asked = shingle_set(t, k)
+            held = {tuple(own[j : j + w]) for j in range(len(own) - w + 1)}
+            if asked and den * len(asked & held) >= num * len(asked):
+                out[d, i] = (len(asked & held), len(asked))
     return out
 
 
@@ -101,3 +103,57 @@ def mix_targets(sizes, weights=(5, 2, 1), share=1.0, most=3.0):
         if not over:
             return target
         full |= over
+
+
+def text_statistics(text, features):
+    """The quality classifier's features, by name."""
+    text, out = text or "", {}
+    points, size = [ord(c) for c in text], max(1, len(text))
+    marks = {f[5:] for f in features if f.startswith("mark ")}
+    digits = [c for c in text if ord(c) < 0x3000 and c.isdigit() and c not in marks]
+    blanks = [c for c in text if ord(c) < 0x3000 and c.isspace()]
+    upper = [c for c in text if ord(c) < 0x3000 and c.isupper() and not c.isdigit()]
+    small = [c for c in text if ord(c) >= 0x3000 or (c.isalpha() and not c.isupper() and not c.isdigit())]
+    out["chars"], out["letters"] = np.log1p(len(text)), (len(upper) + len(small)) / size
+    out["upper"] = len(upper) / max(1, len(upper) + len(small))
+    out["digits"], out["space"] = len(digits) / size, len(blanks) / size
+    for m in marks:
+        out[f"mark {m}"] = text.count(m) / size
+    known = len(digits) + len(blanks) + len(upper) + len(small) + sum(text.count(m) for m in marks)
+    out["other"] = (len(points) - known) / size
+    own = words(text)
+    long = WORD.findall(text)
+    n = len(own)
+    pairs = {tuple(own[i : i + 2]) for i in range(max(1, n - 1))}
+    out["words"] = np.log1p(n) if n else 0.0
+    out["word length"] = sum(map(len, long)) / n if n else 0.0
+    out["short words"] = sum(len(x) <= 3 for x in long) / n if n else 0.0
+    out["long words"] = sum(len(x) >= 12 for x in long) / n if n else 0.0
+    out["distinct words"] = len(set(own)) / n if n else 0.0
+    out["distinct pairs"] = len(pairs) / max(1, n - 1) if n else 0.0
+    out["top word"] = max(own.count(x) for x in set(own)) / n if n else 0.0
+    lines = text.split("\n")
+    out["lines"], out["line length"] = np.log1p(len(lines)), np.log1p(sum(map(len, lines)) / len(lines))
+    out["distinct lines"], out["longest line"] = len(set(lines)) / len(lines), np.log1p(max(map(len, lines)))
+    return [out[f] for f in features]
+
+
+def trigrams(text):
+    """Counts of letter trigrams: runs of other characters are one blank, and a trigram's middle is a letter."""
+    low = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+    low = re.sub(" +", " ", f" {low} ")
+    out = defaultdict(int)
+    for i in range(1, len(low) - 1):
+        if low[i] != " ":
+            out[low[i - 1 : i + 2]] += 1
+    return out
+
+
+def hyper_bundle(text, letters, number):
+    """The bundle of a text's bound trigrams, one at a time. letters: a vector of each symbol; number: symbol of a character."""
+    total = np.zeros(letters.shape[1])
+    for gram, n in trigrams(text).items():
+        a, b, c = (letters[number(x)] for x in gram)
+        total += n * np.roll(a, 2) * np.roll(b, 1) * c
+    norm = np.linalg.norm(total)
+    return total / norm if norm else total

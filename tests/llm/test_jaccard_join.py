@@ -56,6 +56,13 @@ def test_edges(spark):
     assert got_of(spark, []) == []
 
 
+def test_null_ids_and_repeated_ids_link(spark):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(None, " ".join(base), "x"), (7, " ".join([*base[:200], "new", *base[201:]]), "x"), (9, " ".join(base[:-1]), "x"), (9, "something else entirely here", "x"), (None, "alone with words here", "x")]
+    got = sorted((r["n_shingles"], r["doc_id"] or -1, r["component_id"] or -1) for r in got_of(spark, rows, k=4, num=85, den=100))
+    assert got == [(1, -1, -1), (1, 9, 9), (396, 9, 7), (397, -1, 7), (397, 7, 7)]
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.01"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -26,6 +27,52 @@ def test_trees_learn_and_walk():
     assert quality.grow(np.zeros((0, 6)), np.zeros(0)).score(x[:3]).tolist() == [0.5] * 3
 
 
+ODD_TEXTS = [
+    None, "", " ", "\u3000\u2003", "\n\n", "a", "One two, THREE!\n\none two\n", "x" * 5000, "Ünïcode ĀĒ 漢字 ٣٤ ½ 😀\u00a0end", "a b\tc\x0bd\u2028e " * 40,
+    "same line here\n" * 30 + "#!{}<>", "9" * 40 + " $%&", "\u3000 \u3000 word",
+]
+
+
+def test_statistics_against_brute_force(monkeypatch):
+    for segment in (1 << 20, 64):
+        monkeypatch.setattr(quality.common, "_SEGMENT", segment)
+        quality.common._powers.clear()
+        for some in (ODD_TEXTS, *([t] for t in ODD_TEXTS)):
+            got = quality.statistics(pa.array(some, pa.string()))
+            assert np.isfinite(got).all()
+            assert np.allclose(got, [brute.text_statistics(t, quality.FEATURES) for t in some])
+    quality.common._powers.clear()
+
+
+def test_quality_against_brute_force(spark):
+    """Scores of the query by the plain features and a walk through each tree, node by node."""
+    small = f"{DATA}/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+
+    def walked(x):
+        total = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+            total += leaf[at - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.op6_quality(spark, small).collect()}
+    want = {i: walked(brute.text_statistics(t, quality.FEATURES)) for i, t in texts.items()}
+    assert got.keys() == want.keys() and np.mean([abs(got[i] - want[i]) < 1e-6 for i in want]) > 0.99  # rounding at a threshold
+
+
+def test_blank_text_spoils_no_bins(spark):
+    rows = [(i, "good words in a row " * 9 if i % 2 else "$$ ## 11 " * 9, i % 2) for i in range(1, 200)]
+    docs = spark.createDataFrame([*[r[:2] for r in rows], (0, "\u3000")], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, y) for i, _, y in rows], (0, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows]) > 0.99
+
+
 def test_quality_held_out(spark):
     got = {r["doc_id"]: r for r in quality.op6_quality(spark, BIG).collect()}
     labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()]
@@ -61,6 +108,34 @@ def test_language_held_out(spark):
         assert 0 <= r["score"] <= 1 and r["held_out"] == brute.held_out(r["doc_id"])
 
 
+def test_language_against_brute_force(spark, monkeypatch):
+    def number(c):
+        return 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (language_id.SYMBOLS - 27)
+
+    letters = language_id._letters()[2].astype(float)
+    for segment in (1 << 20, 64):
+        monkeypatch.setattr(language_id.common, "_SEGMENT", segment)
+        for some in (ODD_TEXTS, *([t] for t in ODD_TEXTS)):
+            got, extent = language_id.bundle(pa.array(some, pa.string()))
+            counts = [list(brute.trigrams(t).values()) for t in some]
+            assert np.allclose(got, [brute.hyper_bundle(t, letters, number) for t in some], atol=1e-5)
+            assert np.allclose(extent, [sum(c) ** 2 / max(1, sum(x * x for x in c)) for c in counts])
+    monkeypatch.undo()
+    small = f"{DATA}/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    sums = {}
+    for i, r in docs.items():  # at most 1000 of a language here, so no sample
+        if r["lang"] is not None and r["text"] is not None and not brute.held_out(i):
+            sums[r["lang"]] = sums.get(r["lang"], 0) + brute.hyper_bundle(r["text"], letters, number)
+    models = {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items())}
+    for r in language_id.op8_language_id(spark, small).collect():
+        v = brute.hyper_bundle(docs[r["doc_id"]]["text"], letters, number)
+        cosines = {lang: float(v @ m) for lang, m in models.items()}
+        best = max(cosines, key=cosines.get) if v.any() else "und"
+        assert r["score"] == pytest.approx(max(0, *cosines.values()) if v.any() else 0, abs=1e-4)
+        assert r["lang_pred"] == best or abs(cosines[r["lang_pred"]] - cosines[best]) < 1e-4
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (None, "the cat"), (3, "ok " * 300_000)], "doc_id long, text string").selectExpr("*", "'x' AS lang_pred", "1 AS score")
     known = spark.createDataFrame([(7, "the cat and the dog", "en"), (8, "le chat et le chien", "fr"), (9, None, "en"), (11, "x", None)], "doc_id long, text string, lang string")
@@ -77,7 +152,7 @@ def test_language_edges(spark):
 def test_contained(spark):
     rng = random.Random(5)
     vocab = [f"v{i}" for i in range(3000)]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate((4, 5, 6, 8, 9, 17, 33, 60, 120, 700))]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate((4, 5, 6, 8, 9, 17, 33, 60, 120, 700, 1, 2, 3))]
     docs = []
     for d in range(80):
         own = [rng.choice(vocab) for _ in range(rng.choice((3, 30, 300, 6000)))]
@@ -96,6 +171,10 @@ def test_contained(spark):
     for chars in (4_000_000, 2_000):
         got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontaminate.find_contained(df, bench, block_chars=chars).collect()}
         assert got == want | {(None, 6): (29, 29)}
+    named = bench.selectExpr("cast(item_id AS smallint) AS item_id", "text")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contained(df, named).collect()} == got.keys()
+    keyed = df.selectExpr("struct(doc_id AS a, 'x' AS b) AS doc_id", "text")
+    assert {(r["doc_id"]["a"], r["item_id"]) for r in decontaminate.find_contained(keyed, named).collect()} == got.keys()
     assert decontaminate.find_contained(df.limit(0), bench).collect() == []
     assert decontaminate.find_contained(df, bench.limit(0)).collect() == []
 
@@ -136,6 +215,12 @@ def test_vectors_empty_and_null_ids(spark):
     assert vector_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+def test_vectors_of_lengths_that_agree_modulo_4096(spark):
+    rows = [(i, [1.0, i % 3 * 2.0]) for i in range(6)] + [(10 + i, [1.0 + i % 3, *([0.5] * 4097)]) for i in range(6)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute.vector_links(rows, 0.95)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_vectors_of_the_table(spark, sf):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.op9_vector_dedup(spark, f"{DATA}/{sf}").collect()}

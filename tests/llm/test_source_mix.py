@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import brute
@@ -51,6 +52,47 @@ def test_fold_is_whole_and_keeps_the_words():
     assert sum(u[0] for u in ups) / 2000 == pytest.approx(0.3, abs=0.03)
 
 
+def test_fold_of_equal_fractions():
+    sizes = [5000, 900, 500, 40, 40, 30, 20, 10, 5, 3, 2, 1, 1]
+    total = [0.0] * len(sizes)
+    for seed in range(3000):
+        x = source_mix.fold(list(range(1, 14)), sizes, [0.3] * 13, seed, False)
+        assert sum(0 < v < 1 for v in x) <= 1 and sum(a * b for a, b in zip(x, sizes)) == pytest.approx(0.3 * sum(sizes))
+        x = source_mix.fold(list(range(1, 14)), sizes, [0.3] * 13, seed, True)
+        assert set(x) <= {0.0, 1.0}
+        total = [a + b for a, b in zip(total, x)]
+    assert [t / 3000 for t in total] == pytest.approx([0.3] * 13, abs=0.04)
+    rng = np.random.default_rng(1)
+    many = sorted(rng.pareto(1.2, 3000) * 50 + 1, reverse=True)
+    for seed in range(20):
+        x = source_mix.fold(list(range(3000)), many, [0.7] * 3000, seed, True)
+        assert abs(sum(a * b for a, b in zip(x, many)) - 0.7 * sum(many)) < 10  # what is left open at last is small
+
+
+def test_last_draw_keeps_expectations():
+    sizes, parts = [900, 500, 40, 30, 20, 10, 5, 1, 1], [0.3, 0.7, 0.5, 0.5, 0.1, 0.9, 0.4, 0.5, 0.5]
+    total = [0.0] * 9
+    for seed in range(4000):
+        x = source_mix.fold(list(range(1, 10)), sizes, parts, seed, True)
+        assert set(x) <= {0.0, 1.0}
+        total = [a + b for a, b in zip(total, x)]
+    assert [t / 4000 for t in total] == pytest.approx(parts, abs=0.04)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:04d}": (i * 7919) % 1000 for i in range(1500)} | {None: 5}
+    got = source_mix.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    want = brute.mix_targets(sizes)
+    assert len(got) == 1501 and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
+def test_long_text_and_clashing_names(spark):
+    rows = [(1, "a", "w " * 2_000_000), (2, "a", "one"), (3, "b", "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "'q' AS _text", "'r' AS key", "1 AS copies", "2 AS rows")
+    got = {r["doc_id"]: r for r in source_mix.mix_sources(df).collect()}
+    assert got[1]["size"] == 2_000_000 and got[2]["_text"] == "q" and got[3]["key"] == "r" and got[3]["size"] == 3
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.01"
     got = source_mix.op1_source_mix(spark, d).collect()

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -36,14 +37,36 @@ def test_lines(spark):
 
 
 def test_ledger_levels(spark):
-    runs = line_dedup.LineRuns(spark, min_chars=5, fanout=2)
-    for b in range(5):
-        runs.add(spark.createDataFrame([(10 * b + i, f"line number {i % 3}\nbatch {b} alone") for i in range(4)], "doc_id long, text string"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    runs = line_dedup.LineRuns(spark, min_chars=5, fanout=2, buckets=3)
+    batches = [spark.createDataFrame([(10 * b + i, f"line number {i % 3}\nbatch {b} alone") for i in range(4)], "doc_id long, text string") for b in range(5)]
+    for b in batches[:3]:
+        runs.add(b)
+    runs.save()
+    runs = line_dedup.LineRuns.open(spark, runs.path, fanout=2)  # another session goes on
+    for b in batches[3:]:
+        runs.add(b)
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and len(runs.repeats) == 4
+    held = [(r[line_dedup._H1], r[line_dedup._H2]) for name in runs.runs() for r in runs._table(name).collect()]
+    assert len(held) == len(set(held)) == 8  # no key stands in two runs
     counts = sorted((r["n_docs"], r["last_doc"]) for r in runs.ledger().collect())
     assert counts == sorted([(10, 43), (5, 41), (5, 42), *[(4, 10 * b + 3) for b in range(5)]])
+    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.ledger(5).collect()) == [(5, 41), (5, 42), (10, 43)]
     fresh = spark.createDataFrame([(99, "line number 0\nnever seen before")], "doc_id long, text string")
-    assert runs.unseen(fresh).count() == 1
+    keys = line_dedup.occurrences(fresh, 5, "doc_id", "text")
+    assert runs.unseen(keys).count() == 1
+    # Runs merge bucket by bucket: only the new keys move.
+    plan = runs.unseen(keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "SortMergeJoin" in plan
+    runs.clear()
+
+
+def test_many_lines_take_linear_time(spark):
+    body = "\n".join(f"line {i:06d} that five documents have in common" for i in range(100_000))
+    df = spark.createDataFrame([(i, f"{body}\nown {i}") for i in range(5)], "doc_id long, text string").selectExpr("*", "1 AS _lost", "2 AS _kept", "3 AS _lines")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert [got[i]["text"] for i in range(4)] == [f"own {i}" for i in range(4)] and got[4]["n_dropped"] == 0 and got[0]["n_dropped"] == 100_000
+    assert got[4]["text"] == f"{body}\nown 4" and time.monotonic() - began < 120
 
 
 # ---------------------------------------------------------------- secrets
@@ -70,7 +93,7 @@ SECRETS = [
 
 def test_secrets(spark):
     df = spark.createDataFrame(SECRETS, "doc_id long, text string, spans string")
-    rows = secret_scan.scan_secrets(df)[0].collect()
+    rows = secret_scan.scan_secrets(df.selectExpr('*', '1 AS _spans', '2 AS least')).collect()
     assert len(rows) == len(SECRETS)
     want = {(i, brute_spans(t)) for i, t, _ in SECRETS}
     for r in rows:
@@ -78,22 +101,40 @@ def test_secrets(spark):
         assert (r["doc_id"], base) in want
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert r["n_assign"] + r["n_access"] + r["n_hex"] == (len(base.split(",")) if base else 0)
-    assert secret_scan.scan_secrets(df.limit(0))[0].collect() == []
+    assert secret_scan.scan_secrets(df.limit(0)).collect() == []
 
 
 def test_ledger_is_incremental(spark):
     first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "nothing")], "doc_id long, text string")
     more = spark.createDataFrame([(3, "token=abcdefgh"), (4, "AKIA" + "B" * 16)], "doc_id long, text string")
-    _, ledger = secret_scan.scan_secrets(first)
-    todo = secret_scan.scan_unseen(secret_scan.address(more), ledger)
+    ledger = secret_scan.BlobLedger(spark, fanout=3)
+    secret_scan.scan_secrets(first, ledger=ledger)
+    todo = secret_scan.scan_unseen(secret_scan.address(more), ledger.read())
     assert {r["blob"] for r in todo.collect()} == {hashlib.sha256(("AKIA" + "B" * 16).encode()).hexdigest()}
-    found, ledger = secret_scan.scan_secrets(more, ledger=ledger)
+    found = secret_scan.scan_secrets(more, ledger=ledger)
     assert {r["doc_id"]: r["spans"] for r in found.collect()} == {3: "assign:0:14", 4: "access:0:20"}
+    rows = ledger.read().count()
+    assert rows == 3 * len(secret_scan.RULES)
+    # Opened again by its folder, nothing of either increment is scanned a second time; the third append compacts.
+    again = secret_scan.BlobLedger(spark, ledger.path, fanout=3)
+    both = secret_scan.address(first.unionByName(more))
+    assert secret_scan.scan_unseen(both, again.read()).count() == 0
+    assert {r["doc_id"]: r["n_assign"] for r in secret_scan.scan_secrets(first.unionByName(more), ledger=again).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+    assert again._now()[1] == 0 and again.read().count() == rows
+    ledger = again.read()
     newer = tuple(secret_scan.Rule(r.kind, 2, r.pattern, r.group, r.least) if r.kind == "hex" else r for r in secret_scan.RULES)
     again = secret_scan.scan_unseen(secret_scan.address(first), ledger, newer).collect()
     assert {r["kind"] for r in again} == {"hex"} and len(again) == 2
 
 
+def test_many_matches_take_linear_time(spark):
+    text = "x token=abcdefgh " * 100_000
+    began = time.monotonic()
+    row = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_assign"] == 100_000 and row["spans"].endswith(f"assign:{17 * 99_999 + 2}:{17 * 100_000 - 1}")
+    assert time.monotonic() - began < 60
+
+
 # ---------------------------------------------------------------- licences
 
 
