@@ -58,6 +58,31 @@ def bilinear(points: DataFrame, pixels: DataFrame, by: list[str] | None = None,
     return points.join(blended.select(*by, "u", "v", *byte), [*by, "u", "v"], "left")
 
 
+COLOURS = ("red", "green", "blue")
+
+
+def fan_out(points: DataFrame, pixels: DataFrame, camera: g.Camera, reach: Column, by: list[str] | None = None, usable: Column | None = None, near: float = 0.0, far: float = 180.0, gamma: float = 0.62, bands: int = 256) -> DataFrame:
+    """Each point (by, x, y, z in the camera's frame, other columns) in up to three products: `lidar`, coloured by its
+    range `reach`; `rgb`, where its image (by, px, py, r, g, b) shows it; and `mixed`, by its image where that shows
+    it, else by its range in whole numbers. usable: a condition of points whose image may be used (see usable_image)."""
+    by = by or []
+    tinted = points.select("*", *[c.alias(f"_{n}") for c, n in zip(g.depth_colour(reach, near, far, gamma, bands), COLOURS, strict=True)])
+    tinted = tinted.withColumn("_use", F.lit(True) if usable is None else F.coalesce(usable, F.lit(False)))
+    keyed = tinted.withColumn("_point", F.monotonically_increasing_id())
+    asked = keyed.where("_use")
+    seen = visible(asked.select(*by, "x", "y", "z", "_point"), camera, by)
+    # The number of a point lives within one plan, so the colours come back with the whole row.
+    coloured = bilinear(seen.select(*by, "u", "v", "_point"), pixels, by).where("r IS NOT NULL").select(F.col("_point").alias("_p"), "r", "g", "b")
+    joined = keyed.join(coloured, F.col("_point") == F.col("_p"), "left")
+    whole = [F.coalesce(F.col(c), F.floor(F.col(f"_{n}") + 0.5)).cast("double").alias(n) for c, n in zip("rgb", COLOURS, strict=True)]
+    one = lambda name, cols, when: F.when(when, F.struct(F.lit(name).alias("product"), *cols))
+    image = [F.col(c).cast("double").alias(n) for c, n in zip("rgb", COLOURS, strict=True)]
+    outputs = F.filter(F.array(
+        one("mixed", whole, F.lit(True)), one("lidar", [F.round(f"_{n}", 3).alias(n) for n in COLOURS], F.lit(True)), one("rgb", image, F.col("r").isNotNull())
+    ), lambda o: o.isNotNull())
+    return joined.select(*points.columns, F.explode(outputs).alias("_o")).select(*points.columns, "_o.*")
+
+
 def laplacian_variance(pixels: DataFrame, by: list[str], value: str = "grey") -> DataFrame:
     """by, sharpness: the population variance of the 4-neighbour Laplacian over the inner pixels. Every pixel sends its
     share to itself and its neighbours; whoever gets all five is inner. One shuffle, no sort."""

@@ -19,12 +19,12 @@ def with_cells(points: DataFrame, size: float, single: bool = False) -> DataFram
     return points.select(*rest, *[g.cell(F.col(a), size, single).alias(k) for a, k in zip(AXES, KEY, strict=True)])
 
 
-def centroids(points: DataFrame, size: float, limit: float = 1e7) -> DataFrame:
-    """vx, vy, vz, x, y, z (means), n. Points that are not finite or beyond limit go."""
+def centroids(points: DataFrame, size: float, limit: float = 1e7, by: list[str] | None = None) -> DataFrame:
+    """(by,) vx, vy, vz, x, y, z (means), n. Points that are not finite or beyond limit go."""
     ok = g.finite(*[F.col(a) for a in AXES])
     for a in AXES:
         ok = ok & (F.abs(F.col(a)) <= limit)
-    return with_cells(points.where(ok), size).groupBy(*KEY).agg(*[F.avg(a).alias(a) for a in AXES], F.count("*").alias("n"))
+    return with_cells(points.where(ok), size).groupBy(*(by or []), *KEY).agg(*[F.avg(a).alias(a) for a in AXES], F.count("*").alias("n"))
 
 
 def weighted(points: DataFrame, size: float, values=AXES, weight: str = "w") -> DataFrame:

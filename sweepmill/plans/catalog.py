@@ -1,7 +1,7 @@
 """The driver-facing queries and their SQL, by module."""
 
-from . import clouds, live, places, surfaces, timelines
+from . import clouds, live, motions, places, surfaces, timelines
 
-_MODULES = (clouds, timelines, surfaces, places, live)
+_MODULES = (clouds, timelines, surfaces, places, motions, live)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
