@@ -16,8 +16,9 @@ proportion to it; sets near a step of J index both steps.
 
 Candidates. Sets that share signatures are first paired with one hub for each signature, in proportion to the rows.
 Verified hubs are contracted; only signatures that still hold several components give further candidates, each
-member outside the largest one with the others, as far as the counts of their rare tokens allow a link at all.
-Nothing in one component is paired again, so large groups of near copies cost their hub pairs, and no link between
+member outside the largest one with the others, as far as the counts of their rare tokens and, for pairs of frequent
+ones, their sketches allow a link at all: a sketch has one bit for each of 512 classes of tokens, odd or even, and two
+sets differ in at least as many tokens as their sketches in bits, so no link is lost. Nothing in one component is paired again, so large groups of near copies cost their hub pairs, and no link between
 components is missed. Candidates are verified on whole sets.
 
 Rows. Texts are tokenised where they lie; what moves is a row of three numbers for each signature (the signature, the
@@ -40,6 +41,7 @@ from . import common, graph
 
 #: Keys of 8 bytes each are sent to all executors up to this many (8 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+SKETCH = [f"s{i}" for i in range(8)]
 _U = np.uint64
 
 
@@ -202,6 +204,17 @@ def _signature_rows(measure: Measure):
     return run
 
 
+def _sketches(batches):
+    """mapInArrow: node, tokens -> node, s0 .. s7: whether each class of tokens has an odd number."""
+    for batch in batches:
+        at, tokens = _flat(batch.column("tokens"))
+        tokens = common.mix64(tokens.view(np.uint64) ^ _U(0x2545_F491_4F6C_DD1D)) & _U(511)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        bits = np.bincount(owner * 512 + tokens[at[0] : at[-1]].astype(np.int64), minlength=batch.num_rows * 512) & 1
+        words = np.packbits(bits.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64).reshape(-1, 8)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(8)]], names=["node", *SKETCH])
+
+
 def _repeated(batches):
     """mapInArrow over rows sorted by sig: pairs, and the singles that a neighbouring row has too. The last row of a batch
     waits for the next one."""
@@ -219,9 +232,9 @@ def _repeated(batches):
         yield last
 
 
-def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rare_max: int) -> DataFrame:
+def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rare_max: int) -> tuple[DataFrame, DataFrame]:
     """sig (odd: a single token, even: a pair), node, info (n, count of rare tokens, whether these suffice) of all nodes
-    that share a token with another in what they look at."""
+    that share a token with another in what they look at; and sketches (node, s0 .. s7) of those that may have pairs."""
 
     def frequent(rows: DataFrame) -> DataFrame:
         return rows.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > rare_max).select("token")
@@ -248,8 +261,11 @@ def _signatures(docs: DataFrame, nodes: DataFrame, measure: Measure, k: int, rar
     # Rare tokens have few rows each; a pair may have any number, so its rows are dealt out further.
     salt = F.when(F.col("sig") % 2 == 0, F.col("node") % 64).otherwise(0)
     out = common.stash(rows.repartition("sig", salt).sortWithinPartitions("sig").mapInArrow(_repeated, kinds), "signatures")
+    # Pairs come from nodes that have looked at whole sets.
+    sketches = seen.join(nodes.select("node", "n"), "node").where(F.size("tokens") == F.col("n")).join(hits.select("node").distinct(), "node", "left_semi")
+    sketches = common.stash(sketches.select("node", "tokens").mapInArrow(_sketches, "node long, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
     common.unstash(first, deep, sets, often, late, more)
-    return out
+    return out, sketches
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, measure: Measure, k: int) -> DataFrame:
@@ -297,7 +313,7 @@ def _hub_pairs(sigs: DataFrame, measure: Measure) -> DataFrame:
     return _counted(met.select(F.col("node").alias("a"), F.col("info").alias("p"), "b", "q", "sig"), measure)
 
 
-def _cross_pairs(sigs: DataFrame, comps: DataFrame, measure: Measure) -> DataFrame:
+def _cross_pairs(sigs: DataFrame, sketches: DataFrame, comps: DataFrame, measure: Measure) -> DataFrame:
     """The pairs between components that signatures still hold together.
 
     Two sets that are not full and share no rare token can link only if the rare tokens of both are few. Those with
@@ -308,14 +324,16 @@ def _cross_pairs(sigs: DataFrame, comps: DataFrame, measure: Measure) -> DataFra
     n, rare, _ = _facts(F.col("info"))
     heavy = (F.col("sig") % 2 == 0) & (2 * measure.num * rare > (measure.den - measure.num) * n)
     mixed = rows.join(mixed.select("sig", F.col("main.component").alias("main")), "sig").select("sig", "node", "info", "component", "main", heavy.alias("heavy"))
-    mixed = common.stash(mixed, "mixed")
+    mixed = common.stash(mixed.join(sketches, (F.col("sig") % 2 == 0) & (mixed["node"] == sketches["node"]), "left").drop(sketches["node"]), "mixed")
     s, o = mixed.where("component <> main").alias("s"), mixed.alias("o")
     (n, rare, _), (m, rare2, _) = _facts(F.col("s.info")), _facts(F.col("o.info"))
     fits = (measure.den * F.least(n, m)) >= (measure.num * F.greatest(n, m))
     most = F.least(n - rare, m - rare2)  # of the intersection, without a rare token
     few = (F.col("s.sig") % 2 != 0) | ((measure.den + measure.num) * most >= measure.num * (n + m))
     once = (F.col("o.component") == F.col("o.main")) | (F.col("s.node") < F.col("o.node"))
-    good = (F.col("s.sig") == F.col("o.sig")) & (F.col("s.component") != F.col("o.component")) & once & fits & few
+    apart = sum((F.bit_count(F.col(f"s.{c}").bitwiseXOR(F.col(f"o.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col("s.s0").bitwiseXOR(F.col("o.s0"))))
+    near = F.coalesce((measure.den + measure.num) * apart <= (measure.den - measure.num) * (n + m), F.lit(True))
+    good = (F.col("s.sig") == F.col("o.sig")) & (F.col("s.component") != F.col("o.component")) & once & fits & few & near
     swap = F.col("s.node") < F.col("o.node")
     cols = [F.when(swap, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for x, y, c, name in (("s", "o", "node", "a"), ("s", "o", "info", "p"), ("o", "s", "node", "b"), ("o", "s", "info", "q"))]
     light = s.join(o.where("NOT heavy"), good).select(*cols, "s.sig")
@@ -335,13 +353,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, r
     nodes = prep.where("n > 0").groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("n", "_tkey", "region")], F.min("_id").alias("root"))
     nodes = common.stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     common.unstash(prep)
-    sigs = _signatures(docs, nodes, measure, k, rare_max)
+    sigs, sketches = _signatures(docs, nodes, measure, k, rare_max)
     near = _verified(docs, nodes, _hub_pairs(sigs, measure), measure, k)
     comps = graph.components(near)
-    far = _verified(docs, nodes, _cross_pairs(sigs, comps, measure), measure, k)
+    far = _verified(docs, nodes, _cross_pairs(sigs, sketches, comps, measure), measure, k)
     if far.take(1):
         comps = graph.components(near.unionByName(far))
-    common.unstash(sigs)
+    common.unstash(sigs, sketches)
     roots = nodes.select("node", "h1", "h2", "root").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("root").alias("component_id"))
     named = roots.join(least, "component").select("h1", "h2", "node", "component_id")
