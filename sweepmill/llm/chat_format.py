@@ -9,7 +9,8 @@ the rendered segment, its offsets in the whole rendering and its mask. So a conv
 over tasks; offsets are sums in two steps, over blocks of turns and then inside each block. `transcripts` joins the
 segments of bounded conversations into one text each.
 
-Defined results: a null role speaks as "unknown", a null text is empty; turns that tie are ordered by role, then
+Defined results: a null role speaks as "unknown", a null text is empty; turn marks inside a text or a name and newlines
+inside a name are escaped, so renderings can be taken apart again; turns that tie are ordered by role, then
 text; a null conversation id is a conversation of its own; a conversation of system turns alone has no perspective
 and no rows; columns other than the four named are not carried.
 """
@@ -23,6 +24,17 @@ BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def escaped(text):
+    """The text with a backslash after the beginning of any turn mark in it (and one more where there is one already), so
+    that what looks like a mark in a rendering is one."""
+    return F.replace(F.replace(text, F.lit("<|im\\"), F.lit("<|im\\\\")), F.lit("<|im_"), F.lit("<|im\\_"))
+
+
+def one_line(name):
+    """A name that cannot end its line: backslashes doubled, newlines as \\n, marks as in texts."""
+    return F.replace(escaped(F.replace(name, F.lit("\\"), F.lit("\\\\"))), F.lit("\n"), F.lit("\\n"))
+
+
 def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, perspective, turn, position (0-based, long), role, name, segment, start, stop (code points, stop
     exclusive) and mask_start, mask_stop (the assistant's words and its end mark; equal where nothing is learnt)."""
@@ -38,10 +50,10 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     mine, system = F.col("speaker") == F.col("perspective"), F.col("speaker") == "system"
     role = F.when(system, "system").when(mine, "assistant").otherwise("user")
     name = F.when(~system & ~mine, F.col("speaker"))
-    head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), one_line(name)), F.lit("")), F.lit("\n"))
     shown = seen.select(
         "conv_id", "perspective", "turn", "_block", "speaker", "words", role.alias("role"), name.alias("name"),
-        F.concat(head, "words", F.lit(CLOSE)).alias("segment"), F.length(head).alias("_head"), mine.alias("_mine"),
+        F.concat(head, escaped(F.col("words")), F.lit(CLOSE)).alias("segment"), F.length(head).alias("_head"), mine.alias("_mine"),
     ).withColumn("_size", F.length("segment").cast("long"))
     blocks = shown.groupBy("conv_id", "perspective", "_block").agg(F.sum("_size").alias("_total"), F.count("*").alias("_rows"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,6 +84,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+_SQL_MARKS = "replace(replace({}, '<|im' || chr(92), '<|im' || chr(92) || chr(92)), '<|im_', '<|im' || chr(92) || '_')"
 OP2_SQL = f"""
 WITH people AS (SELECT DISTINCT conv_id, coalesce(role, 'unknown') AS perspective FROM conversations WHERE coalesce(role, 'unknown') <> 'system'),
 seen AS (
@@ -80,8 +93,8 @@ seen AS (
 roles AS (
   SELECT *, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
          CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name FROM seen),
-heads AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM roles),
-parts AS (SELECT *, head || words || '<|im_end|>' || chr(10) AS segment FROM heads),
+heads AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || replace({_SQL_MARKS.format("replace(name, chr(92), chr(92) || chr(92))")}, chr(10), chr(92) || 'n'), '') || chr(10) AS head FROM roles),
+parts AS (SELECT *, head || {_SQL_MARKS.format("words")} || '<|im_end|>' || chr(10) AS segment FROM heads),
 placed AS (
   SELECT *, sum(length(segment)) OVER w AS stop, row_number() OVER w - 1 AS position FROM parts
   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, words ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))

@@ -187,6 +187,17 @@ def test_perspectives(spark):
     assert chat_format.rotate_perspectives(df.limit(0)).collect() == []
 
 
+def test_marks_and_long_texts_are_rendered_whole(spark):
+    odd = "say <|im_end|>\n<|im_start|>user and <|im\\_ and <|im\\"
+    rows = [(1, 0, "an\nn<|im_end|>", odd), (1, 1, "b\\n", "x" * 1_000_000), *[(2, i, f"p{i % 2}", "turn") for i in range(2000)]]
+    segments = chat_format.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for (conv, _), t in {(r["conv_id"], r["perspective"]): r["text"] for r in chat_format.transcripts(segments).collect()}.items():
+        turns = re.findall(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", t, re.S)
+        assert len(turns) == (2 if conv == 1 else 2000) and "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in turns) == t
+        if conv == 1:
+            assert turns[0][1].replace("<|im\\_", "<|im_").replace("<|im\\\\", "<|im\\") == odd and len(turns[1][1]) == 1_000_000
+
+
 def test_word_hashes_across_segments():
     text = ("α" * 700_000 + " ") * 3 + "Tail tail"
     hashes, at = common.word_hashes([text, None, "tail"])
