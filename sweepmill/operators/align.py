@@ -1,8 +1,8 @@
 """Time alignment: nearest and interpolating joins as a union and two windows over one sort, linear in the rows.
 
 Spark has no as-of join. Both sides are laid on one time line for each key; windows carry the last row of the right
-side forward and the next one backward. A key's line is sorted in one task, spilling where it must; `bucket_ns`-long
-pieces of very long lines can be aligned apart with `split`."""
+side forward and the next one backward. With `bucket`, a key's line is cut into pieces of that length, which are tasks
+of their own: what a piece hands on to those after and before it is one row, carried over in a table of pieces."""
 
 from __future__ import annotations
 
@@ -10,26 +10,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _neighbours(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
+def _neighbours(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], bucket: int | None) -> DataFrame:
     """left with prev and next: structs (at, values...) of the right rows at or before, and at or after."""
     row = F.struct(F.col(at).alias("at"), *values)
     empty = F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType)
-    ours = left.select(*by, F.col(at).alias("_t"), F.struct(*left.columns).alias("_left"), empty.alias("_right"))
-    theirs = right.select(*by, F.col(at).alias("_t"), F.lit(None).cast(ours.schema["_left"].dataType).alias("_left"), row.alias("_right"))
+    piece = (F.lit(0) if bucket is None else F.floor(F.col(at) / bucket)).cast("long").alias("_piece")
+    ours = left.select(*by, piece, F.col(at).alias("_t"), F.struct(*left.columns).alias("_left"), empty.alias("_right"))
+    theirs = right.select(*by, piece, F.col(at).alias("_t"), F.lit(None).cast(ours.schema["_left"].dataType).alias("_left"), row.alias("_right"))
     line = ours.unionByName(theirs)
     # Ties: right rows of the same time come first going forward, and last coming backward.
     first = F.col("_left").isNotNull().cast("int")
-    back = Window.partitionBy(*by).orderBy("_t", first, F.col("_right")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.col("_t").desc(), first, F.col("_right").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    keys = by if bucket is None else [*by, "_piece"]
+    back = Window.partitionBy(*keys).orderBy("_t", first, F.col("_right")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), first, F.col("_right").desc()).rowsBetween(Window.unboundedPreceding, 0)
     seen = line.withColumn("_prev", F.last("_right", ignorenulls=True).over(back)).withColumn("_next", F.last("_right", ignorenulls=True).over(ahead))
-    return seen.where("_left IS NOT NULL").select("_left.*", F.col("_prev").alias("prev"), F.col("_next").alias("next"))
+    seen = seen.where("_left IS NOT NULL")
+    if bucket is not None:
+        ends = line.groupBy(*keys).agg(F.min("_right").alias("_first"), F.max("_right").alias("_last"))
+        pieces = Window.partitionBy(*by).orderBy("_piece")
+        ends = ends.select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            F.last("_last", ignorenulls=True).over(pieces.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.first("_first", ignorenulls=True).over(pieces.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        )
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        seen = seen.join(ends, same, "left").withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
+    return seen.select("_left.*", F.col("_prev").alias("prev"), F.col("_next").alias("next"))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], tie: str = "earlier", tolerance: int | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], tie: str = "earlier", tolerance: int | None = None, bucket: int | None = None) -> DataFrame:
     """left with `match`, the right row nearest in time, or null where none lies within the tolerance (which is
     included). tie: which of two equally near rows, "earlier" or "later"; among rows of one time, the first by value
-    going back and the last going forward."""
-    seen = _neighbours(left, right, by, at, values)
+    going back and the last going forward. bucket: the length of pieces of time (see above)."""
+    seen = _neighbours(left, right, by, at, values, bucket)
     before, after = F.col(at) - F.col("prev.at"), F.col("next.at") - F.col(at)
     closer = (after < before) if tie == "earlier" else (after <= before)
     match = F.when(F.col("prev").isNull() | (F.col("next").isNotNull() & closer), F.col("next")).otherwise(F.col("prev"))
@@ -39,9 +54,9 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, values: l
     return out
 
 
-def interpolated(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+def interpolated(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, bucket: int | None = None) -> DataFrame:
     """left with the right side's `value` interpolated linearly at its time; held beyond the first and last row."""
-    seen = _neighbours(left, right, by, at, [value])
+    seen = _neighbours(left, right, by, at, [value], bucket)
     p, n = F.col("prev"), F.col("next")
     share = (F.col(at) - p["at"]) / (n["at"] - p["at"]).cast("double")
     lerp = (1.0 - share) * p[value] + share * n[value]

@@ -1,4 +1,4 @@
-"""Pose graphs and ordered folds of captures: one group is one capture, whose keyframes are capped.
+"""Pose graphs: one group is one capture, whose keyframes are capped.
 
 A pose is 7 numbers, x y z and a unit quaternion qx qy qz qw. An edge (a, b) measures Z = B^-1 A."""
 
@@ -6,10 +6,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .registration import exp_so3, log_so3
+from ..functions import rotations
+from .registration import log_so3
 
 POSE = ("x", "y", "z", "qx", "qy", "qz", "qw")
 
@@ -177,42 +178,12 @@ def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str) -> DataFrame
 
 
 def chain_edges(frames: DataFrame, capture: str) -> DataFrame:
-    """The edges between consecutive nodes, as measured by their poses."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        m = matrices(pdf[list(POSE)].to_numpy(float))
-        z = poses7(_inverse(m[1:]) @ m[:-1])
-        out = pd.DataFrame(z, columns=list(POSE))
-        out.insert(0, "b", pdf["node"].to_numpy()[1:])
-        out.insert(0, "a", pdf["node"].to_numpy()[:-1])
-        out.insert(0, capture, pdf[capture].to_numpy()[1:])
-        return out.assign(loop=False)
-
-    kind = frames.schema[capture].dataType.simpleString()
-    return frames.groupBy(capture).applyInPandas(run, f"{capture} {kind}, a long, b long, {', '.join(f'{p} double' for p in POSE)}, loop boolean")
-
-
-def integrate_gyro(samples: DataFrame, capture: str, longest: float = 0.05) -> DataFrame:
-    """capture, stamp and the attitude (qx qy qz qw) integrated from samples (capture, stamp in ns, gx, gy, gz in rad/s)
-    by the trapezoid rule, from identity. Rotations do not commute, so this folds a capture in order of time; gaps
-    count as at most `longest` seconds."""
-    kind = samples.schema[capture].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("stamp", kind="stable")
-        rate, stamp = pdf[["gx", "gy", "gz"]].to_numpy(float), pdf["stamp"].to_numpy()
-        seconds = np.clip(np.diff(stamp) / 1e9, 0, longest)
-        out, now = np.zeros((len(pdf), 4, 4)), np.eye(4)
-        for i in range(len(pdf)):
-            if i:
-                now = now.copy()
-                now[:3, :3] = now[:3, :3] @ exp_so3((rate[i - 1] + rate[i]) / 2 * seconds[i - 1])
-            out[i] = now
-        q = poses7(out)[:, 3:]
-        return pd.DataFrame({capture: pdf[capture], "stamp": stamp, "qx": q[:, 0], "qy": q[:, 1], "qz": q[:, 2], "qw": q[:, 3]})
-
-    return samples.groupBy(capture).applyInPandas(run, f"{capture} {kind}, stamp long, qx double, qy double, qz double, qw double")
+    """The edges between consecutive nodes, as measured by their poses: a window, no gathering."""
+    w = Window.partitionBy(capture).orderBy("node")
+    pose = rotations.pose_of().packed()
+    rows = frames.select(capture, F.lag("node").over(w).alias("a"), F.col("node").alias("b"), pose.alias("_p"), F.lag(pose).over(w).alias("_q")).where("a IS NOT NULL")
+    z = rotations.compose(rotations.invert(rotations.pose_of("_p")), rotations.pose_of("_q"))
+    return rows.select(capture, "a", "b", *z.named(), F.lit(False).alias("loop"))
 
 
 def slerp(a, b, share):

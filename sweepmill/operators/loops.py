@@ -1,7 +1,7 @@
 """Place recognition: polar descriptors of keyframes, candidate loops, their support and thinning, and their gates.
 
-A capture has a bounded number of keyframes (series.keyframes caps it), so joins inside a capture are joins on its key
-with a range condition; captures spread over tasks."""
+Keyframes meet by where they are and by what they look like, each in a grid of its own, so no join lists the pairs of a
+capture. Its number of keyframes is bounded (series.keyframes caps it), which folds over a capture rely on."""
 
 from __future__ import annotations
 
@@ -75,9 +75,25 @@ def candidates(frames: DataFrame, capture: str, separation: int, radius: float,
     square = lambda a: (F.col(f"s_{a}") - F.col(f"t_{a}")) * (F.col(f"s_{a}") - F.col(f"t_{a}"))
     far = F.sqrt(square("x") + square("y") + square("z"))
     ring = F.sqrt(F.aggregate(F.zip_with("s_ring_key", "t_ring_key", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, v: x + v))
-    # The join carries keys and positions alone; descriptors follow for the few pairs that remain.
-    narrow = s.drop("s_descriptor").join(t.drop("t_descriptor"), capture).where(F.col("source") + separation <= F.col("target"))
-    pairs = narrow.select(capture, "source", "target", far.alias("far"), ring.alias("ring")).where((F.col("far") <= radius) | (F.col("ring") <= ring_limit))
+    # The joins carry keys and positions alone; descriptors follow for the few pairs that remain.
+    later = F.col("source") + separation <= F.col("target")
+
+    def met(cells, size: float) -> DataFrame:
+        """Pairs whose cells (columns of a side) are neighbours or the same."""
+        at = lambda side: [F.floor(c / size) for c in cells(side)]
+        steps = [[]]
+        for c in at("s"):
+            steps = [[*x, c + d] for x in steps for d in (-1, 0, 1)]
+        a = s.drop("s_descriptor").withColumn("_cell", F.explode(F.array(*[F.struct(*[c.alias(f"c{i}") for i, c in enumerate(x)]) for x in steps])))
+        b = t.drop("t_descriptor").withColumn("_cell", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(at("t"))]))
+        return a.join(b, [capture, "_cell"]).where(later).select(capture, "source", "target", far.alias("far"), ring.alias("ring"))
+
+    half = rings // 2
+    # Means of the halves of a ring key, so scaled that they differ by no more than the whole keys do.
+    part = lambda side, begin, n: F.aggregate(F.slice(f"{side}_ring_key", begin + 1, n), F.lit(0.0), lambda a, v: a + v) / max(1, n) ** 0.5
+    near = met(lambda side: [F.col(f"{side}_{a}") for a in "xyz"], radius).where(F.col("far") <= radius)
+    alike = met(lambda side: [part(side, 0, half), part(side, half, rings - half)], ring_limit).where(F.col("ring") <= ring_limit)
+    pairs = near.unionByName(alike).distinct()
     score = F.col("ring") + 0.2 * F.least(F.lit(1.0), F.col("far") / max(0.1, radius))
     rank = F.row_number().over(Window.partitionBy(capture, "target").orderBy(score, "source"))
     few = pairs.withColumn("_r", rank).where(F.col("_r") <= max(8, 6 * most))

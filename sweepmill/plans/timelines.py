@@ -9,6 +9,7 @@ from ..operators import align, series
 from ..session import table
 
 SECOND = 1_000_000
+WEEK = 7 * 86400 * SECOND
 SQL_EVENTS = "SELECT event_id, user_id, event_type, value, epoch_us(ts)::BIGINT AS t FROM events"
 
 
@@ -26,7 +27,7 @@ def asof_nearest(spark, sf_dir):
     e = events(spark, sf_dir)
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
     right = e.where("event_type = 'view'").select("user_id", "t", F.col("event_id").alias("view_id"))
-    out = align.nearest(left, right, ["user_id"], "t", ["view_id"], tie="earlier")
+    out = align.nearest(left, right, ["user_id"], "t", ["view_id"], tie="earlier", bucket=WEEK)
     return out.select("event_id", F.col("match.at").alias("view_t"), (F.col("t") - F.col("match.at")).alias("lag_us"))
 
 
@@ -43,7 +44,7 @@ def asof_tolerance(spark, sf_dir):
     e = events(spark, sf_dir)
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
     right = e.where("event_type = 'click'").select("user_id", "t", F.col("event_id").alias("click_id"))
-    out = align.nearest(left, right, ["user_id"], "t", ["click_id"], tie="later", tolerance=3600 * SECOND)
+    out = align.nearest(left, right, ["user_id"], "t", ["click_id"], tie="later", tolerance=3600 * SECOND, bucket=WEEK)
     hit = F.col("match").isNotNull()
     cover = out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(hit).alias("covered"), F.max(F.abs(F.col("t") - F.col("match.at"))).alias("worst_us"))
     return cover.withColumn("passes", F.col("covered") >= F.greatest(F.lit(1), F.floor(F.col("n") * 9 / 10)))
@@ -64,7 +65,7 @@ def interp_join(spark, sf_dir):
     e = events(spark, sf_dir)
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
     right = e.where("event_type = 'view'").groupBy("user_id", "t").agg(F.avg("value").alias("value"))
-    out = align.interpolated(left, right, ["user_id"], "t", "value")
+    out = align.interpolated(left, right, ["user_id"], "t", "value", bucket=WEEK)
     return out.select("event_id", F.round("value_at", 6).alias("value_at"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sweepmill.functions import geometry as g
-from sweepmill.operators import graphs, imaging, loops, neighbours, registration, voxel
+from sweepmill.operators import graphs, imaging, loops, motion, neighbours, registration, voxel
 from sweepmill.plans import places
 
 RNG = np.random.default_rng(4)
@@ -73,7 +73,7 @@ def test_pose_graph_closes_a_loop(spark):
 
 def test_gyro_and_slerp(spark):
     rows = [(1, i * 10_000_000, 0.0, 0.0, 0.5) for i in range(201)] + [(2, 0, 1.0, 1.0, 1.0)]
-    out = graphs.integrate_gyro(spark.createDataFrame(rows, "capture long, stamp long, gx double, gy double, gz double"), "capture")
+    out = motion.integrate_gyro(spark.createDataFrame(rows, "capture long, stamp long, gx double, gy double, gz double"), "capture")
     last = out.where("capture = 1").orderBy(F.desc("stamp")).first()
     assert math.isclose(2 * math.atan2(last["qz"], last["qw"]), 1.0, abs_tol=1e-9)
     q = [F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(p, graphs.POSE[3:], strict=True)]) for p in ((0, 0, 0, 1), (0, 0, math.sin(0.5), math.cos(0.5)))]
