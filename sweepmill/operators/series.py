@@ -103,3 +103,61 @@ def stratum_middles(df: DataFrame, by: list[str], order: list[str], most: int) -
     begin = F.floor(F.col("_i") / stride) * stride
     middle = begin + F.floor((F.least(F.col("_n"), begin + stride) - begin - 1) / 2)
     return ranked.where(F.col("_i") == middle).drop("_i", "_n")
+
+
+def numbered(df: DataFrame, part: str, order: list, name: str) -> DataFrame:
+    """df with a dense number from 0 in order of part, then of `order`: each part is numbered by itself and shifted by
+    the counts of those before it, of which there is one row a part."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(F.col(part).alias("_part")).agg(F.count("*").alias("_c"))
+    shift = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return df.withColumn(name, inside).join(shift, F.col(part).eqNullSafe(F.col("_part"))).withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_part", "_shift")
+
+
+def frame_interval(df: DataFrame, by: list[str], at: str, other: str, most_ns: int = 160_000_000) -> DataFrame:
+    """by, median, passes: the upper median of the positive gaps of `at`, or of `other` where fewer than half of the rows
+    have such a gap; and whether frames come often enough."""
+    n = df.groupBy(*by).agg(F.count("*").alias("_all"))
+    first, second = (upper_median(positive_gaps(df, by, c), by, "gap").select(*by, F.col("median").alias(f"_m{i}"), F.col("n").alias(f"_n{i}")) for i, c in enumerate((at, other)))
+    both = n.join(first, by, "left").join(second, by, "left")
+    median = F.when(F.coalesce("_n0", F.lit(0)) * 2 < F.col("_all"), F.col("_m1")).otherwise(F.col("_m0"))
+    return both.select(*by, median.alias("median")).withColumn("passes", F.coalesce(F.col("median") <= most_ns, F.lit(False)))
+
+
+def static_imu(samples: DataFrame, by: list[str], at: str, second: int = 1_000_000_000, seconds: float = 10.0, least_seconds: float = 8.0, least: int = 1000) -> DataFrame:
+    """Biases and gravity of the first seconds of each key, when the sensor should stand still. samples: by, at, gx gy gz
+    (rad/s), ax ay az (m/s2, or g, which the norm tells). Result: by, n, seconds, bx by bz, mx my mz (trimmed means; of
+    the accelerations in m/s2), scale, gyro_std, accel_norm, accel_std and valid."""
+    rows = static_window(samples, by, at, int(seconds * second))
+    means = None
+    for axis, name in zip(("gx", "gy", "gz", "ax", "ay", "az"), ("bx", "by", "bz", "mx", "my", "mz"), strict=True):
+        one = trimmed_mean(rows, by, axis).select(*by, F.col("mean").alias(name))
+        means = one if means is None else means.join(one, by)
+    square = lambda *names: F.sqrt(sum((F.col(c) * F.col(c) for c in names[1:]), F.col(names[0]) * F.col(names[0])))
+    means = means.withColumn("scale", F.when(square("mx", "my", "mz") < 3.0, 9.80665).otherwise(1.0))
+    seen = rows.join(means, by)
+    off = sum((F.pow(F.col(f"g{a}") - F.col(f"b{a}"), 2) for a in "yz"), F.pow(F.col("gx") - F.col("bx"), 2))
+    spread = seen.groupBy(*by).agg(
+        F.count("*").alias("n"), ((F.max(at) - F.min(at)) / second).alias("seconds"), F.sqrt(F.avg(off)).alias("gyro_std"),
+        F.avg(F.col("scale") * square("ax", "ay", "az")).alias("accel_norm"), F.stddev_pop(F.col("scale") * square("ax", "ay", "az")).alias("accel_std"),
+    )
+    valid = (
+        (F.col("seconds") >= least_seconds) & (F.col("n") >= least) & (square("bx", "by", "bz") < 0.25) & (F.col("gyro_std") < 0.08)
+        & (F.col("accel_norm") > 8.0) & (F.col("accel_norm") < 11.5) & (F.col("accel_std") < 0.50)
+    )
+    scaled = [(F.col(c) * F.col("scale")).alias(c) for c in ("mx", "my", "mz")]
+    return spread.join(means, by).select(*by, "n", "seconds", "bx", "by", "bz", *scaled, "scale", "gyro_std", "accel_norm", "accel_std", valid.alias("valid"))
+
+
+def stationary_mean(samples: DataFrame, windows: DataFrame, by: list[str], at: str, span: int = 2_000_000_000, least: int = 10) -> DataFrame:
+    """windows (by, start) with the means gx .. az of the samples of [start, start + span] and whether these are the
+    readings of a sensor at rest. Null means without enough samples."""
+    axes = ("gx", "gy", "gz", "ax", "ay", "az")
+    bucket = lambda c: F.floor(c / span)
+    w = windows.select(*by, "start", F.explode(F.array(bucket(F.col("start")), bucket(F.col("start")) + 1)).alias("_b"))
+    met = w.join(samples.select(*by, F.col(at).alias("_t"), bucket(F.col(at)).alias("_b"), *axes), [*by, "_b"]).where((F.col("_t") >= F.col("start")) & (F.col("_t") <= F.col("start") + span))
+    means = met.groupBy(*by, "start").agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in axes]).where(F.col("n") >= least)
+    norm = lambda k: F.sqrt(F.col(f"{k}x") * F.col(f"{k}x") + F.col(f"{k}y") * F.col(f"{k}y") + F.col(f"{k}z") * F.col(f"{k}z"))
+    rest = (norm("g") < 0.25) & (((norm("a") > 0.5) & (norm("a") < 1.5)) | ((norm("a") > 8.0) & (norm("a") < 12.0)))
+    return windows.join(means.withColumn("valid", rest), [*by, "start"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))

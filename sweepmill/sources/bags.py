@@ -11,9 +11,12 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import series
+from ..session import exists
+
 MOST_POINTS = 200_000
 # The layout of a LiDAR point and of a sidecar record, little endian.
 POINT = np.dtype([("offset_ns", "<u4"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("reflectivity", "u1"), ("tag", "u1"), ("line", "u1"), ("pad", "u1")])
@@ -124,9 +127,9 @@ def _decoded(of, columns: str, names: list[str]):
 def sweep_index(raw: DataFrame) -> DataFrame:
     """file, id, stamp, timebase, n_points, scan_index of the sweeps of a capture that decode, in one order of time."""
     run, schema = _decoded(lambda d: sweep_header(d)[:2], "timebase long, n_points int", ["timebase", "n_points"])
-    order = Window.orderBy("timebase", "stamp", "file", "id")
-    # One short row a sweep (36 000 an hour); the numbering of one capture is one sort.
-    return raw.mapInPandas(run, schema).withColumn("scan_index", F.row_number().over(order) - 1)
+    # Numbered minute by minute: counts of each minute shift the numbers inside it.
+    headers = raw.mapInPandas(run, schema).withColumn("_minute", F.floor(F.col("timebase") / 60_000_000_000))
+    return series.numbered(headers, "_minute", ["timebase", "stamp", natural_order(F.col("file")), "id"], "scan_index").drop("_minute")
 
 
 def sweeps(raw: DataFrame) -> DataFrame:
@@ -168,10 +171,26 @@ def imu_sidecar(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "imu.bin").select("content").mapInPandas(run, ", ".join(f"{n} {'long' if i < 3 else 'double'}" for i, n in enumerate(names)))
 
 
+def imu_samples(spark: SparkSession, capture: str, bags: str, scans: int = 0, preferred: str | None = None, least: int = 10) -> DataFrame:
+    """stamp, qx .. az of a capture: of its sidecar if it has one with its manifest and enough samples (`least`, and five
+    for each of `scans` sweeps), else of its bags. Raises with fewer than `least` samples."""
+    values = [n for n in SIDECAR.names if not n.endswith("_ns")]
+    if exists(spark, f"{capture}/windows_lio_manifest.json") and exists(spark, f"{capture}/imu.bin"):
+        side = imu_sidecar(spark, f"{capture}/imu.bin")
+        side = side.select(F.when(F.col("header_ns") > 0, F.col("header_ns")).otherwise(F.col("receive_ns")).alias("stamp"), *values)
+        if side.count() >= max(least, 5 * scans):
+            return side
+    out = imu(messages(spark, bags, "sensor_msgs/msg/Imu", preferred)).select("stamp", *values)
+    if out.count() < least:
+        raise ValueError(f"fewer than {least} IMU samples: {capture}")
+    return out
+
+
 def sweep_duration(points: DataFrame, index: DataFrame) -> DataFrame:
     """index with duration_ns: the sweep's last offset if 1 to 250 ms, else the gap to the next if 10 to 250 ms, else 100 ms."""
     last = points.groupBy("file", "id").agg(F.max("offset_ns").alias("_last"))
-    gap = F.lead("timebase").over(Window.orderBy("scan_index")) - F.col("timebase")
+    after = index.select((F.col("scan_index") - 1).alias("scan_index"), F.col("timebase").alias("_after"))
     ms = 1_000_000
     whole = F.when(F.col("_last").between(ms, 250 * ms), F.col("_last")).when(F.col("_gap").between(10 * ms, 250 * ms), F.col("_gap")).otherwise(100 * ms)
-    return index.withColumn("_gap", gap).join(last, ["file", "id"], "left").withColumn("duration_ns", whole.cast("long")).drop("_gap", "_last")
+    timed = index.join(after, "scan_index", "left").withColumn("_gap", F.col("_after") - F.col("timebase")).drop("_after")
+    return timed.join(last, ["file", "id"], "left").withColumn("duration_ns", whole.cast("long")).drop("_gap", "_last")

@@ -22,16 +22,32 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str | bytes) -> None:
-    """A small file, written beside its place and renamed into it, in any store that Spark writes."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
-    store = target.getFileSystem(conf)
-    out = store.create(beside, True)
+    """A small file, written beside its place and renamed over it in one step, in any store that Spark writes: readers
+    meet the old file or the new one."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target, beside = hadoop.Path(path), hadoop.Path(f"{path}.tmp")
+    out = target.getFileSystem(conf).create(beside, True)
     out.write(bytearray(text.encode() if isinstance(text, str) else text))
     out.close()
-    store.delete(target, False)
-    if not store.rename(beside, target):
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    whole = target.getFileSystem(conf).makeQualified(target)
+    hadoop.FileContext.getFileContext(whole.toUri(), conf).rename(whole.getFileSystem(conf).makeQualified(beside), whole, over)
+
+
+def swap_in(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder `new` at path; what was there stands aside as `path`.previous until that has worked, and comes back
+    if it does not."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    fresh, target, old = (hadoop.Path(p) for p in (new, path, f"{path}.previous"))
+    store = target.getFileSystem(conf)
+    store.delete(old, True)
+    had = store.exists(target) and store.rename(target, old)
+    if not store.rename(fresh, target):
+        if had:
+            store.rename(old, target)
         raise OSError(f"cannot rename to {path}")
+    store.delete(old, True)
 
 
 def check_capture(spark: SparkSession, path: str) -> None:
@@ -76,6 +92,15 @@ def calibration(text: str, camera: str | None = None) -> dict:
     return out
 
 
+def imu_initialization(text: str) -> dict | None:
+    """Biases and gravity that an earlier run measured standing still; None unless it says `valid` and is complete."""
+    vectors = {k: yaml_array(text, k) for k in ("gyro_bias_rad_s", "accel_mean_m_s2", "gravity_body_m_s2")}
+    if not yaml_flag(text, "valid") or any(len(v) != 3 for v in vectors.values()):
+        return None
+    scalars = ("duration_s", "sample_count", "accel_scale_to_m_s2", "gyro_std_norm_rad_s", "accel_norm_std_m_s2")
+    return vectors | {k: yaml_scalar(text, k, 1.0 if k == "accel_scale_to_m_s2" else 0.0) for k in scalars}
+
+
 def image_list(spark: SparkSession, path: str) -> DataFrame:
     """receive_stamp_ns, image_stamp_ns, image_file of rgb_frames.csv, without malformed rows and without images that
     are missing or of 16 bytes and less."""
@@ -107,6 +132,30 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "file string, x float, y float, z float, red int, green int, blue int")
 
 
+# The layout of a fused chunk's header and records, little endian.
+CHUNK_HEAD = np.dtype([("magic", "S4"), ("version", "<u4"), ("count", "<u8")])
+CHUNK_POINT = np.dtype([*[(n, "<f4") for n in ("x", "y", "z", "red", "green", "blue")], ("w", "<u8")])
+CHUNK_MOST = 100_000_000
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """file, x, y, z, red, green, blue, w of fused chunks that another program wrote; raises on a broken header."""
+
+    def run(batches):
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                head = np.frombuffer(content, dtype=CHUNK_HEAD, count=1)[0] if len(content) >= CHUNK_HEAD.itemsize else None
+                if head is None or head["magic"] != b"VXF1" or head["version"] != 1 or head["count"] > CHUNK_MOST:
+                    raise ValueError(f"not a fused chunk: {file}")
+                rows = np.frombuffer(content, dtype=CHUNK_POINT, count=int(head["count"]), offset=CHUNK_HEAD.itemsize)
+                for at in range(0, len(rows), 100_000):
+                    part = rows[at : at + 100_000]
+                    yield pd.DataFrame({n: part[n].astype(np.int64 if n == "w" else np.float32) for n in CHUNK_POINT.names}).assign(file=file)
+
+    chunks = spark.read.format("binaryFile").load(path).select("path", "content")
+    return chunks.mapInPandas(run, "file string, x float, y float, z float, red float, green float, blue float, w long")
+
+
 def _header(count: int, kind: str, colour: bool, normal: bool) -> str:
     fields = [f"property float {a}" for a in "xyz"]
     fields += [f"property uchar {c}" for c in ("red", "green", "blue")] if colour else []
@@ -120,7 +169,8 @@ def _byte(c):
 
 def write_cloud(points: DataFrame, path: str, order=("tx", "ty", "tz")) -> int:
     """A cloud of any size as a folder of text parts that, one after the other, are one PLY file: the header, then the
-    points in order of their tiles. Every part is written by its own task. Returns the number of points."""
+    points in order of their tiles. Every part is written by its own task. The folder takes the place of an earlier one
+    as a whole. Returns the number of points."""
     names = points.columns
     colour, normal = "red" in names, "nx" in names
     keys = [c for c in order if c in names]
@@ -129,8 +179,10 @@ def write_cloud(points: DataFrame, path: str, order=("tx", "ty", "tz")) -> int:
     cols += [_byte(c) for c in ("red", "green", "blue")] if colour else []
     cols += [F.col(f"n{a}").cast("float").cast("string") for a in "xyz"] if normal else []
     sorted_points = points.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else points
-    points.sparkSession.createDataFrame([(_header(count, "ascii", colour, normal),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/00000-header")
-    sorted_points.select(F.concat_ws(" ", *cols).alias("value")).write.mode("overwrite").text(path + "/00001-points")
+    spark, new = points.sparkSession, f"{path}.new"
+    spark.createDataFrame([(_header(count, "ascii", colour, normal),)], "value string").coalesce(1).write.mode("overwrite").text(new + "/00000-header")
+    sorted_points.select(F.concat_ws(" ", *cols).alias("value")).write.mode("overwrite").text(new + "/00001-points")
+    swap_in(spark, new, path)
     return count
 
 
@@ -186,21 +238,27 @@ def trajectory_svg(rows: DataFrame, most: int = 6000, width: int = 1000, title:
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{high}">{"".join(lines)}<polyline fill="none" stroke="#06c" points="{drawn}"/><text x="40" y="25">{escape(title)} (grid {step:g} m)</text></svg>'
 
 
-def quality_svg(rows: DataFrame, most: int = 2000, width: int = 1000, panel: int = 160) -> str:
-    """Fitness, rmse and points of each scan as three panels, rejected scans marked; thinned to about `most`."""
-    n = rows.count()
-    stride = max(1, -(-n // most))
+def quality_svg(rows: DataFrame, width: int = 1000, panel: int = 160) -> str:
+    """Fitness, rmse and points of all scans as three panels, rejected scans marked. Scans that fall on one pixel are
+    one value, their mean; rejected ones among them are marked at their own, so none is left out."""
     names = ("icp_fitness", "icp_rmse", "valid_points")
-    drawn = sorted(tuple(r) for r in rows.where((F.col("index") % stride == 0) | (F.col("accepted") == 0)).select("index", "accepted", *names).limit(2 * most).collect())
-    body = []
+    box = rows.agg(F.min("index").alias("i0"), F.max("index").alias("i1")).first()
+    if box["i0"] is None:
+        return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="100"><text x="10" y="50">no scans</text></svg>'
+    inner, span = width - 80, max(1, box["i1"] - box["i0"])
+    clean = lambda n: F.when(F.col(n).isNull() | F.isnan(n) | (F.abs(n) == float("inf")), 0.0).otherwise(F.col(n).cast("double"))
+    pixel = F.floor((F.col("index") - box["i0"]) * inner / span).alias("p")
+    values = rows.select(pixel, (F.col("accepted") == 0).alias("bad"), *[clean(n).alias(n) for n in names])
+    per = values.groupBy("p").agg(*[F.avg(n).alias(n) for n in names], F.count_if("bad").alias("bad"), *[F.avg(F.when(F.col("bad"), F.col(n))).alias(f"bad_{n}") for n in names])
+    drawn, body = sorted(per.collect(), key=lambda r: r["p"]), []
     for k, name in enumerate(names):
-        values = [r[2 + k] if r[2 + k] is not None and np.isfinite(r[2 + k]) else 0.0 for r in drawn]
-        top, low = max([*values, 1e-9]), 30 + (k + 1) * panel - 20
-        x = lambda i: 40 + (width - 80) * i / max(1, len(drawn) - 1)
-        line = " ".join(f"{x(i):.1f},{low - (panel - 50) * v / top:.1f}" for i, v in enumerate(values))
-        marks = "".join(f'<circle cx="{x(i):.1f}" cy="{low - (panel - 50) * v / top:.1f}" r="2" fill="#c00"/>' for i, (v, r) in enumerate(zip(values, drawn, strict=True)) if r[1] == 0)
+        top, low = max([*[r[name] for r in drawn], *[r[f"bad_{name}"] or 0.0 for r in drawn], 1e-9]), 30 + (k + 1) * panel - 20
+        at = lambda r, v: (40 + r["p"], low - (panel - 50) * v / top)
+        line = " ".join("{:.1f},{:.1f}".format(*at(r, r[name])) for r in drawn)
+        marks = "".join('<circle cx="{:.1f}" cy="{:.1f}" r="2" fill="#c00"/>'.format(*at(r, r[f"bad_{name}"])) for r in drawn if r["bad"])
         body.append(f'<text x="40" y="{low - panel + 35}">{name} (max {top:.4g})</text><polyline fill="none" stroke="#06c" points="{line}"/>{marks}')
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{3 * panel + 60}">{"".join(body)}</svg>'
+    rejected = sum(r["bad"] for r in drawn)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{3 * panel + 60}">{"".join(body)}<text x="40" y="{3 * panel + 50}">{rejected} scans rejected</text></svg>'
 
 
 def stats_json(stats: DataFrame) -> str:

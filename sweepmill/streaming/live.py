@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import series
 from ..sources import files
 
+log = logging.getLogger(__name__)
 STATE = "n long, length double, x double, y double, t long"
 RESULT = "capture long, n long, length double, x double, y double, t long"
 SLOTS = 3
 TRAJECTORY_ROWS = 6000  # of a preview, at even strides over the whole trajectory, and its last row
 
 
-def fold_paths(samples: DataFrame, late_ns: int | None = None) -> DataFrame:
+def fold_paths(samples: DataFrame) -> DataFrame:
     """capture, and so far: n samples, length of the path through x, y, last x, y, t. A stream of capture, t, x, y.
 
     The state of a capture is one short row. Samples older than the last one of their capture are counted, but do not
@@ -54,9 +56,41 @@ def publish_preview(spark: SparkSession, folder: str, batch: int, cloud: DataFra
     files.write_text(spark, f"{folder}/preview_state.json", json.dumps(state))
 
 
+def publish_pose(spark: SparkSession, folder: str, row, phase: str) -> bool:
+    """The latest pose (scan_index, stamp_ns, x, y, z, accepted) as a small file of its own. A preview never stops the
+    work it shows: whether it was written is told, not raised."""
+    pose = {n: row[n] for n in ("scan_index", "stamp_ns", "x", "y", "z")} | {"accepted": bool(row["accepted"]), "phase": phase}
+    return _published(spark, f"{folder}/preview_pose.json", pose)
+
+
+def publish_error(spark: SparkSession, folder: str, message: str) -> bool:
+    """What went wrong, for the viewer."""
+    return _published(spark, f"{folder}/preview_error.json", {"phase": "failed", "message": message})
+
+
+def _published(spark: SparkSession, path: str, content: dict) -> bool:
+    try:
+        files.write_text(spark, path, json.dumps(content, indent=2) + "\n")
+    except Exception as failure:  # whatever the store raises through the gateway
+        log.warning("preview not written: %s", failure)
+        return False
+    return True
+
+
+def _signature(spark: SparkSession, path: str) -> tuple[int, int]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
+
+
 def read_snapshot(spark: SparkSession, folder: str) -> dict:
-    """The state of the last complete snapshot; file names must be bare."""
-    state = json.loads(files.read_text(spark, f"{folder}/preview_state.json"))
+    """The state of the last complete snapshot; file names must be bare. Read again if the state changed meanwhile."""
+    path = f"{folder}/preview_state.json"
+    while True:
+        before = _signature(spark, path)
+        state = json.loads(files.read_text(spark, path))
+        if _signature(spark, path) == before:
+            break
     for name in (state["cloud_file"], state["trajectory_file"]):
         if "/" in name or "\\" in name or name.startswith("."):
             raise ValueError(f"not a bare file name: {name}")
