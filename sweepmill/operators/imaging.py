@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..session import stash
 
 
 def _nearby(df: DataFrame, column: str, reach: int, most: int) -> DataFrame:
@@ -61,17 +62,16 @@ def bilinear(points: DataFrame, pixels: DataFrame, by: list[str] | None = None,
 COLOURS = ("red", "green", "blue")
 
 
-def fan_out(points: DataFrame, pixels: DataFrame, camera: g.Camera, reach: Column, by: list[str] | None = None, usable: Column | None = None, near: float = 0.0, far: float = 180.0, gamma: float = 0.62, bands: int = 256) -> DataFrame:
+def fan_out(points: DataFrame, pixels: DataFrame, camera: g.Camera, reach: Column, by: list[str] | None = None, usable: Column | None = None, key: str | None = None, near: float = 0.0, far: float = 180.0, gamma: float = 0.62, bands: int = 256) -> DataFrame:
     """Each point (by, x, y, z in the camera's frame, other columns) in up to three products: `lidar`, coloured by its
     range `reach`; `rgb`, where its image (by, px, py, r, g, b) shows it; and `mixed`, by its image where that shows
-    it, else by its range in whole numbers. usable: a condition of points whose image may be used (see usable_image)."""
+    it, else by its range in whole numbers. usable: a condition of points whose image may be used (see usable_image); key:
+    a column that tells points apart; without one, the points are numbered and written to the shared folder."""
     by = by or []
     tinted = points.select("*", *[c.alias(f"_{n}") for c, n in zip(g.depth_colour(reach, near, far, gamma, bands), COLOURS, strict=True)])
     tinted = tinted.withColumn("_use", F.lit(True) if usable is None else F.coalesce(usable, F.lit(False)))
-    keyed = tinted.withColumn("_point", F.monotonically_increasing_id())
-    asked = keyed.where("_use")
-    seen = visible(asked.select(*by, "x", "y", "z", "_point"), camera, by)
-    # The number of a point lives within one plan, so the colours come back with the whole row.
+    keyed = tinted.withColumn("_point", F.col(key)) if key else stash(tinted.withColumn("_point", F.monotonically_increasing_id()), "points")
+    seen = visible(keyed.where("_use").select(*by, "x", "y", "z", "_point"), camera, by)
     coloured = bilinear(seen.select(*by, "u", "v", "_point"), pixels, by).where("r IS NOT NULL").select(F.col("_point").alias("_p"), "r", "g", "b")
     joined = keyed.join(coloured, F.col("_point") == F.col("_p"), "left")
     whole = [F.coalesce(F.col(c), F.floor(F.col(f"_{n}") + 0.5)).cast("double").alias(n) for c, n in zip("rgb", COLOURS, strict=True)]

@@ -266,7 +266,7 @@ SELECT capture, stamp, {", ".join(f"round({c}, 5) + 0.0 AS a{n}" for c, n in zip
 def colour_fanout(spark, sf_dir):
     """One cloud as three products: mixed (image colours where seen, depth colours elsewhere), lidar and rgb."""
     p = cloud(spark, sf_dir).withColumn("z", F.col("z") + 1.0)
-    out = imaging.fan_out(p, _grid(spark).where("image = 0"), SMALL, reach=g.norm(*[F.col(a) * 40.0 for a in "xyz"]))
+    out = imaging.fan_out(p, _grid(spark).where("image = 0"), SMALL, reach=g.norm(*[F.col(a) * 40.0 for a in "xyz"]), key="vec_id")
     return out.select("vec_id", "product", "red", "green", "blue")
 
 

@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from sweepmill.functions import geometry as g
 from sweepmill.plans import reconstruct
 
 
@@ -32,8 +33,11 @@ def scene(spark):
 def test_points_land_on_their_walls(spark):
     points, poses = scene(spark)
     rows = reconstruct.posed(points, poses).collect()
-    assert len(rows) == 1801
-    assert all(min(abs(r["wx"] - 3), abs(r["wy"] + 2), abs(r["wx"] - 10)) < 1e-9 for r in rows)
+    assert len(rows) == 1802
+    late = [r for r in rows if r["stamp"] > 1_000_000_000]  # moved by the last pose
+    yaw = 1.0
+    assert len(late) == 1 and math.isclose(late[0]["wx"], math.cos(yaw) - math.sin(yaw) + 0.5) and math.isclose(late[0]["wy"], math.sin(yaw) + math.cos(yaw))
+    assert all(min(abs(r["wx"] - 3), abs(r["wy"] + 2), abs(r["wx"] - 10)) < 1e-9 for r in rows if r not in late)
 
 
 def test_product(spark, tmp_path):
@@ -50,6 +54,28 @@ def test_product(spark, tmp_path):
     assert again["kept"] == again["voxels"] == report["voxels"]
 
 
+def test_products_with_images(spark, tmp_path):
+    """Two scans look along x at a wall; one has a red image, the other a blurred one."""
+    rng = np.random.default_rng(3)
+    points = [("c", k, 1_000 * k + i, 4.0, float(y), float(z)) for k in (0, 1) for i, (y, z) in enumerate(rng.uniform(-1, 1, (400, 2)))]
+    poses = [("c", t, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0) for t in (0, 5_000)]
+    points = spark.createDataFrame(points, "capture string, scan_index long, stamp long, x double, y double, z double")
+    poses = spark.createDataFrame(poses, "capture string, stamp long, x double, y double, z double, qx double, qy double, qz double, qw double")
+    scans = spark.createDataFrame([("c", 0, "red", 1_000_000, 50.0), ("c", 1, "red", 1_000_000, 3.0)], "capture string, scan_index long, image string, gap_ns long, sharpness double")
+    pixels = spark.range(64 * 48).selectExpr("'red' AS image", "cast(id % 64 AS int) AS px", "cast(id div 64 AS int) AS py", "200 AS r", "10 AS g", "20 AS b")
+    camera = g.Camera(fx=60.0, fy=60.0, cx=32.0, cy=24.0, width=64, height=48)
+    look = ((0.0, -1.0, 0.0, 0.0), (0.0, 0.0, -1.0, 0.0), (1.0, 0.0, 0.0, 0.0))
+    o = reconstruct.Options(map_voxel=0.05, lidar_map_voxel=0.1, isolation_radius=0.0, edge_plane_denoise=False, denoise_std=0.0)
+    images = reconstruct.Images(scans, pixels, camera, look)
+    rows = reconstruct.coloured_points(points, poses, images, o).groupBy("product", "red", "green", "blue").count().collect()
+    assert {(r["product"], r["red"], r["green"], r["blue"]): r["count"] for r in rows if r["product"] == "rgb"} == {("rgb", 200.0, 10.0, 20.0): 400}
+    assert sum(r["count"] for r in rows if r["product"] == "mixed") == sum(r["count"] for r in rows if r["product"] == "lidar") == 800
+    assert sum(r["count"] for r in rows if r["product"] == "mixed" and r["red"] == 200.0) == 400
+    report = reconstruct.reconstruct(spark, points, poses, f"{tmp_path}/out", o, images, accepted=scans.where("scan_index = 0"))
+    assert report["rgb_points"] == report["mixed_points"] == report["lidar_points"] == 400 and report["accepted_scans"] == 1
+    assert report["rgb_kept"] == report["rgb_voxels"] > 300 and (tmp_path / "out" / "mixed_map").exists()
+
+
 def test_options_are_checked():
     for bad in ({"map_voxel": 0.0}, {"blind": 70.0}, {"lidar_color_bands": 0}, {"denoise_std": -1.0}):
         with pytest.raises(ValueError):
