@@ -186,6 +186,22 @@ def chain_edges(frames: DataFrame, capture: str) -> DataFrame:
     return rows.select(capture, "a", "b", *z.named(), F.lit(False).alias("loop"))
 
 
+def quaternion(m):
+    """qx qy qz qw of nine columns, the rows of a rotation matrix."""
+    big = [1.0 + m[0] - m[4] - m[8], 1.0 - m[0] + m[4] - m[8], 1.0 - m[0] - m[4] + m[8], 1.0 + m[0] + m[4] + m[8]]  # 4 times the squares
+    top = F.greatest(*big)
+    size = F.sqrt(top) * 2.0
+    rows = [
+        (big[0] / size, (m[1] + m[3]) / size, (m[2] + m[6]) / size, (m[7] - m[5]) / size), ((m[1] + m[3]) / size, big[1] / size, (m[5] + m[7]) / size, (m[2] - m[6]) / size),
+        ((m[2] + m[6]) / size, (m[5] + m[7]) / size, big[2] / size, (m[3] - m[1]) / size), ((m[7] - m[5]) / size, (m[2] - m[6]) / size, (m[3] - m[1]) / size, big[3] / size),
+    ]
+    out = []
+    for c in range(4):
+        # The largest component divides best.
+        out.append(F.when(top == big[3], rows[3][c]).when(top == big[0], rows[0][c]).when(top == big[1], rows[1][c]).otherwise(rows[2][c]))
+    return tuple(out)
+
+
 def slerp(a, b, share):
     """The quaternion columns (structs qx qy qz qw) blended along the shorter arc; nearly equal ones linearly."""
     names = POSE[3:]

@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions import geometry as g
+from ..functions import rotations as r
+from ..functions.rotations import Pose
+from ..session import stash
+from . import graphs, motion, registration
+
 RINGS, SECTORS, REACH, HEIGHT = 20, 60, 60.0, 12.0
 
 
@@ -148,3 +154,49 @@ def jumps(poses: DataFrame, capture: str, order: str, shift: float = 0.30, turn:
     seen = poses.select("*", jump.alias("jump"), F.abs(step("heading")).alias("turned"), F.abs(lengths[1] - lengths[0]).alias("stretched"))
     bad = F.when((F.col("jump") > shift) | (F.col("turned") > turn), "correction discontinuity").when((F.col("stretched") > local) | (F.col("turned") > local_turn), "local odometry deformation")
     return seen.withColumn("reason", bad)
+
+
+def closed_graph(frames: DataFrame, clouds: DataFrame, capture: str, gate: float, separation: int = 30, radius: float = 8.0, apart: int = 30, reach: int = 12, rounds: int = 12, rings: int = RINGS, sectors: int = SECTORS, **limits) -> tuple[DataFrame, DataFrame]:
+    """(solved, loops): the keyframes' poses after their loops have been closed, and the loops used.
+
+    frames: capture, frame (0, 1, ... within a capture), pose (a struct, see rotations.Pose). clouds: capture, frame, x, y, z
+    in the keyframe's own frame. Candidates by descriptors and position are registered both ways, checked, reduced to the
+    best of each target, to those that others support and to some distance from one another; then each capture's graph is
+    solved. A capture whose solution tears it (motion.graph_reasons) keeps its poses; `reason` says why. gate: of the
+    registration, in metres; limits: of symmetric_loops."""
+    frames, clouds = frames.select(capture, "frame", "pose"), clouds.select(capture, "frame", "x", "y", "z")
+    described = descriptors(polar_cells(clouds, [capture, "frame"]), [capture, "frame"], rings, sectors)
+    placed = described.join(frames.select(capture, "frame", *[F.col(f"pose.{a}").alias(a) for a in "xyz"]), [capture, "frame"])
+    found = stash(candidates(placed, capture, separation, radius, rings=rings, sectors=sectors).select(capture, "source", "target"), "candidates")
+    # Both clouds of a pair in the world, by the poses as they are: the correction sought is a small one there.
+    pair = F.concat_ws("/", F.col(capture).cast("string"), F.col("source").cast("string"), F.col("target").cast("string")).alias("pair")
+    world = clouds.join(frames, [capture, "frame"]).withColumn("_w", r.outward(r.pose_of("pose"), r.point(F.col("x"), F.col("y"), F.col("z"))))
+    world = stash(world.select(capture, "frame", F.col("_w.x").alias("x"), F.col("_w.y").alias("y"), F.col("_w.z").alias("z")), "world")
+    side = lambda end: found.select(capture, pair, F.col(end).alias("frame")).join(world, [capture, "frame"]).select("pair", F.xxhash64("x", "y", "z").alias("id"), "x", "y", "z").dropDuplicates(["pair", "id"])
+    still = found.select(pair, F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)]).alias("pose"))
+    source, target = stash(side("source"), "sources"), stash(side("target"), "targets")
+    # The target's cloud is laid on the source's: the correction of the target in the world.
+    forward = registration.register_pairs(target, source, gate, rounds, still)
+    checked = registration.symmetric_loops(forward, registration.register_pairs(source, target, gate, rounds, still), **limits)
+    good = checked.where("reason = 'accepted'").join(found.select(capture, "source", "target", pair), "pair")
+    sizes = target.groupBy("pair").agg(F.count("*").alias("_n"))
+    at = lambda i: F.element_at("pose", i + 1)
+    good = good.join(sizes, "pair").select(
+        capture, "source", "target", F.xxhash64("pair").alias("id"), "pose", "fitness", "rmse", F.floor(F.col("fitness") * F.col("_n")).alias("matches"),
+        at(3).alias("cx"), at(7).alias("cy"), at(11).alias("cz"), g.rotation_degrees(at(0) + at(5) + at(10)).alias("angle"),
+    )
+    best = supported(best_per_target(stash(good, "loops"), [capture, "target"]), capture, reach)
+    loops = stash(best.join(suppressed(best, capture, "target", apart), [capture, "target"], "left_semi"), "kept")
+    # An edge from the source to the target: Z = (correction target)^-1 source.
+    turn = graphs.quaternion([at(i) for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)])
+    fix = Pose(at(3), at(7), at(11), *turn)
+    ends = loops.join(frames.select(capture, F.col("frame").alias("source"), F.col("pose").alias("_s")), [capture, "source"]).join(frames.select(capture, F.col("frame").alias("target"), F.col("pose").alias("_t")), [capture, "target"])
+    ends = ends.withColumn("_z", r.let(r.compose(fix, r.pose_of("_t")).packed(), lambda t: r.let(r.invert(r.pose_of(t)).packed(), lambda i: r.compose(r.pose_of(i), r.pose_of("_s")).packed())))
+    edges = ends.select(capture, F.col("source").alias("a"), F.col("target").alias("b"), "_z.*", F.lit(True).alias("loop"))
+    nodes = frames.select(capture, F.col("frame").cast("long").alias("node"), "pose.*")
+    solved = graphs.solve_graphs(nodes, stash(graphs.chain_edges(nodes, capture).unionByName(edges), "edges"), capture)
+    after = stash(solved.select(capture, F.col("node").alias("frame"), F.struct(*graphs.POSE).alias("after")), "solved")
+    both = motion.graph_reasons(frames.withColumnRenamed("pose", "before").join(after, [capture, "frame"]), capture, "frame")
+    torn = both.groupBy(capture).agg(F.min("reason").alias("reason"))
+    out = both.drop("reason").join(torn, capture).select(capture, "frame", F.when(F.col("reason").isNull(), F.col("after")).otherwise(F.col("before")).alias("solved"), "reason")
+    return out, loops

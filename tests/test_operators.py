@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sweepmill.functions import geometry as g
-from sweepmill.operators import graphs, imaging, loops, motion, neighbours, registration, voxel
+from sweepmill.operators import graphs, imaging, loops, motion, neighbours, registration, series, voxel
 from sweepmill.plans import places
 
 RNG = np.random.default_rng(4)
@@ -164,3 +164,42 @@ def test_empty_tables(spark):
     for out in (neighbours.radius_inliers(empty, 0.1, 2), neighbours.statistical_inliers(empty), neighbours.normals(empty, 0.1), voxel.centroids(empty, 0.1), neighbours.with_halo(empty, 1.0, 0.1)):
         assert out.count() == 0
     assert list(itertools.islice(voxel.planes(empty, 0.1).toLocalIterator(), 1)) == []
+
+
+def test_loops_are_found_and_closed(spark):
+    """A walk around a cross-shaped hall, whose poses drift; its end sees what its beginning saw."""
+    rng = np.random.default_rng(5)
+    walls = np.concatenate([np.stack([rng.uniform(-9, 9, 700), np.full(700, y), rng.uniform(-1, 3, 700)], 1) for y in (-6.0, 7.0)] + [np.stack([np.full(700, x), rng.uniform(-6, 7, 700), rng.uniform(-1, 3, 700)], 1) for x in (-9.0, 8.0)] + [np.stack([rng.uniform(2, 4, 300), np.full(300, 2.0), rng.uniform(-1, 2, 300)], 1)])
+    frames, clouds, truth, n = [], [], [], 24
+    for k in range(n):
+        a = 2 * math.pi * k / (n - 1)
+        p, yaw = np.array([3 * math.cos(a) - 3, 3 * math.sin(a), 0.0]), 0.02 * k
+        truth.append(p)
+        c, s = math.cos(yaw), math.sin(yaw)
+        own = (walls - p) @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]])
+        seen = p + np.array([0.008, 0.004, 0.0]) * k  # the drift
+        frames.append(("c", k, (*map(float, seen), 0.0, 0.0, math.sin(yaw / 2), math.cos(yaw / 2))))
+        clouds += [("c", k, *map(float, q)) for q in own]
+    f = spark.createDataFrame(frames, "capture string, frame long, pose struct<x:double,y:double,z:double,qx:double,qy:double,qz:double,qw:double>")
+    solved, found = loops.closed_graph(f, spark.createDataFrame(clouds, "capture string, frame long, x double, y double, z double"), "capture", 0.5, separation=18, radius=1.5, apart=2, rounds=6, most_rmse=0.3)
+    ends = {r["frame"]: r for r in solved.collect()}
+    assert found.count() >= 1 and len(ends) == n and all(r["reason"] is None for r in ends.values())
+    before = np.linalg.norm(np.array(frames[-1][2][:3]) - truth[-1])
+    after = np.linalg.norm(np.array(ends[n - 1]["solved"][:3]) - truth[-1])
+    assert before > 0.2 and after < 0.4 * before
+
+
+def test_standing_still(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, i * 5_000_000, *map(float, rng.normal(0, 0.01, 3) + 0.02), *map(float, rng.normal(0, 0.005, 3) + (0, 0, 1.0 if k == 1 else 9.8))) for k in (1, 2) for i in range(2200)]
+    rows += [(3, i * 5_000_000, *map(float, rng.normal(0, 1, 3)), 0.0, 0.0, 9.8) for i in range(2200)]
+    df = spark.createDataFrame(rows, "k long, t long, gx double, gy double, gz double, ax double, ay double, az double")
+    got = {r["k"]: r for r in series.static_imu(df, ["k"], "t").collect()}
+    assert got[1]["valid"] and got[1]["scale"] == 9.80665 and got[2]["valid"] and got[2]["scale"] == 1.0 and not got[3]["valid"]
+    assert abs(got[2]["bx"] - 0.02) < 2e-3 and abs(got[1]["mz"] - 9.80665) < 0.01 and got[1]["n"] == 2001
+    asked = spark.createDataFrame([(1, 1_000_000_000), (2, 10_900_000_000), (3, 0), (1, 50_000_000_000)], "k long, start long")
+    rest = {(r["k"], r["start"]): (r["n"], r["valid"]) for r in series.stationary_mean(df, asked, ["k"], "t").collect()}
+    assert rest == {(1, 1_000_000_000): (401, True), (2, 10_900_000_000): (20, True), (3, 0): (401, True), (1, 50_000_000_000): (None, False)}  # only means count
+    stamps = [(1, i * 100_000_000, 0) for i in range(20)] + [(2, 0, i * 200_000_000) for i in range(20)]
+    rate = {r["k"]: (r["median"], r["passes"]) for r in series.frame_interval(spark.createDataFrame(stamps, "k long, a long, b long"), ["k"], "a", "b").collect()}
+    assert rate == {1: (100_000_000, True), 2: (200_000_000, False)}

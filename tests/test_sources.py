@@ -1,5 +1,6 @@
 """Decoders and products against generated files."""
 
+import json
 import math
 import sqlite3
 import struct
@@ -135,3 +136,27 @@ def test_trajectory_and_reports(spark, tmp_path):
     state = live.read_snapshot(spark, f"{tmp_path}/view")
     assert state["snapshot"] == 3 and state["cloud_file"] == "preview_0.ply" and state["points"] == 30
     assert files.read_ply(spark, f"{tmp_path}/view/{state['cloud_file']}").count() == 30
+
+
+def test_chunks_swaps_and_initialization(spark, tmp_path):
+    rows = np.zeros(3, dtype=files.CHUNK_POINT)
+    rows["x"], rows["w"] = [1, 2, 3], [4, 5, 6]
+    head = np.array([(b"VXF1", 1, 3)], dtype=files.CHUNK_HEAD)
+    (tmp_path / "a.vxf").write_bytes(head.tobytes() + rows.tobytes())
+    assert [(r["x"], r["w"]) for r in files.read_chunks(spark, f"{tmp_path}/a.vxf").orderBy("x").collect()] == [(1.0, 4), (2.0, 5), (3.0, 6)]
+    (tmp_path / "b.vxf").write_bytes(b"VXF0" + head.tobytes()[4:])
+    with pytest.raises(Exception, match="not a fused chunk"):
+        files.read_chunks(spark, f"{tmp_path}/b.vxf").collect()
+    cloud = spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double")
+    for n in (1, 2):
+        assert files.write_cloud(cloud.limit(n), f"{tmp_path}/cloud") == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.vxf", "b.vxf", "cloud"]
+    for text in ("one", "two"):
+        files.write_text(spark, f"{tmp_path}/t.json", text)
+    assert (tmp_path / "t.json").read_text() == "two" and not (tmp_path / "t.json.tmp").exists()
+    good = "valid: true\ngyro_bias_rad_s: [0.1, 0.2, 0.3]\naccel_mean_m_s2: [0, 0, 9.8]\ngravity_body_m_s2: [0, 0, -9.8]\nsample_count: 2000\n"
+    assert files.imu_initialization(good)["gyro_bias_rad_s"] == [0.1, 0.2, 0.3] and files.imu_initialization(good)["accel_scale_to_m_s2"] == 1.0
+    assert files.imu_initialization(good.replace("true", "false")) is None and files.imu_initialization("valid: true") is None
+    assert live.publish_pose(spark, str(tmp_path), {"scan_index": 1, "stamp_ns": 2, "x": 0.0, "y": 0.0, "z": 0.0, "accepted": 1}, "live")
+    assert live.publish_error(spark, str(tmp_path), 'a "quoted"\nline') and json.loads((tmp_path / "preview_error.json").read_text())["message"] == 'a "quoted"\nline'
+    assert json.loads((tmp_path / "preview_pose.json").read_text())["accepted"] is True
