@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import rotations
 from .registration import log_so3
 
+#: Graphs of at most so many nodes are solved by one dense system.
+DENSE = 120
 POSE = ("x", "y", "z", "qx", "qy", "qz", "qw")
 
 
@@ -94,9 +96,9 @@ def _jacobians(poses: np.ndarray, a, b, z_inverse, r: np.ndarray, tiny: float =
 
 
 def solve(poses: np.ndarray, a, b, z, loop, rounds: int = 15, huber: float = 0.30, loop_weight: float = 2.0, damping: float = 1e-4, most: float = 0.25) -> tuple[np.ndarray, float, float]:
-    """Gauss-Newton over all poses but the first: (poses, cost before, cost after). The normal equations are never
-    formed; conjugate gradients apply the edges' 6 x 6 blocks one after another, with the diagonal blocks as
-    preconditioner, so memory grows with the edges."""
+    """Gauss-Newton over all poses but the first: (poses, cost before, cost after). Small graphs are solved at once; for
+    others the normal equations are never formed: conjugate gradients apply the edges' 6 x 6 blocks one after another,
+    with the diagonal blocks as preconditioner, so memory grows with the edges."""
     a, b, loop, z_inverse = np.asarray(a), np.asarray(b), np.asarray(loop, dtype=bool), _inverse(np.asarray(z))
     n, start = len(poses), None
 
@@ -129,21 +131,30 @@ def solve(poses: np.ndarray, a, b, z, loop, rounds: int = 15, huber: float = 0.3
         diagonal = np.tile(damping * np.eye(6), (n, 1, 1))
         np.add.at(diagonal, a, np.einsum("e,eki,ekj->eij", w, ja, ja))
         np.add.at(diagonal, b, np.einsum("e,eki,ekj->eij", w, jb, jb))
-        condition = np.linalg.inv(diagonal)
-        left = -gathered(w[:, None] * r)
-        step = np.zeros((n, 6))
-        better = np.einsum("nij,nj->ni", condition, left)
-        direction, power = better, float((left * better).sum())
-        enough = max(1e-20, 1e-10 * power)
-        for _inner in range(6 * n + 50):
-            if power < enough:
-                break
-            image = applied(direction)
-            length = power / float((direction * image).sum())
-            step, left = step + length * direction, left - length * image
+        if n <= DENSE:
+            blocks = np.zeros((n, n, 6, 6))
+            blocks[np.arange(n), np.arange(n)] = diagonal
+            cross = np.einsum("e,eki,ekj->eij", w, ja, jb)
+            np.add.at(blocks, (a, b), cross)
+            np.add.at(blocks, (b, a), np.swapaxes(cross, 1, 2))
+            whole = blocks.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)[6:, 6:]
+            step = np.concatenate([np.zeros(6), np.linalg.solve(whole, -gathered(w[:, None] * r).ravel()[6:])]).reshape(n, 6)
+        else:
+            condition = np.linalg.inv(diagonal)
+            left = -gathered(w[:, None] * r)
+            step = np.zeros((n, 6))
             better = np.einsum("nij,nj->ni", condition, left)
-            fresh = float((left * better).sum())
-            direction, power = better + fresh / power * direction, fresh
+            direction, power = better, float((left * better).sum())
+            enough = max(1e-20, 1e-10 * power)
+            for _inner in range(6 * n + 50):
+                if power < enough:
+                    break
+                image = applied(direction)
+                length = power / float((direction * image).sum())
+                step, left = step + length * direction, left - length * image
+                better = np.einsum("nij,nj->ni", condition, left)
+                fresh = float((left * better).sum())
+                direction, power = better + fresh / power * direction, fresh
         step[0] = 0
         biggest = np.abs(step).max() if n else 0.0
         tried = _moved(poses, step * min(1.0, most / max(biggest, 1e-12)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotations as r
 from ..functions.rotations import Pose
+from ..session import stash
 
 
 def constant_velocity(before: Pose, now: Pose, ratio: Column, most: float = 3.0) -> Column:
@@ -172,9 +173,10 @@ def integrate_gyro(samples: DataFrame, capture: str, longest: float = 0.05, bloc
         start = (stamp[0], *rate[0]) if before is None else tuple(before[n] for n in ("stamp", *rates)) if isinstance(before, dict) else tuple(before)
         stamp, rate = np.concatenate(([start[0]], stamp)), np.concatenate(([start[1:]], rate))
         q = _products(_turns((rate[1:] + rate[:-1]) / 2, np.clip(np.diff(stamp) / 1e9, 0, longest)))
-        return pd.DataFrame({capture: pdf[capture], "_block": pdf["_block"], "stamp": pdf["stamp"], **{n: q[:, i] for i, n in enumerate(("qx", "qy", "qz", "qw"))}})
+        return pd.DataFrame({capture: pdf[capture], "_block": pdf["_block"], "stamp": pdf["stamp"], "last": np.arange(len(pdf)) == len(pdf) - 1, **{n: q[:, i] for i, n in enumerate(("qx", "qy", "qz", "qw"))}})
 
-    parts = rows.join(ends, [capture, "_block"]).groupBy(capture, "_block").applyInPandas(inside, f"{capture} {kind}, _block long, stamp long, {quaternion}")
+    parts = rows.join(ends, [capture, "_block"]).groupBy(capture, "_block").applyInPandas(inside, f"{capture} {kind}, _block long, stamp long, last boolean, {quaternion}")
+    parts = stash(parts, "blocks")
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
@@ -183,7 +185,6 @@ def integrate_gyro(samples: DataFrame, capture: str, longest: float = 0.05, bloc
         return pd.DataFrame({capture: pdf[capture], "_block": pdf["_block"], **{f"_{n}": q[:, i] for i, n in enumerate(("qx", "qy", "qz", "qw"))}})
 
     names = ("qx", "qy", "qz", "qw")
-    totals = rows.join(ends, [capture, "_block"]).groupBy(capture, "_block").applyInPandas(lambda pdf: inside(pdf).tail(1), f"{capture} {kind}, _block long, stamp long, {quaternion}")
-    first = totals.groupBy(capture).applyInPandas(whole, f"{capture} {kind}, _block long, " + ", ".join(f"_{n} double" for n in names))
+    first = parts.where("last").groupBy(capture).applyInPandas(whole, f"{capture} {kind}, _block long, " + ", ".join(f"_{n} double" for n in names))
     q = r.multiply([F.col(f"_{n}") for n in names], [F.col(n) for n in names])
     return parts.join(first, [capture, "_block"]).select(capture, "stamp", *[c.alias(n) for c, n in zip(q, names, strict=True)])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..session import stash
+from ..session import stash, unstash
 from . import voxel
 
 AXES = ("x", "y", "z")
@@ -185,6 +185,7 @@ def register(source: DataFrame, target: DataFrame, gate: float, rounds: int = 20
     import numpy as np
 
     pose, score = np.eye(4), (0.0, float("inf"))
+    source, target = stash(source.select("id", *AXES), "source"), stash(target.select("id", *AXES), "target")  # read in each round
     n = source.count()
     pairs = [(f"q{a}", b) for a in AXES for b in AXES]
     for _ in range(rounds):
@@ -203,4 +204,5 @@ def register(source: DataFrame, target: DataFrame, gate: float, rounds: int = 20
         pose = step @ pose
         if np.abs(step - np.eye(4)).max() < rest:
             break
+    unstash(source, target)
     return pose, *score

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..session import stash
+from ..session import stash, unstash
 from . import neighbours
 
 AXES = ("x", "y", "z")
@@ -57,6 +57,7 @@ def register_to_planes(points: DataFrame, planes: DataFrame, size: float, start:
     """(4x4 pose, fitness, rmse, degenerate) that lays points on the planes, from a predicted pose. The prior holds
     attitude firmly and position loosely to the prediction; steps are limited; with too few inliers it stops."""
     prior = np.eye(4) if start is None else np.array(start, dtype=float)
+    points, planes = stash(points.select("id", *AXES), "points"), stash(planes, "planes")  # read in each round
     pose, total, last = prior.copy(), points.count(), None
     need = max(60, total // 12)
     for _ in range(rounds + 1):
@@ -84,6 +85,7 @@ def register_to_planes(points: DataFrame, planes: DataFrame, size: float, start:
         pose = update @ pose
         if np.linalg.norm(turn) < 2e-5 and np.linalg.norm(shift) < 5e-5:
             rounds = _ + 1
+    unstash(points, planes)
     values = np.linalg.eigvalsh(last) if last is not None else np.zeros(3)
     return pose, *score, bool(last is not None and max(0.0, values[0]) / max(values[2], 1e-12) < 1e-3)
 
@@ -116,7 +118,7 @@ def register_pairs(source: DataFrame, target: DataFrame, gate: float, rounds: in
         start = both.select("pair", F.array(*[c for r in rows for c in r], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]).alias("pose"))
     poses = start.select("pair", "pose", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("inliers"), F.lit(None).cast("double").alias("d2"))
     moments = [F.covar_pop(f"q{a}", b).alias(f"q{a}{b}") for a in AXES for b in AXES]
-    sizes = source.groupBy("pair").agg(F.count("*").alias("n"))
+    sizes = stash(source.groupBy("pair").agg(F.count("*").alias("n")), "sizes")
     for _ in range(rounds):
         at = lambda i: F.element_at("pose", i + 1)
         world = g.transform(*[F.col(a) for a in AXES], [[at(4 * i + j) for j in range(4)] for i in range(3)])
