@@ -217,7 +217,6 @@ def _component_links(comps: DataFrame, vectors: DataFrame, threshold: float, blo
     types = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int64(), longs, pa.binary(), longs, longs]
     sorted_rows = member.repartition("place").sortWithinPartitions("place", "node").select("place", "component", "part", "node", "unit", "rows")
     blocks = common.stash(sorted_rows.mapInArrow(_segments("place", _pack(threshold), names, types), kinds), "blocks")
-    inside = blocks.select(F.explode(F.arrays_zip("nodes", "linked")).alias("z")).select(F.col("z.nodes").alias("node"), F.col("z.linked").alias("linked"))
 
     # Blocks of one component, against one another: first by centre and radius alone.
     limit = math.acos(threshold)
@@ -229,7 +228,19 @@ def _component_links(comps: DataFrame, vectors: DataFrame, threshold: float, blo
         angle = np.array([_angle(float(np.frombuffer(a) @ np.frombuffer(b))) for a, b in zip(c1, c2, strict=True)])
         return pd.Series(np.where(angle + r1 + r2 < limit - 1e-7, 1, np.where(angle - r1 - r2 > limit + 1e-7, 0, -1)).astype(np.int32))
 
-    pairs = brief.join(other, "component").where("part <> part2").withColumn("all", verdict("centre", "centre2", "radius", "radius2"))
+    # A component that lies in so small a ball that all its vectors link needs no pairs.
+    @F.pandas_udf("double")
+    def apart(c1: pd.Series, c2: pd.Series) -> pd.Series:
+        return pd.Series([float(_angle(np.frombuffer(a) @ np.frombuffer(b))) for a, b in zip(c1, c2, strict=True)], dtype=float)
+
+    first = brief.groupBy("component").agg(F.min_by("centre", "part").alias("_c"), F.sum("total").alias("linked"))
+    reach = brief.join(first, "component").groupBy("component").agg(F.max(apart("centre", "_c") + F.col("radius")).alias("reach"), F.first("linked").alias("linked"))
+    tight = common.stash(reach.where(2 * F.col("reach") < limit - 1e-7).select("component", "linked"), "tight")
+    all_linked = blocks.join(tight.withColumnRenamed("linked", "_l"), "component").select(F.explode("nodes").alias("node"), F.col("_l").alias("linked"))
+    loose = brief.join(tight, "component", "left_anti")
+    inside = blocks.join(tight, "component", "left_anti").select(F.explode(F.arrays_zip("nodes", "linked")).alias("z")).select(F.col("z.nodes").alias("node"), F.col("z.linked").alias("linked"))
+
+    pairs = loose.join(other, "component").where("part <> part2").withColumn("all", verdict("centre", "centre2", "radius", "radius2"))
     pairs = common.stash(pairs.where("`all` <> 0").select("component", "part", "part2", "all", "total2"), "pairs")
     whole = pairs.where("`all` = 1").groupBy("component", "part").agg(F.sum("total2").alias("linked"))
     whole = blocks.join(whole.withColumnRenamed("linked", "_l"), ["component", "part"]).select(F.explode("nodes").alias("node"), F.col("_l").alias("linked"))
@@ -244,7 +255,7 @@ def _component_links(comps: DataFrame, vectors: DataFrame, threshold: float, blo
     theirs = blocks.select("component", F.col("part").alias("part2"), F.col("units").alias("units2"), F.col("weights").alias("weights2"))
     close = pairs.where("`all` = -1").select("component", "part", "part2").join(mine, ["component", "part"]).join(theirs, ["component", "part2"])
     across = close.select("nodes", "units", "units2", "weights2").mapInPandas(compare, "node long, linked long")
-    return inside.unionByName(whole).unionByName(across).groupBy("node").agg(F.sum("linked").alias("linked"))
+    return inside.unionByName(all_linked).unionByName(whole).unionByName(across).groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
 def _merged(comps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -320,9 +331,34 @@ def _join_saturated(comps: DataFrame, lists: DataFrame, vectors: DataFrame, thre
         same = teams.groupBy("team").agg(F.count("*").alias("own"))
         reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sim") + _SLACK))) - F.col("radius") - widest > limit
         proven = F.when(F.col("m") >= k, reach).otherwise(F.coalesce("m", F.lit(0)) >= n - F.col("own"))
-        rest = teams.join(same, "team").join(ends, "node", "left").where(~proven).select("node")
-        pairs = joined(rest.crossJoin(teams.select(F.col("node").alias("nbr"))), teams)
-        return _merged(comps, pairs) if pairs.take(1) else comps
+        rest = common.stash(teams.join(same, "team").join(ends, "node", "left").where(~proven).select("node", "team", "centre", "radius"), "rest")
+        chunks, pairs = -(-rest.count() // 2048), None
+        for c in range(chunks):
+            asked = rest.where(F.pmod(F.xxhash64("node"), F.lit(chunks)) == c).collect()  # about 2048 centres
+            some = joined(_reached(asked, teams, limit), teams)
+            pairs = some if pairs is None else pairs.unionByName(some)
+        return _merged(comps, pairs) if pairs is not None and pairs.take(1) else comps
+
+
+def _reached(asked: list, teams: DataFrame, limit: float) -> DataFrame:
+    """node, nbr: the blocks (nbr) of other teams so near to the asked ones (node) that they may link."""
+    held = teams.sparkSession.sparkContext.broadcast([(r["node"], r["team"], bytes(r["centre"]), r["radius"]) for r in asked])
+
+    def run(batches):
+        groups: dict[int, list] = {}
+        for row in held.value:
+            groups.setdefault(len(row[2]), []).append(row)
+        stacked = {n: (np.array([r[0] for r in g]), np.array([r[1] for r in g]), np.stack([np.frombuffer(r[2]) for r in g]), np.array([r[3] for r in g])) for n, g in groups.items()}
+        for pdf in batches:
+            out = []
+            for node, team, centre, radius in zip(pdf["node"], pdf["team"], pdf["centre"], pdf["radius"], strict=True):
+                if len(centre) in stacked:
+                    nodes, theirs, centres, radii = stacked[len(centre)]
+                    near = (theirs != team) & (_angle(centres @ np.frombuffer(centre)) - radii - radius <= limit + 1e-7)
+                    out.append(pd.DataFrame({"node": nodes[near], "nbr": np.full(int(near.sum()), node)}))
+            yield pd.concat(out) if out else pd.DataFrame({"node": [], "nbr": []}, dtype="int64")
+
+    return teams.select("node", "team", "centre", "radius").mapInPandas(run, "node long, nbr long")
 
 
 def _compare_all(comps: DataFrame, vectors: DataFrame, threshold: float, count: int, chunk: int = 2048) -> DataFrame:

@@ -241,6 +241,25 @@ def test_saturated_clusters_are_joined(spark):
     assert sum(r["kept"] for r in got.values()) == 21 and got[0]["n_links"] == 199
 
 
+def test_tight_group_and_unproven_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base, other = rng.normal(size=16), rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * 0.001).tolist()) for i in range(700)] + [(700 + i, (other + rng.normal(size=16) * 0.2).tolist()) for i in range(60)]
+    asked = []
+    original = vector_dedup._reached
+    monkeypatch.setattr(vector_dedup, "_reached", lambda some, *rest: asked.extend(some) or original(some, *rest))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.near_vectors(df, k=4).collect()}
+    assert got == brute.vector_links(rows, 0.95) and got[0][0] == 699
+    # Whatever blocks are asked about, those in reach are found.
+    vectors = [(i, np.eye(3)[i % 3] + 0.01 * i) for i in range(6)]
+    units = [(i, i % 3, (v / np.linalg.norm(v)).tobytes(), 0.05) for i, v in vectors]
+    teams = spark.createDataFrame(units, "node long, team long, centre binary, radius double")
+    found = {(r["node"], r["nbr"]) for r in original(teams.where("node < 2").collect(), teams, 1.55).collect()}
+    angle = lambda a, b: np.arccos(np.clip(np.frombuffer(units[a][2]) @ np.frombuffer(units[b][2]), -1, 1))
+    assert found == {(a, b) for a in (0, 1) for b in range(6) if units[a][1] != units[b][1] and angle(a, b) - 0.1 <= 1.55}
+
+
 def test_vectors_are_compared_exactly_at_last(spark, monkeypatch):
     # Lists find nothing, so that only the exact comparison is left.
     monkeypatch.setattr(vector_dedup, "_exact_edges", lambda lists, vectors, threshold: lists.limit(0).selectExpr("node AS a", "nbr AS b"))
