@@ -21,6 +21,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c.lower() not in low])
 
 
+def small_batches(spark) -> None:
+    """From now on this session hands Python batches of 4 MB at most, unless it has settings of its own: each of an
+    executor's Python workers keeps one or two in memory, and batches of whole texts are large by default."""
+    for name, default in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")):
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, STASHING[name])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like `name` that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -61,7 +69,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _NEWLINE, _SAME = np.arange(256) == 10, np.arange(256, dtype=np.uint8)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -186,7 +194,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def text_chunks(texts, most: int = 1 << 20):
+def text_chunks(texts, most: int = 1 << 19):
     """Slices of texts (a list or an Arrow string array) of about `most` bytes each; a longer text stands alone."""
     sizes = [len(t) if t else 0 for t in texts] if not isinstance(texts, pa.Array) else np.diff(_raw(texts)[1]).tolist()
     begin, total = 0, 0

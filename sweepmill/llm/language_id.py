@@ -106,7 +106,7 @@ def bundle(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunks(texts: pa.Array):
     """Slices of bounded size in bytes and in texts."""
-    for part in common.text_chunks(texts, 1 << 19):
+    for part in common.text_chunks(texts, 1 << 18):
         for begin in range(part.start, part.stop, 256):
             yield slice(begin, min(part.stop, begin + 256))
 

@@ -156,7 +156,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
 
 
 def _measured(texts: pa.Array):
-    for part in common.text_chunks(texts, 1 << 19):
+    for part in common.text_chunks(texts, 1 << 18):
         yield part, statistics(texts.slice(part.start, part.stop - part.start))
 
 
