@@ -58,6 +58,7 @@ def without_keys(docs: DataFrame, keys: DataFrame, same) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the prototypes know; those without a letter, or less like any language
     than prose of their length is, go."""
+    common.small_batches(spark)
     plain, names = hidden(docs)
     prototypes = language_id.fit(plain, id_col=names["doc_id"], text_col=names["text"], lang_col=names["lang"])
     found = language_id.identify(plain, prototypes, text_col=names["text"], extent="extent")
@@ -87,6 +88,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item. Texts stand for themselves, whatever their ids."""
+    common.small_batches(spark)
     plain, names = hidden(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hits = decontaminate.find_contained(plain.select(text_key(F.col(names["text"])).alias("key"), F.col(names["text"]).alias("text")), items, id_col="key")
