@@ -145,17 +145,18 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: fl
     )
     named = common.stash(named, "named")
     live = named.where("mass > 0 AND part > 0 AND part < 1").select("key", "src", "mass", "part")
-    count, settled, level = targets.agg(F.max("n_docs")).first()[0] or 0, None, 0
+    count, settled, level, levels = targets.agg(F.max("n_docs")).first()[0] or 0, None, 0, []
     while count:
         parts = math.ceil(count / bucket)
         dealt = live.withColumn("_bucket", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(parts))).withColumn("last", F.lit(parts == 1))
         done = common.stash(dealt.groupBy("src", "_bucket").applyInPandas(_fold_bucket(seed + level), "key long, src long, mass long, part double"), f"level{level}")
+        levels.append(done)
         whole = done.where("part = 1").select("key", "src")
         settled = whole if settled is None else settled.unionByName(whole)
         live, count, level = done.where("part > 0 AND part < 1"), parts if parts > 1 else 0, level + 1
-    if settled is None:
-        settled = named.select("key", "src").limit(0)
-    copies = named.join(settled.distinct().withColumn("_one", F.lit(1)), ["key", "src"], "left")
+    settled = common.stash((named.select("key", "src").limit(0) if settled is None else settled).distinct(), "settled")
+    common.unstash(*levels)
+    copies = named.join(settled.withColumn("_one", F.lit(1)), ["key", "src"], "left")
     copies = copies.select(
         F.col("_id").alias("_i"), F.col("source").alias("_s"), F.col("_text").alias("_t"), "size", "source_size", "target",
         (F.col("whole") + F.coalesce("_one", F.lit(0))).cast("int").alias("copies"),
