@@ -12,13 +12,33 @@ def positive_gaps(df: DataFrame, by: list[str], at: str) -> DataFrame:
     return df.select(*by, (F.col(at) - F.lag(at).over(w)).alias("gap")).where("gap > 0")
 
 
+_FINE, _SLIP = 10_000, 3e-4  # accuracy of approximate percentiles, and a little more than their error in rank
+
+
+def _nth(df: DataFrame, by: list[str], value: str, rank, about: tuple[float, float]) -> DataFrame:
+    """by, nth, n: the rank-th smallest value (from 1; a function of a column n) of each key's n values, exactly.
+
+    Approximate percentiles enclose it; rows below are counted and only those between are ranked, so no key is sorted
+    whole. about: shares of n between which the rank lies for all n; if n is large, near the second."""
+    lowest, highest = about
+    parts = [max(0.0, lowest - _SLIP), max(0.0, highest - 2 * _SLIP), min(1.0, highest + _SLIP)]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    bounds = rows.groupBy(*by).agg(F.count("*").alias("n"), F.approx_percentile("_v", F.array(*[F.lit(p) for p in parts]), F.lit(_FINE)).alias("_p"))
+    bounds = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "n", F.when(F.col("n") < _FINE, F.col("_p")[0]).otherwise(F.col("_p")[1]).alias("_lo"), F.col("_p")[2].alias("_hi"))
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    near = rows.join(bounds, same)
+    below = near.groupBy(*by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    between = near.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    ranked = between.select(*by, "_v", "n", F.row_number().over(Window.partitionBy(*by).orderBy("_v")).alias("_r"))
+    below = below.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_below")
+    return ranked.join(below, same).where(F.col("_r") + F.col("_below") == rank(F.col("n"))).select(*by, F.col("_v").alias("nth"), "n")
+
+
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, median (the element n div 2 of the sorted values: the upper one of two), n. By ranks, so no group is
-    gathered into a row."""
-    w = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    ranked = df.select(*by, F.col(value).alias("_v"), F.row_number().over(w).alias("_r"), F.count("*").over(whole).alias("n"))
-    return ranked.where(F.col("_r") == F.floor(F.col("n") / 2) + 1).select(*by, F.col("_v").alias("median"), "n")
+    """by, median (the element n div 2 of the sorted values: the upper one of two), n. Nulls are no values."""
+    return _nth(df, by, value, lambda n: F.floor(n / 2) + 1, (0.5, 0.5)).select(*by, F.col("nth").alias("median"), "n")
 
 
 def trimmed_mean(df: DataFrame, by: list[str], value: str, few: int = 20, share: int = 10) -> DataFrame:

@@ -203,3 +203,15 @@ def test_standing_still(spark):
     stamps = [(1, i * 100_000_000, 0) for i in range(20)] + [(2, 0, i * 200_000_000) for i in range(20)]
     rate = {r["k"]: (r["median"], r["passes"]) for r in series.frame_interval(spark.createDataFrame(stamps, "k long, a long, b long"), ["k"], "a", "b").collect()}
     assert rate == {1: (100_000_000, True), 2: (200_000_000, False)}
+
+
+def test_medians_and_trimmed_means(spark):
+    rng = np.random.default_rng(4)
+    groups = {k: rng.choice((rng.normal(size=n), rng.integers(0, 4, n).astype(float), rng.pareto(1, n))[k % 3], n) for k, n in enumerate((1, 2, 3, 19, 20, 21, 39, 40, 1000, 9_999, 30_001, 30_000))}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [(None, 1.0), (None, 3.0), (0, None)], "k long, v double")
+    medians = {r["k"]: (r["median"], r["n"]) for r in series.upper_median(df, ["k"], "v").collect()}
+    means = {r["k"]: (r["mean"], r["n"]) for r in series.trimmed_mean(df.where("v IS NOT NULL"), ["k"], "v").collect()}
+    for k, vs in {**groups, None: np.array([1.0, 3.0])}.items():
+        own, cut = sorted(vs), len(vs) // 10 if len(vs) >= 20 else 0
+        assert medians[k] == (own[len(own) // 2], len(own))
+        assert means[k][1] == len(own) and math.isclose(means[k][0], np.mean(own[cut : len(own) - cut]), rel_tol=1e-9, abs_tol=1e-12)
