@@ -1,4 +1,4 @@
-"""Pose graphs: one group is one capture, whose keyframes are capped.
+"""Pose graphs. A capture, whose keyframes are capped, is solved by one task, several small ones together.
 
 A pose is 7 numbers, x y z and a unit quaternion qx qy qz qw. An edge (a, b) measures Z = B^-1 A."""
 
@@ -95,97 +95,122 @@ def _jacobians(poses: np.ndarray, a, b, z_inverse, r: np.ndarray, tiny: float =
     return ja, jb
 
 
-def solve(poses: np.ndarray, a, b, z, loop, rounds: int = 15, huber: float = 0.30, loop_weight: float = 2.0, damping: float = 1e-4, most: float = 0.25) -> tuple[np.ndarray, float, float]:
-    """Gauss-Newton over all poses but the first: (poses, cost before, cost after). Small graphs are solved at once; for
-    others the normal equations are never formed: conjugate gradients apply the edges' 6 x 6 blocks one after another,
-    with the diagonal blocks as preconditioner, so memory grows with the edges."""
-    a, b, loop, z_inverse = np.asarray(a), np.asarray(b), np.asarray(loop, dtype=bool), _inverse(np.asarray(z))
-    n, start = len(poses), None
-
-    def weights(r):
-        size = np.linalg.norm(r, axis=1)
-        return np.where(loop, loop_weight * np.minimum(1.0, huber / np.maximum(size, 1e-12)), 1.0)
-
-    def cost_of(r):
+def _step(n: int, a, b, ja, jb, w, r, damping: float) -> np.ndarray:
+    """The Gauss-Newton step of a graph of n nodes, the first of which stays. Small graphs are solved at once; for others
+    the normal equations are never formed: conjugate gradients apply the edges' 6 x 6 blocks one after another, with the
+    diagonal blocks as preconditioner, so memory grows with the edges."""
+
+    def gathered(v):
+        out = np.zeros((n, 6))
+        np.add.at(out, a, np.einsum("eij,ei->ej", ja, v))
+        np.add.at(out, b, np.einsum("eij,ei->ej", jb, v))
+        out[0] = 0
+        return out
+
+    diagonal = np.tile(damping * np.eye(6), (n, 1, 1))
+    np.add.at(diagonal, a, np.einsum("e,eki,ekj->eij", w, ja, ja))
+    np.add.at(diagonal, b, np.einsum("e,eki,ekj->eij", w, jb, jb))
+    left = -gathered(w[:, None] * r)
+    if n <= DENSE:
+        blocks = np.zeros((n, n, 6, 6))
+        blocks[np.arange(n), np.arange(n)] = diagonal
+        cross = np.einsum("e,eki,ekj->eij", w, ja, jb)
+        np.add.at(blocks, (a, b), cross)
+        np.add.at(blocks, (b, a), np.swapaxes(cross, 1, 2))
+        whole = blocks.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)[6:, 6:]
+        return np.concatenate([np.zeros(6), np.linalg.solve(whole, left.ravel()[6:])]).reshape(n, 6)
+    condition, step = np.linalg.inv(diagonal), np.zeros((n, 6))
+    better = np.einsum("nij,nj->ni", condition, left)
+    direction, power = better, float((left * better).sum())
+    enough = max(1e-20, 1e-10 * power)
+    for _ in range(6 * n + 50):
+        if power < enough:
+            break
+        image = gathered(w[:, None] * (np.einsum("eij,ej->ei", ja, direction[a]) + np.einsum("eij,ej->ei", jb, direction[b]))) + damping * direction
+        length = power / float((direction * image).sum())
+        step, left = step + length * direction, left - length * image
+        better = np.einsum("nij,nj->ni", condition, left)
+        fresh = float((left * better).sum())
+        direction, power = better + fresh / power * direction, fresh
+    step[0] = 0
+    return step
+
+
+def solve_many(poses: np.ndarray, sizes, a, b, z, loop, rounds: int = 15, huber: float = 0.30, loop_weight: float = 2.0, damping: float = 1e-4, most: float = 0.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gauss-Newton over several graphs at once: (poses, costs before, costs after). poses: those of all graphs, one after
+    the other, of `sizes` nodes each, the first of which stays; a, b: the edges' places in poses. Residuals and their
+    derivatives are taken of all edges together; each graph has its own steps and its own end."""
+    a, b, loop, z_inverse = np.asarray(a, dtype=int), np.asarray(b, dtype=int), np.asarray(loop, dtype=bool), _inverse(np.asarray(z))
+    sizes = np.asarray(sizes, dtype=int)
+    begin, graphs = np.concatenate(([0], np.cumsum(sizes))), len(sizes)
+    owner = np.searchsorted(begin, a, side="right") - 1
+    order = np.argsort(owner, kind="stable")
+    a, b, loop, z_inverse, owner = a[order], b[order], loop[order], z_inverse[order], owner[order]
+    first = np.searchsorted(owner, np.arange(graphs + 1))
+
+    def costs(r, which):
         size = np.linalg.norm(r, axis=1)
-        return float(np.where(loop & (size > huber), loop_weight * (2 * huber * size - huber**2), np.where(loop, loop_weight, 1.0) * size**2).sum())
+        each = np.where(loop[which] & (size > huber), loop_weight * (2 * huber * size - huber**2), np.where(loop[which], loop_weight, 1.0) * size**2)
+        return np.bincount(owner[which], each, graphs)
 
-    cost = None
+    everything = np.ones(len(a), dtype=bool)
+    start = costs(_residuals(poses, a, b, z_inverse), everything) if len(a) else np.zeros(graphs)
+    open_graphs, cost = np.diff(first) > 0, start.copy()
     for _ in range(rounds):
-        r = _residuals(poses, a, b, z_inverse)
-        cost = cost_of(r)
-        start = cost if start is None else start
-        w = weights(r)
-        ja, jb = _jacobians(poses, a, b, z_inverse, r)
-
-        def gathered(v):
-            out = np.zeros((n, 6))
-            np.add.at(out, a, np.einsum("eij,ei->ej", ja, v))
-            np.add.at(out, b, np.einsum("eij,ei->ej", jb, v))
-            out[0] = 0
-            return out
-
-        def applied(v):
-            return gathered(w[:, None] * (np.einsum("eij,ej->ei", ja, v[a]) + np.einsum("eij,ej->ei", jb, v[b]))) + damping * v
-
-        diagonal = np.tile(damping * np.eye(6), (n, 1, 1))
-        np.add.at(diagonal, a, np.einsum("e,eki,ekj->eij", w, ja, ja))
-        np.add.at(diagonal, b, np.einsum("e,eki,ekj->eij", w, jb, jb))
-        if n <= DENSE:
-            blocks = np.zeros((n, n, 6, 6))
-            blocks[np.arange(n), np.arange(n)] = diagonal
-            cross = np.einsum("e,eki,ekj->eij", w, ja, jb)
-            np.add.at(blocks, (a, b), cross)
-            np.add.at(blocks, (b, a), np.swapaxes(cross, 1, 2))
-            whole = blocks.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)[6:, 6:]
-            step = np.concatenate([np.zeros(6), np.linalg.solve(whole, -gathered(w[:, None] * r).ravel()[6:])]).reshape(n, 6)
-        else:
-            condition = np.linalg.inv(diagonal)
-            left = -gathered(w[:, None] * r)
-            step = np.zeros((n, 6))
-            better = np.einsum("nij,nj->ni", condition, left)
-            direction, power = better, float((left * better).sum())
-            enough = max(1e-20, 1e-10 * power)
-            for _inner in range(6 * n + 50):
-                if power < enough:
-                    break
-                image = applied(direction)
-                length = power / float((direction * image).sum())
-                step, left = step + length * direction, left - length * image
-                better = np.einsum("nij,nj->ni", condition, left)
-                fresh = float((left * better).sum())
-                direction, power = better + fresh / power * direction, fresh
-        step[0] = 0
-        biggest = np.abs(step).max() if n else 0.0
-        tried = _moved(poses, step * min(1.0, most / max(biggest, 1e-12)))
-        reached = cost_of(_residuals(tried, a, b, z_inverse))
-        if reached > cost:
+        live = np.flatnonzero(open_graphs[owner]) if len(a) else np.empty(0, int)
+        if not len(live):
             break
-        poses = tried
-        if biggest < 1e-7 or cost - reached <= 1e-8 * cost:
-            break
-    return poses, start or 0.0, cost_of(_residuals(poses, a, b, z_inverse)) if len(a) else 0.0
-
-
-def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str) -> DataFrame:
+        at, to, zi = a[live], b[live], z_inverse[live]
+        r = _residuals(poses, at, to, zi)
+        w = np.where(loop[live], loop_weight * np.minimum(1.0, huber / np.maximum(np.linalg.norm(r, axis=1), 1e-12)), 1.0)
+        ja, jb = _jacobians(poses, at, to, zi, r)
+        step, biggest = np.zeros((len(poses), 6)), np.zeros(graphs)
+        ends = np.searchsorted(owner[live], np.arange(graphs + 1))
+        for g in np.flatnonzero(open_graphs):
+            e, n = slice(ends[g], ends[g + 1]), slice(begin[g], begin[g + 1])
+            own = _step(sizes[g], at[e] - begin[g], to[e] - begin[g], ja[e], jb[e], w[e], r[e], damping)
+            biggest[g] = np.abs(own).max()
+            step[n] = own * min(1.0, most / max(biggest[g], 1e-12))
+        tried = _moved(poses, step)
+        reached = costs(_residuals(tried, at, to, zi), live)
+        good = open_graphs & (reached <= cost)
+        poses = np.where(np.repeat(good, sizes)[:, None, None], tried, poses)
+        settled = (biggest < 1e-7) | (cost - reached <= 1e-8 * cost)
+        cost = np.where(good, reached, cost)
+        open_graphs = good & ~settled
+    return poses, start, cost
+
+
+def solve(poses: np.ndarray, a, b, z, loop, **settings) -> tuple[np.ndarray, float, float]:
+    """solve_many of one graph."""
+    out, before, after = solve_many(poses, [len(poses)], a, b, z, loop, **settings)
+    return out, float(before[0]), float(after[0])
+
+
+def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, together: int = 20_000) -> DataFrame:
     """capture, node, the solved pose, cost0, cost1 for each capture. frames: capture, node (0, 1, ...), POSE.
-    edges: capture, a, b, POSE of Z, loop (boolean)."""
+    edges: capture, a, b, POSE of Z, loop (boolean). About `together` nodes of several captures are solved in one task;
+    a capture is not divided."""
     kind = frames.schema[capture].dataType.simpleString()
     schema = f"{capture} {kind}, node long, {', '.join(f'{p} double' for p in POSE)}, cost0 double, cost1 double"
+    # Edges may come from the frames themselves; under aliases their columns are not the same as the frames'.
+    edges = edges.select(*[F.col(c).alias(c) for c in (capture, "a", "b", *POSE, "loop")])
+    parts = max(1, -(-frames.count() // together))
+    dealt = lambda df: df.withColumn("_part", F.pmod(F.xxhash64(capture), F.lit(parts))).groupBy("_part")
 
     def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("node")
-        poses, before, after = matrices(nodes[list(POSE)].to_numpy(float)), 0.0, 0.0
-        if len(links) and len(nodes) > 1:
-            place = {v: i for i, v in enumerate(nodes["node"])}
-            a, b = ([place[v] for v in links[c]] for c in "ab")
-            poses, before, after = solve(poses, a, b, matrices(links[list(POSE)].to_numpy(float)), links["loop"].to_numpy())
+        nodes = nodes.sort_values([capture, "node"], ignore_index=True)
+        poses = matrices(nodes[list(POSE)].to_numpy(float))
+        keys, sizes = np.unique(nodes[capture].to_numpy(), return_counts=True)
+        place = {k: i for i, k in enumerate(zip(nodes[capture], nodes["node"], strict=True))}
+        a, b = ([place[k] for k in zip(links[capture], links[c], strict=True)] for c in "ab")
+        poses, before, after = solve_many(poses, sizes, a, b, matrices(links[list(POSE)].to_numpy(float)) if len(links) else np.zeros((0, 4, 4)), links["loop"].to_numpy(bool))
         out = pd.DataFrame(poses7(poses), columns=list(POSE))
         out.insert(0, "node", nodes["node"].to_numpy())
         out.insert(0, capture, nodes[capture].to_numpy())
-        return out.assign(cost0=before, cost1=after)
+        return out.assign(cost0=np.repeat(before, sizes), cost1=np.repeat(after, sizes))
 
-    return frames.groupBy(capture).cogroup(edges.groupBy(capture)).applyInPandas(run, schema)
+    return dealt(frames).cogroup(dealt(edges)).applyInPandas(run, schema)
 
 
 def chain_edges(frames: DataFrame, capture: str) -> DataFrame:
