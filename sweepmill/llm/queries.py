@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality, secret_scan, source_mix, vector_dedup
+from . import centroids, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, prefix_trie, quality, secret_scan, source_mix, vector_dedup
 
 QUERIES = {
     "op1_source_mix": source_mix.op1_source_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_centroid_clustering": centroids.op12_centroid_clustering,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op5_secret_scan": secret_scan.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
     "op12_centroid_clustering": centroids.OP12_SQL,
 }

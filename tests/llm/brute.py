@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -157,3 +158,33 @@ def hyper_bundle(text, letters, number):
         total += n * np.roll(a, 2) * np.roll(b, 1) * c
     norm = np.linalg.norm(total)
     return total / norm if norm else total
+
+
+def prefix_trie(rows):
+    """rows: (conv_id, turn, role, text). {(conv_id, depth): the other columns} of the rebuilt conversations' trie."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v)] for c, v in own.items()}
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        rebuilt[c] = tuple(own.get(c - int(np.fmod(c, 20)), [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    out, leaves, saved = {}, {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in children[p]) or 1
+        words_of = len(WORD.findall(p[-1][1])) if p else 0
+        saved[p] = (len(members[p]) - 1) * words_of + sum(saved[k] for k in children[p])
+        ended = ",".join(str(c) for c in sorted(c for c in members[p] if len(rebuilt[c]) == len(p)))
+        parent = min(members[p[:-1]]) if p else None
+        out[min(members[p]), len(p)] = (parent, len(members[p]), len(children[p]), leaves[p], saved[p], hashlib.sha256(ended.encode()).hexdigest())
+    return out
