@@ -135,6 +135,15 @@ def numbered(df: DataFrame, part: str, order: list, name: str) -> DataFrame:
     return df.withColumn(name, inside).join(shift, F.col(part).eqNullSafe(F.col("_part"))).withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_part", "_shift")
 
 
+def thinned_line(df: DataFrame, index: str, most: int, width: int = 100_000) -> DataFrame:
+    """Every stride-th row of one long line in order of its whole-number index, and the last row; the stride keeps about
+    `most`. The line is numbered by pieces of `width` indices, so no task holds it whole."""
+    placed = numbered(df.withColumn("_piece", F.floor(F.col(index) / width)), "_piece", [index], "_i")
+    n = df.count()
+    stride = max(1, -(-n // most))
+    return placed.where((F.col("_i") % stride == 0) | (F.col("_i") == n - 1)).drop("_i", "_piece")
+
+
 def frame_interval(df: DataFrame, by: list[str], at: str, other: str, most_ns: int = 160_000_000) -> DataFrame:
     """by, median, passes: the upper median of the positive gaps of `at`, or of `other` where fewer than half of the rows
     have such a gap; and whether frames come often enough."""

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import series
+
+# The layout of a preview cloud's records, the columns of a trajectory, the name of the capture format.
 PLY_POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")])
 TRAJECTORY = "index long, lidar_stamp_ns long, x double, y double, z double, icp_fitness double, icp_rmse double, projected long, valid_points long, accepted int, reason string"
 FORMAT = "windows_lio_raw_v3"
@@ -80,6 +83,7 @@ def yaml_flag(text: str, key: str) -> bool:
 
 def calibration(text: str, camera: str | None = None) -> dict:
     """Extrinsics and map settings of the LiDAR's file, and the camera's intrinsics if there are any."""
+    # The keys of the files, and the ranges that they are held to.
     out = {k: yaml_array(text, k) for k in ("extrinsic_R", "extrinsic_T", "Rcl", "Pcl")}
     if any(len(out[k]) != n for k, n in (("extrinsic_R", 9), ("extrinsic_T", 3), ("Rcl", 9), ("Pcl", 3))):
         raise ValueError("incomplete extrinsics")
@@ -219,13 +223,12 @@ def grid_step(span: float, lines: int = 8) -> float:
 
 
 def trajectory_svg(rows: DataFrame, most: int = 6000, width: int = 1000, title: str = "Trajectory") -> str:
-    """A drawing of the accepted positions seen from above; at most about `most` of them, evenly spaced in order."""
+    """A drawing of the accepted positions seen from above; about `most` of them and the last, evenly spaced in order."""
     ok = rows.where("accepted = 1")
     box = ok.agg(*[f(a).alias(f"{a}{n}") for a in "xy" for n, f in ((0, F.min), (1, F.max))], F.count("*").alias("n")).first()
     if not box["n"]:
         return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="100"><text x="10" y="50">no accepted poses</text></svg>'
-    stride = max(1, -(-box["n"] // most))
-    points = sorted(tuple(r) for r in ok.where(F.col("index") % stride == 0).select("index", "x", "y").limit(2 * most).collect())
+    points = sorted(tuple(r) for r in series.thinned_line(ok.select("index", "x", "y"), "index", most).collect())
     span = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-6)
     scale, step = (width - 80) / span, grid_step(span)
     at = lambda x, y: (40 + (x - box["x0"]) * scale, 40 + (box["y1"] - y) * scale)

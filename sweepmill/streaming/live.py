@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,13 @@ def fold_paths(samples: DataFrame) -> DataFrame:
     def run(key, batches, state: GroupState):
         n, length, x, y, t = state.get if state.exists else (0, 0.0, None, None, None)
         pdf = pd.concat(list(batches)).sort_values(["t", "x", "y"])
-        for row in pdf.itertuples(index=False):
-            n += 1
-            if t is not None and row.t < t:
-                continue
-            if x is not None:
-                length += ((row.x - x) ** 2 + (row.y - y) ** 2) ** 0.5
-            x, y, t = row.x, row.y, row.t
+        n += len(pdf)
+        # Sorted by time, what is too old comes first.
+        pdf = pdf if t is None else pdf[pdf["t"] >= t]
+        if len(pdf):
+            xs, ys = (np.concatenate(([] if v is None else [v], pdf[c])) for c, v in (("x", x), ("y", y)))
+            length += np.hypot(np.diff(xs), np.diff(ys)).sum()
+            x, y, t = xs[-1], ys[-1], pdf["t"].iloc[-1]
         now = (n, float(length), float(x), float(y), int(t))
         state.update(now)
         yield pd.DataFrame([(key[0], *now)], columns=["capture", "n", "length", "x", "y", "t"])
@@ -47,9 +48,10 @@ def publish_preview(spark: SparkSession, folder: str, batch: int, cloud: DataFra
     """One snapshot: the cloud and the trajectory go to one of three slots in turn, and the state file, written last,
     names them. A reader that follows the state file never meets a half-written snapshot."""
     slot = batch % SLOTS
+    # The names of the files of a preview and of the keys of its state, which viewers read.
     names = {"cloud_file": f"preview_{slot}.ply", "trajectory_file": f"trajectory_{slot}.csv"}
     files.write_text(spark, f"{folder}/{names['cloud_file']}", files.small_ply(cloud))
-    rows = series.thinned(trajectory, [], ["scan_index"], TRAJECTORY_ROWS).orderBy("scan_index").collect()
+    rows = series.thinned_line(trajectory, "scan_index", TRAJECTORY_ROWS).orderBy("scan_index").collect()
     lines = ["scan_index,stamp_ns,x,y,z,fitness,rmse,accepted"] + [",".join(str(r[c]) for c in ("scan_index", "stamp_ns", "x", "y", "z", "fitness", "rmse", "accepted")) for r in rows]
     files.write_text(spark, f"{folder}/{names['trajectory_file']}", "\n".join(lines) + "\n")
     state = {"snapshot": batch, **names, "phase": phase, "processed": processed, "total": total, "progress_percent": round(100.0 * processed / max(1, total), 3), "points": cloud.count()}
@@ -83,14 +85,17 @@ def _signature(spark: SparkSession, path: str) -> tuple[int, int]:
     return status.getModificationTime(), status.getLen()
 
 
-def read_snapshot(spark: SparkSession, folder: str) -> dict:
-    """The state of the last complete snapshot; file names must be bare. Read again if the state changed meanwhile."""
+def read_snapshot(spark: SparkSession, folder: str, tries: int = 100) -> dict:
+    """The state of the last complete snapshot; file names must be bare. Read again if the state changed meanwhile; raises
+    if it changed in each of `tries` reads."""
     path = f"{folder}/preview_state.json"
-    while True:
+    for _ in range(tries):
         before = _signature(spark, path)
         state = json.loads(files.read_text(spark, path))
         if _signature(spark, path) == before:
             break
+    else:
+        raise TimeoutError(f"{path} changes faster than it can be read")
     for name in (state["cloud_file"], state["trajectory_file"]):
         if "/" in name or "\\" in name or name.startswith("."):
             raise ValueError(f"not a bare file name: {name}")

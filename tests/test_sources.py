@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 import sqlite3
 import struct
 
@@ -9,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA, assert_same
+from sweepmill.plans import live as live_queries
 from sweepmill.sources import bags, files
 from sweepmill.streaming import live
 
@@ -160,3 +163,19 @@ def test_chunks_swaps_and_initialization(spark, tmp_path):
     assert live.publish_pose(spark, str(tmp_path), {"scan_index": 1, "stamp_ns": 2, "x": 0.0, "y": 0.0, "z": 0.0, "accepted": 1}, "live")
     assert live.publish_error(spark, str(tmp_path), 'a "quoted"\nline') and json.loads((tmp_path / "preview_error.json").read_text())["message"] == 'a "quoted"\nline'
     assert json.loads((tmp_path / "preview_pose.json").read_text())["accepted"] is True
+
+
+def test_drawing_keeps_sparse_indices_and_the_end(spark):
+    rows = spark.range(20_000).selectExpr("id * 4 AS index", "CAST(id AS DOUBLE) AS x", "0.0D AS y", "1 AS accepted")
+    svg = files.trajectory_svg(rows, most=6000)
+    drawn = re.search(r'points="([^"]*)"', svg)[1].split()
+    steps = np.diff([float(p.split(",")[0]) for p in drawn])
+    assert 4500 <= len(drawn) <= 6001 and drawn[-1].split(",")[0] == "960.0" and steps.max() < 0.4
+
+
+def test_live_fold_of_a_folder_of_parts(spark, tmp_path):
+    whole = spark.read.parquet(f"{DATA}/sf0.001/events.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert_same(live_queries.live_fold(spark, str(tmp_path)), live_queries.SQL_LIVE, str(tmp_path))
+    whole.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert live_queries.live_fold(spark, f"{tmp_path}/none").count() == 0
