@@ -43,7 +43,9 @@ def occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
     long = F.filter(long, lambda x: F.length(F.btrim(x["line"], F.lit(common.ASCII_SPACE))) >= min_chars)
     keys = F.transform(F.transform(long, lambda x: F.struct(x["pos"], line_key(x["line"]).alias("key"))), lambda x: F.struct(
         x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit("second"), x["key"]).alias("h2")))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_line_doc"), F.xxhash64(text_col).alias("_line_text"), F.explode(keys).alias("_k"))
+    # The text is hashed below the explode: beside it, Spark would carry and hash the whole text for every line.
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_line_doc"), F.xxhash64(text_col).alias("_line_text"), keys.alias("_keys"))
+    rows = rows.select("_line_doc", "_line_text", F.explode("_keys").alias("_k"))
     return rows.select("_line_doc", "_line_text", F.col("_k.pos").alias("_line_pos"), F.col("_k.h1").alias(_H1), F.col("_k.h2").alias(_H2))
 
 
@@ -159,10 +161,12 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40,
     runs = LineRuns(docs.sparkSession, min_chars=min_chars, fanout=fanout)
     found = common.stash(occurrences(docs, min_chars, id_col, text_col), "occurrences")
     part = F.pmod(F.xxhash64("_line_doc", F.lit("batch")), F.lit(batches))
-    for b in range(batches):
-        runs.add_occurrences(found.where(part == b))
-    frequent = common.stash(runs.ledger(min_docs).select(_H1, _H2, "last_doc"), "frequent")
-    runs.clear()
+    try:
+        for b in range(batches):
+            runs.add_occurrences(found.where(part == b))
+        frequent = common.stash(runs.ledger(min_docs).select(_H1, _H2, "last_doc"), "frequent")
+    finally:
+        runs.clear()
     # The places of lines that the runs hold for a larger id, by row.
     lost = (
         found.join(frequent, [_H1, _H2]).where(F.col("_line_doc") < F.col("last_doc"))
@@ -183,7 +187,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40,
     kept = F.when(F.col("_line_lost").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
     return lines.select(
         *[(kept if c == text_col else F.col(n)).alias(c) for c, n in names.items()],
-        F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_line_lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("_line_lost").isNull(), 0).otherwise(F.size("_line_lost")).cast("long").alias("n_dropped"),
     )
 
 
