@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, prefix_trie, quality, secret_scan, source_mix, vector_dedup
+from . import centroids, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, prefix_trie, quality, recurrent_lm, secret_scan, source_mix, vector_dedup
 
 QUERIES = {
     "op1_source_mix": source_mix.op1_source_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_lm_scoring": recurrent_lm.op13_lm_scoring,
 }
 ORACLE_SQL = {
     "op2_chat_format": chat_format.OP2_SQL,
