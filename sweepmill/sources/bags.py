@@ -1,7 +1,7 @@
 """Recorded captures: messages of SQLite bags, their LiDAR and IMU payloads, and binary IMU sidecars.
 
-Files are read with Spark's binaryFile source, so any store that Spark reads will do; a file is one row and one task's
-work, and recorders split bags well below that source's limit of 2 GB. Payloads are decoded with numpy, a message at a
+Bags are read by the data source of bag_source, or, from stores that only Spark reads, with the binaryFile source, where a
+file is one row (recorders split bags well below that source's limit of 2 GB). Payloads are decoded with numpy, a message at a
 time; broken ones are left out."""
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series
 from ..session import exists
+from . import bag_source
 
 MOST_POINTS = 200_000
 # The layout of a LiDAR point and of a sidecar record, little endian.
@@ -53,9 +54,17 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("path", "content").mapInPandas(run, "file string, topic_id int, name string, type string")
 
 
-def messages(spark: SparkSession, path: str, kind: str, preferred: str | None = None) -> DataFrame:
+def messages(spark: SparkSession, path: str, kind: str, preferred: str | None = None, split_bytes: int = bag_source.SPLIT_BYTES) -> DataFrame:
     """file, id, stamp, data of the messages of one topic in each bag: that of the preferred name, else the last whose
-    type contains `kind`."""
+    type contains `kind`. Where the operating system shows the bags, several tasks read a file where it lies and filters
+    reach it; bags in other stores are read file by file."""
+    if bag_source.local_path(path) is not None:
+        return bag_source.load(spark, path, kind, preferred, split_bytes).drop("topic")
+    return whole_files(spark, path, kind, preferred)
+
+
+def whole_files(spark: SparkSession, path: str, kind: str, preferred: str | None = None) -> DataFrame:
+    """The same from any store that Spark reads: a file is one task's work, and in memory whole."""
 
     def run(batches):
         for pdf in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from compare import DATA, assert_same
 from sweepmill.plans import live as live_queries
-from sweepmill.sources import bags, files
+from sweepmill.sources import bag_source, bags, files
 from sweepmill.streaming import live
 
 
@@ -179,3 +179,38 @@ def test_live_fold_of_a_folder_of_parts(spark, tmp_path):
     assert_same(live_queries.live_fold(spark, str(tmp_path)), live_queries.SQL_LIVE, str(tmp_path))
     whole.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
     assert live_queries.live_fold(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_bag_source_splits_and_filters(spark, capture, tmp_path):
+    bag = f"{capture}/raw_lidar_imu_rosbag2"
+    same = lambda df: sorted((r["file"], r["id"], r["stamp"], bytes(r["data"])) for r in df.collect())
+    for kind, preferred in (("/CustomMsg", "/livox/lidar"), ("/CustomMsg", None), ("/Imu", "/none"), ("/None", None)):
+        for split in (1 << 10, 1 << 30):
+            assert same(bags.messages(spark, bag, kind, preferred, split)) == same(bags.whole_files(spark, bag, kind, preferred))
+    # Two files of many messages.
+    rows = spark.range(4000).selectExpr("id * 10 AS stamp", "if(id % 4 = 0, '/a', '/b') AS topic", "CAST(repeat(CAST(id AS STRING), 50) AS BINARY) AS data")
+    bag_source.write(rows, f"{tmp_path}/bag", {"/a": "x/A", "/b": "x/B"}, files=2)
+    whole = bag_source.load(spark, f"{tmp_path}/bag", split_bytes=1 << 16)
+    assert whole.rdd.getNumPartitions() >= 4 and whole.count() == 4000 and whole.where("topic = '/a'").count() == 1000
+    wanted = whole.where("stamp >= 20000 AND stamp < 20100 AND topic = '/b'")
+    assert sorted(r["stamp"] for r in wanted.collect()) == [s for s in range(20000, 20100, 10) if s % 40]
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(\)|-) Filter", plan)
+    assert whole.where("length(data) = 50 AND stamp >= 50").count() == 5
+
+
+def test_bag_filters_reach_the_file(tmp_path, spark):
+    rows = spark.range(1000).selectExpr("id AS stamp", "'/a' AS topic", "CAST('x' AS BINARY) AS data")
+    bag_source.write(rows, f"{tmp_path}/bag", {"/a": "x/A"}, files=2)
+    reader = bag_source.BagReader({"path": f"{tmp_path}/bag", "split_bytes": "8192"})
+    assert len(reader.partitions()) >= 4
+    left = [bag_source.IsNotNull(("data",))]
+    asked = [bag_source.GreaterThanOrEqual(("stamp",), 900), bag_source.LessThan(("stamp",), 910), bag_source.In(("topic",), ("/a", "/c")), bag_source.IsNotNull(("stamp",)), *left]
+    assert list(reader.pushFilters(asked)) == left
+    parts = reader.partitions()
+    assert {p.file for p in parts} == {bag_source.listed(f"{tmp_path}/bag")[1]}
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 10
+    light = bag_source.BagReader({"path": f"{tmp_path}/bag", "payload": "false"})
+    assert all(b["data"].null_count == b.num_rows for p in light.partitions() for b in light.read(p))
+    with pytest.raises(ValueError):
+        bag_source.BagReader({"path": "s3a://bucket/bag"})
