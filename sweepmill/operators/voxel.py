@@ -46,11 +46,11 @@ def merge_sums(state: DataFrame, values=AXES, weight: str = "w") -> DataFrame:
     return state.groupBy(*KEY).agg(*[(F.sum(f"s_{v}") / F.sum(weight)).alias(v) for v in values], F.sum(weight).alias(weight))
 
 
-def moments(points: DataFrame, size: float, least: int = 8) -> DataFrame:
-    """Centre (x, y, z), population covariance (xx .. zz) and n of cells with enough points."""
+def moments(points: DataFrame, size: float, least: int = 8, by: list[str] | None = None) -> DataFrame:
+    """(by,) centre (x, y, z), population covariance (xx .. zz) and n of cells with enough points."""
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     cov = [F.covar_pop(a, b).alias(a + b) for a, b in pairs]
-    return with_cells(points, size).groupBy(*KEY).agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in AXES], *cov).where(F.col("n") >= least)
+    return with_cells(points, size).groupBy(*(by or []), *KEY).agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in AXES], *cov).where(F.col("n") >= least)
 
 
 _EIGEN = StructType().add("values", ArrayType(DoubleType())).add("normal", ArrayType(DoubleType()))
@@ -63,16 +63,16 @@ def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Ser
     return pd.DataFrame({"values": list(values), "normal": list(vectors[:, :, 0])})
 
 
-def planes(points: DataFrame, size: float, threshold: float = 0.0025, flatness: float = 0.08, least: int = 8, sample: bool = False) -> DataFrame:
-    """Fitted planes of cells: centre, eigenvalues e0 <= e1 <= e2, normal (nx, ny, nz), radius, variance, valid.
+def planes(points: DataFrame, size: float, threshold: float = 0.0025, flatness: float = 0.08, least: int = 8, sample: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Fitted planes of cells (of each key `by`): centre, eigenvalues e0 <= e1 <= e2, normal (nx, ny, nz), radius, variance, valid.
     sample: divide covariances by n - 1 instead of n."""
-    m = moments(points, size, least)
+    m = moments(points, size, least, by)
     scale = F.col("n") / (F.col("n") - 1) if sample else F.lit(1.0)
     cov = [F.col(c) * scale for c in ("xx", "xy", "xz", "yy", "yz", "zz")]
     fit = m.withColumn("_e", eigen(*cov))
     e = [F.element_at("_e.values", i + 1) for i in range(3)]
     largest = F.greatest(e[2], F.lit(1e-9))
     return fit.select(
-        *KEY, "n", *AXES, *[v.alias(f"e{i}") for i, v in enumerate(e)], *[F.element_at("_e.normal", i + 1).alias(f"n{a}") for i, a in enumerate(AXES)],
+        *(by or []), *KEY, "n", *AXES, *[v.alias(f"e{i}") for i, v in enumerate(e)], *[F.element_at("_e.normal", i + 1).alias(f"n{a}") for i, a in enumerate(AXES)],
         F.sqrt(largest).alias("radius"), F.greatest(F.lit(1e-6), e[0]).alias("variance"), ((e[0] <= threshold) & (e[0] / largest <= flatness)).alias("valid"),
     )

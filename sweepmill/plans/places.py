@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import graphs, imaging, loops, registration
+from ..operators import graphs, imaging, loops, registration, triangles
 from ..session import table
 from .clouds import CAMERA, SQL_POINTS, cloud, r6
 from .timelines import SECOND, SQL_EVENTS, events
@@ -242,10 +242,63 @@ def pose_graph(spark, sf_dir):
     return solved.groupBy("o_custkey").agg(F.count("*").alias("nodes"), F.round(F.first("cost0"), 6).alias("cost0"), F.round(F.first("cost1"), 6).alias("cost1"))
 
 
+_BIN = 0.02
+
+
+def _stars(spark, sf_dir):
+    """Vectors as keypoints: each label's in frames of sixteen, and the same places seen after a quarter turn as later frames."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    axes = [F.element_at("embedding", i + 1).cast("double").alias(a) for i, a in enumerate("xyz")]
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.floor(place / 16).cast("int").alias("frame"), *axes)
+    turned = e.select("label", "id", (F.col("frame") + 1000).alias("frame"), (-F.col("y")).alias("x"), F.col("x").alias("y"), "z")
+    return triangles.triangles(e.unionByName(turned), ["label", "frame"], near=5)
+
+
+SQL_STARS = f"""
+WITH e AS (SELECT label, vec_id AS id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS frame, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+k AS (SELECT * FROM e UNION ALL SELECT label, id, frame + 1000, -y, x, z FROM e),
+near AS (
+  SELECT p.label, p.frame, p.id AS p, q.id AS q, row_number() OVER (PARTITION BY p.label, p.frame, p.id ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2, q.id) AS n
+  FROM k p JOIN k q ON p.label = q.label AND p.frame = q.frame AND p.id <> q.id),
+sets AS (SELECT DISTINCT a.label, a.frame, list_sort([a.p, a.q, b.q]) AS ids FROM near a JOIN near b ON a.label = b.label AND a.frame = b.frame AND a.p = b.p AND a.q < b.q WHERE a.n <= 5 AND b.n <= 5),
+side AS (
+  SELECT s.label, s.frame, s.ids, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS side
+  FROM sets s JOIN k p ON p.label = s.label AND p.frame = s.frame AND list_contains(s.ids, p.id) JOIN k q ON q.label = s.label AND q.frame = s.frame AND list_contains(s.ids, q.id) AND p.id < q.id),
+shapes AS (SELECT label, frame, ids, list(side ORDER BY side) AS sides FROM side GROUP BY label, frame, ids)
+"""
+
+
+def triangle_keys(spark, sf_dir):
+    shapes = _stars(spark, sf_dir).withColumn("key", triangles.side_bins(_BIN))
+    return shapes.groupBy("label", "frame", *[F.element_at("key", i + 1).alias(f"k{i}") for i in range(3)]).agg(F.count("*").alias("n"))
+
+
+SQL_TRIANGLE_KEYS = f"""{SQL_STARS}
+SELECT label, frame::INTEGER AS frame, {", ".join(f"floor(sides[{i + 1}] / {_BIN}::DOUBLE)::INTEGER AS k{i}" for i in range(3))}, count(*) AS n FROM shapes GROUP BY ALL
+"""
+
+
+def triangle_loops(spark, sf_dir):
+    """The two earlier frames of each that share most triangles with it."""
+    return triangles.best_frames(triangles.votes(_stars(spark, sf_dir), "label", "frame", _BIN, 100), "label", 2)
+
+
+_TWO = [[f"floor(sides[{i}] / {_BIN}::DOUBLE + {d}::DOUBLE)::INTEGER" for d in (-0.5, 0.5)] for i in (1, 2, 3)]
+_PROBES = ", ".join(f"[{a}, {b}, {c}]" for a in _TWO[0] for b in _TWO[1] for c in _TWO[2])
+SQL_TRIANGLE_LOOPS = f"""{SQL_STARS},
+mine AS (SELECT label, frame AS target, list_transform(sides, lambda s: floor(s / {_BIN}::DOUBLE)::INTEGER) AS key, count(*) AS n FROM shapes GROUP BY ALL),
+theirs AS (SELECT label, source, key, count(*) AS m FROM (SELECT label, frame AS source, unnest([{_PROBES}]) AS key FROM shapes) GROUP BY ALL),
+votes AS (SELECT label, target, source, sum(least(n, m))::BIGINT AS votes FROM mine JOIN theirs USING (label, key) WHERE source + 100 <= target GROUP BY ALL)
+SELECT label, target::INTEGER AS target, source::INTEGER AS source, votes, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY label, target ORDER BY votes DESC, source) AS rank FROM votes) WHERE rank <= 2
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    zbuffer_visible, bilinear_sample, laplacian_sharpness, polar_descriptor, descriptor_distance, loop_topk, temporal_support, greedy_suppress,
+    triangle_keys, triangle_loops, zbuffer_visible, bilinear_sample, laplacian_sharpness, polar_descriptor, descriptor_distance, loop_topk, temporal_support, greedy_suppress,
     gate_reasons, graph_sanity, pose_graph)}
 ORACLE_SQL = {
+    "triangle_keys": SQL_TRIANGLE_KEYS, "triangle_loops": SQL_TRIANGLE_LOOPS,
     "zbuffer_visible": SQL_VISIBLE, "bilinear_sample": SQL_BILINEAR, "laplacian_sharpness": SQL_SHARPNESS, "polar_descriptor": SQL_POLAR,
     "descriptor_distance": SQL_DISTANCE, "loop_topk": SQL_TOPK, "temporal_support": SQL_SUPPORT, "greedy_suppress": SQL_SUPPRESS,
     "gate_reasons": SQL_GATES, "graph_sanity": SQL_SANITY,
