@@ -30,7 +30,7 @@ def matrices(rows: np.ndarray) -> np.ndarray:
 
 
 def poses7(mats: np.ndarray) -> np.ndarray:
-    v = _logs(mats[:, :3, :3])
+    v = logs(mats[:, :3, :3])
     angle = np.linalg.norm(v, axis=1, keepdims=True)
     axis = v / np.where(angle > 0, angle, 1)
     return np.concatenate([mats[:, :3, 3], axis * np.sin(angle / 2), np.cos(angle / 2)], axis=1)
@@ -44,7 +44,7 @@ def _inverse(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _logs(m: np.ndarray) -> np.ndarray:
+def logs(m: np.ndarray) -> np.ndarray:
     """log_so3 of many rotations."""
     cos = np.clip((np.trace(m, axis1=1, axis2=2) - 1) / 2, -1, 1)
     angle = np.arccos(cos)
@@ -68,10 +68,10 @@ def _exps(v: np.ndarray) -> np.ndarray:
 
 
 def _twist(e: np.ndarray) -> np.ndarray:
-    return np.concatenate([_logs(e[:, :3, :3]), e[:, :3, 3]], axis=1)
+    return np.concatenate([logs(e[:, :3, :3]), e[:, :3, 3]], axis=1)
 
 
-def _moved(poses: np.ndarray, step: np.ndarray) -> np.ndarray:
+def moved(poses: np.ndarray, step: np.ndarray) -> np.ndarray:
     """exp(step) times each pose."""
     left = np.tile(np.eye(4), (len(poses), 1, 1))
     left[:, :3, :3] = _exps(step[:, :3])
@@ -86,7 +86,7 @@ def _residuals(poses: np.ndarray, a, b, z_inverse) -> np.ndarray:
 def _jacobians(poses: np.ndarray, a, b, z_inverse, r: np.ndarray, tiny: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Of the residuals by small motions of the first and of the second pose, by differences."""
     before, nudges = z_inverse @ _inverse(poses[b]), np.eye(6) * tiny
-    there = _moved(np.tile(np.eye(4), (6, 1, 1)), nudges)
+    there = moved(np.tile(np.eye(4), (6, 1, 1)), nudges)
     back = _inverse(there)
     ja, jb = np.zeros((len(r), 6, 6)), np.zeros((len(r), 6, 6))
     for c in range(6):
@@ -171,7 +171,7 @@ def solve_many(poses: np.ndarray, sizes, a, b, z, loop, rounds: int = 15, huber:
             own = _step(sizes[g], at[e] - begin[g], to[e] - begin[g], ja[e], jb[e], w[e], r[e], damping)
             biggest[g] = np.abs(own).max()
             step[n] = own * min(1.0, most / max(biggest[g], 1e-12))
-        tried = _moved(poses, step)
+        tried = moved(poses, step)
         reached = costs(_residuals(tried, at, to, zi), live)
         good = open_graphs & (reached <= cost)
         poses = np.where(np.repeat(good, sizes)[:, None, None], tried, poses)

@@ -102,12 +102,12 @@ def statistical_inliers(points: DataFrame, k: int = 20, deviations: float = 1.8,
     return measured.join(stats, list(TILE)).where(keep).select(*points.columns)
 
 
-def _fitted(pairs: DataFrame, by: str) -> DataFrame:
+def fitted(pairs: DataFrame, by: list[str]) -> DataFrame:
     """by, n, centre (mx, my, mz), eigenvalues e0..e2 and the normal (ux, uy, uz) of each group of points."""
     both = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    m = pairs.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"m{a}") for a in AXES], *[F.covar_pop(a, b).alias(a + b) for a, b in both])
+    m = pairs.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"m{a}") for a in AXES], *[F.covar_pop(a, b).alias(a + b) for a, b in both])
     fit = m.withColumn("_e", voxel.eigen(*[F.col(a + b) for a, b in both]))
-    return fit.select(by, "n", *[f"m{a}" for a in AXES], *[F.element_at("_e.values", i + 1).alias(f"e{i}") for i in range(3)], *[F.element_at("_e.normal", i + 1).alias(f"u{a}") for i, a in enumerate(AXES)])
+    return fit.select(*by, "n", *[f"m{a}" for a in AXES], *[F.element_at("_e.values", i + 1).alias(f"e{i}") for i in range(3)], *[F.element_at("_e.normal", i + 1).alias(f"u{a}") for i, a in enumerate(AXES)])
 
 
 def edge_plane_inliers(points: DataFrame, k: int = 20, residual: float = 0.025, planarity: float = 0.08, tile: float = 4.0, edge: float = 0.1) -> DataFrame:
@@ -115,7 +115,7 @@ def edge_plane_inliers(points: DataFrame, k: int = 20, residual: float = 0.025,
     edges and stay, as do points with fewer than 6 neighbours and tiles of fewer than 32 points or of which more than
     a third would go."""
     pairs = knn(points, k, edge).join(points.select("id", *AXES), "id")
-    fit = _fitted(pairs, "qid").withColumnRenamed("qid", "id")
+    fit = fitted(pairs, ["qid"]).withColumnRenamed("qid", "id")
     total = F.col("e0") + F.col("e1") + F.col("e2")
     off = F.abs(sum((F.col(f"u{a}") * (F.col(a) - F.col(f"m{a}")) for a in AXES[1:]), F.col("ux") * (F.col("x") - F.col("mx"))))
     joined = points.join(fit, "id", "left").select("*", *_tiles(tile))
@@ -130,20 +130,27 @@ def normals(points: DataFrame, radius: float) -> DataFrame:
     """id, n and the unit normal nx, ny, nz of the points within the radius, turned to the origin; 0 where fewer than
     3 points or no area tell it."""
     pairs = within(points, points, max(0.02, radius)).select("qid", *AXES)
-    fit = _fitted(pairs, "qid").withColumnRenamed("qid", "id").join(points.select("id", *AXES), "id")
+    fit = fitted(pairs, ["qid"]).withColumnRenamed("qid", "id").join(points.select("id", *AXES), "id")
     away = F.col("ux") * F.col("x") + F.col("uy") * F.col("y") + F.col("uz") * F.col("z") > 0
     known = (F.col("n") >= 3) & (F.col("e1") > 0)
     return fit.select("id", "n", *[F.when(~known, 0.0).when(away, -F.col(f"u{a}")).otherwise(F.col(f"u{a}")).alias(f"n{a}") for a in AXES])
 
 
+PLANE = ("x", "y", "z", "nx", "ny", "nz", "radius", "variance")
+
+
+def plane_cells(planes: DataFrame) -> DataFrame:
+    """Each cell with the array of the valid planes (of voxel.planes) in the 27 cells around it."""
+    spread = _spread(planes.where("valid").select(*[F.col(k).alias(c) for k, c in zip(voxel.KEY, CELL, strict=True)], F.struct(*PLANE).alias("p")), 1)
+    return spread.groupBy(*CELL).agg(F.collect_list("p").alias("_planes"))
+
+
 def nearest_plane(points: DataFrame, planes: DataFrame, size: float, floor: float = 0.10, share: float = 0.30, support: float = 0.70) -> DataFrame:
     """points with `plane` (of voxel.planes, a struct) that is nearest along its normal, and its signed `distance`;
-    null where none of the 27 cells around has one in reach.
+    null where none of the 27 cells around has one in reach. planes: of voxel.planes, or their plane_cells.
 
     Planes are far fewer than points, so each cell gets the array of its at most 27 planes, and points move once."""
-    fields = ("x", "y", "z", "nx", "ny", "nz", "radius", "variance")
-    spread = _spread(planes.where("valid").select(*[F.col(k).alias(c) for k, c in zip(voxel.KEY, CELL, strict=True)], F.struct(*fields).alias("p")), 1)
-    near = spread.groupBy(*CELL).agg(F.collect_list("p").alias("_planes"))
+    near = planes if "_planes" in planes.columns else plane_cells(planes)
     joined = _cells(points, size).join(near, list(CELL), "left")
 
     def offset(p):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import neighbours, registration, series, voxel
+from ..operators import alignment, neighbours, registration, series, voxel
 from ..session import table
 from .clouds import SQL_POINTS, cloud, r6, sql_cells
 
@@ -152,6 +152,69 @@ FROM (SELECT *, CASE WHEN abs(distance) <= 0.05 THEN 1.0::DOUBLE ELSE 0.05::DOUB
 """
 
 
+def scan_equations(spark, sf_dir):
+    """One iteration of all scans at once: each label is a scan, laid on the same planes."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    out = registration.normal_equations(_matched(spark, sf_dir).join(labels, "id"), ["label"])
+    return out.select("label", *[F.round(c, 3).alias(c) for c in (*registration.HESSIAN, *registration.GRADIENT)], F.round("squares", 6).alias("squares"), "inliers")
+
+
+SQL_SCAN_EQUATIONS = f"""
+SELECT label, {", ".join(f"round(sum(w * ({_J[i]}) * ({_J[j]})), 3) + 0.0 AS h{i}{j}" for i in range(6) for j in range(i, 6))},
+       {", ".join(f"round(sum(w * ({_J[i]}) * distance), 3) + 0.0 AS g{i}" for i in range(6))}, round(sum(distance * distance), 6) AS squares, count(*)::BIGINT AS inliers
+FROM (SELECT m.*, e.label, CASE WHEN abs(distance) <= 0.05 THEN 1.0::DOUBLE ELSE 0.05::DOUBLE / abs(distance) END / (0.001::DOUBLE + variance) AS w
+      FROM ({SQL_MATCHED}) m JOIN embeddings e ON m.vec_id = e.vec_id) GROUP BY label
+"""
+
+
+def _surfels(spark, sf_dir):
+    """Vectors as points with normals; two labels make a pair of clouds."""
+    part = lambda i: F.element_at("embedding", i).cast("double")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("label") / 2).alias("pair"), (F.col("label") % 2).alias("side"), *[part(i + 1).alias(a) for i, a in enumerate(AXES)], *[part(i + 4).alias(f"u{a}") for i, a in enumerate(AXES)])
+    size = F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + F.col("uz") * F.col("uz"))
+    return e.select("pair", "side", "id", *AXES, *[(F.col(f"u{a}") / size).alias(f"n{a}") for a in AXES])
+
+
+def plane_to_plane_sums(spark, sf_dir):
+    """The sums of one iteration of all pairs at once: each source point with the nearest target point within reach."""
+    e = _surfels(spark, sf_dir)
+    source, target = e.where("side = 0").drop("side"), e.where("side = 1").drop("side")
+    near = neighbours.within(source, target, 0.12, by=("pair",)).groupBy("pair", "qid").agg(F.min_by("id", F.struct("d2", "id")).alias("tid"))
+    partner = target.select("pair", F.col("id").alias("tid"), *[F.col(a).alias(f"t{a}") for a in AXES], *[F.col(f"n{a}").alias(f"m{a}") for a in AXES])
+    matched = source.join(near.withColumnRenamed("qid", "id"), ["pair", "id"]).join(partner, ["pair", "tid"])
+    out = alignment.plane_to_plane(matched, ["pair"])
+    return out.select("pair", *[(F.round(c, 4) + 0.0).alias(c) for c in alignment.SUMS], F.round("squares", 6).alias("squares"), "inliers")
+
+
+def _sql_sums() -> str:
+    """The products of the lever's matrix with the weights, written out entry by entry."""
+    m = [[f"m{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    lever = [["0.0::DOUBLE", "-z", "y"], ["z", "0.0::DOUBLE", "-x"], ["-y", "x", "0.0::DOUBLE"]]
+    top = [["(" + " + ".join(f"({lever[i][k]}) * {m[k][j]}" for k in range(3)) + ")" for j in range(3)] for i in range(3)]
+    turn = [["(" + " + ".join(f"{top[i][k]} * ({lever[j][k]})" for k in range(3)) + ")" for j in range(3)] for i in range(3)]
+    force = ["(" + " + ".join(f"{m[i][j]} * d{j}" for j in range(3)) + ")" for i in range(3)]
+    side = [f"y * {force[2]} - z * {force[1]}", f"z * {force[0]} - x * {force[2]}", f"x * {force[1]} - y * {force[0]}", *force]
+    entry = lambda i, j: turn[i][j] if j < 3 else top[i][j - 3] if i < 3 else m[i - 3][j - 3]
+    h = [f"round(sum({entry(i, j)}), 4) + 0.0 AS h{i}{j}" for i in range(6) for j in range(i, 6)]
+    return ", ".join(h + [f"round(sum({c}), 4) + 0.0 AS g{i}" for i, c in enumerate(side)])
+
+
+_S = [[f"s{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+_MINOR = lambda i, j: f"({_S[(i + 1) % 3][(j + 1) % 3]} * {_S[(i + 2) % 3][(j + 2) % 3]} - {_S[(i + 1) % 3][(j + 2) % 3]} * {_S[(i + 2) % 3][(j + 1) % 3]})"
+_NORMAL = ", ".join(f"u{a} / sqrt(ux * ux + uy * uy + uz * uz) AS n{a}" for a in AXES)
+_SPREAD = ", ".join(f"{2.0 if i == j else 0.0}::DOUBLE - 0.999::DOUBLE * (a.n{AXES[i]} * a.n{AXES[j]} + b.n{AXES[i]} * b.n{AXES[j]}) AS s{i}{j}" for i in range(3) for j in range(i, 3))
+SQL_PLANE_TO_PLANE = f"""
+WITH e AS (SELECT *, {_NORMAL} FROM (SELECT vec_id, label // 2 AS pair, label % 2 AS side, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {a}" for i, a in enumerate(AXES))}, {", ".join(f"embedding[{i + 4}]::DOUBLE AS u{a}" for i, a in enumerate(AXES))} FROM embeddings)),
+near AS (
+  SELECT a.pair, a.vec_id AS p, b.vec_id AS q, row_number() OVER (PARTITION BY a.vec_id ORDER BY {SQL_D2}, b.vec_id) AS k
+  FROM (SELECT * FROM e WHERE side = 0) a JOIN (SELECT * FROM e WHERE side = 1) b ON a.pair = b.pair AND {SQL_D2} <= 0.12::DOUBLE * 0.12::DOUBLE),
+met AS (SELECT a.pair, a.x, a.y, a.z, b.x - a.x AS d0, b.y - a.y AS d1, b.z - a.z AS d2, {_SPREAD} FROM near JOIN e a ON a.vec_id = p JOIN e b ON b.vec_id = q WHERE k = 1),
+weighted AS (SELECT *, {", ".join(f"{_MINOR(i, j)} / det AS m{i}{j}" for i in range(3) for j in range(i, 3))}
+  FROM (SELECT *, s00 * {_MINOR(0, 0)} + s01 * {_MINOR(0, 1)} + s02 * {_MINOR(0, 2)} AS det FROM met))
+SELECT pair::BIGINT AS pair, {_sql_sums()}, round(sum(d0 * d0 + d1 * d1 + d2 * d2), 6) AS squares, count(*)::BIGINT AS inliers FROM weighted GROUP BY pair
+"""
+
+
 def gated_nn_score(spark, sf_dir):
     """How well the points of each even label lie on those of odd labels."""
     labelled = points(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
@@ -213,9 +276,9 @@ def icp_register(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    radius_outlier, knn_distance, sor_filter, edge_plane_filter, surface_normals, nearest_plane, normal_equations, gated_nn_score, tile_halo,
+    radius_outlier, knn_distance, sor_filter, edge_plane_filter, surface_normals, nearest_plane, normal_equations, scan_equations, plane_to_plane_sums, gated_nn_score, tile_halo,
     stratified_sample, icp_register)}
 ORACLE_SQL = {
     "radius_outlier": SQL_RADIUS, "knn_distance": SQL_KNN_DISTANCE, "sor_filter": SQL_SOR, "edge_plane_filter": SQL_EDGE, "surface_normals": SQL_NORMALS,
-    "nearest_plane": SQL_NEAREST_PLANE, "normal_equations": SQL_NORMAL, "gated_nn_score": SQL_SCORE, "tile_halo": SQL_HALO, "stratified_sample": SQL_STRATA,
+    "nearest_plane": SQL_NEAREST_PLANE, "normal_equations": SQL_NORMAL, "scan_equations": SQL_SCAN_EQUATIONS, "plane_to_plane_sums": SQL_PLANE_TO_PLANE, "gated_nn_score": SQL_SCORE, "tile_halo": SQL_HALO, "stratified_sample": SQL_STRATA,
 }
