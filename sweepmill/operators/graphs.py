@@ -1,11 +1,11 @@
-"""Pose graphs. A capture, whose keyframes are capped, is solved by one task, several small ones together.
+"""Pose graphs: residuals and their derivatives, edges, and a solver of small graphs in memory, which the tables of
+substructure.solve_graphs are held against.
 
 A pose is 7 numbers, x y z and a unit quaternion qx qy qz qw. An edge (a, b) measures Z = B^-1 A."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ def poses7(mats: np.ndarray) -> np.ndarray:
     return np.concatenate([mats[:, :3, 3], axis * np.sin(angle / 2), np.cos(angle / 2)], axis=1)
 
 
-def _inverse(m: np.ndarray) -> np.ndarray:
+def inverse(m: np.ndarray) -> np.ndarray:
     out = np.zeros_like(m)
     r = np.swapaxes(m[:, :3, :3], 1, 2)
     out[:, :3, :3], out[:, 3, 3] = r, 1
@@ -79,15 +79,15 @@ def moved(poses: np.ndarray, step: np.ndarray) -> np.ndarray:
     return left @ poses
 
 
-def _residuals(poses: np.ndarray, a, b, z_inverse) -> np.ndarray:
-    return _twist(z_inverse @ _inverse(poses[b]) @ poses[a])
+def residuals(poses: np.ndarray, a, b, z_inverse) -> np.ndarray:
+    return _twist(z_inverse @ inverse(poses[b]) @ poses[a])
 
 
-def _jacobians(poses: np.ndarray, a, b, z_inverse, r: np.ndarray, tiny: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def jacobians(poses: np.ndarray, a, b, z_inverse, r: np.ndarray, tiny: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Of the residuals by small motions of the first and of the second pose, by differences."""
-    before, nudges = z_inverse @ _inverse(poses[b]), np.eye(6) * tiny
+    before, nudges = z_inverse @ inverse(poses[b]), np.eye(6) * tiny
     there = moved(np.tile(np.eye(4), (6, 1, 1)), nudges)
-    back = _inverse(there)
+    back = inverse(there)
     ja, jb = np.zeros((len(r), 6, 6)), np.zeros((len(r), 6, 6))
     for c in range(6):
         ja[:, :, c] = (_twist(before @ there[c] @ poses[a]) - r) / tiny
@@ -140,7 +140,7 @@ def solve_many(poses: np.ndarray, sizes, a, b, z, loop, rounds: int = 15, huber:
     """Gauss-Newton over several graphs at once: (poses, costs before, costs after). poses: those of all graphs, one after
     the other, of `sizes` nodes each, the first of which stays; a, b: the edges' places in poses. Residuals and their
     derivatives are taken of all edges together; each graph has its own steps and its own end."""
-    a, b, loop, z_inverse = np.asarray(a, dtype=int), np.asarray(b, dtype=int), np.asarray(loop, dtype=bool), _inverse(np.asarray(z))
+    a, b, loop, z_inverse = np.asarray(a, dtype=int), np.asarray(b, dtype=int), np.asarray(loop, dtype=bool), inverse(np.asarray(z))
     sizes = np.asarray(sizes, dtype=int)
     begin, graphs = np.concatenate(([0], np.cumsum(sizes))), len(sizes)
     owner = np.searchsorted(begin, a, side="right") - 1
@@ -154,16 +154,16 @@ def solve_many(poses: np.ndarray, sizes, a, b, z, loop, rounds: int = 15, huber:
         return np.bincount(owner[which], each, graphs)
 
     everything = np.ones(len(a), dtype=bool)
-    start = costs(_residuals(poses, a, b, z_inverse), everything) if len(a) else np.zeros(graphs)
+    start = costs(residuals(poses, a, b, z_inverse), everything) if len(a) else np.zeros(graphs)
     open_graphs, cost = np.diff(first) > 0, start.copy()
     for _ in range(rounds):
         live = np.flatnonzero(open_graphs[owner]) if len(a) else np.empty(0, int)
         if not len(live):
             break
         at, to, zi = a[live], b[live], z_inverse[live]
-        r = _residuals(poses, at, to, zi)
+        r = residuals(poses, at, to, zi)
         w = np.where(loop[live], loop_weight * np.minimum(1.0, huber / np.maximum(np.linalg.norm(r, axis=1), 1e-12)), 1.0)
-        ja, jb = _jacobians(poses, at, to, zi, r)
+        ja, jb = jacobians(poses, at, to, zi, r)
         step, biggest = np.zeros((len(poses), 6)), np.zeros(graphs)
         ends = np.searchsorted(owner[live], np.arange(graphs + 1))
         for g in np.flatnonzero(open_graphs):
@@ -172,7 +172,7 @@ def solve_many(poses: np.ndarray, sizes, a, b, z, loop, rounds: int = 15, huber:
             biggest[g] = np.abs(own).max()
             step[n] = own * min(1.0, most / max(biggest[g], 1e-12))
         tried = moved(poses, step)
-        reached = costs(_residuals(tried, at, to, zi), live)
+        reached = costs(residuals(tried, at, to, zi), live)
         good = open_graphs & (reached <= cost)
         poses = np.where(np.repeat(good, sizes)[:, None, None], tried, poses)
         settled = (biggest < 1e-7) | (cost - reached <= 1e-8 * cost)
@@ -187,32 +187,6 @@ def solve(poses: np.ndarray, a, b, z, loop, **settings) -> tuple[np.ndarray, flo
     return out, float(before[0]), float(after[0])
 
 
-def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, together: int = 20_000) -> DataFrame:
-    """capture, node, the solved pose, cost0, cost1 for each capture. frames: capture, node (0, 1, ...), POSE.
-    edges: capture, a, b, POSE of Z, loop (boolean). About `together` nodes of several captures are solved in one task;
-    a capture is not divided."""
-    kind = frames.schema[capture].dataType.simpleString()
-    schema = f"{capture} {kind}, node long, {', '.join(f'{p} double' for p in POSE)}, cost0 double, cost1 double"
-    # Edges may come from the frames themselves; under aliases their columns are not the same as the frames'.
-    edges = edges.select(*[F.col(c).alias(c) for c in (capture, "a", "b", *POSE, "loop")])
-    parts = max(1, -(-frames.count() // together))
-    dealt = lambda df: df.withColumn("_part", F.pmod(F.xxhash64(capture), F.lit(parts))).groupBy("_part")
-
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values([capture, "node"], ignore_index=True)
-        poses = matrices(nodes[list(POSE)].to_numpy(float))
-        keys, sizes = np.unique(nodes[capture].to_numpy(), return_counts=True)
-        place = {k: i for i, k in enumerate(zip(nodes[capture], nodes["node"], strict=True))}
-        a, b = ([place[k] for k in zip(links[capture], links[c], strict=True)] for c in "ab")
-        poses, before, after = solve_many(poses, sizes, a, b, matrices(links[list(POSE)].to_numpy(float)) if len(links) else np.zeros((0, 4, 4)), links["loop"].to_numpy(bool))
-        out = pd.DataFrame(poses7(poses), columns=list(POSE))
-        out.insert(0, "node", nodes["node"].to_numpy())
-        out.insert(0, capture, nodes[capture].to_numpy())
-        return out.assign(cost0=np.repeat(before, sizes), cost1=np.repeat(after, sizes))
-
-    return dealt(frames).cogroup(dealt(edges)).applyInPandas(run, schema)
-
-
 def chain_edges(frames: DataFrame, capture: str) -> DataFrame:
     """The edges between consecutive nodes, as measured by their poses: a window, no gathering."""
     w = Window.partitionBy(capture).orderBy("node")

@@ -17,7 +17,7 @@ from ..functions import geometry as g
 from ..functions import rotations as r
 from ..functions.rotations import Pose
 from ..session import stash
-from . import graphs, motion, registration
+from . import graphs, motion, registration, substructure
 
 RINGS, SECTORS, REACH, HEIGHT = 20, 60, 60.0, 12.0
 
@@ -194,7 +194,7 @@ def closed_graph(frames: DataFrame, clouds: DataFrame, capture: str, gate: float
     ends = ends.withColumn("_z", r.let(r.compose(fix, r.pose_of("_t")).packed(), lambda t: r.let(r.invert(r.pose_of(t)).packed(), lambda i: r.compose(r.pose_of(i), r.pose_of("_s")).packed())))
     edges = ends.select(capture, F.col("source").alias("a"), F.col("target").alias("b"), "_z.*", F.lit(True).alias("loop"))
     nodes = frames.select(capture, F.col("frame").cast("long").alias("node"), "pose.*")
-    solved = graphs.solve_graphs(nodes, stash(graphs.chain_edges(nodes, capture).unionByName(edges), "edges"), capture)
+    solved = substructure.solve_graphs(nodes, stash(graphs.chain_edges(nodes, capture).unionByName(edges), "edges"), capture)
     after = stash(solved.select(capture, F.col("node").alias("frame"), F.struct(*graphs.POSE).alias("after")), "solved")
     both = motion.graph_reasons(frames.withColumnRenamed("pose", "before").join(after, [capture, "frame"]), capture, "frame")
     torn = both.groupBy(capture).agg(F.min("reason").alias("reason"))

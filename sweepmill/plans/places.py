@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import graphs, imaging, loops, registration, triangles
+from ..operators import graphs, imaging, loops, registration, substructure, triangles
 from ..session import table
 from .clouds import CAMERA, SQL_POINTS, cloud, r6
 from .timelines import SECOND, SQL_EVENTS, events
@@ -238,7 +238,7 @@ def pose_graph(spark, sf_dir):
         F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), (-F.sin(step / 2)).alias("qz"), F.cos(step / 2).alias("qw"), F.lit(True).alias("loop"),
     )
     frames = frames.drop("n")
-    solved = graphs.solve_graphs(frames, graphs.chain_edges(frames, "o_custkey").unionByName(closing), "o_custkey")
+    solved = substructure.solve_graphs(frames, graphs.chain_edges(frames, "o_custkey").unionByName(closing), "o_custkey")
     return solved.groupBy("o_custkey").agg(F.count("*").alias("nodes"), F.round(F.first("cost0"), 6).alias("cost0"), F.round(F.first("cost1"), 6).alias("cost1"))
 
 
