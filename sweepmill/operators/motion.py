@@ -4,13 +4,12 @@ and windows by capture."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rotations as r
 from ..functions.rotations import Pose
-from ..session import stash
+from . import scans
 
 
 def constant_velocity(before: Pose, now: Pose, ratio: Column, most: float = 3.0) -> Column:
@@ -131,17 +130,12 @@ def refined(scans: DataFrame, found: DataFrame, by: list[str], good: Column) ->
 # ---------------------------------------------------------------- gyro
 
 
-def _products(q: np.ndarray) -> np.ndarray:
-    """q[0], q[0] q[1], ... of n x 4 quaternions, by doubling."""
-    out, step = q.copy(), 1
-    while step < len(out):
-        a, b = out[:-step], out[step:]
-        v = a[:, 3:] * b[:, :3] + b[:, 3:] * a[:, :3] + np.cross(a[:, :3], b[:, :3])
-        w = a[:, 3] * b[:, 3] - (a[:, :3] * b[:, :3]).sum(axis=1)
-        new = np.concatenate([v, w[:, None]], axis=1)
-        out = np.concatenate([out[:step], new / np.linalg.norm(new, axis=1, keepdims=True)])
-        step *= 2
-    return out
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of n x 4 unit quaternions."""
+    v = a[:, 3:] * b[:, :3] + b[:, 3:] * a[:, :3] + np.cross(a[:, :3], b[:, :3])
+    w = a[:, 3] * b[:, 3] - (a[:, :3] * b[:, :3]).sum(axis=1)
+    out = np.concatenate([v, w[:, None]], axis=1)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def _turns(rates: np.ndarray, seconds: np.ndarray) -> np.ndarray:
@@ -151,40 +145,17 @@ def _turns(rates: np.ndarray, seconds: np.ndarray) -> np.ndarray:
     return np.concatenate([v * np.where(angle > 1e-12, np.sin(angle / 2) / np.maximum(angle, 1e-12), 0.5), np.cos(angle / 2)], axis=1)
 
 
-def integrate_gyro(samples: DataFrame, capture: str, longest: float = 0.05, block_ns: int = 60_000_000_000) -> DataFrame:
+def integrate_gyro(samples: DataFrame, capture: str, longest: float = 0.05) -> DataFrame:
     """capture, stamp and the attitude (qx qy qz qw) integrated from samples (capture, stamp in ns, gx, gy, gz in rad/s)
     by the trapezoid rule, from identity; gaps count as at most `longest` seconds. Samples of one time are ordered by
     their rates.
 
-    Rotations multiply in order but group freely, so each block of time is one task: its products from its own beginning.
-    The blocks' totals, one row a block, are multiplied up and put before."""
-    kind = samples.schema[capture].dataType.simpleString()
-    rates = ("gx", "gy", "gz")
-    rows = samples.select(capture, "stamp", *rates).withColumn("_block", F.floor(F.col("stamp") / block_ns))
-    line = Window.partitionBy(capture).orderBy("_block")
-    ends = rows.groupBy(capture, "_block").agg(F.max(F.struct("stamp", *rates)).alias("_end"))
-    ends = ends.select(capture, "_block", F.lag("_end").over(line).alias("_last"))
-    quaternion = "qx double, qy double, qz double, qw double"
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stamp", *rates])
-        before = pdf["_last"].iloc[0]
-        stamp, rate = pdf["stamp"].to_numpy(), pdf[list(rates)].to_numpy(float)
-        start = (stamp[0], *rate[0]) if before is None else tuple(before[n] for n in ("stamp", *rates)) if isinstance(before, dict) else tuple(before)
-        stamp, rate = np.concatenate(([start[0]], stamp)), np.concatenate(([start[1:]], rate))
-        q = _products(_turns((rate[1:] + rate[:-1]) / 2, np.clip(np.diff(stamp) / 1e9, 0, longest)))
-        return pd.DataFrame({capture: pdf[capture], "_block": pdf["_block"], "stamp": pdf["stamp"], "last": np.arange(len(pdf)) == len(pdf) - 1, **{n: q[:, i] for i, n in enumerate(("qx", "qy", "qz", "qw"))}})
-
-    parts = rows.join(ends, [capture, "_block"]).groupBy(capture, "_block").applyInPandas(inside, f"{capture} {kind}, _block long, stamp long, last boolean, {quaternion}")
-    parts = stash(parts, "blocks")
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        q = _products(pdf[["qx", "qy", "qz", "qw"]].to_numpy(float))
-        q = np.concatenate(([[0.0, 0.0, 0.0, 1.0]], q[:-1]))
-        return pd.DataFrame({capture: pdf[capture], "_block": pdf["_block"], **{f"_{n}": q[:, i] for i, n in enumerate(("qx", "qy", "qz", "qw"))}})
-
-    names = ("qx", "qy", "qz", "qw")
-    first = parts.where("last").groupBy(capture).applyInPandas(whole, f"{capture} {kind}, _block long, " + ", ".join(f"_{n} double" for n in names))
-    q = r.multiply([F.col(f"_{n}") for n in names], [F.col(n) for n in names])
-    return parts.join(first, [capture, "_block"]).select(capture, "stamp", *[c.alias(n) for c, n in zip(q, names, strict=True)])
+    Rotations multiply in order but group freely, so this is a scan: captures of any length, many to a batch."""
+    rates, names = ["gx", "gy", "gz"], ["qx", "qy", "qz", "qw"]
+
+    def turn(before: dict, now: dict) -> np.ndarray:
+        mean = np.stack([(before[n] + now[n]) / 2 for n in rates], axis=1)
+        return _turns(mean, np.clip((now["stamp"] - before["stamp"]) / 1e9, 0, longest))
+
+    rows = samples.select(capture, F.col("stamp").cast("long").alias("stamp"), *[F.col(n).cast("double").alias(n) for n in rates])
+    return scans.scan(rows, [capture], ["stamp", *rates], ["stamp", *rates], turn, _product, names).select(capture, "stamp", *names)

@@ -122,11 +122,11 @@ def _followed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(capture, b.schema.field("capture").type), pa.array(np.concatenate(nodes)), _lists(np.concatenate(steps))], names=["capture", "node", "x"])
 
 
-def solve_elements(elements: DataFrame, damping: float = 1e-4, segment: int = SEGMENT) -> DataFrame:
+def solve_elements(elements: DataFrame, damping: float = 1e-4, segment: int = SEGMENT, calls: int | None = None) -> DataFrame:
     """capture, node, x (6 numbers): the solution of the summed elements (capture, nodes, k, f), with `damping` added to
-    the diagonal. Nodes are whole numbers of 1 and more."""
+    the diagonal. Nodes are whole numbers of 1 and more. calls: how many Python calls a level is dealt to."""
     kind = elements.schema["capture"].dataType.simpleString()
-    calls = max(1, -(-elements.count() // TOGETHER))
+    calls = calls or max(1, -(-elements.count() // TOGETHER))
     width, levels, left = segment, [], elements.where(F.size("nodes") > 0).select("capture", "nodes", "k", "f")
     while True:
         part = lambda x, w=width: F.floor(x / w).cast("long")
@@ -193,8 +193,9 @@ def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, rounds: int
     nodes = stash(frames.select(F.col(capture).alias("capture"), F.col("node").cast("long").alias("node"), packed.alias("p")).mapInArrow(_opened, schema), "nodes")
     links = stash(edges.select(F.col(capture).alias("capture"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), packed.alias("z"), "loop"), "links")
     zero = F.lit(0.0)
-    state = nodes.select("capture").distinct().select("capture", zero.alias("cost0"), zero.alias("cost"), zero.alias("biggest"), F.lit(True).alias("open"), F.lit(False).alias("taken"))
-    state = stash(state, "captures")
+    state = nodes.select("capture").distinct().select("capture", zero.alias("cost0"), zero.alias("cost"), F.lit(True).alias("open"), F.lit(False).alias("taken"))
+    state, biggest, steps = stash(state, "captures"), None, None
+    calls = max(1, -(-links.count() // TOGETHER))
     for n in range(rounds + 1):
         ends = [nodes.select("capture", F.col("node").alias(c), F.col("tried").alias(f"p{c}")) for c in "ab"]
         live = links.join(state.where("open").select("capture"), "capture", "left_semi")
@@ -203,7 +204,8 @@ def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, rounds: int
         reached = lines.groupBy("capture").agg(F.sum("cost").alias("reached"))
         good = F.col("open") & (F.lit(n == 0) | (F.col("reached") <= F.col("cost")))
         settled = F.lit(n > 0) & ((F.col("biggest") < 1e-7) | (F.col("cost") - F.col("reached") <= 1e-8 * F.col("cost")))
-        marked = state.drop("taken").join(reached, "capture", "left").withColumn("taken", good & F.col("reached").isNotNull())
+        moved_by = state.withColumn("biggest", zero) if biggest is None else state.join(biggest, "capture", "left").withColumn("biggest", F.coalesce("biggest", zero))
+        marked = moved_by.drop("taken").join(reached, "capture", "left").withColumn("taken", good & F.col("reached").isNotNull())
         marked = marked.select(
             "capture", F.when(F.lit(n == 0), F.coalesce("reached", zero)).otherwise(F.col("cost0")).alias("cost0"), F.when(F.col("taken"), F.col("reached")).otherwise(F.col("cost")).alias("cost"),
             (F.col("taken") & ~settled & F.lit(n < rounds)).alias("open"), "taken",
@@ -211,17 +213,16 @@ def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, rounds: int
         marked = stash(marked, "captures")
         going = bool(marked.where("open").take(1))
         some = marked.where("open").select("capture")
-        steps = solve_elements(lines.join(some, "capture", "left_semi"), damping, segment) if going else nodes.select("capture", "node", F.lit(None).cast("array<double>").alias("x")).limit(0)
+        steps = solve_elements(lines.join(some, "capture", "left_semi"), damping, segment, calls) if going else nodes.select("capture", "node", F.lit(None).cast("array<double>").alias("x")).limit(0)
         steps = stash(steps, "steps")
-        size = steps.groupBy("capture").agg(F.max(F.aggregate("x", zero, lambda a, v: F.greatest(a, F.abs(v)))).alias("biggest"))
-        new = marked.join(size, "capture", "left").select("capture", "cost0", "cost", F.coalesce("biggest", zero).alias("biggest"), "open", "taken")
-        new = stash(new, "captures")
+        biggest = steps.groupBy("capture").agg(F.max(F.aggregate("x", zero, lambda a, v: F.greatest(a, F.abs(v)))).alias("biggest"))
+        new = marked.join(biggest, "capture", "left").withColumn("biggest", F.coalesce("biggest", zero))
         scale = F.least(F.lit(1.0), most / F.greatest("biggest", F.lit(1e-12)))
         still = F.array(*[zero] * 6)
         moved = nodes.join(new.select("capture", "taken", scale.alias("scale")), "capture").join(steps, ["capture", "node"], "left").withColumn("x", F.coalesce("x", still))
         moved = stash(moved.select("capture", "node", "pose", "tried", "taken", "scale", "x").mapInArrow(_stepped, schema), "nodes")
-        unstash(nodes, state, lines, marked)
-        nodes, state = moved, new
+        unstash(nodes, state, lines)
+        nodes, state = moved, marked
         if not going:
             break
     unstash(links)

@@ -239,13 +239,13 @@ SELECT o_orderkey, l_linenumber, {", ".join(f"round({c}, 4) + 0.0 AS e{n}" for c
 
 
 def gyro_attitude(spark, sf_dir):
-    """Events as gyro samples of their user, a day as twelve seconds, integrated in blocks of days."""
+    """Events as gyro samples of their user, a day as twelve seconds."""
     e = table(spark, sf_dir, "events")
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     s = e.groupBy(F.col("user_id").alias("capture"), t.alias("t")).agg(F.max("value").alias("v"), F.max("event_id").alias("k"))
     s = s.select("capture", F.floor(F.col("t") / 7.2).alias("stamp"), (F.col("v") / 10.0).alias("gx"), (F.col("k") % 7 - 3.0).alias("gy"), (F.col("k") % 5 - 2.0).alias("gz"))
     s = s.groupBy("capture", "stamp").agg(*[F.max(c).alias(c) for c in ("gx", "gy", "gz")])
-    out = motion.integrate_gyro(s, "capture", block_ns=60_000_000_000)
+    out = motion.integrate_gyro(s, "capture")
     axis = r.rotate([F.col(n) for n in ("qx", "qy", "qz", "qw")], (F.lit(1.0), F.lit(0.0), F.lit(0.0)))
     return out.select("capture", "stamp", *[(F.round(c, 5) + 0.0).alias(n) for c, n in zip(axis, ("ax", "ay", "az"), strict=True)])
 
