@@ -9,9 +9,9 @@ its expected number of copies.
 
 Steps run as a reduction tree. At each level the open documents of a source are dealt by hash into buckets of about
 `bucket` rows; one task folds a bucket, largest first, and leaves at most one open document for the next level. Where all
-fractions of a bucket are equal, as they are at first, a document is paired with all smaller ones at once, which
-give or take words alike: large documents are settled while the many small ones together can balance them, so what
-remains is small. A source with a third of all rows is many buckets. All draws come from hashes of ids and the seed: reruns agree.
+fractions of a bucket are equal, as they are at first, a document is balanced by all smaller ones together, which
+give or take words alike, as long as they can: large documents are settled by the many small ones, so what remains is
+small. A document that outweighs the rest of its bucket waits, so that it never decides over all of them. A source with a third of all rows is many buckets. All draws come from hashes of ids and the seed: reruns agree.
 
 Targets. Sources in code-point order, null last, weigh `weights`, repeating. They share `share` of all sizes by
 weight; a target stops at `most` times its source's size and the excess is shared again by weight until none is above.
@@ -71,9 +71,11 @@ def fold(keys, sizes, parts, seed: int, last: bool):
     """Pivot steps over documents in the given order; the fractions afterwards: 0 or 1 for all but at most one, or, the
     last one drawn, for all if `last`."""
     x, keys = list(map(float, parts)), np.asarray(keys, dtype=np.uint64)
-    held = _fold_equal(x, keys, sizes, seed) if len(set(x)) == 1 else None
+    if len(set(x)) == 1:
+        _fold_equal(x, keys, sizes, seed)
+    held = None
     for i in range(len(x)):
-        if not 0.0 < x[i] < 1.0 or i == held:
+        if not 0.0 < x[i] < 1.0:
             continue
         if held is None:
             held = i
@@ -94,23 +96,20 @@ def fold(keys, sizes, parts, seed: int, last: bool):
     return x
 
 
-def _fold_equal(x: list, keys: np.ndarray, sizes, seed: int) -> int | None:
-    """Pivot steps between each document and all that follow it, which share one fraction; the one left open, if any."""
+def _fold_equal(x: list, keys: np.ndarray, sizes, seed: int) -> None:
+    """Pivot steps between each document and all that follow it, which share one fraction, where these can balance it
+    without being settled themselves. A document that outweighs the rest is left open: it would take or drop all of them
+    at once. What is left open is then paired one with one, and goes on up the tree to documents of its kind."""
     part, rest = x[0], np.concatenate((np.cumsum(np.asarray(sizes, dtype=float)[::-1])[::-1], [0.0])).tolist()
     for i in range(len(x) if 0.0 < part < 1.0 else 0):
         size, words = float(sizes[i]), rest[i + 1]
-        if not words:
+        up, down = (1.0 - part) * size, part * size
+        if up >= part * words or down >= (1.0 - part) * words:
             x[i] = part
-            return i
-        up, down = min((1.0 - part) * size, part * words), min(part * size, (1.0 - part) * words)
-        if _draw(keys[[i, i + 1]], seed) * (up + down) < down:
-            x[i], part = (1.0 if up == (1.0 - part) * size else _snap(part + up / size)), (0.0 if up == part * words else _snap(part - up / words))
+        elif _draw(keys[[i, i + 1]], seed) * (up + down) < down:
+            x[i], part = 1.0, part - up / words
         else:
-            x[i], part = (0.0 if down == part * size else _snap(part - down / size)), (1.0 if down == (1.0 - part) * words else _snap(part + down / words))
-        if part in (0.0, 1.0):
-            x[i + 1 :] = [part] * (len(x) - i - 1)
-            return i if 0.0 < x[i] < 1.0 else None
-    return None
+            x[i], part = 0.0, part + down / words
 
 
 def _snap(v: float) -> float:

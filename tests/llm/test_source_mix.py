@@ -69,6 +69,15 @@ def test_fold_of_equal_fractions():
         assert abs(sum(a * b for a, b in zip(x, many)) - 0.7 * sum(many)) < 10  # what is left open at last is small
 
 
+def test_one_giant_does_not_decide_over_the_rest():
+    sizes, counts, giants = [10_000] + [1] * 1000, [], 0
+    for seed in range(400):
+        x = source_mix.fold(list(range(1, 1002)), sizes, [0.3] * 1001, seed, True)
+        counts.append(sum(x[1:]))
+        giants += x[0]
+    assert np.mean(counts) == pytest.approx(300, abs=3) and np.std(counts) < 40 and giants / 400 == pytest.approx(0.3, abs=0.07)
+
+
 def test_last_draw_keeps_expectations():
     sizes, parts = [900, 500, 40, 30, 20, 10, 5, 1, 1], [0.3, 0.7, 0.5, 0.5, 0.1, 0.9, 0.4, 0.5, 0.5]
     total = [0.0] * 9
