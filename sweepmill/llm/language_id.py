@@ -5,8 +5,8 @@ its place, multiplied element by element; a text is the bundle (sum) of its trig
 bundle of its training texts, each at unit length. A text gets the language whose prototype has the largest cosine
 with it; the score is that cosine, at least 0.
 
-Letters are those of Unicode, lower-cased; whatever stands between them is one gap. a-z have vectors of their own,
-all other letters share the remaining vectors by code point. Prototypes are fitted on a bounded sample, at most
+Letters are those of Unicode, lower-cased; whatever stands between them is one gap. Every letter has a vector of its own,
+whose signs are the bits of a hash of its code point, so none is stored and no two share one. Prototypes are fitted on a bounded sample, at most
 `per_language` texts of each language by hash of the id; every text is scored whole. One prototype for each language
 value is held by every task, so languages should number thousands, not millions.
 
@@ -27,36 +27,41 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DIMENSION, SYMBOLS, SEED = 1024, 64, 11
+DIMENSION, SEED = 1024, 11
 UNKNOWN = "und"
 
 
 @lru_cache(1)
 def _symbol_table() -> np.ndarray:
-    """Code point -> 0 for a gap, 1 to 26 for a-z, further numbers for other letters; capitals count as small letters."""
-    table = np.zeros(0x110000, dtype=np.uint8)
+    """Code point -> 0 for a gap, else the code point of the small letter."""
+    table = np.zeros(0x110000, dtype=np.int32)
     for cp in range(0x110000):
         if chr(cp).isalpha():
-            low = ord(chr(cp).lower()[0])
-            table[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
+            table[cp] = ord(chr(cp).lower()[0])
     return table
 
 
-@lru_cache(1)
-def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.float32), (SYMBOLS, DIMENSION))
-    return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+def letter_vectors(symbols: np.ndarray) -> np.ndarray:
+    """The vector of each symbol, +1 and -1: bits of hashes of the symbol and a counter."""
+    words = DIMENSION // 64
+    with np.errstate(over="ignore"):
+        seeds = common.mix64(symbols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
+        bits = common.mix64(seeds[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
 def _symbols(text: str) -> np.ndarray:
     return _symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
-def _codes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_BITS, _ONE = 21, (1 << 21) - 1
+
+
+def _codes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and trigram codes of symbols without runs of gaps: those whose middle is a letter."""
     middle = np.flatnonzero(symbols[1:-1] > 0) + 1
     wide = symbols.astype(np.int64)
-    return middle, (wide[middle - 1] << 12) | (wide[middle] << 6) | wide[middle + 1]
+    return middle, (wide[middle - 1] << 2 * _BITS) | (wide[middle] << _BITS) | wide[middle + 1]
 
 
 def _joined_gaps(symbols: np.ndarray) -> np.ndarray:
@@ -66,22 +71,24 @@ def _joined_gaps(symbols: np.ndarray) -> np.ndarray:
 def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, trigram code, count) of all texts. A lone text goes by pieces, however long it is."""
     if len(texts) == 1:
-        counts, tail = np.zeros(1 << 18, dtype=np.int64), np.zeros(1, dtype=np.uint8)
+        known, counts, tail = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int32)
         for piece in (*common.pieces(texts), " "):
             tail = np.concatenate((tail, _symbols(piece)))
             tail = tail[_joined_gaps(tail)]
-            counts += np.bincount(_codes(tail)[1], minlength=1 << 18)
+            code, n = np.unique(_codes(tail)[1], return_counts=True)
+            known, at = np.unique(np.concatenate((known, code)), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((counts, n)), len(known)).astype(np.int64)
             tail = tail[-2:]
-        code = np.flatnonzero(counts)
-        return np.zeros(len(code), dtype=np.int64), code, counts[code]
+        return np.zeros(len(known), dtype=np.int64), known, counts
     texts = [t or "" for t in texts.to_pylist()]
     symbols = _symbols("".join(f" {t} " for t in texts))
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) + 2 for t in texts])
     solid = _joined_gaps(symbols)
     symbols, owner = symbols[solid], owner[solid]
     middle, code = _codes(symbols)
-    code, count = np.unique((owner[middle] << 18) | code, return_counts=True)
-    return code >> 18, code & 0x3FFFF, count
+    known, at = np.unique(code, return_inverse=True)
+    both, count = np.unique(owner[middle] * max(1, len(known)) + at, return_counts=True)
+    return both // max(1, len(known)), known[both % max(1, len(known))], count
 
 
 def bundle(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +97,18 @@ def bundle(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner, code, count = trigram_counts(texts)
     total, squares = (np.bincount(owner, count.astype(np.float64) ** p, len(texts)) for p in (1, 2))
     known, at = np.unique(code, return_inverse=True)
-    first, second, third = _letters()
+    places = np.stack([known >> 2 * _BITS, (known >> _BITS) & _ONE, known & _ONE])
+    letters = np.unique(places)
+    third = letter_vectors(letters)
+    first, second = np.roll(third, 2, axis=1), np.roll(third, 1, axis=1)
+    a, b, c = np.searchsorted(letters, places)
     out = np.zeros((len(texts), DIMENSION), dtype=np.float32)
     for begin in range(0, len(known), 2048):
-        some = known[begin : begin + 2048]
-        bound = first[some >> 12] * second[(some >> 6) & 63]
-        bound *= third[some & 63]
-        mine = (at >= begin) & (at < begin + len(some))
-        dense = np.zeros((len(texts), len(some)), dtype=np.float32)
+        some = slice(begin, min(len(known), begin + 2048))
+        bound = first[a[some]] * second[b[some]]
+        bound *= third[c[some]]
+        mine = (at >= begin) & (at < some.stop)
+        dense = np.zeros((len(texts), some.stop - begin), dtype=np.float32)
         dense[owner[mine], at[mine] - begin] = count[mine]
         out += dense @ bound
     norm = np.linalg.norm(out, axis=1, keepdims=True)

@@ -110,9 +110,15 @@ def test_language_held_out(spark):
 
 def test_language_against_brute_force(spark, monkeypatch):
     def number(c):
-        return 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (language_id.SYMBOLS - 27)
+        return ord(c) if c.isalpha() else 0
 
-    letters = language_id._letters()[2].astype(float)
+    class Letters(dict):
+        shape = (0, language_id.DIMENSION)
+
+        def __missing__(self, symbol):
+            return self.setdefault(symbol, language_id.letter_vectors(np.array([symbol]))[0].astype(float))
+
+    letters = Letters()
     for segment in (1 << 20, 64):
         monkeypatch.setattr(language_id.common, "_SEGMENT", segment)
         for some in (ODD_TEXTS, *([t] for t in ODD_TEXTS)):
@@ -136,6 +142,24 @@ def test_language_against_brute_force(spark, monkeypatch):
         assert r["lang_pred"] == best or abs(cosines[r["lang_pred"]] - cosines[best]) < 1e-4
 
 
+def test_letters_of_all_scripts_differ():
+    points = np.array([0, *range(97, 123), *range(0x430, 0x4FF), *range(0x4E00, 0x5200)])
+    vectors = language_id.letter_vectors(points)
+    cosines = vectors @ vectors.T / language_id.DIMENSION
+    np.fill_diagonal(cosines, 0)
+    assert set(np.unique(vectors)) == {-1, 1} and np.abs(cosines).max() < 0.2
+
+
+def test_two_languages_of_one_script(spark):
+    rng = random.Random(3)
+    parts = {"ru": "ко то ра не на по во ли ст ни за ет ый ого".split(), "uk": "що ти ра не на по ви лі ст ні за ється ій ого".split(), "zh": list("的一是不了人我在有他"), "ja": list("の一は日を人年大出会")}
+    rows = [(i, lang, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.choice((1, 2, 3)))) for _ in range(40))) for i, lang in enumerate(list(parts) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    held = [(i, lang) for i, lang, _ in rows if brute.held_out(i)]
+    assert len(held) > 30 and np.mean([got[i] == lang for i, lang in held]) > 0.97
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (None, "the cat"), (3, "ok " * 300_000)], "doc_id long, text string").selectExpr("*", "'x' AS lang_pred", "1 AS score")
     known = spark.createDataFrame([(7, "the cat and the dog", "en"), (8, "le chat et le chien", "fr"), (9, None, "en"), (11, "x", None)], "doc_id long, text string, lang string")
