@@ -42,11 +42,29 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def trimmed_mean(df: DataFrame, by: list[str], value: str, few: int = 20, share: int = 10) -> DataFrame:
-    """by, mean, n: the mean without the n div share smallest and largest values, where n is at least few."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.select(*by, F.col(value).alias("_v"), F.row_number().over(w).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
+    """by, mean, n: the mean without the n div share smallest and largest values, where n is at least few. Nulls are no values.
+
+    Approximate percentiles enclose the two cuts; values between and beyond are summed and counted, and only those near a
+    cut are put in order, equal ones as one row. Keys of few values are ordered whole."""
+    cut = 1.0 / share
+    parts = [max(0.0, cut - 2 * _SLIP), min(1.0, cut + _SLIP), max(0.0, 1 - cut - _SLIP), min(1.0, 1 - cut + 2 * _SLIP)]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    keys, same = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    bounds = rows.groupBy(*by).agg(F.count("*").alias("n"), F.approx_percentile("_v", F.array(*[F.lit(p) for p in parts]), F.lit(_FINE)).alias("_p")).select(*keys, "n", "_p")
+    p = F.col("_p")
+    zone = F.when(F.col("n") < _FINE, 1).when(F.col("_v") < p[0], 0).when(F.col("_v") <= p[1], 1).when(F.col("_v") < p[2], 2).when(F.col("_v") <= p[3], 3).otherwise(4)
+    near = F.col("_zone").isin(1, 3)
+    zoned = rows.join(bounds, same).select(*by, "n", "_v", zone.alias("_zone"))
+    sums = zoned.groupBy(*by, "n", "_zone", F.when(near, F.col("_v")).alias("_at")).agg(F.count("*").alias("_m"), F.sum("_v").alias("_sum"))
+    # Rows of a key are now its distinct values near the cuts and three sums.
+    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy("_zone", "_at").rowsBetween(Window.unboundedPreceding, 0))
     trim = F.when(F.col("n") >= few, F.floor(F.col("n") / share)).otherwise(0)
-    return ranked.where((F.col("_r") > trim) & (F.col("_r") <= F.col("n") - trim)).groupBy(*by).agg(F.avg("_v").alias("mean"), F.first("n").alias("n"))
+    kept = F.greatest(F.lit(0), F.least(F.col("_upto"), F.col("n") - trim) - F.greatest(F.col("_upto") - F.col("_m"), trim))
+    part = F.when(near, kept * F.col("_at")).when(F.col("_zone") == 2, F.col("_sum")).otherwise(0.0)
+    counted = F.when(near, kept).when(F.col("_zone") == 2, F.col("_m")).otherwise(0)
+    return sums.withColumn("_upto", upto).groupBy(*by).agg((F.sum(part) / F.sum(counted)).alias("mean"), F.first("n").alias("n"))
 
 
 def static_window(df: DataFrame, by: list[str], at: str, span: int) -> DataFrame:
@@ -159,10 +177,10 @@ def static_imu(samples: DataFrame, by: list[str], at: str, second: int = 1_000_0
     (rad/s), ax ay az (m/s2, or g, which the norm tells). Result: by, n, seconds, bx by bz, mx my mz (trimmed means; of
     the accelerations in m/s2), scale, gyro_std, accel_norm, accel_std and valid."""
     rows = static_window(samples, by, at, int(seconds * second))
-    means = None
-    for axis, name in zip(("gx", "gy", "gz", "ax", "ay", "az"), ("bx", "by", "bz", "mx", "my", "mz"), strict=True):
-        one = trimmed_mean(rows, by, axis).select(*by, F.col("mean").alias(name))
-        means = one if means is None else means.join(one, by)
+    # All axes in one pass, a row for each.
+    axes = dict(zip(("gx", "gy", "gz", "ax", "ay", "az"), ("bx", "by", "bz", "mx", "my", "mz"), strict=True))
+    stacked = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("_axis"), F.col(axis).cast("double").alias("_value")) for axis, name in axes.items()])).alias("_r")).select(*by, "_r.*")
+    means = trimmed_mean(stacked, [*by, "_axis"], "_value").groupBy(*by).agg(*[F.max(F.when(F.col("_axis") == name, F.col("mean"))).alias(name) for name in axes.values()])
     square = lambda *names: F.sqrt(sum((F.col(c) * F.col(c) for c in names[1:]), F.col(names[0]) * F.col(names[0])))
     means = means.withColumn("scale", F.when(square("mx", "my", "mz") < 3.0, 9.80665).otherwise(1.0))
     seen = rows.join(means, by)

@@ -61,15 +61,17 @@ SELECT event_id, {_BANDS} FROM c JOIN ({SQL_GRID}) p USING (image, px, py) GROUP
 
 
 def laplacian_sharpness(spark, sf_dir):
-    grey = _grid(spark).select("image", "px", "py", (F.col("r") + F.col("g")).alias("grey"))
-    return imaging.laplacian_variance(grey, ["image"]).select("image", r6(F.col("sharpness"), "sharpness"))
+    """Vectors as images of 8 x 8 pixels."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    grey = e.select("vec_id", (F.col("i") % 8).alias("px"), F.floor(F.col("i") / 8).cast("int").alias("py"), F.floor(F.col("v").cast("double") * 256 + 128).cast("long").alias("grey"))
+    return imaging.laplacian_variance(grey, ["vec_id"]).select("vec_id", r6(F.col("sharpness"), "sharpness"))
 
 
-SQL_SHARPNESS = f"""
-WITH p AS (SELECT image, px, py, r + g AS v FROM ({SQL_GRID})),
-l AS (SELECT image, 4 * v - lag(v) OVER h - lead(v) OVER h - lag(v) OVER d - lead(v) OVER d AS lap FROM p
-      WINDOW h AS (PARTITION BY image, py ORDER BY px), d AS (PARTITION BY image, px ORDER BY py))
-SELECT image, round(var_pop(lap), 6) AS sharpness FROM l WHERE lap IS NOT NULL GROUP BY image
+SQL_SHARPNESS = """
+WITH p AS (SELECT vec_id, i % 8 AS px, i // 8 AS py, floor(v::DOUBLE * 256 + 128)::BIGINT AS v FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings)),
+l AS (SELECT vec_id, 4 * v - lag(v) OVER h - lead(v) OVER h - lag(v) OVER d - lead(v) OVER d AS lap FROM p
+      WINDOW h AS (PARTITION BY vec_id, py ORDER BY px), d AS (PARTITION BY vec_id, px ORDER BY py))
+SELECT vec_id, round(var_pop(lap), 6) AS sharpness FROM l WHERE lap IS NOT NULL GROUP BY vec_id
 """
 
 

@@ -215,3 +215,14 @@ def test_medians_and_trimmed_means(spark):
         own, cut = sorted(vs), len(vs) // 10 if len(vs) >= 20 else 0
         assert medians[k] == (own[len(own) // 2], len(own))
         assert means[k][1] == len(own) and math.isclose(means[k][0], np.mean(own[cut : len(own) - cut]), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_trimmed_mean_near_its_cuts(spark):
+    rng = np.random.default_rng(5)
+    groups = {"large": rng.normal(size=25_000), "ties": np.concatenate([np.zeros(12_000), np.ones(9000), rng.normal(size=1000)]), "same": np.full(11_000, 3.0), "few": np.arange(19.0), "some": np.arange(25.0) ** 2, None: np.array([4.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("few", None)]
+    got = {r["k"]: (r["mean"], r["n"]) for r in series.trimmed_mean(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k, vs in groups.items():
+        trim = len(vs) // 10 if len(vs) >= 20 else 0
+        kept = np.sort(vs)[trim : len(vs) - trim]
+        assert got[k][1] == len(vs) and math.isclose(got[k][0], kept.mean(), rel_tol=1e-9, abs_tol=1e-12)
