@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import voxel
-from ..session import table
+from ..operators import fusion, voxel
+from ..session import scratch_root, table
 
 # Fixed values of the example pose and camera.
 POSE = ((0.9553, -0.2955, 0.0, 0.25), (0.2896, 0.9363, -0.1987, -0.1), (0.0587, 0.1898, 0.9801, 0.4))
@@ -68,6 +70,15 @@ def voxel_two_phase(spark, sf_dir):
     return voxel.merge_sums(state).select(*voxel.KEY, *[r6(F.col(a), a) for a in "xyz"], "w")
 
 
+def fusion_levels(spark, sf_dir):
+    """The same map grown in ten batches, of a store that adds up four runs of a level."""
+    store = fusion.FusionStore(spark, f"{scratch_root(spark)}/sweepmill-{uuid.uuid4().hex}/map", 5.0, fanout=4)
+    points = box(spark, sf_dir)
+    for b in range(10):
+        store.add(str(b), points.where(F.col("l_suppkey") % 10 == b))
+    return store.cloud().select(*voxel.KEY, *[r6(F.col(a), a) for a in "xyz"], "w")
+
+
 def range_filter(spark, sf_dir):
     x, y, z = (F.col(a) for a in "xyz")
     kept = cloud(spark, sf_dir).where(g.in_range(x, y, z, 0.1, 0.3))
@@ -188,12 +199,12 @@ SELECT vx, vy, vz, n, round(e0, 8) + 0.0 AS e0, round(e1, 8) + 0.0 AS e1, round(
 """
 
 QUERIES = {
-    "fused_colour_map": fused_colour_map, "voxel_centroid": voxel_centroid, "voxel_weighted": voxel_weighted, "voxel_two_phase": voxel_two_phase,
+    "fused_colour_map": fused_colour_map, "voxel_centroid": voxel_centroid, "voxel_weighted": voxel_weighted, "voxel_two_phase": voxel_two_phase, "fusion_levels": fusion_levels,
     "range_filter": range_filter, "rigid_transform": rigid_transform, "pinhole_project": pinhole_project, "depth_colour": depth_colour,
     "plane_moments": plane_moments, "plane_fit": plane_fit,
 }
 ORACLE_SQL = {
-    "fused_colour_map": SQL_FUSED, "voxel_centroid": SQL_VOXEL_CENTROID, "voxel_weighted": SQL_VOXEL_WEIGHTED, "voxel_two_phase": SQL_VOXEL_WEIGHTED,
+    "fused_colour_map": SQL_FUSED, "voxel_centroid": SQL_VOXEL_CENTROID, "voxel_weighted": SQL_VOXEL_WEIGHTED, "voxel_two_phase": SQL_VOXEL_WEIGHTED, "fusion_levels": SQL_VOXEL_WEIGHTED,
     "range_filter": SQL_RANGE, "rigid_transform": SQL_TRANSFORM, "pinhole_project": SQL_PROJECT, "depth_colour": SQL_COLOUR,
     "plane_moments": SQL_PLANE_MOMENTS, "plane_fit": SQL_PLANE_FIT,
 }

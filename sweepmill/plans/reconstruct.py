@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import graphs, imaging, motion, neighbours, voxel
-from ..session import exists, stash, unstash
+from ..operators import fusion, graphs, imaging, motion, neighbours, voxel
+from ..session import exists, stash, stash_counted, unstash
 from ..sources import files
 
 POSE = graphs.POSE
@@ -53,6 +53,7 @@ class Options:
     max_scans: int = 0
     least_points: int = 100
     min_image_sharpness: float = 12.0
+    fusion_batch_scans: int = 0
 
     def __post_init__(self):
         positive = ("map_voxel", "lidar_map_voxel", "max_range", "denoise_tile_size", "normal_radius")
@@ -108,17 +109,38 @@ def accepted_points(points: DataFrame, o: Options, accepted: DataFrame | None =
     return motion.enough_points(near, ["capture", "scan_index"], o.least_points) if o.least_points > 1 else near
 
 
-def lidar_map(points: DataFrame, poses: DataFrame, o: Options, accepted: DataFrame | None = None) -> DataFrame:
-    """The fused cloud, coloured by range: x, y, z, red, green, blue and the weight w of each voxel."""
+def lidar_points(points: DataFrame, poses: DataFrame, o: Options, accepted: DataFrame | None = None) -> DataFrame:
+    """wx, wy, wz and colours by range of the points that count."""
     near = accepted_points(points, o, accepted)
     colours = g.depth_colour(g.norm(F.col("x"), F.col("y"), F.col("z")), o.lidar_color_near, o.lidar_color_far, o.lidar_color_gamma, o.lidar_color_bands)
-    placed = posed(near.select("capture", "stamp", "x", "y", "z", *[c.alias(n) for c, n in zip(colours, imaging.COLOURS, strict=True)]), poses)
-    return fused(placed, o.lidar_map_voxel)
+    return posed(near.select("capture", "stamp", "x", "y", "z", *[c.alias(n) for c, n in zip(colours, imaging.COLOURS, strict=True)]), poses)
+
+
+def lidar_map(points: DataFrame, poses: DataFrame, o: Options, accepted: DataFrame | None = None) -> DataFrame:
+    """The fused cloud, coloured by range: x, y, z, red, green, blue and the weight w of each voxel."""
+    return fused(lidar_points(points, poses, o, accepted), o.lidar_map_voxel)
+
+
+FUSED = ("x", "y", "z", *imaging.COLOURS)
+
+
+def weighed(placed: DataFrame) -> DataFrame:
+    return placed.select(*[F.col(f"w{a}").alias(a) for a in "xyz"], *imaging.COLOURS, F.lit(1).cast("long").alias("w"))
 
 
 def fused(placed: DataFrame, size: float) -> DataFrame:
-    world = placed.select(*[F.col(f"w{a}").alias(a) for a in "xyz"], *imaging.COLOURS, F.lit(1).cast("long").alias("w"))
-    return voxel.weighted(world, size, values=("x", "y", "z", *imaging.COLOURS))
+    return voxel.weighted(weighed(placed), size, values=FUSED)
+
+
+def fuse_in_batches(spark: SparkSession, points: DataFrame, poses: DataFrame, path: str, o: Options, accepted: DataFrame | None = None) -> DataFrame:
+    """lidar_map, fused `fusion_batch_scans` scans of each capture at a time into the store at path; a run that was stopped
+    goes on from its last batch."""
+    store, size = fusion.FusionStore(spark, path, o.lidar_map_voxel, FUSED), o.fusion_batch_scans
+    last = points.agg(F.max("scan_index")).first()[0]
+    for first in range(0, (last + 1) if last is not None else 0, size):
+        some = points.where((F.col("scan_index") >= first) & (F.col("scan_index") < first + size))
+        store.add(f"scans {first} to {first + size - 1}", weighed(lidar_points(some, poses, o, accepted)))
+    return store.cloud()
 
 
 @dataclass(frozen=True)
@@ -152,9 +174,9 @@ def filtered(cloud: DataFrame, o: Options, counts: dict | None = None) -> DataFr
     before = []
 
     def kept(rows: DataFrame, name: str) -> DataFrame:
-        before.append(stash(rows, name))
-        counts[f"after_{name}"] = before[-1].count()
-        return before[-1]
+        out, counts[f"after_{name}"] = stash_counted(rows, name)
+        before.append(out)
+        return out
 
     if o.isolation_radius > 0 and o.isolation_min_neighbors > 0:
         out = kept(neighbours.radius_inliers(out, o.isolation_radius, o.isolation_min_neighbors), "isolation")
@@ -173,7 +195,9 @@ def reconstruct(spark: SparkSession, points: DataFrame, poses: DataFrame, out: s
     """Write the products below `out`: for each the fused map (Parquet, by which filters can be run again) and the
     filtered cloud, and a report of them all. Returns the report."""
     o = options or Options()
-    if images is None:
+    if images is None and o.fusion_batch_scans > 0:
+        fuse_in_batches(spark, points, poses, f"{out}/store/lidar", o, accepted).write.mode("overwrite").parquet(f"{out}/fused/lidar")
+    elif images is None:
         lidar_map(points, poses, o, accepted).write.mode("overwrite").parquet(f"{out}/fused/lidar")
     else:
         rows = stash(coloured_points(points, poses, images, o, accepted), "products")

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "sweepmill") -> SparkSession:
@@ -77,6 +78,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stash_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """stash, and the number of rows, counted by the job that writes them."""
+    seen = Observation()
+    out = stash(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -8,7 +8,7 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series
@@ -178,14 +178,15 @@ def write_cloud(points: DataFrame, path: str, order=("tx", "ty", "tz")) -> int:
     names = points.columns
     colour, normal = "red" in names, "nx" in names
     keys = [c for c in order if c in names]
-    count = points.count()
     cols = [F.col(a).cast("float").cast("string") for a in "xyz"]
     cols += [_byte(c) for c in ("red", "green", "blue")] if colour else []
     cols += [F.col(f"n{a}").cast("float").cast("string") for a in "xyz"] if normal else []
     sorted_points = points.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else points
     spark, new = points.sparkSession, f"{path}.new"
+    seen = Observation()  # the job that writes the points counts them for the header
+    sorted_points.select(F.concat_ws(" ", *cols).alias("value")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(new + "/00001-points")
+    count = seen.get["n"]
     spark.createDataFrame([(_header(count, "ascii", colour, normal),)], "value string").coalesce(1).write.mode("overwrite").text(new + "/00000-header")
-    sorted_points.select(F.concat_ws(" ", *cols).alias("value")).write.mode("overwrite").text(new + "/00001-points")
     swap_in(spark, new, path)
     return count
 
