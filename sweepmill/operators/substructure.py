@@ -69,13 +69,51 @@ def _linear(huber: float, loop_weight: float):
     return run
 
 
+def _alone(pdf: pd.DataFrame, segment: np.ndarray, damping: float) -> list[tuple]:
+    """Segments that nothing outside touches, of elements of one and two nodes: all those of equally many nodes at once."""
+    size = pdf["nodes"].map(len).to_numpy()
+    nodes = np.full((len(pdf), 2), -1, dtype=np.int64)
+    flat = np.concatenate(pdf["nodes"].tolist())
+    begin = np.cumsum(size) - size
+    nodes[:, 0], nodes[size == 2, 1] = flat[begin], flat[begin[size == 2] + 1]
+    owners = np.stack([np.repeat(segment, size), flat])
+    known, at = np.unique(owners, axis=1, return_inverse=True)
+    first = np.searchsorted(known[0], np.unique(known[0]))
+    count = np.diff(np.concatenate((first, [known.shape[1]])))
+    row = np.searchsorted(np.unique(known[0]), segment)  # of each element's segment
+    local = at.reshape(-1) - np.repeat(first[row], size)
+    names = pdf.groupby(segment)[["capture", "segment"]].first()
+    out: list[tuple] = []
+    for m in np.unique(count):
+        those = np.flatnonzero(count == m)
+        place = np.full(len(count), -1)
+        place[those] = np.arange(len(those))
+        whole, right = np.zeros((len(those), 6 * m, 6 * m)), np.zeros((len(those), 6 * m))
+        for p in (1, 2):
+            some = np.flatnonzero((size == p) & (place[row] >= 0))
+            if len(some):
+                cells = (6 * local[begin[some][:, None] + np.arange(p)][:, :, None] + np.arange(6)).reshape(len(some), 6 * p)
+                g = place[row[some]]
+                np.add.at(whole, (g[:, None, None], cells[:, :, None], cells[:, None, :]), np.stack(pdf["k"].iloc[some].tolist()).reshape(-1, 6 * p, 6 * p))
+                np.add.at(right, (g[:, None], cells), np.stack(pdf["f"].iloc[some].tolist()))
+        whole[:, np.arange(6 * m), np.arange(6 * m)] += damping
+        steps = np.linalg.solve(whole, right[:, :, None])[:, :, 0]
+        for g, i in enumerate(those):
+            out.append((names["capture"].iloc[i], names["segment"].iloc[i], SOLVED, known[1, first[i] : first[i] + m], [], [], steps[g]))
+    return out
+
+
 def _eliminate(damping: float):
     """applyInPandas: the elements of several segments -> the steps of nodes that nothing else touches, one element on the
     rest, and how their steps follow from the others'."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (capture, segment), rows in pdf.groupby(["capture", "segment"], sort=False):
+        segments = pdf.groupby(["capture", "segment"], sort=False).ngroup().to_numpy()
+        hard = np.zeros(segments.max() + 1, dtype=bool)
+        hard[segments[(pdf["k"].isna() | (pdf["nodes"].map(len) > 2)).to_numpy()]] = True
+        easy = ~hard[segments]
+        out = _alone(pdf[easy], segments[easy], damping) if easy.any() else []
+        for (capture, segment), rows in pdf[~easy].groupby(["capture", "segment"], sort=False):
             own = rows[rows["k"].notna()]
             if not len(own):
                 continue
