@@ -36,6 +36,14 @@ def test_lines(spark):
     assert line_dedup.drop_repeated_lines(df.limit(0)).collect() == []
 
 
+def test_lines_without_ansi(spark):
+    rows = [(i, LONG if i < 6 else "own") for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with common.settings(spark, {"spark.sql.ansi.enabled": "false"}):
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert got == {**{i: (1, 1) for i in range(1, 5)}, 5: (1, 0), 6: (1, 0), 7: (1, 0)}
+
+
 def test_ledger_levels(spark):
     runs = line_dedup.LineRuns(spark, min_chars=5, fanout=2, buckets=3)
     batches = [spark.createDataFrame([(10 * b + i, f"line number {i % 3}\nbatch {b} alone") for i in range(4)], "doc_id long, text string") for b in range(5)]
