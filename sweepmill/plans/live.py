@@ -10,6 +10,9 @@ from ..session import exists, scratch_root, table
 from ..streaming import live
 from .timelines import SQL_EVENTS
 
+#: The parts of the table are not in order of time, so every sample may come as late as the whole recording is long.
+LATENESS = "3650 days"
+
 
 def live_fold(spark, sf_dir):
     """The file stream of events is folded to the end; updates go to a table in the shared folder."""
@@ -18,7 +21,7 @@ def live_fold(spark, sf_dir):
     # The path of the table itself: a file, or a folder of parts. The pattern matches it alone.
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/[e]vents.parquet")
     samples = stream.select(F.col("user_id").alias("capture"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
-    live.run_to_end(live.fold_paths(samples), lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}"), f"{folder}/checkpoint")
+    live.run_to_end(live.fold_paths(samples, LATENESS), lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}"), f"{folder}/checkpoint")
     # No batch has run if there are no rows.
     updates = spark.read.parquet(f"{folder}/out") if exists(spark, f"{folder}/out") else spark.createDataFrame([], live.RESULT)
     out = live.latest(updates)

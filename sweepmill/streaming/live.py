@@ -9,39 +9,90 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import series
+from ..session import settings
 from ..sources import files
 
 log = logging.getLogger(__name__)
-STATE = "n long, length double, x double, y double, t long"
 RESULT = "capture long, n long, length double, x double, y double, t long"
+SETTLED = "n long, length double, x double, y double, t long"
+SAMPLE = np.dtype([("t", "<i8"), ("x", "<f8"), ("y", "<f8")])
+#: Spark takes rows at or before 1970 as late from the start, so event times lie this many microseconds after t: recordings
+#: whose clock starts at 0 count whole.
+AHEAD = 1 << 50
+#: The state of transformWithState is kept in this store.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 SLOTS = 3
 TRAJECTORY_ROWS = 6000  # of a preview, at even strides over the whole trajectory, and its last row
 
 
-def fold_paths(samples: DataFrame) -> DataFrame:
-    """capture, and so far: n samples, length of the path through x, y, last x, y, t. A stream of capture, t, x, y.
-
-    The state of a capture is one short row. Samples older than the last one of their capture are counted, but do not
-    lead the path back; within a batch they are put in order of t first."""
-
-    def run(key, batches, state: GroupState):
-        n, length, x, y, t = state.get if state.exists else (0, 0.0, None, None, None)
-        pdf = pd.concat(list(batches)).sort_values(["t", "x", "y"])
-        n += len(pdf)
-        # Sorted by time, what is too old comes first.
-        pdf = pdf if t is None else pdf[pdf["t"] >= t]
-        if len(pdf):
-            xs, ys = (np.concatenate(([] if v is None else [v], pdf[c])) for c, v in (("x", x), ("y", y)))
-            length += np.hypot(np.diff(xs), np.diff(ys)).sum()
-            x, y, t = xs[-1], ys[-1], pdf["t"].iloc[-1]
-        now = (n, float(length), float(x), float(y), int(t))
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["capture", "n", "length", "x", "y", "t"])
-
-    return samples.select("capture", "t", "x", "y").groupBy("capture").applyInPandasWithState(run, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+def extended(path: tuple | None, samples: np.ndarray) -> tuple:
+    """A path (n, length, x, y, t), or none yet, gone on through samples that are in order."""
+    n, length, *last = path or (0, 0.0, None, None, None)
+    if len(samples):
+        xs, ys = (samples[c] if v is None else np.concatenate(([v], samples[c])) for c, v in zip("xy", last, strict=False))
+        length += float(np.hypot(np.diff(xs), np.diff(ys)).sum())
+        last = [float(xs[-1]), float(ys[-1]), int(samples["t"][-1])]
+    return (n + len(samples), length, *last)
+
+
+class PathFold(StatefulProcessor):
+    """The path of a capture: `settled` is what lies behind the watermark, one short row; `waiting` are the samples that
+    later ones may still precede, packed a batch to an element. A timer of event time settles what the watermark has passed,
+    so the state of a capture holds no more samples than fit in the lateness allowed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", SETTLED)
+        self.waiting = handle.getListState("waiting", "samples binary")
+
+    def _path(self) -> tuple | None:
+        return tuple(self.settled.get()) if self.settled.exists() else None
+
+    def _samples(self) -> np.ndarray:
+        packed = [np.frombuffer(bytes(row[0]), SAMPLE) for row in self.waiting.get()] if self.waiting.exists() else []
+        return np.sort(np.concatenate(packed), order=["t", "x", "y"]) if packed else np.empty(0, SAMPLE)
+
+    def _settle_after(self, t: int) -> None:
+        self.handle.registerTimer(-(-(t + AHEAD) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            new = np.empty(len(pdf), SAMPLE)
+            for c in SAMPLE.names:
+                new[c] = pdf[c]
+            self.waiting.appendValue((new.tobytes(),))
+        samples = self._samples()
+        if next(iter(self.handle.listTimers()), None) is None:
+            self._settle_after(int(samples["t"][0]))
+        yield pd.DataFrame([(key[0], *extended(self._path(), samples))], columns=["capture", "n", "length", "x", "y", "t"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        samples = self._samples()
+        passed = int(np.searchsorted(samples["t"], timerValues.getCurrentWatermarkInMs() * 1000 - AHEAD, side="right"))
+        if passed:
+            self.settled.update(extended(self._path(), samples[:passed]))
+        self.waiting.clear()
+        if passed < len(samples):
+            self.waiting.appendValue((samples[passed:].tobytes(),))
+            self._settle_after(int(samples["t"][passed]))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def fold_paths(samples: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """capture, and so far: n samples, length of the path through x, y, last x, y, t. A stream of capture, t (microseconds),
+    x, y.
+
+    Samples may come out of order: the path is the one through all of them in order of t, x, y, as long as none is more than
+    `lateness` behind the latest one of the batches before; those that are, Spark leaves out, of n too. Samples without
+    capture, time or place are left out. Each batch updates the captures it has samples of."""
+    known = samples.select("capture", F.timestamp_micros(F.col("t") + AHEAD).alias("at"), "t", "x", "y").dropna().withWatermark("at", lateness)
+    return known.groupBy("capture").transformWithStateInPandas(PathFold(), RESULT, "Update", "EventTime")
 
 
 def publish_preview(spark: SparkSession, folder: str, batch: int, cloud: DataFrame, trajectory: DataFrame, phase: str, processed: int, total: int) -> None:
@@ -103,8 +154,10 @@ def read_snapshot(spark: SparkSession, folder: str, tries: int = 100) -> dict:
 
 
 def run_to_end(stream: DataFrame, sink, checkpoint: str) -> None:
-    """Process what a stream holds now, batch by batch; sink(batch rows, batch number)."""
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    """Process what a stream holds now, batch by batch; sink(batch rows, batch number). With the checkpoint of an earlier
+    run it goes on where that one stopped."""
+    with settings(stream.sparkSession, STORE):
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
     try:
         query.awaitTermination()
     finally:
