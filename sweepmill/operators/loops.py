@@ -133,14 +133,45 @@ def supported(loops: DataFrame, capture: str, reach: int = 12, shift: float = 1.
     return loops.where(strong).unionByName(weak)
 
 
+BLOCKS = 64  # to a stretch; a block is as many times `apart` long, so at most that many of its targets are taken
+
+
 def suppressed(loops: DataFrame, capture: str, target: str = "target", apart: int = 30) -> DataFrame:
-    """capture, target of loops taken greedily in order of target, none nearer than `apart` to one already taken. The
-    choice depends on all earlier ones, so it is a fold over the sorted targets of a capture, which are bounded."""
-    ordered = F.array_sort(F.collect_set(target))
-    kind = loops.schema[target].dataType.simpleString()
-    start = F.array().cast(f"array<{kind}>")
-    taken = F.aggregate(F.col("_t"), start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= apart), F.concat(acc, F.array(t))).otherwise(acc))
-    return loops.groupBy(capture).agg(ordered.alias("_t")).select(capture, F.explode(taken).alias(target))
+    """capture, target of loops taken greedily in order of target (a whole number), none nearer than `apart` to one already
+    taken. Loops without a target are left out.
+
+    Each choice depends on all earlier ones, but only by the least number that may be taken next. So a block of numbers
+    is a table: what that least number is behind the block, for each of the `apart` that it can be on entry. Blocks are
+    followed by stretches and stretches by captures; then the least number on entry is handed down to each block, which takes
+    its own. A capture's row holds a table for each 4096 * apart numbers; no task needs all of its targets."""
+    width, kind = BLOCKS * apart, loops.schema[target].dataType
+    after = lambda acc, t: F.when(t >= acc, t + apart).otherwise(acc)
+    entries = F.sequence(F.lit(0).cast("long"), F.lit(apart - 1).cast("long"))
+    # What comes in is less than `apart` past the start, since all that was taken lies before it.
+    through = lambda acc, part, size: F.element_at(part["table"], (F.greatest(F.lit(0).cast("long"), acc - part["at"] * size) + 1).cast("int"))
+
+    def follow(parts, size: int, start):
+        """Of each part, in order: where it is and what comes in; start comes into the first."""
+        first = F.struct(start.alias("least"), F.array().cast("array<struct<at:bigint,least:bigint>>").alias("seen"))
+        step = lambda acc, part: F.struct(through(acc["least"], part, size).alias("least"), F.concat(acc["seen"], F.array(F.struct(part["at"].alias("at"), acc["least"].alias("least")))).alias("seen"))
+        return F.aggregate(parts, first, step)["seen"]
+
+    known = loops.where(F.col(target).isNotNull()).select(F.col(capture).alias("_c"), F.col(target).cast("long").alias("_t"))
+    blocks = known.groupBy("_c", F.floor(F.col("_t") / width).alias("at")).agg(F.array_sort(F.collect_set("_t")).alias("_ts"))
+    table = F.transform(entries, lambda i: F.aggregate("_ts", F.col("at") * width + i, after))
+    blocks = stash(blocks.select("_c", "at", "_ts", table.alias("table")), "blocks")
+    parts = F.array_sort(F.collect_list(F.struct("at", "table"))).alias("_parts")
+    stretches = blocks.groupBy("_c", F.floor(F.col("at") / BLOCKS).alias("_long")).agg(parts)
+    whole = F.transform(entries, lambda i: F.aggregate("_parts", F.col("_long") * width * BLOCKS + i, lambda acc, part: through(acc, part, width)))
+    lines = stretches.select("_c", F.col("_long").alias("at"), whole.alias("table")).groupBy("_c").agg(parts)
+    start = F.col("_parts")[0]["at"] * width * BLOCKS
+    entered = lines.select("_c", F.explode(follow(F.col("_parts"), width * BLOCKS, start)).alias("_e")).select(F.col("_c").alias("_k"), "_e.*")
+    inside = stretches.join(entered, F.col("_c").eqNullSafe(F.col("_k")) & (F.col("_long") == F.col("at"))).select("_c", F.explode(follow(F.col("_parts"), width, F.col("least"))).alias("_e"))
+    inside = inside.select(F.col("_c").alias("_k"), F.col("_e.at").alias("_at"), F.col("_e.least").alias("_least"))
+    met = blocks.join(inside, F.col("_c").eqNullSafe(F.col("_k")) & (F.col("at") == F.col("_at")))
+    none = F.struct(F.col("_least").alias("least"), F.array().cast("array<bigint>").alias("taken"))
+    taken = F.aggregate("_ts", none, lambda acc, t: F.when(t >= acc["least"], F.struct((t + apart).alias("least"), F.concat(acc["taken"], F.array(t)).alias("taken"))).otherwise(acc))["taken"]
+    return met.select(F.col("_c").alias(capture), F.explode(taken).alias(target)).withColumn(target, F.col(target).cast(kind))
 
 
 def jumps(poses: DataFrame, capture: str, order: str, shift: float = 0.30, turn: float = 6.0, local: float = 0.20, local_turn: float = 4.0) -> DataFrame:

@@ -60,6 +60,34 @@ SELECT event_id, {_BANDS} FROM c JOIN ({SQL_GRID}) p USING (image, px, py) GROUP
 """
 
 
+def _sheets(spark, sf_dir) -> DataFrame:
+    """Vectors as lines of images of 128 x 96 pixels: two vectors to a line, 192 to an image."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    grey = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col("v").cast("double") * 256 + 128))).cast("int")
+    at = e.select(F.floor(F.col("vec_id") / 192).alias("image"), (F.col("vec_id") % 2 * 64 + F.col("i")).alias("px"), F.floor(F.col("vec_id") % 192 / 2).alias("py"), grey.alias("r"))
+    return at.select("image", "px", "py", "r", (255 - F.col("r")).alias("g"), (F.col("px") * F.col("py") % 256).cast("int").alias("b"))
+
+
+def tile_sample(spark, sf_dir):
+    """Events as places in the images that the vectors make, by tiles; those outside or in gaps get null."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", (k % 5).alias("image"), (k * 37 % 1040 / 8.0).alias("u"), (k * 13 % 780 / 8.0).alias("v"))
+    return imaging.bilinear_tiles(e, imaging.tiled(_sheets(spark, sf_dir), ["image"]), ["image"]).select("event_id", "r", "g", "b")
+
+
+SQL_TILES = f"""
+WITH e AS (SELECT event_id, event_id % 5 AS image, (event_id * 37 % 1040) / 8.0::DOUBLE AS u, (event_id * 13 % 780) / 8.0::DOUBLE AS v FROM events),
+d AS (SELECT vec_id // 192 AS image, vec_id % 2 * 64 + i AS px, vec_id % 192 // 2 AS py, least(255, greatest(0, floor(v::DOUBLE * 256 + 128)))::BIGINT AS r
+      FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings)),
+p AS (SELECT *, 255 - r AS g, px * py % 256 AS b FROM d),
+c AS (SELECT *, floor(u)::BIGINT + i AS px, floor(v)::BIGINT + j AS py,
+             (CASE i WHEN 1 THEN u - floor(u) ELSE 1.0::DOUBLE - (u - floor(u)) END) * (CASE j WHEN 1 THEN v - floor(v) ELSE 1.0::DOUBLE - (v - floor(v)) END) AS w
+      FROM e, range(2) a(i), range(2) b(j)),
+s AS (SELECT event_id, {_BANDS} FROM c JOIN p USING (image, px, py) GROUP BY event_id HAVING count(*) = 4)
+SELECT event_id, r, g, b FROM events LEFT JOIN s USING (event_id)
+"""
+
+
 def laplacian_sharpness(spark, sf_dir):
     """Vectors as images of 8 x 8 pixels."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
@@ -297,11 +325,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY label, target ORDER BY votes DES
 
 
 QUERIES = {f.__name__: f for f in (
-    triangle_keys, triangle_loops, zbuffer_visible, bilinear_sample, laplacian_sharpness, polar_descriptor, descriptor_distance, loop_topk, temporal_support, greedy_suppress,
+    triangle_keys, triangle_loops, zbuffer_visible, bilinear_sample, tile_sample, laplacian_sharpness, polar_descriptor, descriptor_distance, loop_topk, temporal_support, greedy_suppress,
     gate_reasons, graph_sanity, pose_graph)}
 ORACLE_SQL = {
     "triangle_keys": SQL_TRIANGLE_KEYS, "triangle_loops": SQL_TRIANGLE_LOOPS,
-    "zbuffer_visible": SQL_VISIBLE, "bilinear_sample": SQL_BILINEAR, "laplacian_sharpness": SQL_SHARPNESS, "polar_descriptor": SQL_POLAR,
+    "zbuffer_visible": SQL_VISIBLE, "bilinear_sample": SQL_BILINEAR, "tile_sample": SQL_TILES, "laplacian_sharpness": SQL_SHARPNESS, "polar_descriptor": SQL_POLAR,
     "descriptor_distance": SQL_DISTANCE, "loop_topk": SQL_TOPK, "temporal_support": SQL_SUPPORT, "greedy_suppress": SQL_SUPPRESS,
     "gate_reasons": SQL_GATES, "graph_sanity": SQL_SANITY,
 }
