@@ -17,7 +17,7 @@ from ..functions import geometry as g
 from ..functions import rotations as r
 from ..functions.rotations import Pose
 from ..session import stash
-from . import graphs, motion, registration, substructure
+from . import graphs, motion, pieces, registration, substructure
 
 RINGS, SECTORS, REACH, HEIGHT = 20, 60, 60.0, 12.0
 
@@ -174,15 +174,16 @@ def suppressed(loops: DataFrame, capture: str, target: str = "target", apart: in
     return met.select(F.col("_c").alias(capture), F.explode(taken).alias(target)).withColumn(target, F.col(target).cast(kind))
 
 
-def jumps(poses: DataFrame, capture: str, order: str, shift: float = 0.30, turn: float = 6.0, local: float = 0.20, local_turn: float = 4.0) -> DataFrame:
+def jumps(poses: DataFrame, capture: str, order: str, shift: float = 0.30, turn: float = 6.0, local: float = 0.20, local_turn: float = 4.0, width: int = 100_000) -> DataFrame:
     """Keyframes at which a solved graph is torn: poses has x, y, z and heading in degrees before (0) and after (1).
-    Corrections of neighbours must not jump, and steps must not change, by more than the limits."""
-    w = Window.partitionBy(capture).orderBy(order)
-    d = lambda c: F.col(f"{c}1") - F.col(f"{c}0")
-    step = lambda c: d(c) - F.lag(d(c)).over(w)
+    Corrections of neighbours must not jump, and steps must not change, by more than the limits. width: of pieces."""
+    names = [f"{c}{i}" for c in ("x", "y", "z", "heading") for i in (0, 1)]
+    paired = pieces.lagged(poses, [capture], [order], width, {f"_{n}": n for n in names})
+    d = lambda c, old="": F.col(f"{old}{c}1") - F.col(f"{old}{c}0")
+    step = lambda c: d(c) - d(c, "_")
     jump = F.sqrt(step("x") * step("x") + step("y") * step("y") + step("z") * step("z"))
-    lengths = [F.sqrt(sum((F.pow(F.col(f"{a}{i}") - F.lag(f"{a}{i}").over(w), 2) for a in "yz"), F.pow(F.col(f"x{i}") - F.lag(f"x{i}").over(w), 2))) for i in (0, 1)]
-    seen = poses.select("*", jump.alias("jump"), F.abs(step("heading")).alias("turned"), F.abs(lengths[1] - lengths[0]).alias("stretched"))
+    lengths = [F.sqrt(sum((F.pow(F.col(f"{a}{i}") - F.col(f"_{a}{i}"), 2) for a in "yz"), F.pow(F.col(f"x{i}") - F.col(f"_x{i}"), 2))) for i in (0, 1)]
+    seen = paired.select(*poses.columns, jump.alias("jump"), F.abs(step("heading")).alias("turned"), F.abs(lengths[1] - lengths[0]).alias("stretched"))
     bad = F.when((F.col("jump") > shift) | (F.col("turned") > turn), "correction discontinuity").when((F.col("stretched") > local) | (F.col("turned") > local_turn), "local odometry deformation")
     return seen.withColumn("reason", bad)
 

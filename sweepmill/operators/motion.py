@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotations as r
 from ..functions.rotations import Pose
-from . import scans
+from . import pieces, scans
 
 
 def constant_velocity(before: Pose, now: Pose, ratio: Column, most: float = 3.0) -> Column:
@@ -41,13 +41,12 @@ def recovered(found: Pose, predicted: Pose, shift: float = 2.0, turn: float = 20
     return F.coalesce((moved <= shift) & (r.degrees(r.multiply(found.rotation, r.conjugate(predicted.rotation))) <= turn), F.lit(False))
 
 
-def graph_reasons(frames: DataFrame, capture: str, order: str, shift: float = 0.30, turn: float = 6.0, local: float = 0.20, local_turn: float = 4.0) -> DataFrame:
+def graph_reasons(frames: DataFrame, capture: str, order: str, shift: float = 0.30, turn: float = 6.0, local: float = 0.20, local_turn: float = 4.0, width: int = 100_000) -> DataFrame:
     """frames (capture, order, before, after: pose structs) with jump, jump_turn (of the correction, from the keyframe
-    before to this one), change, change_turn (of the step between them) and reason, null where the graph is sound."""
-    w = Window.partitionBy(capture).orderBy(order)
+    before to this one), change, change_turn (of the step between them) and reason, null where the graph is sound. width: of pieces."""
     before, after = r.pose_of("before"), r.pose_of("after")
     kept = frames.withColumn("_fix", r.compose(after, r.invert(before)).packed())
-    kept = kept.select("*", *[F.lag(c).over(w).alias(f"_{c.strip('_')}1") for c in ("_fix", "before", "after")])
+    kept = pieces.lagged(kept, [capture], [order], width, {f"_{c.strip('_')}1": c for c in ("_fix", "before", "after")})
     jump = r.compose(r.pose_of("_fix"), r.invert(r.pose_of("_fix1")))
     step = lambda a, b: r.compose(r.invert(r.pose_of(a)), r.pose_of(b))
     change = r.compose(r.invert(step("before", "_before1")), step("after", "_after1"))

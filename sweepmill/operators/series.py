@@ -1,10 +1,12 @@
-"""Ordered series: gaps, robust means, runs, frames, thinning. Every window is partitioned by a key."""
+"""Ordered series: gaps, robust means, runs, frames, thinning. Runs, frames, paths and strides go by pieces of a key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pieces
+
 
 def positive_gaps(df: DataFrame, by: list[str], at: str) -> DataFrame:
     """by, gap: positive differences of consecutive times."""
@@ -73,53 +75,79 @@ def static_window(df: DataFrame, by: list[str], at: str, span: int) -> DataFrame
     return df.withColumn("_first", first).where(F.col(at) <= F.col("_first") + span).drop("_first")
 
 
-def sustained_runs(df: DataFrame, by: list[str], at: str, moving, confirm: int) -> DataFrame:
-    """by, start: the start of the first run of consecutive moving rows that lasts at least `confirm`."""
-    w = Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+def sustained_runs(df: DataFrame, by: list[str], at: str, moving, confirm: int, width: int) -> DataFrame:
+    """by, start: the start of the first run of consecutive moving rows that lasts at least `confirm`. width: see pieces."""
     marked = df.select(*by, F.col(at).alias("_t"), moving.alias("_m"))
-    runs = marked.withColumn("_run", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(w))
-    spans = runs.where("_m").groupBy(*by, "_run").agg(F.min("_t").alias("start"), F.max("_t").alias("stop"))
-    return spans.where(F.col("stop") - F.col("start") >= confirm).groupBy(*by).agg(F.min("start").alias("start"))
-
-
-def longest_streak(df: DataFrame, by: list[str], order: list[str], bad) -> DataFrame:
-    """by, longest, current: the longest run of consecutive bad rows and the one at the end (0 without)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.select(*by, *order, bad.alias("_b"))
-    runs = marked.withColumn("_run", F.sum(F.when(F.col("_b"), 0).otherwise(1)).over(w))
-    spans = runs.groupBy(*by, "_run").agg(F.count_if("_b").alias("_n"))
-    return spans.groupBy(*by).agg(F.max("_n").alias("longest"), F.max_by("_n", "_run").alias("current"))
-
-
-def sliding_frame(df: DataFrame, by: list[str], order: list[str], value: str, rows: int) -> DataFrame:
-    """df with frame_sum and frame_n over each row and the rows - 1 before it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - rows, 0)
-    return df.select("*", F.sum(value).over(w).alias("frame_sum"), F.count("*").over(w).alias("frame_n"))
-
-
-def path(df: DataFrame, by: list[str], order: list[str], axes: list[str]) -> DataFrame:
-    """by, bounds (<axis>_min, <axis>_max) and the length of the polyline through the rows in order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    squares = [F.pow(F.col(a) - F.lag(a).over(w), 2) for a in axes]
-    stepped = df.withColumn("_step", F.sqrt(sum(squares[1:], squares[0])))
+    moved = F.when(F.col("_m"), F.col("_t"))
+    runs = pieces.edge_runs(marked, by, ["_t"], width, F.col("_m"), lambda: [F.min(moved).alias("start"), F.max(moved).alias("stop")])
+    first = lambda c: F.max(F.when(F.col("_run") == 0, F.col(c)))
+    lasts = (F.col("_run") > 0) & (F.col("stop") - F.col("start") >= confirm)
+    ends = runs.groupBy(pieces.AT).agg(
+        F.max("_run").alias("_runs"), first("start").alias("_head"), first("stop").alias("_stop"), F.max_by("start", "_run").alias("_tail"), F.min(F.when(lasts, F.col("start"))).alias("_inner")
+    )
+    met = pieces.joined_runs(ends, by, F.col("_runs") == 0, F.col("_tail"), F.min)
+    begun = F.coalesce("_entering", "_head")
+    found = F.when(F.col("_stop") - begun >= confirm, begun)
+    return met.groupBy(*pieces.keys(by)).agg(F.min(F.least(found, "_inner")).alias("start")).where("start IS NOT NULL")
+
+
+def longest_streak(df: DataFrame, by: list[str], order: list[str], bad, width: int) -> DataFrame:
+    """by, longest, current: the longest run of consecutive bad rows and the one at the end (0 without). width: see pieces."""
+    runs = pieces.edge_runs(df.select(*by, *order, bad.alias("_b")), by, order, width, F.col("_b"), list)
+    head = F.sum(F.when(F.col("_run") == 0, F.col("_n")).otherwise(0))
+    ends = runs.groupBy(pieces.AT).agg(F.max("_run").alias("_runs"), head.alias("_head"), F.max_by("_n", "_run").alias("_tail"), F.max("_n").alias("_inner"))
+    met = pieces.joined_runs(ends, by, F.col("_runs") == 0, F.col("_tail"), F.sum)
+    longest = F.greatest("_inner", "_open", F.coalesce("_entering", F.lit(0)) + F.col("_head"))
+    return met.groupBy(*pieces.keys(by)).agg(F.max(longest).alias("longest"), F.max_by("_open", f"{pieces.AT}._piece").alias("current"))
+
+
+def sliding_frame(df: DataFrame, by: list[str], order: list[str], value: str, rows: int, width: int) -> DataFrame:
+    """df with frame_sum and frame_n over each row and the rows - 1 before it. width: see pieces."""
+    w = pieces.inside(order)
+    placed = pieces.cut(df, by, order, width).withColumn("_i", F.row_number().over(w) - 1)
+    ends = placed.withColumn("_back", F.row_number().over(Window.partitionBy(pieces.AT).orderBy(*[F.col(c).desc() for c in order]))).where(F.col("_back") < rows)
+    # Each piece has a row, so that the frame of the first one reaches at most rows - 1 pieces back.
+    tails = ends.groupBy(pieces.AT).agg(F.sort_array(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("_tail"))
+    past = F.flatten(F.collect_list("_tail").over(pieces.line(by).rowsBetween(1 - rows, -1)))
+    met = pieces.told(placed, tails, _past=F.slice(past, F.greatest(F.lit(1), F.size(past) - rows + 2), F.lit(rows)))
+    here, more = w.rowsBetween(1 - rows, 0), F.greatest(F.lit(0), F.least(F.lit(rows - 1) - F.col("_i"), F.size("_past")))
+    came = F.filter(F.slice("_past", F.size("_past") - more + 1, more)["v"], lambda v: v.isNotNull())
+    inner = F.sum(value).over(here)
+    kind = df.select(F.sum(value)).schema[0].dataType
+    total = F.when(F.size(came) == 0, inner).otherwise(F.aggregate(came, F.lit(0).cast(kind), lambda a, v: (a + v).cast(kind)) + F.coalesce(inner, F.lit(0).cast(kind)))
+    return met.withColumn("frame_sum", total).withColumn("frame_n", F.count("*").over(here) + more).select(*df.columns, "frame_sum", "frame_n")
+
+
+def path(df: DataFrame, by: list[str], order: list[str], axes: list[str], width: int) -> DataFrame:
+    """by, bounds (<axis>_min, <axis>_max) and the length of the polyline through the rows in order. width: see pieces."""
+    w, place = pieces.inside(order), F.struct(*axes)
+    far = lambda a, b: F.sqrt(sum((F.pow(a[c] - b[c], 2) for c in axes[1:]), F.pow(a[axes[0]] - b[axes[0]], 2)))
+    stepped = pieces.cut(df, by, order, width).withColumn("_own", place)
+    stepped = stepped.withColumn("_step", far(F.col("_own"), F.lag("_own").over(w)))
     bounds = [f(a).alias(f"{a}_{n}") for a in axes for f, n in ((F.min, "min"), (F.max, "max"))]
-    return stepped.groupBy(*by).agg(*bounds, F.coalesce(F.sum("_step"), F.lit(0.0)).alias("length"))
+    ends = stepped.groupBy(pieces.AT).agg(*bounds, F.sum("_step").alias("_steps"), *[f("_own", F.struct(*order)).alias(n) for f, n in ((F.min_by, "_first"), (F.max_by, "_last"))])
+    gaps = ends.withColumn("_gap", far(F.col("_first"), F.lag("_last").over(pieces.line(by))))
+    bounds = [f(f"{a}_{n}").alias(f"{a}_{n}") for a in axes for f, n in ((F.min, "min"), (F.max, "max"))]
+    return gaps.groupBy(*pieces.keys(by)).agg(*bounds, F.sum(F.coalesce("_steps", F.lit(0.0)) + F.coalesce("_gap", F.lit(0.0))).alias("length"))
 
 
-def thinned(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
-    """Every stride-th row of each key, and its last; the stride keeps about `most` rows of a key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = df.select("*", (F.row_number().over(w) - 1).alias("_i"), n.alias("_n"))
+def thinned(df: DataFrame, by: list[str], order: list[str], most: int, width: int) -> DataFrame:
+    """Every stride-th row of each key, and its last; the stride keeps about `most` rows of a key. width: see pieces."""
+    ranked = pieces.placed(df, by, order, width)
     stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
-    return ranked.where((F.col("_i") % stride == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
-
-
-def keyframes(df: DataFrame, by: list[str], order: list[str], stride: int, most: int) -> DataFrame:
-    """Keyframes: rows whose place is a multiple of max(stride, ceil(n / most)), with place and the next row's time."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = df.select("*", (F.row_number().over(w) - 1).cast("long").alias("place"), n.alias("_n"), F.lead(order[0]).over(w).alias("following"))
+    return ranked.where((F.col("_i") % stride == 0) | (F.col("_i") == F.col("_n") - 1)).select(*df.columns)
+
+
+def keyframes(df: DataFrame, by: list[str], order: list[str], stride: int, most: int, width: int) -> DataFrame:
+    """Keyframes: rows whose place is a multiple of max(stride, ceil(n / most)), with place and the next row's time. width:
+    see pieces."""
+    w = pieces.inside(order)
+    rows = pieces.cut(df, by, order, width)
+    ends = rows.groupBy(pieces.AT).agg(F.count("*").alias("_c"), F.min(order[0]).alias("_first"))
+    inner = rows.select("*", (F.row_number().over(w) - 1).alias("_i"), F.lead(F.struct(F.col(order[0]).alias("at"))).over(w).alias("_next"))
+    met = pieces.told(inner, ends, _shift=F.coalesce(F.sum("_c").over(pieces.before(by)), F.lit(0)), _n=F.sum("_c").over(pieces.whole(by)), _first=F.lead("_first").over(pieces.line(by)))
+    following = F.when(F.col("_next").isNull(), F.col("_first")).otherwise(F.col("_next.at"))
+    ranked = met.select(*df.columns, (F.col("_i") + F.col("_shift")).cast("long").alias("place"), "_n", following.alias("following"))
     return ranked.where(F.col("place") % F.greatest(F.lit(stride), F.ceil(F.col("_n") / most)) == 0).drop("_n")
 
 

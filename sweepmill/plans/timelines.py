@@ -135,8 +135,12 @@ FROM w JOIN b ON w.user_id = b.user_id GROUP BY w.user_id
 """
 
 
+#: Ten days: the runs, frames and paths of a user are worked out in pieces of this length.
+PIECE = 10 * 86400 * SECOND
+
+
 def sustained_run(spark, sf_dir):
-    return series.sustained_runs(events(spark, sf_dir), ["user_id"], "t", F.col("value") > 30.0, 6 * 3600 * SECOND)
+    return series.sustained_runs(events(spark, sf_dir), ["user_id"], "t", F.col("value") > 30.0, 6 * 3600 * SECOND, PIECE)
 
 
 SQL_RUN = f"""
@@ -148,7 +152,7 @@ SELECT user_id, min(start)::BIGINT AS start FROM (
 
 
 def reject_streak(spark, sf_dir):
-    out = series.longest_streak(events(spark, sf_dir), ["user_id"], ["t", "event_id"], F.col("event_type") == "error")
+    out = series.longest_streak(events(spark, sf_dir), ["user_id"], ["t", "event_id"], F.col("event_type") == "error", PIECE)
     return out.select("user_id", F.col("longest").cast("long").alias("longest"), F.col("current").cast("long").alias("current"))
 
 
@@ -161,7 +165,7 @@ SELECT user_id, max(n)::BIGINT AS longest, arg_max(n, run)::BIGINT AS current FR
 
 
 def sliding_count_frame(spark, sf_dir):
-    out = series.sliding_frame(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "value", 12)
+    out = series.sliding_frame(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "value", 12, PIECE)
     return out.select("event_id", r6(F.col("frame_sum"), "frame_sum"), "frame_n")
 
 
@@ -173,7 +177,7 @@ WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 11 PRECEDING
 
 def keyframe_stride(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    out = series.keyframes(o, ["o_custkey"], ["o_orderkey"], 3, 4)
+    out = series.keyframes(o, ["o_custkey"], ["o_orderkey"], 3, 4, 100_000)
     return out.select("o_custkey", "o_orderkey", "place", F.coalesce("following", F.lit(0).cast("long")).alias("following"))
 
 
@@ -186,7 +190,7 @@ SELECT o_custkey, o_orderkey, place, coalesce(following, 0) AS following FROM (
 
 def path_length_bbox(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", "t", "event_id", F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
-    out = series.path(e, ["user_id"], ["t", "event_id"], ["x", "y"])
+    out = series.path(e, ["user_id"], ["t", "event_id"], ["x", "y"], PIECE)
     return out.select("user_id", *[r6(F.col(c), c) for c in ("x_min", "x_max", "y_min", "y_max")], F.round("length", 4).alias("length"))
 
 
@@ -198,7 +202,7 @@ SELECT user_id, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max, round(min(
 
 
 def trajectory_thin(spark, sf_dir):
-    return series.thinned(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 10).select("user_id", "event_id", "t")
+    return series.thinned(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 10, PIECE).select("user_id", "event_id", "t")
 
 
 SQL_THIN = f"""
