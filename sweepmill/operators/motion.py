@@ -64,18 +64,23 @@ def graph_reasons(frames: DataFrame, capture: str, order: str, shift: float = 0.
     return seen.select("*", reason.alias("reason")).drop("_later", "_all")
 
 
-def corrected(scans: DataFrame, keys: DataFrame, capture: str, order: str) -> DataFrame:
+def corrected(scans: DataFrame, keys: DataFrame, capture: str, order: str, width: int = 100_000) -> DataFrame:
     """scans (capture, order, pose: a struct) with `corrected`: the pose after the correction of the keyframes around it,
     blended by how far between them it lies; held before the first and after the last. keys: capture, order, solved (a
-    struct) of some of the scans."""
+    struct) of some of the scans. width: of pieces."""
     fixed = scans.join(keys.select(capture, order, "solved"), [capture, order], "left")
     fix = F.when(F.col("solved").isNotNull(), F.struct(F.col(order).alias("at"), r.compose(r.pose_of("solved"), r.invert(r.pose_of("pose"))).packed().alias("fix")))
-    line = Window.partitionBy(capture).orderBy(order)
-    marked = fixed.withColumn("_fix", fix)
+    w, line = pieces.inside([order]), pieces.line([capture])
+    marked = pieces.cut(fixed.withColumn("_fix", fix), [capture], [order], width)
+    known = F.when(F.col("_fix").isNotNull(), F.col(order))
+    ends = marked.groupBy(pieces.AT).agg(F.min_by("_fix", known).alias("_head"), F.max_by("_fix", known).alias("_tail"))
     marked = marked.select(
-        "*", F.last("_fix", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_left"),
-        F.first("_fix", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)).alias("_right"),
+        "*", F.last("_fix", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_left"),
+        F.first("_fix", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_right"),
     )
+    past, coming = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    marked = pieces.told(marked, ends, _past=F.last("_tail", ignorenulls=True).over(past), _coming=F.first("_head", ignorenulls=True).over(coming))
+    marked = marked.withColumns({"_left": F.coalesce("_left", "_past"), "_right": F.coalesce("_right", "_coming")})
     span = F.col("_right.at") - F.col("_left.at")
     share = F.when(span > 0, (F.col(order) - F.col("_left.at")) / span).otherwise(0.0)
     left, right = F.coalesce("_left", "_right"), F.coalesce("_right", "_left")

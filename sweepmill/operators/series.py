@@ -151,24 +151,23 @@ def keyframes(df: DataFrame, by: list[str], order: list[str], stride: int, most:
     return ranked.where(F.col("place") % F.greatest(F.lit(stride), F.ceil(F.col("_n") / most)) == 0).drop("_n")
 
 
-def linspace_rows(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
-    """At most `most` rows of each key at evenly spaced places, the first and last among them."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    ranked = df.select("*", (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+def linspace_rows(df: DataFrame, by: list[str], order: list[str], most: int, width: int) -> DataFrame:
+    """At most `most` rows of each key at evenly spaced places, the first and last among them. width: see pieces."""
+    ranked = pieces.placed(df, by, order, width)
     # Place i is drawn when some j has floor(j * (n - 1) / (most - 1)) = i.
     j = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1))
     drawn = (F.col("_n") <= most) | ((j < most) & (F.floor(j * (F.col("_n") - 1) / (most - 1)) == F.col("_i")))
-    return ranked.where(drawn).drop("_i", "_n")
+    return ranked.where(drawn).select(*df.columns)
 
 
-def stratum_middles(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
-    """The middle row of each of at most `most` equal strata of each key's rows; all rows where there are fewer."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    ranked = df.select("*", (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+def stratum_middles(df: DataFrame, by: list[str], order: list[str], most: int, width: int) -> DataFrame:
+    """The middle row of each of at most `most` equal strata of each key's rows; all rows where there are fewer. width: see
+    pieces."""
+    ranked = pieces.placed(df, by, order, width)
     stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / most)).cast("long")
     begin = F.floor(F.col("_i") / stride) * stride
     middle = begin + F.floor((F.least(F.col("_n"), begin + stride) - begin - 1) / 2)
-    return ranked.where(F.col("_i") == middle).drop("_i", "_n")
+    return ranked.where(F.col("_i") == middle).select(*df.columns)
 
 
 def numbered(df: DataFrame, part: str, order: list, name: str) -> DataFrame:

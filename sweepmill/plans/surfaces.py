@@ -249,7 +249,7 @@ def stratified_sample(spark, sf_dir):
     """The middle row of each of at most 16 equal strata of a label's points, in order of their cells."""
     labelled = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(a) for i, a in enumerate(AXES)])
     celled = voxel.with_cells(labelled, 0.1)
-    return series.stratum_middles(celled, ["label"], [*voxel.KEY, *AXES, "vec_id"], 16).select("label", "vec_id")
+    return series.stratum_middles(celled, ["label"], [*voxel.KEY, *AXES, "vec_id"], 16, 2).select("label", "vec_id")
 
 
 SQL_STRATA = f"""

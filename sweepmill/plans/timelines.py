@@ -212,7 +212,7 @@ WHERE i % greatest(1, ceil(n / 10.0)::BIGINT) = 0 OR i = n - 1
 
 
 def linspace_sample(spark, sf_dir):
-    return series.linspace_rows(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 16).select("user_id", "event_id")
+    return series.linspace_rows(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 16, PIECE).select("user_id", "event_id")
 
 
 SQL_LINSPACE = f"""

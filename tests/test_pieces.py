@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sweepmill.operators import loops, pieces, series
+from sweepmill.operators import loops, motion, pieces, series
 
 WIDTHS = (1, 7, 50, 10_000)
 
@@ -83,6 +83,14 @@ def test_strides_and_rows_before(df, lines, width):
     thin = {r["i"] for r in series.thinned(df, ["key"], ["t", "i"], 10, width).collect()}
     frames = {r["i"]: (r["place"], r["following"]) for r in series.keyframes(df, ["key"], ["t", "i"], 3, 20, width).collect()}
     lagged = {r["i"]: (r["pi"], r["pv"]) for r in pieces.lagged(df, ["key"], ["t", "i"], width, {"pi": "i", "pv": F.col("v") * 2}).collect()}
+    even = {r["i"] for r in series.linspace_rows(df, ["key"], ["t", "i"], 16, width).collect()}
+    middles = {r["i"] for r in series.stratum_middles(df, ["key"], ["t", "i"], 16, width).collect()}
+    spaced, middle = set(), set()
+    for line in lines.values():
+        n, stride = len(line), max(1, -(-len(line) // 16))
+        spaced |= {line[j * (n - 1) // 15][2] for j in range(16)} if n > 16 else {r[2] for r in line}
+        middle |= {line[a + (min(n, a + stride) - a - 1) // 2][2] for a in range(0, n, stride)}
+    assert even == spaced and middles == middle
     drawn, strode, before = set(), {}, {}
     for line in lines.values():
         n = len(line)
@@ -106,3 +114,14 @@ def test_no_rows(df):
     none = df.limit(0)
     for got in (series.thinned(none, ["key"], ["t", "i"], 3, 5), series.longest_streak(none, ["key"], ["t"], F.col("bad"), 5), series.path(none, ["key"], ["t"], ["x", "y"], 5), series.sliding_frame(none, ["key"], ["t"], "v", 3, 5)):
         assert got.count() == 0
+
+
+def test_corrections_reach_across_pieces(spark):
+    """Keyframes 10 and 30 of 0 .. 49 are shifted by 1 and 3 along x: held outside, blended between."""
+    pose = lambda x: F.struct(x.alias("x"), *[F.lit(v).alias(n) for n, v in (("y", 0.0), ("z", 0.0), ("qx", 0.0), ("qy", 0.0), ("qz", 0.0), ("qw", 1.0))])
+    scans = spark.range(50).select(F.lit("c").alias("capture"), F.col("id").alias("at_scan"), pose(F.col("id") * 1.0).alias("pose"))
+    keys = scans.where("at_scan IN (10, 30)").select("capture", "at_scan", pose(F.col("pose.x") + F.col("at_scan") / 10).alias("solved"))
+    for width in (1, 8, 1000):
+        got = motion.corrected(scans, keys, "capture", "at_scan", width).orderBy("at_scan").select("at_scan", "corrected.x").collect()
+        assert [r["x"] - r["at_scan"] for r in got] == pytest.approx([min(3.0, max(1.0, i / 10)) for i in range(50)])
+        assert motion.corrected(scans, keys.limit(0), "capture", "at_scan", width).where("corrected IS NOT NULL").count() == 0
