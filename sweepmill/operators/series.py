@@ -47,7 +47,8 @@ def trimmed_mean(df: DataFrame, by: list[str], value: str, few: int = 20, share:
     """by, mean, n: the mean without the n div share smallest and largest values, where n is at least few. Nulls are no values.
 
     Approximate percentiles enclose the two cuts; values between and beyond are summed and counted, and only those near a
-    cut are put in order, equal ones as one row. Keys of few values are ordered whole."""
+    cut are put in order, equal ones as one row. Keys of few values are ordered whole and added up one by one from the
+    smallest, as a window over sorted rows does, so that means that lie on the edge of a rounding agree."""
     cut = 1.0 / share
     parts = [max(0.0, cut - 2 * _SLIP), min(1.0, cut + _SLIP), max(0.0, 1 - cut - _SLIP), min(1.0, 1 - cut + 2 * _SLIP)]
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
@@ -66,7 +67,12 @@ def trimmed_mean(df: DataFrame, by: list[str], value: str, few: int = 20, share:
     kept = F.greatest(F.lit(0), F.least(F.col("_upto"), F.col("n") - trim) - F.greatest(F.col("_upto") - F.col("_m"), trim))
     part = F.when(near, kept * F.col("_at")).when(F.col("_zone") == 2, F.col("_sum")).otherwise(0.0)
     counted = F.when(near, kept).when(F.col("_zone") == 2, F.col("_m")).otherwise(0)
-    return sums.withColumn("_upto", upto).groupBy(*by).agg((F.sum(part) / F.sum(counted)).alias("mean"), F.first("n").alias("n"))
+    # Fewer than _FINE values.
+    listed = F.array_sort(F.collect_list(F.when((F.col("n") < _FINE) & (kept > 0), F.struct("_at", kept.cast("int").alias("_kept")))))
+    means = sums.withColumn("_upto", upto).groupBy(*by).agg(F.sum(part).alias("_sum"), F.sum(counted).alias("_m"), F.first("n").alias("n"), listed.alias("_listed"))
+    again = F.flatten(F.transform("_listed", lambda v: F.array_repeat(v["_at"], v["_kept"])))
+    one_by_one = F.aggregate(again, F.lit(0.0), lambda total, v: total + v)
+    return means.select(*by, (F.when(F.col("n") < _FINE, one_by_one).otherwise(F.col("_sum")) / F.col("_m")).alias("mean"), "n")
 
 
 def static_window(df: DataFrame, by: list[str], at: str, span: int) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import imaging, loops, motion, registration, series
 from ..session import table
 from ..sources import bags
-from .clouds import r6
 from .places import SQL_PROPOSALS, _proposals
-from .timelines import SECOND, SQL_EVENTS, WEEK, events
+from .timelines import SECOND, SQL_EVENTS, WEEK, events, r6
 
 
 def frame_rate_gate(spark, sf_dir):

@@ -20,7 +20,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6(column, name: str):
-    return F.round(column, 6).alias(name)
+    """Rounded to six places as SQL does it: the product with a million, halves away from 0. (F.round takes the decimal digits
+    of the number, which decides otherwise where the product rounds to a half.)"""
+    column = F.col(column) if isinstance(column, str) else column
+    big = F.abs(column) * 1e6
+    return F.when(big < 2.0**52, F.signum(column) * F.floor(big + 0.5) / 1e6 + 0.0).otherwise(column).alias(name)
 
 
 def asof_nearest(spark, sf_dir):
