@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stash, unstash
+from ..session import stash, stash_counted, unstash
 from . import graphs
 
 SEGMENT = 64
 #: Elements that one call assembles, about.
 TOGETHER = 4096
+#: Captures whose costs may go to all tasks at once.
+FEW = 100_000
 SOLVED, ELEMENT, INNER = 0, 1, 2
 
 
@@ -190,8 +192,8 @@ def solve_elements(elements: DataFrame, damping: float = 1e-4, segment: int = SE
             inner = done.where(F.col("kind") == INNER)
             asked = inner.select("capture", "segment", F.posexplode("border").alias("place", "node"))
             # The border of a segment is bounded by its front.
-            known = asked.join(solved, ["capture", "node"]).groupBy("capture", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("x"))
-            ready = inner.join(known, ["capture", "segment"]).select("capture", "nodes", "k", "f", "x")
+            known = asked.join(solved.hint("merge"), ["capture", "node"]).groupBy("capture", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("x"))
+            ready = inner.join(known.hint("merge"), ["capture", "segment"]).select("capture", "nodes", "k", "f", "x")
             steps = steps.unionByName(ready.mapInArrow(_followed, f"capture {kind}, node long, x array<double>")).unionByName(solved)
         solved = stash(steps, "steps") if len(levels) > 1 else steps
     return solved
@@ -224,7 +226,10 @@ def _closed(batches):
 def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, rounds: int = 15, huber: float = 0.30, loop_weight: float = 2.0, damping: float = 1e-4, most: float = 0.25, segment: int = SEGMENT) -> DataFrame:
     """capture, node, the solved pose, cost0, cost1. frames: capture, node (0, 1, ...; 0 stays), POSE. edges: capture, a, b, POSE of
     Z, loop (boolean). Each capture has its own steps, cut to `most`, and its own end: a step that raises its cost is not
-    taken and ends it, as does one that changes hardly anything. Every round is a few jobs over all captures that go on."""
+    taken and ends it, as does one that changes hardly anything. Every round is a few jobs over all captures that go on.
+
+    Tables of nodes meet in sorted joins: poses pack so well in files that Spark, left to itself, takes those of a whole
+    job for small and gathers them in the driver. Those of captures go to all tasks if there are at most FEW."""
     kind = frames.schema[capture].dataType.simpleString()
     schema = f"capture {kind}, node long, pose array<double>, tried array<double>"
     packed = F.array(*[F.col(p).cast("double") for p in graphs.POSE])
@@ -232,18 +237,19 @@ def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, rounds: int
     links = stash(edges.select(F.col(capture).alias("capture"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), packed.alias("z"), "loop"), "links")
     zero = F.lit(0.0)
     state = nodes.select("capture").distinct().select("capture", zero.alias("cost0"), zero.alias("cost"), F.lit(True).alias("open"), F.lit(False).alias("taken"))
-    state, biggest, steps = stash(state, "captures"), None, None
+    (state, captures), biggest, steps = stash_counted(state, "captures"), None, None
+    told = F.broadcast if captures <= FEW else lambda t: t.hint("merge")
     calls = max(1, -(-links.count() // TOGETHER))
     for n in range(rounds + 1):
         ends = [nodes.select("capture", F.col("node").alias(c), F.col("tried").alias(f"p{c}")) for c in "ab"]
-        live = links.join(state.where("open").select("capture"), "capture", "left_semi")
-        joined = live.join(ends[0], ["capture", "a"]).join(ends[1], ["capture", "b"]).select("capture", "a", "b", "z", "loop", "pa", "pb")
+        live = links.join(told(state.where("open").select("capture")), "capture", "left_semi")
+        joined = live.join(ends[0].hint("merge"), ["capture", "a"]).join(ends[1].hint("merge"), ["capture", "b"]).select("capture", "a", "b", "z", "loop", "pa", "pb")
         lines = stash(joined.mapInArrow(_linear(huber, loop_weight), f"capture {kind}, nodes array<long>, k array<double>, f array<double>, cost double"), "lines")
         reached = lines.groupBy("capture").agg(F.sum("cost").alias("reached"))
         good = F.col("open") & (F.lit(n == 0) | (F.col("reached") <= F.col("cost")))
         settled = F.lit(n > 0) & ((F.col("biggest") < 1e-7) | (F.col("cost") - F.col("reached") <= 1e-8 * F.col("cost")))
-        moved_by = state.withColumn("biggest", zero) if biggest is None else state.join(biggest, "capture", "left").withColumn("biggest", F.coalesce("biggest", zero))
-        marked = moved_by.drop("taken").join(reached, "capture", "left").withColumn("taken", good & F.col("reached").isNotNull())
+        moved_by = state.withColumn("biggest", zero) if biggest is None else state.join(biggest.hint("merge"), "capture", "left").withColumn("biggest", F.coalesce("biggest", zero))
+        marked = moved_by.drop("taken").join(reached.hint("merge"), "capture", "left").withColumn("taken", good & F.col("reached").isNotNull())
         marked = marked.select(
             "capture", F.when(F.lit(n == 0), F.coalesce("reached", zero)).otherwise(F.col("cost0")).alias("cost0"), F.when(F.col("taken"), F.col("reached")).otherwise(F.col("cost")).alias("cost"),
             (F.col("taken") & ~settled & F.lit(n < rounds)).alias("open"), "taken",
@@ -251,13 +257,13 @@ def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, rounds: int
         marked = stash(marked, "captures")
         going = bool(marked.where("open").take(1))
         some = marked.where("open").select("capture")
-        steps = solve_elements(lines.join(some, "capture", "left_semi"), damping, segment, calls) if going else nodes.select("capture", "node", F.lit(None).cast("array<double>").alias("x")).limit(0)
+        steps = solve_elements(lines.join(told(some), "capture", "left_semi"), damping, segment, calls) if going else nodes.select("capture", "node", F.lit(None).cast("array<double>").alias("x")).limit(0)
         steps = stash(steps, "steps")
         biggest = steps.groupBy("capture").agg(F.max(F.aggregate("x", zero, lambda a, v: F.greatest(a, F.abs(v)))).alias("biggest"))
-        new = marked.join(biggest, "capture", "left").withColumn("biggest", F.coalesce("biggest", zero))
+        new = marked.join(biggest.hint("merge"), "capture", "left").withColumn("biggest", F.coalesce("biggest", zero))
         scale = F.least(F.lit(1.0), most / F.greatest("biggest", F.lit(1e-12)))
         still = F.array(*[zero] * 6)
-        moved = nodes.join(new.select("capture", "taken", scale.alias("scale")), "capture").join(steps, ["capture", "node"], "left").withColumn("x", F.coalesce("x", still))
+        moved = nodes.join(told(new.select("capture", "taken", scale.alias("scale"))), "capture").join(steps.hint("merge"), ["capture", "node"], "left").withColumn("x", F.coalesce("x", still))
         moved = stash(moved.select("capture", "node", "pose", "tried", "taken", "scale", "x").mapInArrow(_stepped, schema), "nodes")
         unstash(nodes, state, lines)
         nodes, state = moved, marked
@@ -265,4 +271,4 @@ def solve_graphs(frames: DataFrame, edges: DataFrame, capture: str, rounds: int
             break
     unstash(links)
     solved = nodes.select("capture", "node", "pose").mapInArrow(_closed, f"capture {kind}, node long, {', '.join(f'{p} double' for p in graphs.POSE)}")
-    return solved.join(state.select("capture", "cost0", F.col("cost").alias("cost1")), "capture").withColumnRenamed("capture", capture)
+    return solved.join(told(state.select("capture", "cost0", F.col("cost").alias("cost1"))), "capture").withColumnRenamed("capture", capture)

@@ -85,3 +85,24 @@ def test_long_chain_is_solved_in_several_tasks(spark):
     got = substructure.solve_elements(df).toPandas().sort_values("node")
     assert got["node"].tolist() == list(range(1, n + 1)) and np.allclose(np.stack(got["x"].tolist()), x, rtol=1e-5, atol=1e-5)
     assert (n - 1) // substructure.TOGETHER >= 4  # calls, each some of the 313 segments
+
+
+def test_no_table_of_nodes_is_gathered_in_the_driver(spark, monkeypatch):
+    some = {"a": chain(40, 1, [(0, 39), (5, 30)]), "b": chain(9, 2, [(8, 1)]), "c": chain(6, 3)}
+    plans, kept = [], substructure.stash
+
+    def stash(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, label)
+
+    monkeypatch.setattr(substructure, "stash", stash)
+    for few in (substructure.FEW, 0):
+        plans.clear()
+        monkeypatch.setattr(substructure, "FEW", few)
+        out = substructure.solve_graphs(*frames_of(spark, some), "capture", 2, segment=8)
+        plans.append(("solved", out._jdf.queryExecution().executedPlan().toString()))
+        assert out.count() == 55
+        for label, plan in plans:
+            # Those of captures have one key.
+            wide = [x for x in plan.splitlines() if "BroadcastExchange" in x and ("node" in x or x.count("input[") != 1)]
+            assert not wide and (few or "Broadcast" not in plan), (label, plan)
