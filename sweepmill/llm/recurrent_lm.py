@@ -6,9 +6,10 @@ fall into `REST` classes by their first two letters. The network predicts the ne
 words the word; inside a class of other words the smoothed counts do, so the model covers the same words as the smoothed
 unigram model that serves as base, which is also where its biases start.
 
-Training is truncated backpropagation in numpy, spread over tasks: in each round a further 1/`every` of the training
-documents, by hash of the id, is dealt over tasks of about `per_task` tokens; each task starts from the same weights, and
-their results are averaged by tokens (one number a weight comes back). So what is learnt from grows with the corpus. Scoring
+Training is truncated backpropagation in numpy, spread over tasks: every training
+document is learnt from in one of `rounds` rounds, by hash of the id, whose documents are dealt over tasks of about
+`per_task` tokens; each task starts from the same weights, and their results are averaged by tokens (one number a weight
+comes back). Scoring
 keeps the state of the network from window to window through a whole document, many documents side by side.
 
 Counts of the commonest `table` words (a documented bound) go to all tasks; the other words of a document, distinct ones
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, CLASS, REST, HIDDEN = 1024, 32, 32, 24
-TABLE, EVERY, ROUNDS, PER_TASK = 1 << 17, 16, 2, 1_000_000
+TABLE, ROUNDS, PER_TASK = 1 << 17, 4, 1_000_000
 #: Documents side by side and steps of a window, in training and in scoring. Training goes through longer documents in pieces.
-LANES, STEPS, WIDE, LONG, PIECE = 64, 16, 128, 64, 1024
+LANES, STEPS, WIDE, LONG, PIECE = 256, 16, 128, 64, 1024
 RATE, SEED = 0.08, 5
 END = np.uint64(0x9E6D62D06F6A9A9B)
 COMMON_CLASSES = WORDS // CLASS
@@ -320,11 +321,11 @@ def vocabulary(counts: DataFrame, table: int = TABLE) -> Vocabulary:
     return Vocabulary(hashes.view(np.uint64) if len(hashes) else np.zeros(0, np.uint64), n.astype(np.int64), kinds.astype(np.int64), total, distinct, mass, size)
 
 
-def fit(docs: DataFrame, words: Vocabulary, every: int = EVERY, rounds: int = ROUNDS, per_task: int = PER_TASK, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """Weights learnt from the documents given, a further part of them in each round."""
+def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, per_task: int = PER_TASK, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
+    """Weights learnt from all documents given, each of them in one round."""
     spark, w = docs.sparkSession, untrained(words)
     held = spark.sparkContext.broadcast(words)
-    tasks = max(1, -(-words.total // (every * per_task)))
+    tasks = max(1, -(-words.total // (rounds * per_task)))
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("learn"))
 
     def work(batches, held, start):
@@ -342,7 +343,7 @@ def fit(docs: DataFrame, words: Vocabulary, every: int = EVERY, rounds: int = RO
 
     for r in range(rounds):
         start = spark.sparkContext.broadcast(_flat(w).astype(np.float64))
-        some = docs.where(F.pmod(order, F.lit(every)) == r).select(F.col(text_col).alias("text"), order.alias("order"))
+        some = docs.where(F.pmod(order, F.lit(rounds)) == r).select(F.col(text_col).alias("text"), order.alias("order"))
         dealt = some.repartition(tasks, "order").sortWithinPartitions("order", "text").select("text")
         with common.settings(spark, common.STASHING):
             # As many rows come back as the model has weights.
@@ -355,13 +356,13 @@ def fit(docs: DataFrame, words: Vocabulary, every: int = EVERY, rounds: int = RO
     return w
 
 
-def score_documents(docs: DataFrame, fold: int = 10, every: int = EVERY, rounds: int = ROUNDS, per_task: int = PER_TASK, table: int = TABLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, fold: int = 10, rounds: int = ROUNDS, per_task: int = PER_TASK, table: int = TABLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens (long), base_score and score (double, log10) of each document."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     training = docs.where(is_training(F.col(id_col), fold))
     counts = common.stash(word_counts(training, text_col), "counts")
     words = vocabulary(counts, table)
-    w = fit(training, words, every, rounds, per_task, id_col, text_col)
+    w = fit(training, words, rounds, per_task, id_col, text_col)
     held = spark.sparkContext.broadcast((words, w))
 
     def score(batches):

@@ -153,3 +153,11 @@ def test_gradients_against_differences():
                 values.append(loss(w))
             w[name].reshape(-1)[k] = old
             assert np.isclose((values[0] - values[1]) / (2 * step), total[name].reshape(-1)[k], rtol=0.02, atol=1e-3), name
+
+
+def test_learns_from_every_document(spark):
+    for i in range(4):
+        docs = spark.createDataFrame([(i, "one two three two one " * 40)], "doc_id long, text string")
+        words = lm.vocabulary(lm.word_counts(docs, "text"))
+        start, learnt = lm.untrained(words), lm.fit(docs, words)
+        assert any((start[name] != learnt[name]).any() for name in start), i
