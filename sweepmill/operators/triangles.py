@@ -2,7 +2,7 @@
 
 Keypoints are cells where surfaces end: not flat themselves, but beside flat ones. Each keypoint makes triangles with
 pairs of its nearest ones; a triangle's key is its three side lengths, cut into bins. Frames that share keys collect votes
-in an equi-join of counts (one row for each key and frame, so repeated triangles do not multiply), hot keys salted. For
+block by block of frames, so neither keys that many share nor pairs of frames become rows. For
 the frames with most votes the triangles themselves meet, each match gives a pose from its three corners, and the pose on
 which most matches agree is the frames' relative pose.
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..session import stash
 from . import voxel
 
-#: Frames that share a key before its join is spread.
-HOT = 256
+#: Frames of a block of votes.
+BLOCK = 512
 
 
 def keypoints(points: DataFrame, by: list[str], size: float, most: int = 60, least: int = 8, threshold: float = 0.0025, flatness: float = 0.08) -> DataFrame:
@@ -67,17 +67,67 @@ def probes(bin_size: float) -> Column:
     return F.array(*[F.array(x, y, z) for x in two(1) for y in two(2) for z in two(3)])
 
 
-def votes(shapes: DataFrame, capture: str, frame: str, bin_size: float, separation: int, hot: int = HOT) -> DataFrame:
+def shared(mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frames of a block of targets and one of sources, and their votes. mine, theirs: frame of each triangle, its sides in bins."""
+    floor = lambda x: np.nan_to_num(np.floor(x), nan=0.0).astype(np.int64)
+    at, t = np.unique(mine[0], return_inverse=True)
+    of, s = np.unique(theirs[0], return_inverse=True)
+    both = [[floor(theirs[1][i] + d) for d in (-0.5, 0.5)] for i in range(3)]
+    sides = [(a, b, c) for a in both[0] for b in both[1] for c in both[2]]
+    keys = np.concatenate([np.stack([floor(x) for x in mine[1]]), *[np.stack(x) for x in sides]], axis=1)
+    # Keys are numbered by their sides in turn, so that any whole numbers will do.
+    number = np.zeros(keys.shape[1], np.int64)
+    for side in keys:
+        number = np.unique(number * (side.max() - side.min() + 1) + side - side.min() if len(side) else number, return_inverse=True)[1]
+    counted = []
+    for frames, key, n in ((t, number[: len(t)], len(at)), (np.tile(s, 8), number[len(t) :], len(of))):
+        pair, count = np.unique(key * n + frames, return_counts=True)
+        counted.append((pair // n, pair % n, count))
+    votes = np.zeros((len(at), len(of)), np.int64)
+    (k, t, n), (l, s, m) = counted
+    some = np.intersect1d(k, l)
+    ends = [np.searchsorted(x, some, side) for x in (k, l) for side in ("left", "right")]
+    for i, j, p, q in zip(*(e.tolist() for e in ends), strict=True):
+        votes[t[i:j, None], s[p:q]] += np.minimum(n[i:j, None], m[p:q])
+    return at, of, votes
+
+
+def votes(shapes: DataFrame, capture: str, frame: str, bin_size: float, separation: int, block: int = BLOCK, most: int | None = None) -> DataFrame:
     """capture, target, source, votes: for each pair of frames `separation` apart or more, the sum over keys of how many triangles
-    both have, the later frame's by their bins and the earlier one's by all bins within half a bin."""
-    mine = shapes.groupBy(capture, F.col(frame).alias("target"), side_bins(bin_size).alias("key")).agg(F.count("*").alias("n"))
-    theirs = shapes.select(capture, F.col(frame).alias("source"), F.explode(probes(bin_size)).alias("key")).groupBy(capture, "source", "key").agg(F.count("*").alias("m"))
-    # Frames of a key that many share are dealt over several tasks, and the other side's rows of that key follow them.
-    spread = mine.groupBy(capture, "key").agg(F.ceil(F.count("*") / hot).cast("int").alias("_parts"))
-    dealt = mine.join(spread, [capture, "key"]).withColumn("_part", F.pmod(F.hash("target"), F.col("_parts")))
-    copied = theirs.join(spread, [capture, "key"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    pairs = dealt.drop("_parts").join(copied.drop("_parts"), [capture, "key", "_part"]).where(F.col("source") + separation <= F.col("target"))
-    return pairs.groupBy(capture, "target", "source").agg(F.sum(F.least("n", "m")).alias("votes"))
+    both have, the later frame's by their bins and the earlier one's by all bins within half a bin.
+
+    A task adds up the votes of `block` targets and as many sources, so rows that share a key never meet as rows. With
+    `most`, it hands on that many sources of each target, those with most votes, ties to the earlier: no others can be
+    among the best of all."""
+    kinds = [shapes.schema[c].dataType.simpleString() for c in (capture, frame)]
+    rows = shapes.where(F.col(capture).isNotNull() & F.col(frame).isNotNull())
+    rows = stash(rows.select(capture, F.col(frame).alias("frame"), *[(F.element_at("sides", i + 1) / bin_size).alias(f"s{i}") for i in range(3)], F.floor(F.col(frame) / block).alias("_block")), "sides")
+    blocks = F.broadcast(rows.groupBy(capture).agg(F.collect_set("_block").alias("_blocks")).withColumnRenamed(capture, "_capture"))
+    met = rows.join(blocks, F.col(capture) == F.col("_capture"))
+    # Blocks of which no two frames are far enough apart do not meet.
+    far = lambda t, s: s * block + separation <= t * block + block - 1
+    own = F.col("_block")
+    roles = F.concat(
+        F.transform(F.filter("_blocks", lambda o: far(own, o)), lambda o: F.struct(own.alias("t"), o.alias("s"), F.lit(True).alias("mine"))),
+        F.transform(F.filter("_blocks", lambda o: far(o, own)), lambda o: F.struct(o.alias("t"), own.alias("s"), F.lit(False).alias("mine"))),
+    )
+    dealt = met.select(capture, "frame", "s0", "s1", "s2", F.explode(roles).alias("_role")).select(capture, "frame", "s0", "s1", "s2", "_role.*")
+
+    def count(key, table):
+        role, frames = table["mine"].to_numpy(), table["frame"].to_numpy()
+        sides = np.array([table[f"s{i}"].to_numpy() for i in range(3)])
+        at, of, found = shared((frames[role], sides[:, role]), (frames[~role], sides[:, ~role]))
+        found[of[None, :] + separation > at[:, None]] = 0
+        if most is not None and found.shape[1] > most:
+            best = np.argsort(-found, axis=1, kind="stable")[:, :most]
+            kept = np.zeros_like(found)
+            np.put_along_axis(kept, best, np.take_along_axis(found, best, axis=1), axis=1)
+            found = kept
+        t, s = np.nonzero(found)
+        kind = table.schema.field("frame").type
+        return pa.table([pa.array([key[0].as_py()] * len(t), table.schema.field(capture).type), pa.array(at[t]).cast(kind), pa.array(of[s]).cast(kind), pa.array(found[t, s])], names=[capture, "target", "source", "votes"])
+
+    return dealt.groupBy(capture, "t", "s").applyInArrow(count, f"{capture} {kinds[0]}, target {kinds[1]}, source {kinds[1]}, votes long")
 
 
 def best_frames(found: DataFrame, capture: str, most: int, least: int = 1) -> DataFrame:
@@ -144,5 +194,5 @@ def triangle_loops(points: DataFrame, capture: str, frame: str, cell: float, bin
     frame, x, y, z in each frame's own axes), with the target's pose in the source's frame."""
     by = [capture, frame]
     shapes = stash(triangles(keypoints(points, by, cell), by, near, cell, longest), "triangles")
-    pairs = stash(best_frames(votes(shapes, capture, frame, bin_size, separation), capture, most), "pairs")
+    pairs = stash(best_frames(votes(shapes, capture, frame, bin_size, separation, most=most), capture, most), "pairs")
     return relative_poses(shapes, pairs, capture, frame, bin_size).where(F.col("inliers") >= least_inliers)

@@ -310,7 +310,7 @@ SELECT label, frame::INTEGER AS frame, {", ".join(f"floor(sides[{i + 1}] / {_BIN
 
 def triangle_loops(spark, sf_dir):
     """The two earlier frames of each that share most triangles with it."""
-    return triangles.best_frames(triangles.votes(_stars(spark, sf_dir), "label", "frame", _BIN, 100), "label", 2)
+    return triangles.best_frames(triangles.votes(_stars(spark, sf_dir), "label", "frame", _BIN, 100, most=2), "label", 2)
 
 
 _TWO = [[f"floor(sides[{i}] / {_BIN}::DOUBLE + {d}::DOUBLE)::INTEGER" for d in (-0.5, 0.5)] for i in (1, 2, 3)]
