@@ -32,11 +32,11 @@ def encoded(batches):
 
 
 def bag_imu(spark, sf_dir):
-    """Events as IMU messages in four bags, among those of another topic; ten days of one topic are read back and decoded."""
+    """Events as IMU messages in four bags or more, among those of another topic; ten days of one topic are read back and decoded."""
     e = table(spark, sf_dir, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("stamp"), "event_id", "value")
     rows = e.select("stamp", F.when(F.col("event_id") % 3 == 0, "/lidar").otherwise("/imu").alias("topic"), F.col("value").alias("gx"), (F.col("event_id") % 97).cast("double").alias("gy"), F.lit(9.8).alias("az"))
     folder = f"{scratch_root(spark)}/sweepmill-{uuid.uuid4().hex}/bags"
-    bag_source.write(rows.mapInArrow(encoded, "stamp long, topic string, data binary"), folder, KINDS)
+    bag_source.write(rows, folder, KINDS, encode=encoded)
     begin = e.agg(F.min("stamp")).first()[0] or 0
     raw = bags.messages(spark, folder, "/Imu", split_bytes=1 << 20)
     out = bags.imu(raw.where((F.col("stamp") >= begin + 10 * DAY_NS) & (F.col("stamp") < begin + 20 * DAY_NS)))

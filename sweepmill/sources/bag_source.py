@@ -29,6 +29,7 @@ SCHEMA = "file string, id long, stamp long, topic string, data binary"
 ARROW = pa.schema([("file", pa.string()), ("id", pa.int64()), ("stamp", pa.int64()), ("topic", pa.string()), ("data", pa.binary())])
 SPLIT_BYTES, BATCH_BYTES, BATCH_ROWS = 128 << 20, 4 << 20, 4096
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+PER_FILE = 1_000_000
 #: Columns of the source, as SQLite knows them.
 COLUMNS = {"id": "id", "stamp": "timestamp"}
 COMPARISONS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
@@ -180,9 +181,11 @@ def load(spark: SparkSession, path: str, kind: str | None = None, preferred: str
     return spark.read.format("bag").options(split_bytes=str(split_bytes), payload=str(payload), **options).load()
 
 
-def write(rows: DataFrame, path: str, kinds: dict[str, str], files: int = 4) -> None:
-    """Bags of rows (stamp, topic, data), one for each of `files` ranges of stamps, named by their number. kinds: type of
-    each topic. A file is written beside its place and renamed, so a task that is run again leaves one whole file."""
+def write(rows: DataFrame, path: str, kinds: dict[str, str], files: int = 4, encode=None, per_file: int = PER_FILE) -> None:
+    """Bags of rows (stamp, topic, data), one for each range of stamps, named by their number: `files` of them, or as many as keep
+    about `per_file` messages in each. kinds: type of each topic. encode: makes such rows of `rows` (with a stamp and anything
+    else), as for mapInArrow, in the task that writes them, so that payloads are neither sorted nor shuffled. A file is
+    written beside its place and renamed, so a task that is run again leaves one whole file."""
     folder = local_path(path)
     if folder is None:
         raise ValueError(f"bags are written where the operating system shows them: {path}")
@@ -197,7 +200,7 @@ def write(rows: DataFrame, path: str, kinds: dict[str, str], files: int = 4) ->
         base, n = sqlite3.connect(beside), 0
         base.executescript("CREATE TABLE topics (id INTEGER PRIMARY KEY, name TEXT, type TEXT); CREATE TABLE messages (id INTEGER PRIMARY KEY, topic_id INTEGER, timestamp INTEGER, data BLOB); CREATE INDEX timestamp_idx ON messages (timestamp)")
         base.executemany("INSERT INTO topics VALUES (?, ?, ?)", [(i, name, kinds[name]) for name, i in topics.items()])
-        for b in batches:
+        for b in batches if encode is None else encode(batches):
             columns = (b[c].to_pylist() for c in ("stamp", "topic", "data"))
             base.executemany("INSERT INTO messages (topic_id, timestamp, data) VALUES (?, ?, ?)", ((topics[t], s, d) for s, t, d in zip(*columns, strict=True)))
             n += b.num_rows
@@ -206,5 +209,8 @@ def write(rows: DataFrame, path: str, kinds: dict[str, str], files: int = 4) ->
         os.replace(beside, done)
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
-    dealt = rows.select("stamp", "topic", "data").repartitionByRange(files, "stamp").sortWithinPartitions("stamp")
+    rows = rows.select("stamp", "topic", "data") if encode is None else rows
+    # A task sorts and writes one file, so files grow in number, as those of a recorder do.
+    files = max(files, -(-rows.count() // per_file))
+    dealt = rows.repartitionByRange(files, "stamp").sortWithinPartitions("stamp")
     dealt.mapInArrow(run, "n long").agg({"n": "sum"}).collect()
