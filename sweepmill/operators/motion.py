@@ -4,8 +4,10 @@ and windows by capture."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import rotations as r
 from ..functions.rotations import Pose
@@ -108,6 +110,51 @@ def to_scan_start(v: Column, turned, mounting: Pose | None = None, share: Column
     return r.let(v, lambda p: r.point(*[p[n] + part * c for n, c in zip("xyz", moved, strict=True)]))
 
 
+def _parts(q, share: np.ndarray) -> tuple[np.ndarray, ...]:
+    """rotations.power of arrays."""
+    sine = np.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])
+    half = np.arctan2(sine, np.abs(q[3])) * share
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scale = np.where(sine > 1e-12, np.where(q[3] < 0, -1.0, 1.0) * np.sin(half) / sine, 0.0)
+    return (q[0] * scale, q[1] * scale, q[2] * scale, np.cos(half))
+
+
+def deskewed(points: DataFrame, start: Pose, end: Pose, share: Column, v, mounting: tuple[float, ...], moved: tuple[float, ...], keep: list[str] | None = None) -> DataFrame:
+    """points (or their columns `keep`) with ex ey ez and sx sy sz, what to_scan_end and to_scan_start say of LiDAR points v (three columns) that were
+    taken a part `share` of the way from one pose to the other, for clouds of many points: batches of them in numpy, by the same
+    steps, where Spark would interpret the nested lambdas row by row. Null where an input is."""
+    inputs = [share, *start, *end, *v]
+    own, names = keep or points.columns, [f"_{i}" for i in range(len(inputs))]
+    out = ["ex", "ey", "ez", "sx", "sy", "sz"]
+    carried, turn = mounting[:3], mounting[3:]
+
+    def outward(place, q, p):
+        return [a + b for a, b in zip(r.rotate(q, p), place, strict=True)]
+
+    def inward(place, q, p):
+        return r.rotate(r.conjugate(q), [a - b for a, b in zip(p, place, strict=True)])
+
+    def run(batches):
+        for b in batches:
+            missing = np.zeros(b.num_rows, dtype=bool)
+            for n in names:
+                if b[n].null_count:
+                    missing |= b[n].is_null().to_numpy(zero_copy_only=False)
+            values = [b[n].to_numpy(zero_copy_only=False).astype(np.float64) for n in names]
+            share, a, c, v = values[0], values[1:8], values[8:15], values[15:]
+            q = r.multiply(_parts(r.multiply(c[3:], r.conjugate(a[3:])), share), a[3:])
+            held = outward(carried, turn, v)
+            world = outward([x + share * (y - x) for x, y in zip(a[:3], c[:3], strict=True)], q, held)
+            ends = inward(carried, turn, inward(c[:3], c[3:], world))
+            first = inward(carried, turn, outward((0.0, 0.0, 0.0), r.multiply(r.conjugate(a[3:]), q), held))
+            passed = np.fmin(1.0, np.maximum(0.0, share))
+            results = [*ends, *[x + passed * m for x, m in zip(first, moved, strict=True)]]
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in own], *[pa.array(x, mask=missing) for x in results]], names=[*own, *out])
+
+    schema = StructType([*[points.schema[n] for n in own], *[StructField(n, DoubleType()) for n in out]])
+    return points.select(*own, *[c.cast("double").alias(n) for c, n in zip(inputs, names, strict=True)]).mapInArrow(run, schema)
+
+
 def enough_points(points: DataFrame, by: list[str], least: int = 100) -> DataFrame:
     """The points of scans that have at least `least` of them."""
     full = points.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")

@@ -207,19 +207,12 @@ def deskewed_points(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias(_ORDER), "l_linenumber", "l_quantity", "l_discount", "l_tax")
     p = l.join(s, _ORDER)
     share = (F.col("l_linenumber") - 1) / 6.0
-    start, end = r.pose_of("last"), r.pose_of("pose")
-    mounting = r.Pose(*[F.lit(v) for v in (0.1, -0.2, 0.05, 0.0, 0.0, 0.6, 0.8)])
-    v = r.point(F.col("l_quantity"), 100.0 * F.col("l_discount"), 100.0 * F.col("l_tax"))
-    moved = (F.lit(0.5), F.lit(0.0), F.lit(-0.25))
-
-    def both(at):
-        at = r.pose_of(at)
-        turned = r.turn(r.multiply(r.conjugate(start.rotation), at.rotation))
-        first = r.let(turned, lambda t: motion.to_scan_start(v, r.turn_of(t), mounting, share, moved))
-        return F.struct(motion.to_scan_end(v, at, end, mounting).alias("e"), first.alias("s"))
-
-    out = p.select(_ORDER, "l_linenumber", r.let(r.between(start, end, share), both).alias("d"))
-    return out.select(_ORDER, "l_linenumber", *[(F.round(F.col(f"d.{k}.{a}"), 4) + 0.0).alias(k + a) for k in "es" for a in "xyz"])
+    v = F.col("l_quantity"), 100.0 * F.col("l_discount"), 100.0 * F.col("l_tax")
+    poses = [r.Pose(*[F.col(f"{n}.{f}") for f in r.Pose._fields]) for n in ("last", "pose")]
+    p = p.select(_ORDER, "l_linenumber", share.alias("share"), *[c.alias(f"v{n}") for n, c in zip("xyz", v, strict=True)], *poses[0].named("a"), *poses[1].named("b"))
+    mounting, moved = (0.1, -0.2, 0.05, 0.0, 0.0, 0.6, 0.8), (0.5, 0.0, -0.25)
+    out = motion.deskewed(p, r.pose_of(prefix="a"), r.pose_of(prefix="b"), F.col("share"), [F.col(f"v{n}") for n in "xyz"], mounting, moved, [_ORDER, "l_linenumber"])
+    return out.select(_ORDER, "l_linenumber", *[(F.round(F.col(k + a), 4) + 0.0).alias(k + a) for k in "es" for a in "xyz"])
 
 
 SQL_DESKEW = f"""
