@@ -155,10 +155,20 @@ def deskewed(points: DataFrame, start: Pose, end: Pose, share: Column, v, mounti
     return points.select(*own, *[c.cast("double").alias(n) for c, n in zip(inputs, names, strict=True)]).mapInArrow(run, schema)
 
 
-def enough_points(points: DataFrame, by: list[str], least: int = 100) -> DataFrame:
-    """The points of scans that have at least `least` of them."""
-    full = points.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return points.join(full, by, "left_semi")
+#: Points that a task of enough_points holds, about.
+PER_TASK = 2_000_000
+
+
+def enough_points(points: DataFrame, by: list[str], least: int = 100, accepted: DataFrame | None = None, per_task: int = PER_TASK) -> DataFrame:
+    """The points of scans that have at least `least` of them and, if given, are among the `accepted` (by).
+
+    Points are dealt by scan once, over so many tasks that one holds about `per_task` of them, and are counted and met there."""
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // per_task))
+    dealt = points.repartition(tasks, *by)
+    full = dealt.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    if accepted is not None:
+        full = full.join(accepted.select(*by).repartition(tasks, *by), by, "left_semi")
+    return dealt.join(full, by, "left_semi")
 
 
 def last_frames(points: DataFrame, by: list[str], frame: str, most: int = 12) -> DataFrame:

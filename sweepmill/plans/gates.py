@@ -68,8 +68,7 @@ SELECT o_orderkey, coalesce(abs((o_orderkey % 7 - 3) * 120000000) <= 300000000 A
 def full_scans(spark, sf_dir):
     """Lineitems of accepted orders that have at least five of them: a semi join and a gate on counts."""
     accepted = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(accepted, "l_orderkey", "left_semi")
-    return motion.enough_points(points, ["l_orderkey"], 5)
+    return motion.enough_points(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], 5, accepted)
 
 
 SQL_FULL = """
