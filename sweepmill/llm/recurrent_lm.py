@@ -186,7 +186,7 @@ def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _by_class(targets: np.ndarray):
     """(class, places) of the targets that are common words."""
     cls = np.where(targets < WORDS, targets // CLASS, COMMON_CLASSES)
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # a radix sort, as numbers are short
     bounds = np.searchsorted(cls[order], np.arange(COMMON_CLASSES + 1))
     for c in range(COMMON_CLASSES):
         if bounds[c + 1] > bounds[c]:
@@ -257,9 +257,10 @@ def _gradients(w: dict, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarr
         back = np.where(fresh[t][:, None], np.float32(0), d * z + d_after[t] @ w["u"].T)
     earlier = np.stack([k[0] for k in kept]).reshape(-1, n)
     grads.append(("u", slice(None), earlier.T @ d_after.reshape(-1, 3 * n)))
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    rows, first = np.unique(inputs.reshape(-1)[order], return_index=True)
-    grads.append(("x", rows, np.add.reduceat(d_gates.reshape(-1, 3 * n)[order], first, axis=0)))
+    short = inputs.reshape(-1).astype(np.int16)
+    order = np.argsort(short, kind="stable")
+    first = np.flatnonzero(np.diff(short[order], prepend=-1))
+    grads.append(("x", short[order][first], np.add.reduceat(d_gates.reshape(-1, 3 * n)[order], first, axis=0)))
     return grads, states[-1]
 
 
