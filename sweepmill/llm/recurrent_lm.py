@@ -37,6 +37,10 @@ TABLE, ROUNDS, PER_TASK = 1 << 17, 4, 1_000_000
 #: Documents side by side and steps of a window, in training and in scoring. Training goes through longer documents in pieces.
 LANES, STEPS, WIDE, LONG, PIECE = 256, 16, 128, 64, 1024
 RATE, SEED = 0.08, 5
+#: Exponents up to this need no shift in single precision; states whose logits are worked out at once, which stay in a core's cache.
+SAFE, BLOCK = 60, 1024
+#: Gradients of symbols that occur this often in a window are summed symbol by symbol.
+MANY = 16
 END = np.uint64(0x9E6D62D06F6A9A9B)
 COMMON_CLASSES = WORDS // CLASS
 SHAPES = {
@@ -71,7 +75,11 @@ class Vocabulary:
         symbol = {h: i for i, h in enumerate(own)}
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.symbols = np.array([symbol.get(h, -1) for h in self.hashes.tolist()], dtype=np.int64)
+        # Behind the table stands what no word is; a place to begin from is kept for each beginning of a hash.
+        self.sorted, self.numbers = np.append(self.hashes, np.uint64(2**64 - 1)), np.append(self.counts, -1)
+        self.symbols = np.array([*[symbol.get(h, -1) for h in self.hashes.tolist()], -1], dtype=np.int64)
+        self.shift = np.uint64(64 - max(1, len(self.sorted).bit_length()))
+        self.first = np.searchsorted(self.hashes, np.arange(2 ** (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
         self.own = np.array([held.get(h, 0) for h in own] + [0] * (WORDS - len(own)), dtype=np.int64)
         common_words = np.array([h in symbol and h != int(END) for h in hashes.tolist()], dtype=bool)
         mass, size = mass.astype(np.float64).copy(), size.astype(np.float64).copy()
@@ -81,13 +89,15 @@ class Vocabulary:
 
     def look_up(self, hashes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each token, and its count if the table has it, else -1."""
-        if not len(self.hashes):
-            return np.where(hashes == END, 0, WORDS + kind), np.full(len(hashes), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        found = self.hashes[at] == hashes
+        at = self.first[hashes >> self.shift]
+        far = np.flatnonzero(self.sorted[at] < hashes)
+        while len(far):
+            at[far] += 1
+            far = far[self.sorted[at[far]] < hashes[far]]
+        found = self.sorted[at] == hashes
         symbol = np.where(found, self.symbols[at], -1)
         symbol[hashes == END] = 0
-        return np.where(symbol >= 0, symbol, WORDS + kind), np.where(found, self.counts[at], -1)
+        return np.where(symbol >= 0, symbol, WORDS + kind), np.where(found, self.numbers[at], -1)
 
 
 def untrained(words: Vocabulary) -> dict[str, np.ndarray]:
@@ -131,66 +141,104 @@ def _table(symbols: np.ndarray, begin: np.ndarray, starts: np.ndarray, wide: int
     return *(x.reshape(-1, len(total)) for x in (before, fresh, target)), cell, total
 
 
-def _forward(w: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
-    """States after each step. inputs, fresh: steps x lanes; fresh: a document begins, from the zero state."""
-    n, gates = HIDDEN, w["x"][inputs]
-    out = np.empty((*inputs.shape, n), dtype=np.float32)
-    for t in range(len(inputs)):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        a = h @ w["u"]
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (gates[t, :, : 2 * n] + a[:, : 2 * n]))
-        new = np.tanh(gates[t, :, 2 * n :] + zr[:, n:] * a[:, 2 * n :])
-        if kept is not None:
-            kept.append((h, zr, new, a[:, 2 * n :]))
-        h = new + zr[:, :n] * (h - new)
-        out[t] = h
+def _by_gate(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """x and u with the gate (keep, reset, new) as first axis, times what stands in the exponent of a sigmoid or tanh."""
+    scale = np.array([-1, -1, -2], dtype=w["u"].dtype)[:, None, None]
+    return tuple(np.ascontiguousarray(w[m].reshape(-1, 3, HIDDEN).swapaxes(0, 1)) * scale for m in ("x", "u"))
+
+
+def _forward(w: dict, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """States after each step. inputs, fresh: steps x lanes; fresh: a document begins, from the zero state.
+    kept (5, steps, lanes, HIDDEN): gets the two gates, and how much of a change of the state reaches the gate that keeps,
+    the new state and, of a change of that, the gate that resets."""
+    x, u = _by_gate(w)
+    g, a = np.empty((2, 3, inputs.shape[1], HIDDEN), dtype=u.dtype)
+    zr, z, r, new, a_zr, a_new = g[:2], g[0], g[1], g[2], a[:2], a[2]
+    out, any_fresh = np.empty((*inputs.shape, HIDDEN), dtype=u.dtype), fresh.any(axis=1).tolist()
+    with np.errstate(over="ignore"):  # a gate is then at its end
+        for t in range(len(inputs)):
+            if any_fresh[t]:
+                h = np.where(fresh[t][:, None], u.dtype.type(0), h)
+            x.take(inputs[t], axis=1, out=g, mode="clip")
+            np.matmul(h, u, out=a)
+            zr += a_zr
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            new += r * a_new
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            if kept is not None:
+                kept[:2, t] = zr
+                rest = 1 - z
+                np.multiply(h, rest, out=kept[2, t])  # (before - new) z (1 - z)
+                square = new * new
+                np.subtract(1, square, out=square)
+                np.multiply(square, rest, out=kept[3, t])
+                a_new *= -0.5  # what stands in the exponent is times -2
+                np.subtract(1, r, out=rest)
+                rest *= r
+                np.multiply(rest, a_new, out=kept[4, t])
+            h += new
     return out
 
 
-def _states(x_gates, x_new, u_gates, u_new, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
-    """_forward without what training keeps, in place; weights of the gates are halved beforehand. h becomes the last state."""
-    wide, n = h.shape
-    gates, new, a, b = (np.empty((wide, k * n), dtype=np.float32) for k in (2, 1, 2, 1))
-    for t in range(len(inputs)):
-        if fresh[t].any():
-            h[fresh[t]] = 0
-        np.take(x_gates, inputs[t], axis=0, out=gates, mode="clip")
-        np.take(x_new, inputs[t], axis=0, out=new, mode="clip")
-        gates += np.matmul(h, u_gates, out=a)
-        np.tanh(gates, out=gates)
-        gates *= np.float32(0.5)
-        gates += np.float32(0.5)
-        np.matmul(h, u_new, out=b)
-        b *= gates[:, n:]
-        new += b
-        np.tanh(new, out=new)
-        h -= new
-        h *= gates[:, :n]
-        h += new
-        out[t] = h
-
-
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _bounded(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials neither overflow nor vanish: less the largest of the row, unless states (-1 to 1) times these
+    weights cannot be large."""
+    if not np.abs(weights).sum(axis=-2).max() <= SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
-def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The entries `at` of each row of _log_softmax."""
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(at)), at]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+def _places(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the entries `at` of each row, row after row."""
+    return np.arange(0, table.size, table.shape[1]) + at
 
 
-def _by_class(targets: np.ndarray):
-    """(class, places) of the targets that are common words."""
+def _shares(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    np.exp(_bounded(logits, weights), out=logits)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], dtype=logits.dtype)))[:, None]
+    return logits
+
+
+def _log_share(logits: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entries `at` of the log softmax of each row."""
+    own = _bounded(logits, weights).reshape(-1)[_places(logits, at)]
+    return own - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], dtype=logits.dtype))
+
+
+def _with_one(states: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """The real ones of all states, and a one that biases are multiplied with."""
+    out = np.ones((len(real), HIDDEN + 1), dtype=states.dtype)
+    out[:, :HIDDEN] = states.reshape(-1, HIDDEN)[real]
+    return out
+
+
+def _biased(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Output weights of the classes and inside each class, with the biases as last row."""
+    return np.concatenate((w["wc"], w["bc"][None])), np.concatenate((w["wo"], w["bo"][:, None]), axis=1)
+
+
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places of the targets that are common words, by class, and the slice of each class that occurs."""
     cls = np.where(targets < WORDS, targets // CLASS, COMMON_CLASSES)
     order = np.argsort(cls.astype(np.int16), kind="stable")  # a radix sort, as numbers are short
-    bounds = np.searchsorted(cls[order], np.arange(COMMON_CLASSES + 1))
-    for c in range(COMMON_CLASSES):
-        if bounds[c + 1] > bounds[c]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=COMMON_CLASSES)[:COMMON_CLASSES]))).tolist()
+    return order[: bounds[-1]], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+
+
+def _inside(flat: np.ndarray, wo: np.ndarray, slices: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits of the words of a state's class; states by class."""
+    out = np.empty((len(flat), CLASS), dtype=flat.dtype)
+    for c, some in slices:
+        np.matmul(flat[some], wo[c], out=out[some])
+    return out
 
 
 def _classes(targets: np.ndarray) -> np.ndarray:
@@ -202,65 +250,99 @@ def log_likelihood(w: dict, symbols: np.ndarray, begin: np.ndarray) -> np.ndarra
     if not len(symbols):
         return np.zeros(0)
     before, fresh, target, cell, total = _table(symbols, begin, begin, WIDE)
-    out, h, n = np.zeros(target.shape), np.zeros((len(total), HIDDEN), dtype=np.float32), 2 * HIDDEN
-    parts = [np.ascontiguousarray(w[m][:, :n] * np.float32(0.5) if gates else w[m][:, n:]) for m in ("x", "u") for gates in (True, False)]
+    out, h = np.zeros(target.shape), np.zeros((len(total), HIDDEN), dtype=np.float32)
+    wc, wo = _biased(w)
     for t in range(0, len(target), LONG):
         # Lanes that are at their end drop out, so one long document does not hold up the width of all.
         some = slice(t, t + LONG), slice(0, int(np.searchsorted(-total, -t)))
-        h = h[some[1]].copy()
-        states = np.empty((*target[some].shape, HIDDEN), dtype=np.float32)
-        _states(*parts, before[some], fresh[some], h, states)
+        states = _forward(w, before[some], fresh[some], h[some[1]])
+        h = states[-1]
         flat_target = target[some].reshape(-1)
         real = np.flatnonzero(flat_target >= 0)
-        asked, flat = flat_target[real], states.reshape(-1, HIDDEN)[real]
-        logits = flat @ w["wc"]
-        logits += w["bc"]
-        got = _log_share(logits, _classes(asked)).astype(np.float64)
-        for c, at in _by_class(asked):
-            got[at] += _log_share(flat[at] @ w["wo"][c] + w["bo"][c], asked[at] % CLASS)
+        asked, flat = flat_target[real], _with_one(states, real)
+        got, classes = np.empty(len(real)), _classes(asked)
+        for k in range(0, len(real), BLOCK):
+            part = slice(k, k + BLOCK)
+            got[part] = _log_share(flat[part] @ wc, wc, classes[part])
+        order, slices = _by_class(asked)
+        got[order] += _log_share(_inside(flat[order], wo, slices), wo, asked[order] % CLASS)
         values = np.zeros(len(flat_target))
         values[real] = got
         out[some] = values.reshape(target[some].shape)
     return out.reshape(-1)[cell]
 
 
+def _by_symbol(symbols: np.ndarray, d_gates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols that occur, the commonest first, and the sums of their gradients (new state, two gates), in the order of the weights."""
+    counts = np.bincount(symbols, minlength=WORDS + REST)
+    rank = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    place = np.empty(len(counts), dtype=np.int16)
+    place[rank] = np.arange(len(rank))
+    d_gates, counts = d_gates.take(np.argsort(place[symbols], kind="stable"), axis=1), counts[rank]
+    ends, often = np.cumsum(counts), int(np.count_nonzero(counts >= MANY))
+    out, ones = np.zeros((3, len(rank), HIDDEN), dtype=d_gates.dtype), np.ones(len(symbols), dtype=d_gates.dtype)
+    for k, (n, b) in enumerate(zip(counts[:often].tolist(), ends[:often].tolist(), strict=True)):
+        np.matmul(ones[:n], d_gates[:, b - n : b], out=out[:, k])
+    # The first of each other symbol, then the second, as long as there are such.
+    first, left = (ends - counts)[often:], counts[often:]
+    for k in range(int(left[0]) if len(left) else 0):
+        n = int(np.count_nonzero(left > k))
+        out[:, often : often + n] += d_gates.take(first[:n] + k, axis=1)
+    new, z, r = out
+    return rank, np.concatenate((z, r, new), axis=1)
+
+
 def _gradients(w: dict, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, h: np.ndarray):
     """One window: its gradients (as places and values), the state at its end."""
-    kept: list = []
+    n, kept = HIDDEN, np.empty((5, *inputs.shape, HIDDEN), dtype=w["u"].dtype)
     states = _forward(w, inputs, fresh, h, kept)
-    real = np.flatnonzero(targets.reshape(-1) >= 0)
-    asked, flat = targets.reshape(-1)[real], states.reshape(-1, HIDDEN)[real]
-    d_class = np.exp(_log_softmax(flat @ w["wc"] + w["bc"]))
-    d_class[np.arange(len(asked)), _classes(asked)] -= 1
-    grads = [("wc", slice(None), flat.T @ d_class), ("bc", slice(None), d_class.sum(axis=0))]
-    d_flat = d_class @ w["wc"].T
-    for c, at in _by_class(asked):
-        d = np.exp(_log_softmax(flat[at] @ w["wo"][c] + w["bo"][c]))
-        d[np.arange(len(at)), asked[at] % CLASS] -= 1
-        grads += [("wo", c, flat[at].T @ d), ("bo", c, d.sum(axis=0))]
-        d_flat[at] += d @ w["wo"][c].T
-    d_states = np.zeros((inputs.size, HIDDEN), dtype=np.float32)
+    flat_targets = targets.reshape(-1)
+    real = np.flatnonzero(flat_targets >= 0)
+    asked, flat = flat_targets[real], _with_one(states, real)
+    wc, wo = _biased(w)
+    classes, d_wc, d_flat = _classes(asked), np.zeros_like(wc), np.empty((len(real), n), dtype=flat.dtype)
+    for k in range(0, len(real), BLOCK):
+        part = slice(k, k + BLOCK)
+        d = _shares(flat[part] @ wc, wc)
+        d.reshape(-1)[_places(d, classes[part])] -= 1
+        d_wc[:n] += (d.T @ flat[part, :n]).T
+        d_wc[n] += np.ones(len(d), dtype=d.dtype) @ d
+        np.matmul(d, w["wc"].T, out=d_flat[part])
+    order, slices = _by_class(asked)
+    own, d_wo, d_own = flat[order], np.zeros_like(wo), np.empty((len(order), n), dtype=flat.dtype)
+    d = _shares(_inside(own, wo, slices), wo)
+    d.reshape(-1)[_places(d, asked[order] % CLASS)] -= 1
+    for c, some in slices:
+        np.matmul(own[some].T, d[some], out=d_wo[c])
+        np.matmul(d[some], w["wo"][c].T, out=d_own[some])
+    d_flat[order] += d_own
+    grads = [("wc", slice(None), d_wc[:n]), ("bc", slice(None), d_wc[n]), ("wo", slice(None), d_wo[:, :n]), ("bo", slice(None), d_wo[:, n])]
+    d_states = np.zeros((inputs.size, n), dtype=states.dtype)
     d_states[real] = d_flat
-    d_states, n = d_states.reshape(states.shape), HIDDEN
-    d_gates, d_after = np.empty((*inputs.shape, 3 * n), dtype=np.float32), np.empty((*inputs.shape, 3 * n), dtype=np.float32)
-    back = np.zeros_like(h)
+    d_states = d_states.reshape(states.shape)
+
+    z, r, to_z, to_new, to_r = kept
+    before = np.concatenate((h[None], states[:-1]))
+    before[fresh] = 0
+    u = np.ascontiguousarray(w["u"].reshape(n, 3, n).transpose(1, 2, 0))
+    # Of the new state, the two gates, and the new state as it reaches u.
+    d_gates, back, through = np.empty((4, *states.shape), dtype=states.dtype), np.zeros_like(h), np.empty((3, *h.shape), dtype=states.dtype)
     for t in range(len(inputs) - 1, -1, -1):
-        before, zr, new, a = kept[t]
-        z, r = zr[:, :n], zr[:, n:]
-        d = d_states[t] + back
-        d_new = d * (1 - z) * (1 - new * new)
-        d_gates[t, :, :n] = d * (before - new) * z * (1 - z)
-        d_gates[t, :, n : 2 * n] = d_new * a * r * (1 - r)
-        d_gates[t, :, 2 * n :] = d_new
-        d_after[t] = d_gates[t]
-        d_after[t, :, 2 * n :] *= r
-        back = np.where(fresh[t][:, None], np.float32(0), d * z + d_after[t] @ w["u"].T)
-    earlier = np.stack([k[0] for k in kept]).reshape(-1, n)
-    grads.append(("u", slice(None), earlier.T @ d_after.reshape(-1, 3 * n)))
-    short = inputs.reshape(-1).astype(np.int16)
-    order = np.argsort(short, kind="stable")
-    first = np.flatnonzero(np.diff(short[order], prepend=-1))
-    grads.append(("x", short[order][first], np.add.reduceat(d_gates.reshape(-1, 3 * n)[order], first, axis=0)))
+        d, g = d_states[t], d_gates[:, t]
+        d += back
+        np.multiply(d, to_new[t], out=g[0])
+        np.multiply(d, to_z[t], out=g[1])
+        np.multiply(g[0], to_r[t], out=g[2])
+        np.multiply(g[0], r[t], out=g[3])
+        np.matmul(g[1:], u, out=through)
+        np.multiply(d, z[t], out=back)
+        for x in through:
+            back += x
+        back[fresh[t]] = 0
+    d_gates = d_gates.reshape(4, -1, n)
+    d_u = d_gates[1:].swapaxes(1, 2) @ before.reshape(-1, n)
+    grads.append(("u", slice(None), d_u.transpose(2, 0, 1).reshape(n, 3 * n)))
+    grads.append(("x", *_by_symbol(inputs.reshape(-1), d_gates[:3])))
     return grads, states[-1]
 
 
@@ -277,8 +359,12 @@ def learn(w: dict, symbols: np.ndarray, begin: np.ndarray, squares: dict) -> Non
         grads, h = _gradients(w, before[some], fresh[some], target[some], h[:wide])
         for name, at, g in grads:
             g = g / np.float32(wide)
-            squares[name][at] += g * g
-            w[name][at] -= np.float32(RATE) * g / np.sqrt(squares[name][at] + np.float32(1e-6))
+            sums = squares[name][at] + g * g
+            squares[name][at] = sums
+            sums += np.float32(1e-6)
+            g *= np.float32(RATE)
+            g /= np.sqrt(sums, out=sums)
+            w[name][at] -= g
 
 
 def _flat(w: dict) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Language-model scoring: counts by brute force, gradients by differences, the whole document's probability step by step."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -161,3 +162,67 @@ def test_learns_from_every_document(spark):
         words = lm.vocabulary(lm.word_counts(docs, "text"))
         start, learnt = lm.untrained(words), lm.fit(docs, words)
         assert any((start[name] != learnt[name]).any() for name in start), i
+
+
+def test_look_up_by_the_beginning_of_a_hash():
+    """Words whose hashes begin alike, the ends of the range, and words that are not there."""
+    rng = np.random.default_rng(4)
+    near = (np.uint64(77) << np.uint64(40)) + np.arange(0, 60, 2, dtype=np.uint64)
+    held = np.unique(np.concatenate((near, rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2), np.array([0, 2**64 - 1, int(lm.END)], dtype=np.uint64))))
+    counts = rng.integers(1, 90, len(held))
+    order = np.lexsort((held, -counts))
+    words = lm.Vocabulary(held[order], counts[order], np.zeros(len(held), np.int64), int(counts.sum()), len(held), np.zeros(lm.REST), np.zeros(lm.REST))
+    asked = np.concatenate((held, near + np.uint64(1), rng.integers(0, 2**63, 3000).astype(np.uint64)))
+    table = dict(zip(held.tolist(), counts.tolist(), strict=True))
+    symbol, got = words.look_up(asked, np.full(len(asked), 3))
+    assert got.tolist() == [table.get(h, -1) for h in asked.tolist()]
+    own = [int(lm.END), *[h for h in held[order].tolist() if h != int(lm.END)]][: lm.WORDS]
+    assert symbol.tolist() == [own.index(h) if h in set(own) else lm.WORDS + 3 for h in asked.tolist()]
+    # A table of no other hash than the largest, and one without any.
+    for some in (np.array([2**64 - 1], dtype=np.uint64), np.zeros(0, np.uint64)):
+        one = lm.Vocabulary(some, np.ones(len(some), np.int64), np.zeros(len(some), np.int64), len(some), len(some), np.zeros(lm.REST), np.zeros(lm.REST))
+        assert one.look_up(np.array([5, 2**64 - 1], dtype=np.uint64), np.zeros(2, np.int64))[1].tolist() == [-1, 1 if len(some) else -1]
+
+
+def test_sums_by_symbol():
+    rng = np.random.default_rng(3)
+    symbols, d = np.minimum(rng.zipf(1.4, 4096), lm.WORDS + lm.REST) - 1, rng.normal(size=(3, 4096, lm.HIDDEN))
+    which, sums = lm._by_symbol(symbols, d)
+    want = np.zeros((lm.WORDS + lm.REST, 3 * lm.HIDDEN))
+    np.add.at(want, symbols, np.concatenate((d[1], d[2], d[0]), axis=1))
+    got = np.zeros_like(want)
+    got[which] = sums
+    assert sorted(which.tolist()) == sorted(set(symbols.tolist())) and np.allclose(got, want)
+    assert {1, lm.MANY} <= set(np.bincount(symbols).tolist()) or np.bincount(symbols).max() > lm.MANY
+
+
+def test_large_weights_neither_overflow_nor_vanish():
+    words, hashes, kind, begin = vocabulary_of([f"w{i % 900} w{i % 7} z" for i in range(600)])
+    symbols, w = words.look_up(hashes, kind)[0], weights(words)
+    w = {n: v * np.float32(60) for n, v in w.items()}
+    got = lm.log_likelihood(w, symbols, begin)
+    assert any(np.abs(w[n]).max() > 88 for n in ("wc", "bc", "wo", "bo")) and np.isfinite(got).all()
+    for d in (0, 99, 599):
+        assert np.allclose(got[begin[d] : begin[d + 1]], stepwise(w, symbols[begin[d] : begin[d + 1]].tolist()), rtol=1e-3, atol=0.05)
+    grads, _ = lm._gradients(w, symbols[:40].reshape(10, 4), np.zeros((10, 4), bool), symbols[1:41].reshape(10, 4), np.zeros((4, lm.HIDDEN), np.float32))
+    assert all(np.isfinite(g).all() for _, _, g in grads)
+
+
+def test_memory_of_a_window():
+    """Time goes with what a window of training or scoring moves through the cache; unlike time, that is the same on each machine."""
+    words, hashes, kind, begin = vocabulary_of([" ".join(f"w{(i * j) % 700}" for j in range(200)) for i in range(128)])
+    w, symbols = weights(words), words.look_up(hashes, kind)[0]
+    size = lm.STEPS * lm.LANES
+    some = symbols[:size].reshape(lm.STEPS, lm.LANES)
+    state = np.zeros((lm.LANES, lm.HIDDEN), np.float32)
+
+    def peak(f):
+        f()
+        tracemalloc.start()
+        f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    assert peak(lambda: lm._gradients(w, some, np.zeros(some.shape, bool), some, state)) < 9  # 9.8 MB before
+    assert peak(lambda: lm.log_likelihood(w, symbols, begin)) < 6  # 7.3 MB before
