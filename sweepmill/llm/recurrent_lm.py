@@ -49,19 +49,23 @@ SHAPES = {
 }
 
 
+#: Class of a word by its first two bytes, a space if it has one.
+_KIND = (common.mix64(common._LOWER.astype(np.uint64)[:, None] * np.uint64(256) + np.where(common._SPACE, 0, common._LOWER).astype(np.uint64)) % np.uint64(REST)).astype(np.int64).reshape(-1)
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and class by first letters of each token, an end after each text, and the offsets of the texts' tokens."""
     raw, begin = common._raw(texts)
     words, where, _ = common._words(raw, begin)
     at = np.searchsorted(where, begin)
-    follow = np.where(where + 1 < begin[-1], raw[np.minimum(where + 1, max(len(raw) - 1, 0))], 32) if len(words) else np.zeros(0, np.uint8)
-    letters = common._LOWER[raw[where]].astype(np.uint64) * np.uint64(256) + np.where(common._SPACE[follow], 0, common._LOWER[follow]).astype(np.uint64)
+    follow = np.where(where + 1 < begin[-1], raw[np.minimum(where + 1, max(len(raw) - 1, 0))], np.uint8(32)) if len(words) else np.zeros(0, np.uint8)
+    letters = raw[where].astype(np.int64) * 256 + follow
     n = len(begin) - 1
     ends = at[1:] + np.arange(n)
     hashes, kind = np.full(len(words) + n, END), np.zeros(len(words) + n, dtype=np.int64)
     inner = np.ones(len(words) + n, dtype=bool)
     inner[ends] = False
-    hashes[inner], kind[inner] = words, (common.mix64(letters) % np.uint64(REST)).astype(np.int64)
+    hashes[inner], kind[inner] = words, _KIND[letters]
     return hashes, kind, np.concatenate(([0], ends + 1))
 
 
@@ -225,12 +229,13 @@ def _biased(w: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((w["wc"], w["bc"][None])), np.concatenate((w["wo"], w["bo"][:, None]), axis=1)
 
 
-def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """Places of the targets that are common words, by class, and the slice of each class that occurs."""
-    cls = np.where(targets < WORDS, targets // CLASS, COMMON_CLASSES)
-    order = np.argsort(cls.astype(np.int16), kind="stable")  # a radix sort, as numbers are short
-    bounds = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=COMMON_CLASSES)[:COMMON_CLASSES]))).tolist()
-    return order[: bounds[-1]], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]], int]:
+    """Places of the targets that are there (not -1), common words by class before others, the slice of each class of common
+    words that occurs, and the number of common words."""
+    cls = np.minimum(targets // CLASS, COMMON_CLASSES) + 1
+    bounds = np.cumsum(np.bincount(cls, minlength=COMMON_CLASSES + 1)[: COMMON_CLASSES + 1]).tolist()
+    order = np.argsort(cls.astype(np.int16), kind="stable")[bounds[0] :]  # a radix sort, as numbers are short
+    return order, [(c, slice(a - bounds[0], b - bounds[0])) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a], bounds[-1] - bounds[0]
 
 
 def _inside(flat: np.ndarray, wo: np.ndarray, slices: list[tuple[int, slice]]) -> np.ndarray:
@@ -258,14 +263,13 @@ def log_likelihood(w: dict, symbols: np.ndarray, begin: np.ndarray) -> np.ndarra
         states = _forward(w, before[some], fresh[some], h[some[1]])
         h = states[-1]
         flat_target = target[some].reshape(-1)
-        real = np.flatnonzero(flat_target >= 0)
+        real, slices, own = _by_class(flat_target)
         asked, flat = flat_target[real], _with_one(states, real)
         got, classes = np.empty(len(real)), _classes(asked)
         for k in range(0, len(real), BLOCK):
             part = slice(k, k + BLOCK)
             got[part] = _log_share(flat[part] @ wc, wc, classes[part])
-        order, slices = _by_class(asked)
-        got[order] += _log_share(_inside(flat[order], wo, slices), wo, asked[order] % CLASS)
+        got[:own] += _log_share(_inside(flat[:own], wo, slices), wo, asked[:own] % CLASS)
         values = np.zeros(len(flat_target))
         values[real] = got
         out[some] = values.reshape(target[some].shape)
@@ -297,7 +301,7 @@ def _gradients(w: dict, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarr
     n, kept = HIDDEN, np.empty((5, *inputs.shape, HIDDEN), dtype=w["u"].dtype)
     states = _forward(w, inputs, fresh, h, kept)
     flat_targets = targets.reshape(-1)
-    real = np.flatnonzero(flat_targets >= 0)
+    real, slices, own = _by_class(flat_targets)
     asked, flat = flat_targets[real], _with_one(states, real)
     wc, wo = _biased(w)
     classes, d_wc, d_flat = _classes(asked), np.zeros_like(wc), np.empty((len(real), n), dtype=flat.dtype)
@@ -308,14 +312,13 @@ def _gradients(w: dict, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarr
         d_wc[:n] += (d.T @ flat[part, :n]).T
         d_wc[n] += np.ones(len(d), dtype=d.dtype) @ d
         np.matmul(d, w["wc"].T, out=d_flat[part])
-    order, slices = _by_class(asked)
-    own, d_wo, d_own = flat[order], np.zeros_like(wo), np.empty((len(order), n), dtype=flat.dtype)
-    d = _shares(_inside(own, wo, slices), wo)
-    d.reshape(-1)[_places(d, asked[order] % CLASS)] -= 1
+    d_wo, d_own = np.zeros_like(wo), np.empty((own, n), dtype=flat.dtype)
+    d = _shares(_inside(flat[:own], wo, slices), wo)
+    d.reshape(-1)[_places(d, asked[:own] % CLASS)] -= 1
     for c, some in slices:
-        np.matmul(own[some].T, d[some], out=d_wo[c])
+        np.matmul(flat[some].T, d[some], out=d_wo[c])
         np.matmul(d[some], w["wo"][c].T, out=d_own[some])
-    d_flat[order] += d_own
+    d_flat[:own] += d_own
     grads = [("wc", slice(None), d_wc[:n]), ("bc", slice(None), d_wc[n]), ("wo", slice(None), d_wo[:, :n]), ("bo", slice(None), d_wo[:, n])]
     d_states = np.zeros((inputs.size, n), dtype=states.dtype)
     d_states[real] = d_flat
