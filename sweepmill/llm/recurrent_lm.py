@@ -37,7 +37,8 @@ TABLE, ROUNDS, PER_TASK = 1 << 17, 4, 1_000_000
 #: Documents side by side and steps of a window, in training and in scoring. Training goes through longer documents in pieces.
 LANES, STEPS, WIDE, LONG, PIECE = 256, 16, 128, 64, 1024
 RATE, SEED = 0.08, 5
-#: Exponents up to this need no shift in single precision; states whose logits are worked out at once, which stay in a core's cache.
+#: Exponents up to this need no shift in single precision; states whose logits are worked out at once, which stay in a core's cache,
+#: and weights whose changes are one row.
 SAFE, BLOCK = 60, 1024
 #: Gradients of symbols that occur this often in a window are summed symbol by symbol.
 MANY = 16
@@ -382,6 +383,12 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of the changes of one block of weights, from all tasks."""
+    change = table["change"].combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(axis=0)
+    return pa.table({"block": table["block"][:1], "change": pa.array([change], pa.list_(pa.int64()))})
+
+
 def is_training(doc_id, fold: int = 10):
     """Whether a document is learnt from: crc32 of the id as text is not 0 modulo fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % fold != 0, F.lit(False))
@@ -427,20 +434,21 @@ def fit(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, per_task: int
                 seen += len(hashes)
         # Whole numbers add up alike in any order.
         change = np.rint((_flat(w).astype(np.float64) - start.value) * seen * 2.0**16).astype(np.int64)
-        at = np.flatnonzero(change)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(change[at]), pa.array(np.zeros(len(at), np.int64))], names=["at", "change", "seen"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([seen])], names=["at", "change", "seen"])
+        ends = range(BLOCK, len(change) + BLOCK, BLOCK)
+        blocks = [np.array([seen]), *(change[end - BLOCK : end] for end in ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks))), pa.array(blocks, pa.list_(pa.int64()))], names=["block", "change"])
 
     for r in range(rounds):
         start = spark.sparkContext.broadcast(_flat(w).astype(np.float64))
         some = docs.where(F.pmod(order, F.lit(rounds)) == r).select(F.col(text_col).alias("text"), order.alias("order"))
         dealt = some.repartition(tasks, "order").sortWithinPartitions("order", "text").select("text")
         with common.settings(spark, common.STASHING):
-            # As many rows come back as the model has weights.
-            sums = dealt.mapInArrow(partial(work, held=held, start=start), "at long, change long, seen long").groupBy("at").agg(F.sum("change").alias("change"), F.sum("seen").alias("seen")).toArrow()
-        at, change, seen = (sums[c].to_numpy() for c in ("at", "change", "seen"))
-        flat = start.value.copy()
-        flat[at[at >= 0]] += change[at >= 0] / (max(1, int(seen.sum())) * 2.0**16)
+            # As many numbers come back as the model has weights.
+            sums = dealt.mapInArrow(partial(work, held=held, start=start), "block long, change array<long>").groupBy("block").applyInArrow(_added, "block long, change array<long>").toArrow()
+        flat = start.value
+        if len(sums):
+            numbers = sums.sort_by("block")["change"].combine_chunks().flatten().to_numpy()
+            flat = flat + numbers[1:] / (max(1, int(numbers[0])) * 2.0**16)
         w = _shaped(flat)
         start.destroy()
     return w

@@ -226,3 +226,8 @@ def test_memory_of_a_window():
 
     assert peak(lambda: lm._gradients(w, some, np.zeros(some.shape, bool), some, state)) < 9  # 9.8 MB before
     assert peak(lambda: lm.log_likelihood(w, symbols, begin)) < 6  # 7.3 MB before
+
+
+def test_changes_of_a_block_are_added_up():
+    table = pa.table({"block": pa.array([4, 4, 4]), "change": pa.array([[1, 2**53], [2, 1], [-5, 0]], pa.list_(pa.int64()))})
+    assert lm._added(table).to_pylist() == [{"block": 4, "change": [-2, 2**53 + 1]}]
