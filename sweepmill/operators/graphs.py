@@ -79,6 +79,17 @@ def moved(poses: np.ndarray, step: np.ndarray) -> np.ndarray:
     return left @ poses
 
 
+def moved7(poses: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """moved, of poses of seven numbers."""
+    angle = np.linalg.norm(step[:, :3], axis=1)
+    share = np.where(angle < 1e-9, 0.5, np.sin(angle / 2) / np.where(angle < 1e-9, 1.0, angle))
+    v, w = step[:, :3] * share[:, None], np.cos(angle / 2)[:, None]
+    q = poses[:, 3:] / np.linalg.norm(poses[:, 3:], axis=1, keepdims=True)
+    turned = np.concatenate([w * q[:, :3] + q[:, 3:] * v + np.cross(v, q[:, :3]), w * q[:, 3:] - (v * q[:, :3]).sum(axis=1, keepdims=True)], axis=1)
+    there = (_exps(step[:, :3]) @ poses[:, :3, None])[:, :, 0] + step[:, 3:]
+    return np.concatenate([there, turned / np.linalg.norm(turned, axis=1, keepdims=True)], axis=1)
+
+
 def residuals(poses: np.ndarray, a, b, z_inverse) -> np.ndarray:
     return _twist(z_inverse @ inverse(poses[b]) @ poses[a])
 
